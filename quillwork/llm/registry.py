@@ -6,12 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillwork.llm import exact_dedup
+from quillwork.llm import exact_dedup, quality_rules, sharding, url_filters
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op7_exact_dedup": exact_dedup.op7_exact_dedup}
+    return {
+        "op5_sharding": sharding.op5_sharding,
+        "op6_quality_rules": quality_rules.op6_quality_rules,
+        "op7_exact_dedup": exact_dedup.op7_exact_dedup,
+        "op10_url_filters": url_filters.op10_url_filters,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_exact_dedup": exact_dedup.SQL}
+    return {
+        "op6_quality_rules": quality_rules.SQL,
+        "op7_exact_dedup": exact_dedup.SQL,
+        "op10_url_filters": url_filters.SQL,
+    }
