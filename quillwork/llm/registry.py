@@ -6,14 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillwork.llm import exact_dedup, quality_rules, sharding, url_filters
+from quillwork.llm import bpe, exact_dedup, pii, quality_rules, sharding, url_filters
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_bpe": bpe.op2_bpe,
         "op5_sharding": sharding.op5_sharding,
         "op6_quality_rules": quality_rules.op6_quality_rules,
         "op7_exact_dedup": exact_dedup.op7_exact_dedup,
+        "op9_pii": pii.op9_pii,
         "op10_url_filters": url_filters.op10_url_filters,
     }
 
