@@ -138,7 +138,7 @@ def blocks(page: str) -> list[Block]:
                 if name in ENDED_BY.get(stack[i][0], ()):
                     close(i)
                     break
-                if stack[i][0] in ("ul", "ol", "table", "dl", "div", "article", "section", "td", "select") and stack[i][0] != name:
+                if stack[i][0] in ("ul", "ol", "table", "dl", "div", "article", "section", "td", "select"):
                     break
         if name in SPACED:
             pieces.append(" ")
