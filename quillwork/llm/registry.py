@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillwork.llm import bpe, exact_dedup, html_text, near_dedup, pii, quality_rules, sharding, url_filters
+from quillwork.llm import bpe, exact_dedup, html_text, near_dedup, packing, pii, quality_rules, sharding, url_filters
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_html_text": html_text.op1_html_text,
         "op2_bpe": bpe.op2_bpe,
+        "op3_packing": packing.op3_packing,
         "op4_near_dedup": near_dedup.op4_near_dedup,
         "op5_sharding": sharding.op5_sharding,
         "op6_quality_rules": quality_rules.op6_quality_rules,
