@@ -41,7 +41,7 @@ def chunk_hash(chunk: Column, bits: int = 64) -> Column:
 
 
 def recipes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hash_bits: int = 64) -> DataFrame:
-    """One row per row of docs: row_id, doc_id, n_code_points, text_sha256, recipe (verified identifiers).
+    """One row per row of docs: row_id, doc_id, text_key, n_code_points, text_sha256, recipe (verified identifiers).
 
     recipe is array<bigint> while no hash is ambiguous, array<string> otherwise. hash_bits exists
     so that tests can provoke ambiguous hashes."""
@@ -51,6 +51,7 @@ def recipes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", has
         row_ids(
             cut_up,
             F.col("doc_id"),
+            F.xxhash64("raw").alias("text_key"),
             F.char_length("raw").cast("long").alias("n_code_points"),
             F.sha2(F.col("norm"), 256).alias("text_sha256"),
             F.transform("chunk", lambda c: chunk_hash(c, hash_bits)).alias("recipe"),
@@ -93,12 +94,12 @@ def recipes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", has
         .select("text_sha256", F.col("parts.part").alias("spelt"))
     )
     return slim.join(parts, "text_sha256", "left").select(
-        "row_id", "doc_id", "n_code_points", "text_sha256", F.coalesce("spelt", F.array().cast("array<string>")).alias("recipe")
+        "row_id", "doc_id", "text_key", "n_code_points", "text_sha256", F.coalesce("spelt", F.array().cast("array<string>")).alias("recipe")
     )
 
 
 def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hash_bits: int = 64) -> DataFrame:
-    """One row per row of docs: row_id, doc_id, keep_id, group_size, kept, text_sha256.
+    """One row per row of docs: row_id, doc_id, text_key, keep_id, group_size, kept, text_sha256.
 
     Of rows with equal normalised texts, the one with the most code points, then the smallest
     doc_id stays (a null id comes last; of repeated rows exactly one stays). Null and empty texts,
@@ -112,7 +113,7 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         .select("recipe", "group_size", (-F.col("best.by_id")).alias("keep_id"), (-F.col("best.by_row")).alias("keep_row"))
     )
     return slim.join(groups, "recipe").select(
-        "row_id", "doc_id", "keep_id", "group_size", (F.col("row_id") == F.col("keep_row")).alias("kept"), "text_sha256"
+        "row_id", "doc_id", "text_key", "keep_id", "group_size", (F.col("row_id") == F.col("keep_row")).alias("kept"), "text_sha256"
     )
 
 

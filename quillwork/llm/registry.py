@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillwork.llm import bpe, exact_dedup, html_text, near_dedup, packing, pii, quality_rules, sharding, url_filters
+from quillwork.llm import bpe, exact_dedup, html_text, near_dedup, packing, pii, quality_rules, sharding, toxicity, url_filters
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -18,6 +18,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_sharding": sharding.op5_sharding,
         "op6_quality_rules": quality_rules.op6_quality_rules,
         "op7_exact_dedup": exact_dedup.op7_exact_dedup,
+        "op8_toxicity": toxicity.op8_toxicity,
         "op9_pii": pii.op9_pii,
         "op10_url_filters": url_filters.op10_url_filters,
     }
