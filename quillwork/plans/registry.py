@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from quillwork.plans import applicability
+from quillwork.plans.base import Query
 
-from pyspark.sql import DataFrame, SparkSession
+_BOOKS = (applicability.BOOK,)
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+def queries() -> dict[str, Query]:
+    return {name: query for book in _BOOKS for name, query in book.queries.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for book in _BOOKS for name, sql in book.sql.items()}
