@@ -8,6 +8,11 @@ import math
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+# Types as objects: executors import this module without a session to read type strings.
+_TEXT, _TEXTS = T.StringType(), T.ArrayType(T.StringType())
+_LIMITS = T.StructType([T.StructField("low", T.DoubleType()), T.StructField("high", T.DoubleType())])
 
 
 def strict_json(raw: str):
@@ -44,14 +49,14 @@ def answer(raw: str | None, finish: str | None, known: list | None, key: str) ->
 
 
 def parse_answer(key: str = "applicable"):
-    @F.pandas_udf("array<string>")
+    @F.pandas_udf(_TEXTS)
     def parse(raw: pd.Series, finish: pd.Series, known: pd.Series) -> pd.Series:
         return pd.Series([answer(r, f, k, key) for r, f, k in zip(raw, finish, known, strict=True)], dtype=object)
 
     return parse
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(_TEXT)
 def parse_prompt(raw: pd.Series) -> pd.Series:
     """The prompt of {"prompt": text}: one text of 1 to 8000 characters, not blank; else null."""
 
@@ -71,7 +76,7 @@ def canonical(value) -> str:
     return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False, allow_nan=False)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(_TEXT)
 def canonical_digest(raw: pd.Series) -> pd.Series:
     """SHA-256 of the canonical form of a JSON text; null if it is not strict JSON."""
 
@@ -103,7 +108,7 @@ def split_cpe(name: str | None) -> list[str] | None:
     return parts[2:] if not escaped and len(parts) == 13 and parts[:2] == ["cpe", "2.3"] else None
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(_TEXTS)
 def cpe_fields(name: pd.Series) -> pd.Series:
     return pd.Series([split_cpe(x) for x in name], dtype=object)
 
@@ -135,7 +140,7 @@ def clopper_pearson(k: int, n: int, alpha: float = 0.05) -> tuple[float, float]:
 
 
 def exact_limits(alpha: float = 0.05):
-    @F.pandas_udf("struct<low:double,high:double>")
+    @F.pandas_udf(_LIMITS)
     def limits(k: pd.Series, n: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([clopper_pearson(int(a), int(b), alpha) for a, b in zip(k, n, strict=True)], columns=["low", "high"])
 

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from quillwork.plans import applicability
+from quillwork.plans import applicability, scoring
 from quillwork.plans.base import Query
 
-_BOOKS = (applicability.BOOK,)
+_BOOKS = (applicability.BOOK, scoring.BOOK)
 
 
 def queries() -> dict[str, Query]:
