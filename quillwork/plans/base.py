@@ -49,7 +49,7 @@ VIEWS = {
                o_orderkey AS id, o_totalprice AS latency, CASE WHEN o_orderkey % 13 = 0 THEN NULL ELSE o_custkey % 997 END AS tokens, o_orderdate AS finished
         FROM orders""",
 }
-_EPOCH = {"spark": "CAST(unix_micros(ts) AS DOUBLE) / 1000000", "duck": "CAST(epoch_us(ts) AS DOUBLE) / 1000000"}
+_EPOCH = {"spark": "CAST(unix_micros(CAST(ts AS TIMESTAMP)) AS DOUBLE) / 1000000", "duck": "CAST(epoch_us(ts) AS DOUBLE) / 1000000"}
 
 
 def expand(sql: str, sf_dir: str | None = None) -> str:

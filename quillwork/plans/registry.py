@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from quillwork.plans import applicability, scoring
+from quillwork.plans import applicability, ordered, reports, scoring, streams, texts
 from quillwork.plans.base import Query
 
-_BOOKS = (applicability.BOOK, scoring.BOOK)
+_BOOKS = (applicability.BOOK, scoring.BOOK, ordered.BOOK, reports.BOOK, texts.BOOK, streams.BOOK)
 
 
 def queries() -> dict[str, Query]:
