@@ -13,8 +13,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-from collections.abc import Iterator
-
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
