@@ -20,9 +20,20 @@ from pyspark.sql import functions as F
 
 from quillwork.llm._shared import SPACE, cut, row_ids, table, text_of
 
-#: A chunk ends behind the first such character pair after LEAST characters, at MOST at the latest.
-LEAST, MOST = 768, 8192
-BOUNDARY = r"[aeiouáéíóúàèäöü.,;:!?\p{N}\p{Lo}][b-df-hj-mz\p{Lu}\p{Lo}\p{So}]"
+#: Least and most characters of a chunk, and the share 1 in SPARSE of characters in each class of BOUNDARY.
+LEAST, MOST, SPARSE = 64, 8192, 5
+
+
+def _class(which: int) -> str:
+    """A character class that holds about 1 in SPARSE code points up to U+06FF, spread by multiplication;
+    beyond them (one script's words hardly repeat a class there), full stops and commas of all scripts."""
+    held = [c for c in range(0x21, 0x700) if ((c * 2654435761 & 0xFFFFFFFF) >> 16) % SPARSE == which]
+    return "[" + "".join(f"\\x{{{c:x}}}" for c in held) + "\\x{3001}\\x{3002}\\x{964}]"
+
+
+#: A chunk ends behind the first three characters of these classes after LEAST characters. Where a text is cut
+#: depends on what stands there alone, so a change moves the cuts near it and no others.
+BOUNDARY = _class(1) + _class(3) + _class(5)
 
 
 def normalised(text: Column) -> Column:
