@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from quillwork.llm._shared import SPACE, cut, row_ids, table, text_of
 
 #: Least and most characters of a chunk, and the share 1 in SPARSE of characters in each class of BOUNDARY.
-LEAST, MOST, SPARSE = 64, 8192, 5
+LEAST, MOST, SPARSE = 192, 8192, 5
 
 
 def _class(which: int) -> str:
@@ -33,7 +33,7 @@ def _class(which: int) -> str:
 
 #: A chunk ends behind the first three characters of these classes after LEAST characters. Where a text is cut
 #: depends on what stands there alone, so a change moves the cuts near it and no others.
-BOUNDARY = _class(1) + _class(3) + _class(5)
+BOUNDARY = _class(0) + _class(1) + _class(2)
 
 
 def normalised(text: Column) -> Column:
