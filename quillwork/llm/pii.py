@@ -98,7 +98,9 @@ _CUES = {
     "credit": 2, "karte": 2, "carte": 2, "tarjeta": 2, "tel": 3, "phone": 3, "call": 3, "fax": 3, "telefon": 3,
     "téléphone": 3, "teléfono": 3, "mobile": 3,
 }
-N_FEATURES = 22
+N_FEATURES = 23
+#: A token that carries an address on.
+_GOES_ON = re.compile(r"[\[({<]?(?:dot|at)[\])}>]?", re.I)
 
 
 def _bounds(token: re.Match) -> tuple[int, int]:
@@ -115,8 +117,8 @@ def _bounds(token: re.Match) -> tuple[int, int]:
     return start + left, end - right
 
 
-def span_features(span: str, n_tokens: int, before: str) -> list[float]:
-    """Features of a whole candidate span; the word before it is context."""
+def span_features(span: str, n_tokens: int, before: str, after: str) -> list[float]:
+    """Features of a whole candidate span; the words before and behind it are context."""
     digits = _NOT_DIGIT.sub("", span)
     n, letters = len(digits), any(c.isalpha() for c in span)
     email, ip = _SPELT_EMAIL.fullmatch(span) is not None, _SPELT_IP.fullmatch(span) is not None
@@ -127,7 +129,7 @@ def span_features(span: str, n_tokens: int, before: str) -> list[float]:
         1.0, float(n_tokens), email, "@" in span, ip, ip and all(int(p) <= 255 for p in re.findall("[0-9]+", span)),
         card, 14 <= n <= 19, 14 <= n <= 19 and luhn(digits), phone, _PHONE_GROUPED.fullmatch(span) is not None,
         phone and span[0] in "+0", 10 <= n <= 15, 7 <= n <= 9, n < 7, letters, not edge,
-        cue == 0, cue == 1, cue == 2, cue == 3, letters and n > 0 and not email,
+        cue == 0, cue == 1, cue == 2, cue == 3, letters and n > 0 and not email, _GOES_ON.fullmatch(after) is not None,
     ]
 
 
@@ -180,7 +182,8 @@ class Lattice:
                     break
                 if any_fires and bounds[j][1] - start <= 320:
                     self.segments.append((i, j + 1, start, bounds[j][1]))
-                    rows.append(span_features(text[start : bounds[j][1]], j + 1 - i, before))
+                    after = tokens[j + 1].group() if j + 1 < self.n else ""
+                    rows.append(span_features(text[start : bounds[j][1]], j + 1 - i, before, after))
         self.features = np.asarray(rows, dtype=np.float64).reshape(len(rows), N_FEATURES)
 
     def ending(self, scores: np.ndarray) -> list[list[tuple[int, int, float]]]:

@@ -31,7 +31,7 @@ WIDTH, HIDDEN, ATTENTION = 10, 8, 8
 LEAST_WORD, LEAST_GRAM = 6, 4
 #: Share of word ids that training hides, so that the characters must do.
 HIDDEN_WORDS = 0.3
-EPOCHS, BATCH, RATE = 8, 256, 0.01
+EPOCHS, BATCH, RATE, LEAST_STEPS = 8, 256, 0.01, 20
 _EDGE = "".join(chr(c) for c in range(0x21, 0x7F) if not chr(c).isalnum()) + "…–—«»“”‘’¡¿"
 
 
@@ -316,8 +316,9 @@ def fit(texts: list[str], truth: np.ndarray, seed: int = 3, epochs: int = EPOCHS
             order = np.lexsort((-score, owner))
             rank = np.arange(len(order)) - np.searchsorted(owner[order], owner[order])
             pick = order[np.where(label[order] == 1, rank < 1, rank < 3)]
-        rng.shuffle(pick)
         share = label[pick].mean()
+        # A small sample is gone over again until the epoch has LEAST_STEPS batches.
+        pick = np.concatenate([rng.permutation(pick) for _ in range(max(1, -(-LEAST_STEPS * BATCH // len(pick))))])
         for i in range(0, len(pick), BATCH):
             w = pick[i : i + BATCH]
             used, local = np.unique(index[w], return_inverse=True)
