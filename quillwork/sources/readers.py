@@ -58,7 +58,7 @@ def feed(spark: SparkSession, path: str, item_schema: str, total: str = "totalRe
 
 def metadata(raw: Column) -> Column:
     """key:value lines as a map; a repeated key stops the query (the map's own rule)."""
-    return F.str_to_map(F.regexp_replace(F.trim(raw), "\r", ""), F.lit("\n"), F.lit(":"))
+    return F.str_to_map(F.regexp_replace(F.regexp_replace(raw, "\r", ""), "\n+$", ""), F.lit("\n"), F.lit(":"))
 
 
 def digests(spark: SparkSession, path: str) -> DataFrame:
