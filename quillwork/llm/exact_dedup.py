@@ -20,15 +20,21 @@ from pyspark.sql import functions as F
 
 from quillwork.llm._shared import SPACE, cut, row_ids, table, text_of
 
-#: Least and most characters of a chunk, and the share 1 in SPARSE of characters in each class of BOUNDARY.
+#: Least and most characters of a chunk, and the share 1 in SPARSE of Latin characters in each class of BOUNDARY.
 LEAST, MOST, SPARSE = 192, 8192, 5
+#: Ranges of other scripts in the three classes: Greek, Cyrillic, Hebrew, Arabic, Devanagari, kana, Han, Hangul.
+#: Few ranges, because every one of them is tried for every character.
+OTHERS = (
+    r"\x{3b1}-\x{3b5}\x{430}-\x{435}\x{5d0}-\x{5d5}\x{627}-\x{62c}\x{915}-\x{91d}\x{3041}-\x{3055}\x{30a1}-\x{30b5}\x{4e00}-\x{5fff}\x{ac00}-\x{b4ff}",
+    r"\x{3b6}-\x{3ba}\x{436}-\x{43c}\x{5d6}-\x{5db}\x{62d}-\x{633}\x{91e}-\x{927}\x{3056}-\x{306a}\x{30b6}-\x{30ca}\x{6000}-\x{71ff}\x{b500}-\x{bdff}",
+    r"\x{3bb}-\x{3c1}\x{43d}-\x{442}\x{5dc}-\x{5e1}\x{634}-\x{640}\x{928}-\x{930}\x{306b}-\x{307e}\x{30cb}-\x{30de}\x{7200}-\x{83ff}\x{be00}-\x{c6ff}",
+)
 
 
 def _class(which: int) -> str:
-    """A character class that holds about 1 in SPARSE code points up to U+06FF, spread by multiplication;
-    beyond them (one script's words hardly repeat a class there), full stops and commas of all scripts."""
-    held = [c for c in range(0x21, 0x700) if ((c * 2654435761 & 0xFFFFFFFF) >> 16) % SPARSE == which]
-    return "[" + "".join(f"\\x{{{c:x}}}" for c in held) + "\\x{3001}\\x{3002}\\x{964}]"
+    """A character class that holds about 1 in SPARSE characters up to U+00FF, spread by multiplication, and ranges of other scripts."""
+    held = [c for c in range(0x21, 0x100) if ((c * 2654435761 & 0xFFFFFFFF) >> 16) % SPARSE == which]
+    return "[" + "".join(f"\\x{{{c:x}}}" for c in held) + OTHERS[which] + "]"
 
 
 #: A chunk ends behind the first three characters of these classes after LEAST characters. Where a text is cut
