@@ -124,10 +124,12 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     columns of docs are never read."""
     slim = recipes(docs, id_col, text_col, hash_bits)
     order = F.struct("n_code_points", (-F.col("doc_id")).alias("by_id"), (-F.col("row_id")).alias("by_row"))
-    groups = (
+    # Written, so that both sides of the join have a shuffle of their own and a hot recipe can be split.
+    groups = cut(
         slim.groupBy("recipe")
         .agg(F.count(F.lit(1)).alias("group_size"), F.max(order).alias("best"))
-        .select("recipe", "group_size", (-F.col("best.by_id")).alias("keep_id"), (-F.col("best.by_row")).alias("keep_row"))
+        .select("recipe", "group_size", (-F.col("best.by_id")).alias("keep_id"), (-F.col("best.by_row")).alias("keep_row")),
+        "groups",
     )
     return slim.join(groups, "recipe").select(
         "row_id", "doc_id", "text_key", "keep_id", "group_size", (F.col("row_id") == F.col("keep_row")).alias("kept"), "text_sha256"
