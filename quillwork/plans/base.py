@@ -36,9 +36,9 @@ VIEWS = {
         FROM (SELECT l_suppkey, l_partkey, l_orderkey, l_linenumber % 3 + 1 AS l_shipmode_tier,
                      l_returnflag = 'A' AS gold, l_linestatus = 'F' AS said FROM lineitem) c""",
     "tiers": """
-        SELECT o_orderpriority AS tier, year(o_orderdate) AS repetition, o_custkey % 2 AS executor,
+        SELECT o_orderpriority AS tier, CAST(year(o_orderdate) AS BIGINT) AS repetition, o_custkey % 2 AS executor,
                round(sum(CASE WHEN o_orderstatus = 'F' THEN o_totalprice ELSE 0 END) / sum(o_totalprice), 9) AS f1, count(*) AS n
-        FROM orders GROUP BY o_orderpriority, year(o_orderdate), o_custkey % 2""",
+        FROM orders GROUP BY o_orderpriority, CAST(year(o_orderdate) AS BIGINT), o_custkey % 2""",
     "frames": """
         SELECT user_id AS gpu, event_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS BIGINT) - 1 AS sequence, at_s,
                CASE WHEN event_id % 11 = 0 THEN NULL ELSE round(value, 3) END AS power

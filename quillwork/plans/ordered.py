@@ -45,7 +45,7 @@ def round_robin_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 BOOK.portable("strict_interleave", """
 SELECT profile, stratum, (place - 3 + 2 * n) % n AS place FROM (
-  SELECT profile, stratum, row_number() OVER (ORDER BY turn, stratum) - 1 AS place, count(*) OVER () AS n
+  SELECT profile, stratum, CAST(row_number() OVER (ORDER BY turn, stratum) AS BIGINT) - 1 AS place, count(*) OVER () AS n
   FROM (SELECT profile, stratum, row_number() OVER (PARTITION BY stratum ORDER BY profile) AS turn FROM score_rows) t WHERE turn <= 8) p""")
 BOOK.portable("latin_rotation", """
 SELECT profile, variant, (variant - profile % 5 + 5) % 5 AS place
@@ -67,7 +67,7 @@ SELECT family, id, p90 FROM (
     SELECT family, id, p90, row_number() OVER (PARTITION BY family ORDER BY p90, id) AS k
     FROM (SELECT c_mktsegment AS family, c_custkey AS id, c_acctbal AS p90 FROM customer WHERE c_acctbal > 0) c) f WHERE k = 1) g WHERE place <= 2""")
 BOOK.portable("ranked_order", """
-SELECT repetition, tier, rank() OVER (PARTITION BY repetition ORDER BY round(f1, 2) DESC, n DESC, tier, executor) AS place, executor FROM tiers""")
+SELECT repetition, tier, CAST(rank() OVER (PARTITION BY repetition ORDER BY round(f1, 2) DESC, n DESC, tier, executor) AS BIGINT) AS place, executor FROM tiers""")
 
 
 @BOOK.add("sensor_energy", """
@@ -110,12 +110,12 @@ SELECT l_suppkey, l_orderkey FROM (
   FROM lineitem l JOIN supplier s ON l.l_suppkey = s.s_suppkey AND l.l_orderkey <= s.s_suppkey * 100 + 5000) r WHERE k = 1""")
 BOOK.portable("capped_relations", """
 SELECT section, profile, k FROM (
-  SELECT section, profile, row_number() OVER (PARTITION BY section ORDER BY profile) AS k FROM score_rows WHERE fp + fn > 0) r WHERE k <= 12""")
+  SELECT section, profile, CAST(row_number() OVER (PARTITION BY section ORDER BY profile) AS BIGINT) AS k FROM score_rows WHERE fp + fn > 0) r WHERE k <= 12""")
 BOOK.portable("round_series", """
-SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS round,
+SELECT user_id, event_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS BIGINT) AS round,
        round(max(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 6) AS incumbent FROM events""")
 BOOK.portable("retry_ordinal", """
-SELECT user_id, event_type, event_id, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) - 1 AS retry FROM events""")
+SELECT user_id, event_type, event_id, CAST(row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS BIGINT) - 1 AS retry FROM events""")
 
 
 @BOOK.add("seeded_sample", "SELECT doc_id FROM (SELECT doc_id, row_number() OVER (ORDER BY sha256('sample/' || doc_id), doc_id) AS k FROM documents) WHERE k <= 50")
@@ -143,7 +143,7 @@ SELECT source, CAST(count(*) AS BIGINT) AS quota FROM (
 BOOK.portable("best_per_executor", """
 SELECT executor, tier, repetition, f1 FROM (
   SELECT *, row_number() OVER (PARTITION BY executor ORDER BY f1 DESC, tier, repetition) AS k FROM tiers) t WHERE k = 1""")
-BOOK.portable("size_descending", "SELECT doc_id, row_number() OVER (ORDER BY n_chars DESC, doc_id) AS place FROM documents")
+BOOK.portable("size_descending", "SELECT doc_id, CAST(row_number() OVER (ORDER BY n_chars DESC, doc_id) AS BIGINT) AS place FROM documents")
 
 _SIDES = "SELECT l_orderkey, l_linenumber AS x, bool_or(l_returnflag = 'A') AS a, bool_or(l_linestatus = 'F') AS b FROM lineitem GROUP BY l_orderkey, l_linenumber"
 

@@ -37,8 +37,8 @@ def value_count_maps(spark: SparkSession, sf_dir: str) -> DataFrame:
 BOOK.portable("overlap_sets", """
 SELECT key, sides FROM (SELECT l_partkey AS key, count(DISTINCT l_returnflag) AS sides FROM lineitem WHERE l_linenumber = 1 GROUP BY l_partkey) k WHERE sides > 1""")
 BOOK.portable("exclusion_reasons", """
-SELECT year(o_orderdate) AS year, CASE WHEN o_orderstatus = 'P' THEN 'pending' WHEN o_totalprice < 20000 THEN 'too_small' ELSE 'admitted' END AS reason, count(*) AS n
-FROM orders GROUP BY year(o_orderdate), CASE WHEN o_orderstatus = 'P' THEN 'pending' WHEN o_totalprice < 20000 THEN 'too_small' ELSE 'admitted' END""")
+SELECT CAST(year(o_orderdate) AS BIGINT) AS year, CASE WHEN o_orderstatus = 'P' THEN 'pending' WHEN o_totalprice < 20000 THEN 'too_small' ELSE 'admitted' END AS reason, count(*) AS n
+FROM orders GROUP BY CAST(year(o_orderdate) AS BIGINT), CASE WHEN o_orderstatus = 'P' THEN 'pending' WHEN o_totalprice < 20000 THEN 'too_small' ELSE 'admitted' END""")
 BOOK.portable("cell_summary_population_sd", """
 SELECT executor, tier, count(*) AS n, round(avg(f1), 6) AS mean, round(CASE WHEN count(*) > 1 THEN stddev_pop(f1) END, 6) AS sd FROM tiers GROUP BY executor, tier""")
 BOOK.portable("tier_means_sample_sd", """
@@ -148,7 +148,7 @@ FROM (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem) c LEFT JOIN (SELEC
 LEFT JOIN (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem WHERE l_linestatus = 'F') s ON c.l_orderkey = s.l_orderkey AND c.l_linenumber = s.l_linenumber""")
 BOOK.portable("trajectory_evaluations", """
 SELECT t.executor, t.tier, t.repetition, count(*) AS rows, round(avg(e.latency), 4) AS latency FROM tiers t
-JOIN (SELECT o_custkey % 2 AS executor, year(o_orderdate) AS repetition, o_totalprice AS latency FROM orders WHERE o_orderkey % 5 = 0) e ON t.executor = e.executor AND t.repetition = e.repetition
+JOIN (SELECT o_custkey % 2 AS executor, CAST(year(o_orderdate) AS BIGINT) AS repetition, o_totalprice AS latency FROM orders WHERE o_orderkey % 5 = 0) e ON t.executor = e.executor AND t.repetition = e.repetition
 GROUP BY t.executor, t.tier, t.repetition""")
 BOOK.portable("related_spelling", """
 SELECT p.p_partkey, count(q.p_partkey) AS related FROM (SELECT p_partkey, lower(p_brand) AS b, lower(p_type) AS t FROM part WHERE p_partkey % 5 = 0) p

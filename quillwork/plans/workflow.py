@@ -139,8 +139,8 @@ SELECT reason, count(*) AS n FROM (
               WHEN coalesce(l.n, 0) = 0 THEN 'no_terms' WHEN l.n > 6 THEN 'too_many_terms' ELSE 'accepted' END AS reason
   FROM orders o LEFT JOIN (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY l_orderkey) l ON o.o_orderkey = l.l_orderkey) v GROUP BY reason""")
 BOOK.portable("quarantine_filter", """
-SELECT year(o.o_orderdate) AS year, count(*) AS n FROM orders o LEFT JOIN (SELECT DISTINCT l_orderkey FROM lineitem WHERE l_quantity > 49) q ON o.o_orderkey = q.l_orderkey
-WHERE q.l_orderkey IS NULL AND year(o.o_orderdate) IN (1993, 1994, 1995) GROUP BY year(o.o_orderdate)""")
+SELECT CAST(year(o.o_orderdate) AS BIGINT) AS year, count(*) AS n FROM orders o LEFT JOIN (SELECT DISTINCT l_orderkey FROM lineitem WHERE l_quantity > 49) q ON o.o_orderkey = q.l_orderkey
+WHERE q.l_orderkey IS NULL AND CAST(year(o.o_orderdate) AS BIGINT) IN (1993, 1994, 1995) GROUP BY CAST(year(o.o_orderdate) AS BIGINT)""")
 BOOK.portable("context_fit", """
 SELECT o_orderpriority, count(*) AS n, max(o_custkey) + 512 <= 2048 AS fits_all, CASE WHEN count(CASE WHEN o_orderkey % 17 = 0 THEN 1 END) > 0 THEN false ELSE true END AS shown_to_fit FROM orders GROUP BY o_orderpriority""")
 BOOK.portable("label_corrections", """
