@@ -44,7 +44,7 @@ SELECT executor, tier, count(*) AS n, round(avg(f1), 6) AS mean, round(CASE WHEN
 BOOK.portable("tier_means_sample_sd", """
 SELECT executor, tier, n, mean, sd FROM (
   SELECT CAST(executor AS STRING) AS executor, tier, count(*) AS n, round(avg(f1), 6) AS mean, round(coalesce(CASE WHEN count(*) > 1 THEN stddev_samp(f1) END, 0), 6) AS sd FROM tiers GROUP BY executor, tier
-  UNION ALL SELECT 'reference', tier, count(*), round(avg(f1), 6), 0.0 FROM tiers GROUP BY tier) t""")
+  UNION ALL SELECT 'pooled', tier, count(*), round(avg(f1), 6), 0.0 FROM tiers GROUP BY tier) t""")
 BOOK.portable("trajectory_listing", "SELECT executor, tier, repetition, round(f1, 6) AS f1, n FROM tiers WHERE tier <> '5-LOW'")
 BOOK.portable("budget_range", """
 SELECT l_returnflag, min(n) AS least_calls, max(n) AS most_calls, CAST(sum(n) AS BIGINT) AS calls FROM (

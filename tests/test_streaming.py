@@ -1,3 +1,5 @@
+import os
+
 from pyspark.sql import functions as F
 
 from quillwork.plans.streams import drained
@@ -9,6 +11,7 @@ def test_torn_tail_and_running_energy(spark, tmp_path):
     lines = [f'{{"gpu":1,"sequence":{i},"at_s":{t},"power":{"null" if p is None else p}}}' for i, (t, p) in enumerate(frames)]
     (tmp_path / "a.jsonl").write_text("\n".join(lines[:3]) + "\n")
     (tmp_path / "b.jsonl").write_text("\n".join(lines[3:]) + '\n{"gpu":1,"seq')
+    os.utime(tmp_path / "a.jsonl", (1, 1))  # files are taken in the order of their times
     last = drained(tm.running_energy(tm.frame_lines(spark, str(tmp_path)), 2.5), "update").orderBy(F.desc("pairs")).first()
     assert (last.joules, last.covered_s, last.pairs, last.broken) == (55.0, 2.0, 2, 0)
 
