@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillwork.llm import exact_dedup, near_dedup, packing, pii, quality_rules
-from quillwork.llm._shared import cut, table, text_of
+from quillwork.llm._shared import cut, drop_scratch, scratch_mark, table, text_of
 
 _KEYS = ("_quill_id", "_quill_text")
 
@@ -84,7 +84,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, mark = table(spark, sf_dir, "documents"), scratch_mark()
     for name, stage in STAGES[:-1]:
         docs = cut(stage(spark, docs, sf_dir), f"stage-{name}")
+        drop_scratch(mark, keep_last=1)
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -42,10 +42,17 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
-def drop_scratch() -> None:
-    """Delete the tables that cut() has written; call it when no result that reads them is still needed."""
-    while _written:
-        spark, path = _written.pop()
+def scratch_mark() -> int:
+    """The number of tables written so far, for drop_scratch."""
+    return len(_written)
+
+
+def drop_scratch(since: int = 0, keep_last: int = 0) -> None:
+    """Delete the tables that cut() has written since a mark, but for the last ones; call it when no
+    result that reads them is still needed. What is left goes when the driver ends."""
+    end = len(_written) - keep_last
+    gone, _written[since:end] = _written[since:end], []
+    for spark, path in gone:
         try:
             jvm = spark.sparkContext._jvm
             where = jvm.org.apache.hadoop.fs.Path(path)
