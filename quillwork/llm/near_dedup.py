@@ -1,11 +1,12 @@
 """Near-duplicate documents by ProbMinHash, banding and exact verification.
 
-Elements are the five-word shingles of a text, weighted by how often they occur. Each element is a
-Poisson process of arrivals with its weight as rate; every arrival goes to one of M registers, and
-a register keeps the element that arrives first. Two texts agree in a register with the
-probability Jaccard similarity of their weighted shingles. Arrivals are made in rounds for all
-elements at once, and an element stops as soon as its last arrival is later than every register's
-first: later ones cannot matter.
+Elements are the distinct five-word shingles of a text, all of weight 1 however often they occur, so
+that sketches and verification measure the same sets. Each element is a Poisson process of arrivals
+with its weight as rate; every arrival goes to one of M registers, and a register keeps the element
+that arrives first. Two texts agree in a register with the probability Jaccard similarity of their
+weighted shingles, which at equal weights is the Jaccard similarity. Arrivals are made in rounds for
+all elements at once, and an element stops as soon as its last arrival is later than every
+register's first: later ones cannot matter.
 
 Registers are banded. In every bucket each document is paired with the bucket's smallest document,
 never with all others, and a pair is a link if the exact Jaccard similarity of the shingle sets
@@ -150,11 +151,9 @@ def sketch(texts: DataFrame) -> DataFrame:
                 for text in texts[at:to]:
                     words = word_hashes(text)
                     digests.append(words_digest(words))
-                    sets.append(np.unique(shingle_hashes(words), return_counts=True))
-                n, sizes = to - at, [len(e) for e, _ in sets]
-                registers = sketches(
-                    np.concatenate([e for e, _ in sets]), np.concatenate([c for _, c in sets]).astype(np.float64), np.repeat(np.arange(n), sizes), n, m
-                )
+                    sets.append(np.unique(shingle_hashes(words)))
+                n, sizes = to - at, [len(e) for e in sets]
+                registers = sketches(np.concatenate(sets), np.ones(sum(sizes)), np.repeat(np.arange(n), sizes), n, m)
                 with np.errstate(over="ignore"):
                     band = np.broadcast_to(mix(np.arange(1, BANDS + 1, dtype=np.uint64)), (n, BANDS)).copy()
                     for r in range(ROWS):

@@ -72,3 +72,16 @@ def test_registers_estimate_probability_jaccard():
     # Scaling all weights of a text changes no register, nor does company in the batch.
     alone = nd.sketches(ea, a * 7.0, np.zeros(200, int), 1, m)
     assert (alone[0] == s[0]).all()
+
+
+def test_repeated_lines_do_not_part_near_copies(spark):
+    """A line repeated 10 to 100 times in one of two near copies: the shingle sets are alike all the same."""
+    docs = []
+    for i in range(24):
+        own, line = " ".join(f"d{i}w{k}" for k in range(100 + 50 * (i % 5))), " ".join(f"d{i}l{k}" for k in range(24))
+        docs += [(2 * i, f"{own}\n{line}"), (2 * i + 1, own + f"\n{line}" * (10, 30, 100)[i % 3])]
+    sets = [nd.shingle_set(t) for _, t in docs]
+    assert all(nd.jaccard(sets[i], sets[i + 1]) >= nd.THRESHOLD for i in range(0, len(docs), 2))
+    got = rows(nd.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string")))
+    assert_same(got, docs)
+    assert set(got.class_size) == {2}
