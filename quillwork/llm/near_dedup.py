@@ -8,11 +8,12 @@ weighted shingles, which at equal weights is the Jaccard similarity. Arrivals ar
 all elements at once, and an element stops as soon as its last arrival is later than every
 register's first: later ones cannot matter.
 
-Registers are banded. In every bucket each document is paired with the bucket's smallest document,
-never with all others, and a pair is a link if the exact Jaccard similarity of the shingle sets
-reaches the threshold. Documents of one bucket that are still in different classes after that are
-paired with 4, then 16, then 64 other members of the bucket, so that a text at the rim of a large
-class meets those of its members that it is like. Classes are the connected components of the links.
+Registers are banded. A pair is a link if the exact Jaccard similarity of the shingle sets reaches
+the threshold. First each document is compared with the smallest of those that lead its buckets.
+Classes that are still apart and share a bucket, directly or by way of others, then form groups, and
+within a group all documents of different classes are compared by a prefix filter, which loses no
+pair; large groups are split into blocks, and every block meets every other. So no two documents of
+a bucket end in different classes untested. Classes are the connected components of the links.
 
 Copies (equal word sequences) are one class from the start, and only their first document goes on:
 a group of copies costs one row per document. Everything is keyed by row number, not by doc_id.
@@ -35,8 +36,8 @@ from quillwork.llm._shared import cut, table, text_of
 WORDS = 5
 THRESHOLD = 0.8
 BANDS, ROWS = 32, 4
-#: Members of a bucket that a document not yet in their class is paired with, in each further round.
-SALTS = (4, 16, 64)
+#: Shingles of a block of texts that are compared with another block in one task.
+BLOCK = 4_000_000
 
 _WORD = re.compile(r"\w+")
 _MIX1, _MIX2, _GOLD = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
@@ -224,11 +225,102 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The distinct pairs whose ends are not yet in one component."""
+    """The distinct pairs of labels whose members are paired in a bucket and not yet in one component."""
     la = labels.select(F.col("node").alias("a"), F.col("label").alias("la"))
     lb = labels.select(F.col("node").alias("b"), F.col("label").alias("lb"))
-    kept = pairs.join(la, "a", "left").join(lb, "b", "left").where(F.coalesce("la", "a") != F.coalesce("lb", "b"))
-    return kept.select("a", "b").distinct()
+    both = pairs.join(la, "a", "left").join(lb, "b", "left").select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b"))
+    return both.where("a <> b").distinct()
+
+
+def crowded(pairs: DataFrame, nodes: DataFrame, labels: DataFrame, sets: DataFrame, block: int = BLOCK) -> DataFrame | None:
+    """The texts of the buckets that hold several classes, dealt to tasks in which all of them meet; None if there are none.
+
+    Classes that share a bucket, directly or by way of others, are a group. Two texts of different
+    classes cannot both be of the group's largest class, so only the others are probes. Probes and
+    members are split into blocks of about `block` shingles, and every block of probes goes with
+    every block of members; a group that fits in one block is one task, each text in it once."""
+    apart = cut(_apart(pairs, labels), "apart")
+    if apart.isEmpty():
+        return None
+    groups = components(apart).select(F.col("node").alias("label"), F.col("label").alias("grp"))
+    named = nodes.join(labels, "node", "left").select("node", F.coalesce("label", "node").alias("label"))
+    held = cut(named.join(groups, "label").join(sets.select("node", (F.length("shingles") / 8).cast("long").alias("size")), "node"), "held")
+    size = held.groupBy("grp", "label").agg(F.sum("size").alias("s"))
+    sizes = size.groupBy("grp").agg(F.sum("s").alias("all"), F.max("s").alias("most"), F.max_by("label", F.struct("s", "label")).alias("major"))
+    sizes = sizes.select("grp", "major", F.ceil(F.col("all") / block).alias("q"), F.greatest(F.lit(1), F.ceil((F.col("all") - F.col("most")) / block)).alias("p"))
+    probe, h = F.col("label") != F.col("major"), F.xxhash64("node")
+    task = lambda i, j, probes, listed: F.struct(i.cast("long").alias("i"), j.cast("long").alias("j"), probes.alias("probe"), listed.alias("listed"))
+    no, yes = F.lit(False), F.lit(True)
+    asking = F.when(probe, F.transform(F.sequence(F.lit(0).cast("long"), F.col("q") - 1), lambda j: task(F.pmod(h, F.col("p")), j, yes, no)))
+    listed = F.transform(F.sequence(F.lit(0).cast("long"), F.col("p") - 1), lambda i: task(i, F.pmod(h, F.col("q")), no, yes))
+    none = F.array().cast("array<struct<i:bigint,j:bigint,probe:boolean,listed:boolean>>")
+    tasks = F.when(F.col("q") == 1, F.array(task(F.lit(0), F.lit(0), probe, yes))).otherwise(F.concat(F.coalesce(asking, none), listed))
+    dealt = held.join(sizes, "grp").select("node", "label", "grp", F.explode(tasks).alias("x")).select("node", "label", "grp", "x.*")
+    full = dealt.join(sets, "node").select("grp", "i", "j", "node", "label", "probe", "listed", "shingles")
+    return full.repartition("grp", "i", "j").sortWithinPartitions("grp", "i", "j")
+
+
+def _across(batches: Iterator[pd.DataFrame], threshold: float) -> Iterator[pd.DataFrame]:
+    """Links (a, b) between the classes of each task; the rows of a task stand together."""
+    key, held = None, []
+    found: list[tuple[int, int]] = []
+    for batch in batches:
+        for grp, i, j, *row in zip(*(batch[c].tolist() for c in ("grp", "i", "j", "node", "label", "probe", "listed", "shingles")), strict=True):
+            if (grp, i, j) != key:
+                if held:
+                    found += cross_links(held, threshold)
+                key, held = (grp, i, j), []
+            held.append(row)
+        yield pd.DataFrame(found, columns=["a", "b"], dtype="int64")
+        found = []
+    if held:
+        yield pd.DataFrame(cross_links(held, threshold), columns=["a", "b"], dtype="int64")
+
+
+def cross_links(held: list, threshold: float) -> list[tuple[int, int]]:
+    """Links between classes, found without loss: of every two classes of which a probe and a listed
+    text reach the threshold, one such pair, unless links found before have joined them.
+
+    held: node, label, probe, listed, shingles. Shingles are ranked by how many texts hold them. Two sets
+    of n and m shingles that reach t share at least t max(n, m) of them, hence one of the first
+    n - t n + 1 and m - t m + 1 of the rarest; texts are looked up by those alone, then compared in full."""
+    sets = [np.frombuffer(r[4], np.uint64) for r in held]
+    sizes = np.fromiter(map(len, sets), np.int64, len(sets))
+    ends = np.cumsum(sizes)
+    begins = ends - sizes
+    _, ids, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    rank = np.empty(len(counts), np.int64)
+    rank[np.argsort(counts, kind="stable")] = np.arange(len(counts))
+    ids = rank[ids]
+    heads = sizes - np.ceil(threshold * sizes - 1e-9).astype(np.int64) + 1
+    rare = [np.sort(ids[b:e])[:h] for b, e, h in zip(begins, ends, heads, strict=True)]
+    label = np.array([r[1] for r in held], np.int64)
+    listed = [k for k, r in enumerate(held) if r[3]]
+    owner = np.repeat(np.array(listed, np.int64), heads[listed])
+    element = np.concatenate([rare[k] for k in listed]) if listed else owner
+    order = np.argsort(element, kind="stable")
+    owner = owner[order]
+    at = np.concatenate(([0], np.cumsum(np.bincount(element, minlength=len(counts)))))
+    mark = np.zeros(len(counts), bool)
+    out = []
+    for k in (k for k, r in enumerate(held) if r[2]):
+        spans = [owner[at[x] : at[x + 1]] for x in rare[k].tolist() if at[x] < at[x + 1]]
+        if not spans:
+            continue
+        near = np.unique(np.concatenate(spans))
+        fits = np.minimum(sizes[near], sizes[k]) >= threshold * np.maximum(sizes[near], sizes[k]) - 1e-9
+        near = near[fits & (label[near] != label[k])]
+        mark[ids[begins[k] : ends[k]]] = True
+        while len(near):
+            part, near = near[:256], near[256:]
+            both = np.add.reduceat(mark[np.concatenate([ids[begins[d] : ends[d]] for d in part.tolist()])].astype(np.int64), np.cumsum(sizes[part]) - sizes[part])
+            for d in part[both / (sizes[part] + sizes[k] - both) >= threshold].tolist():
+                if label[d] != label[k]:
+                    out.append((held[k][0], held[d][0]))
+                    label[label == label[d]] = label[k]
+            near = near[label[near] != label[k]]
+        mark[ids[begins[k] : ends[k]]] = False
+    return out
 
 
 def classes(rows: DataFrame, texts: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -240,32 +332,14 @@ def classes(rows: DataFrame, texts: DataFrame, threshold: float = THRESHOLD) ->
     sets = cut(shingle_sets(texts, rows.join(nodes, "node")), "sets")
     pairs = cut(members.where("a <> b").select("a", "b").distinct(), "pairs")
 
-    # First the smallest partner of each text, then whatever that leaves apart.
-    first = pairs.groupBy("a").agg(F.min("b").alias("b"))
-    links = cut(verified(first, sets, threshold), "found")
+    # First the smallest partner of each text, then all that this leaves apart.
+    links = cut(verified(pairs.groupBy("a").agg(F.min("b").alias("b")), sets, threshold), "found")
     labels = components(links)
-    tested = first.unionByName(pairs)
-    rest = cut(_apart(pairs.join(first, ["a", "b"], "left_anti"), labels), "rest")
-    for salts in (*SALTS, 0):
-        if not rest.isEmpty():
-            found = cut(verified(rest, sets, threshold), "found")
-            if not found.isEmpty():
-                links = links.unionByName(found)
-                labels = components(links)
-        if not salts:
-            break
-        # Buckets that hold more than one class: pair every member with others of other classes, drawn by hash.
-        held = members.join(labels.withColumnRenamed("node", "a"), "a", "left").select("band", "a", F.coalesce("label", "a").alias("label"))
-        mixed = held.groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("band")
-        drawn = cut(held.join(mixed, "band").withColumn("h", F.xxhash64("a", F.lit(salts))), "mixed")
-        if drawn.isEmpty():
-            break
-        others = drawn.groupBy("band", F.pmod("h", F.lit(salts)).alias("salt")).agg(F.min(F.struct("h", "a", "label")).alias("o"))
-        more = drawn.join(others.select("band", F.col("o.a").alias("b"), F.col("o.label").alias("ol")), "band").where("label <> ol")
-        more = more.select(F.least("a", "b").alias("b"), F.greatest("a", "b").alias("a")).distinct()
-        rest = cut(more.join(tested, ["a", "b"], "left_anti"), "rest")
-        tested = tested.unionByName(rest.select("a", "b"))
-    return labels
+    tasks = crowded(pairs, members.select(F.col("a").alias("node")).distinct(), labels, sets)
+    if tasks is None:
+        return labels
+    found = cut(tasks.mapInPandas(lambda batches: _across(batches, threshold), "a bigint, b bigint"), "found")
+    return labels if found.isEmpty() else components(links.unionByName(found))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:

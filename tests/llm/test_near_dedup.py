@@ -85,3 +85,33 @@ def test_repeated_lines_do_not_part_near_copies(spark):
     got = rows(nd.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string")))
     assert_same(got, docs)
     assert set(got.class_size) == {2}
+
+
+def crowd(n: int, pairs: int) -> list[tuple]:
+    """n texts that differ from one passage by little and are just too unlike to be links, and pairs of links among
+    them that share two shingles more: nearly all buckets of a pair are those of the crowd."""
+    passage = " ".join(f"p{k}" for k in range(160))
+    own = [[f"d{i}w{k}" for k in range(20)] for i in range(n)]
+    for i in range(pairs):
+        own[n - 1 - i][:2] = own[n // 3 + i][:2]
+    return [(i, f"{passage} {' '.join(w)}") for i, w in enumerate(own)]
+
+
+def test_pairs_in_crowded_buckets(spark):
+    """Similar texts meet in buckets of a thousand others, though neither is a bucket's first."""
+    docs = crowd(1200, 60)
+    got = rows(nd.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string")))
+    assert_same(got, docs)
+    assert (got.class_size == 2).sum() == 120
+
+
+def test_blocks_of_a_group_all_meet(spark):
+    docs = crowd(90, 20)
+    sets = spark.createDataFrame([(i, bytearray(nd.shingle_set(t).tobytes())) for i, t in docs], "node long, shingles binary")
+    pairs = spark.createDataFrame([(i, 0) for i in range(1, 90)], "a long, b long")
+    labels = spark.createDataFrame([(i, i // 2 * 2) for i in range(10)], "node long, label long")
+    for block in (1500, 10**6):
+        tasks = nd.crowded(pairs, sets.select("node"), labels, sets, block)
+        assert (tasks.select("i", "j").distinct().count() > 20) == (block == 1500)
+        links = rows(tasks.mapInPandas(lambda b: nd._across(b, 0.8), "a long, b long"))
+        assert {(min(x), max(x)) for x in links.itertuples(index=False)} == {(30 + i, 89 - i) for i in range(20)}
