@@ -41,9 +41,10 @@ def _keep(docs: DataFrame, decisions: DataFrame, once: bool) -> DataFrame:
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops the documents that the quality rules reject. A row's host is part of its verdict, so one
+    """Drops the documents that the quality rules reject and takes the boilerplate lines out of the rest. A row's host is part of its verdict, so one
     text under two hosts and one id stays if either host keeps it."""
-    return _keep(docs, quality_rules.quality(docs).withColumnRenamed("sig", "text_key"), once=False)
+    verdicts = cut(quality_rules.quality(docs), "verdicts")
+    return quality_rules.cleaned(_keep(docs, verdicts.withColumnRenamed("sig", "text_key"), once=False), verdicts)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -23,6 +23,10 @@ MIN_SHARE = 10
 KEEP_TENTHS = 3
 
 
+def _normal(line: Column) -> Column:
+    return F.lower(F.trim(F.regexp_replace(line, f"[{SPACE}]+", " ")))
+
+
 def measures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
     """row_id, doc_id, host, sig, the base measures and lines (array of hash and word count), written once.
 
@@ -62,7 +66,6 @@ def measures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ho
         ),
     )
     lines = starts.withColumn("l", F.filter(F.split("t", "\n"), lambda x: x.rlike(f"[^{SPACE}]")))
-    clean = lambda x: F.lower(F.trim(F.regexp_replace(x, f"[{SPACE}]+", " ")))
     return cut(
         row_ids(
             lines,
@@ -79,7 +82,7 @@ def measures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ho
                 lambda a, b: a + b,
             ).alias("n_repeat_words"),
             F.transform(
-                F.transform("l", clean), lambda x: F.struct(F.xxhash64(x).alias("line"), F.size(F.split(x, " ")).alias("words"))
+                F.transform("l", _normal), lambda x: F.struct(F.xxhash64(x).alias("line"), F.size(F.split(x, " ")).alias("words"))
             ).alias("lines"),
         ),
         "measures",
@@ -108,7 +111,8 @@ def quality(
     min_docs: int = MIN_DOCS,
     min_share: int = MIN_SHARE,
 ) -> DataFrame:
-    """One row per row of docs: row_id, doc_id, the measures, base_failed, removed_words, kept.
+    """One row per row of docs: row_id, doc_id, the measures, base_failed, removed_words, kept;
+    host and removed_lines (hashes of its lines above the limits, null if none) are for cleaned().
 
     Null texts count as empty, so they fail the base rules; a null host is the host ''. Repeated
     rows get a row each. An empty table gives an empty result; other columns are never read."""
@@ -118,7 +122,7 @@ def quality(
         .select("row_id", "host", F.col("x.line").alias("line"), F.col("x.words").alias("words"))
         .join(boilerplate(rows, min_docs, min_share), ["host", "line"])
         .groupBy("row_id")
-        .agg(F.sum("words").alias("removed"))
+        .agg(F.sum("words").alias("removed"), F.collect_set("line").alias("removed_lines"))
     )
     failed = (F.col("n_words") < MIN_WORDS) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 50)
     depleted = (F.col("n_words") - F.col("removed_words")) * 10 < F.col("n_words") * KEEP_TENTHS
@@ -127,13 +131,34 @@ def quality(
         .withColumn("removed_words", F.coalesce("removed", F.lit(0)).cast("long"))
         .select(
             "row_id", "doc_id", "sig", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
-            failed.alias("base_failed"), "removed_words", (~failed & ~depleted).alias("kept"),
+            failed.alias("base_failed"), "removed_words", (~failed & ~depleted).alias("kept"), "host", "removed_lines",
         )
     )
 
 
+def cleaned(docs: DataFrame, verdicts: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
+    """docs with the lines above the limits taken out of their texts; verdicts: the result of quality().
+
+    Other lines and their breaks stay as they are, as do texts without such lines; n_chars follows
+    the text if there is one. Names beginning with _quill_ are reserved."""
+    lines = verdicts.where("removed_lines is not null").select(
+        F.col("doc_id").alias("_quill_id"), F.col("sig").alias("_quill_sig"), F.col("host").alias("_quill_host"), F.col("removed_lines").alias("_quill_lines")
+    )
+    same = F.col(id_col).eqNullSafe(F.col("_quill_id")) & (F.xxhash64(text_of(text_col)) == F.col("_quill_sig"))
+    both = docs.join(
+        lines.dropDuplicates(["_quill_id", "_quill_sig", "_quill_host"]), same & (F.coalesce(F.col(host_col), F.lit("")) == F.col("_quill_host")), "left"
+    )
+    rest = F.filter(F.split(text_col, "\n"), lambda x: ~F.array_contains("_quill_lines", F.xxhash64(_normal(x))))
+    touched = F.col("_quill_lines").isNotNull()
+    out = both.withColumn(text_col, F.when(touched, F.array_join(rest, "\n")).otherwise(F.col(text_col)))
+    if "n_chars" in docs.columns:
+        kind = docs.schema["n_chars"].dataType
+        out = out.withColumn("n_chars", F.when(touched, F.char_length(text_col).cast(kind)).otherwise(F.col("n_chars")))
+    return out.select(*docs.columns)
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality(table(spark, sf_dir, "documents")).drop("row_id", "sig")
+    return quality(table(spark, sf_dir, "documents")).drop("row_id", "sig", "host", "removed_lines")
 
 
 SQL = rf"""

@@ -63,3 +63,17 @@ def test_depleted_documents_go_and_copies_do_not_count(spark):
     assert plain(got) == brute(docs)
     kept = set(got[got.kept].doc_id)
     assert kept == set(range(100, 130)) | set(range(200, 240))
+
+
+def test_boilerplate_lines_leave_the_pipeline_texts(spark):
+    """Kept documents lose the lines above the limits, under the hosts that have them only; n_chars follows."""
+    import corpus_pipeline as cp
+
+    banner = "Accept  all cookies to read on"
+    docs = [(i, f"{banner}\n{prose(i, 60)}\n\n{banner.upper()} \n{prose(i + 50, 30)}", "h", 7) for i in range(25)]
+    docs += [(None, docs[0][1], "h", 7), (0, docs[0][1], "other", 7), (99, prose(99, 60), "h", 7)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, source string, n_chars long")
+    got = sorted(map(tuple, cp.quality(spark, df, "").collect()), key=repr)
+    own = {i: f"{prose(i, 60)}\n\n{prose(i + 50, 30)}" for i in range(25)}
+    expected = [(i, own[i or 0], h, len(own[i or 0])) if h == "h" and i != 99 else (i, t, h, n) for i, t, h, n in docs]
+    assert got == sorted(expected, key=repr)
