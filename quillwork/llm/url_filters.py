@@ -1,10 +1,17 @@
 """URL filters: fixed host/path rules, then a path-template tree judged by labelled purity.
 
-The pages that a rule decides are the labels of the tree. Per host, path segments are generalised
-(digit runs become #, a level with more than WIDE children becomes *), sibling branches whose
-labelled block rates do not differ by a two-proportion test are merged into *, and a template is
-rejected when its block rate, smoothed towards its host's, reaches PURITY. Unlabelled branches are
-never merged and never rejected: nothing is known of them.
+The pages that a rule decides are the labels of the tree. Per host, path segments are generalised:
+digit runs become #, a level with more than WIDE children becomes *, and sibling branches that do
+not differ statistically are merged into *. Two things are compared by two-proportion tests, each
+branch against all its siblings: how many of its pages have the shape in question below it, and its
+labelled block rate, where both sides have LEAST labels. A branch with too few labels is merged by
+what lies below it alone; a leaf without labels has nothing to compare and stays. The first three
+segments are a level each; all that follow are the fourth.
+
+A template is rejected when its block rate reaches PURITY. The rate is smoothed towards the rate of
+the rest of its branch (pages with the same first segment), that towards the rest of its host, and
+that towards the rate of all labels, but no higher than one half: without labels of its own, a
+template inherits from its branch and host, and a host without labels is never rejected.
 
 Only DataFrame functions run here. Pages are combined into templates before any shuffle, so a
 host with a third of all pages is as many rows as it has templates.
@@ -25,15 +32,16 @@ RULES = (
     ("block", "example.net/de/8"),
     ("block", "org/es/"),
 )
-LEVELS = 3
+#: Single segments of a template; whatever follows them is one more level.
+SINGLE = 3
 WIDE = 32
 LEAST = 5
 Z2 = 3.84
-PRIOR = 10
+PRIOR = 5
 PURITY = 0.8
 
-_G = [f"g{i}" for i in range(LEVELS)]
-_T = [f"t{i}" for i in range(LEVELS)]
+_G = [f"g{i}" for i in range(SINGLE + 1)]
+_T = [f"t{i}" for i in range(SINGLE + 1)]
 
 
 def host_of(url: Column) -> Column:
@@ -61,11 +69,35 @@ def rule_of(host: Column, path: Column, rules: tuple = RULES) -> Column:
     return found
 
 
+def _like(a: Column, of_a: Column, b: Column, of_b: Column) -> Column:
+    """Whether the shares a/of_a and b/of_b do not differ by a two-proportion test; of_a and of_b are at least 1."""
+    p = (a + b) / (of_a + of_b)
+    gap = a / of_a - b / of_b
+    return gap * gap <= F.lit(Z2) * p * (1 - p) * (1 / of_a + 1 / of_b)
+
+
+def merged(tree: DataFrame, level: int) -> DataFrame:
+    """The tree with like sibling branches of a level as *."""
+    g, parent, below = _G[level], ["host", *_G[:level]], _G[level + 1 :]
+    leaf = tree.where(F.col(g) != "").groupBy(*parent, g, *below).agg(F.sum("n").alias("n"), F.sum("b").alias("b"), F.sum("m").alias("m"))
+    branch = leaf.groupBy(*parent, g).agg(F.sum("n").alias("bn"))
+    family = branch.groupBy(*parent).agg(F.sum("bn").alias("fn"))
+    around = leaf.groupBy(*parent, *below).agg(F.sum("n").alias("an"), F.sum("b").alias("ab"), F.sum("m").alias("am"))
+    all_of = leaf.join(branch, [*parent, g]).join(family, parent).join(around, [*parent, *below])
+    c = F.col
+    shaped = (c("bn") >= LEAST) & (c("fn") - c("bn") >= LEAST) & _like(c("n"), c("bn"), c("an") - c("n"), F.greatest(c("fn") - c("bn"), F.lit(1)))
+    known = (c("m") >= LEAST) & (c("am") - c("m") >= LEAST)
+    rated = _like(c("b"), F.greatest(c("m"), F.lit(1)), c("ab") - c("b"), F.greatest(c("am") - c("m"), F.lit(1)))
+    inner = F.lit(False) if not below else c(below[0]) != ""
+    alike = all_of.where(shaped & F.when(known, rated).otherwise(inner)).select(*parent, g, *below, F.lit(True).alias("alike"))
+    return tree.join(alike, [*parent, g, *below], "left").withColumn(g, F.when(F.col("alike"), "*").otherwise(F.col(g))).drop("alike")
+
+
 def templates(pages: DataFrame) -> DataFrame:
-    """One row per host and lexical path shape with its current template g*, pages n and labels b of m.
+    """One row per host and lexical path shape t* with its template g*, pages n and labels b of m.
 
-    Every level reads the tree twice, so each is written once; a tree has as many rows as shapes."""
-    shapes = pages.groupBy("host", *_T, "tail").agg(
+    Every level reads the tree several times, so each is written once; a tree has as many rows as shapes."""
+    shapes = pages.groupBy("host", *_T).agg(
         F.count(F.lit(1)).alias("n"),
         F.count_if(F.col("label") == "block").alias("b"),
         F.count("label").alias("m"),
@@ -79,25 +111,32 @@ def templates(pages: DataFrame) -> DataFrame:
             .select(*parent, F.lit(True).alias("wide"))
         )
         tree = cut(tree.join(wide, parent, "left").withColumn(g, F.when(F.col("wide") & (F.col(g) != ""), "*").otherwise(F.col(g))).drop("wide"), "tree")
-    for g in reversed(_G):
-        around = ["host", *[x for x in _G if x != g], "tail"]
-        leaf = tree.where(F.col(g) != "").groupBy(*around, g).agg(F.sum("b").alias("cb"), F.sum("m").alias("cm")).where(F.col("cm") >= LEAST)
-        family = leaf.groupBy(*around).agg(F.sum("cb").alias("fb"), F.sum("cm").alias("fm"))
-        rb, rm = F.col("fb") - F.col("cb"), F.col("fm") - F.col("cm")
-        p = F.col("fb") / F.col("fm")
-        gap = F.col("cb") / F.col("cm") - rb / F.greatest(rm, F.lit(1))
-        alike = (rm >= LEAST) & (gap * gap <= F.lit(Z2) * p * (1 - p) * (1 / F.col("cm") + 1 / F.greatest(rm, F.lit(1))))
-        merged = leaf.join(family, around).where(alike).select(*around, g, F.lit(True).alias("alike"))
-        tree = cut(tree.join(merged, [*around, g], "left").withColumn(g, F.when(F.col("alike"), "*").otherwise(F.col(g))).drop("alike"), "tree")
+    for level in range(len(_G)):
+        tree = cut(merged(tree, level), "tree")
     return tree
 
 
+def purities(tree: DataFrame) -> DataFrame:
+    """host, g* and the smoothed block rate of every template."""
+    found = cut(tree.groupBy("host", *_G).agg(F.sum("b").alias("b"), F.sum("m").alias("m")), "templates")
+    branches = found.groupBy("host", "g0").agg(F.sum("b").alias("bb"), F.sum("m").alias("bm"))
+    hosts = found.groupBy("host").agg(F.sum("b").alias("hb"), F.sum("m").alias("hm"))
+    totals = hosts.agg(F.coalesce(F.sum("hb"), F.lit(0)).alias("b"), F.coalesce(F.sum("hm"), F.lit(0)).alias("m")).first()
+    root = min(0.5, (totals.b + PRIOR * 0.5) / (totals.m + PRIOR))
+    c = F.col
+    host = (c("hb") - c("bb") + PRIOR * F.lit(root)) / (c("hm") - c("bm") + PRIOR)
+    branch = (c("bb") - c("b") + PRIOR * host) / (c("bm") - c("m") + PRIOR)
+    purity = (c("b") + PRIOR * branch) / (c("m") + PRIOR)
+    return found.join(branches, ["host", "g0"]).join(hosts, "host").select("host", *_G, purity.alias("purity"))
+
+
 def judge(pages: DataFrame, url_col: str = "url", id_col: str = "page_id", rules: tuple = RULES) -> DataFrame:
-    """One row per row of pages: page_id, host, path, rule, template, verdict.
+    """One row per row of pages: page_id, host, path, rule, template, purity, verdict.
 
     A null url, or one without ://, has an empty host and path, fits no rule, and is judged as the
-    template of the empty host. Repeated rows get a row each; an empty table gives an empty result;
-    other columns are never read."""
+    template of the empty host. Urls of any length and depth are read whole. Null ids stay null and
+    repeated rows get a row each, and count as often in their template; an empty table gives an empty
+    result; other columns are never read."""
     parts = pages.select(F.col(id_col).alias("page_id"), host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path"))
     verdicts = F.create_map(*[F.lit(x) for v, r in rules for x in (r, v)])
     segments = parts.withColumn("rule", rule_of(F.col("host"), F.col("path"), rules)).withColumn(
@@ -105,22 +144,14 @@ def judge(pages: DataFrame, url_col: str = "url", id_col: str = "page_id", rules
     )
     shaped = segments.select(
         "page_id", "host", "path", "rule", verdicts[F.col("rule")].alias("label"),
-        *[F.coalesce(F.get("s", F.lit(i)), F.lit("")).alias(t) for i, t in enumerate(_T)],
-        F.array_join(F.slice("s", LEVELS + 1, F.greatest(F.size("s") - LEVELS, F.lit(0))), "/").alias("tail"),
+        *[F.coalesce(F.get("s", F.lit(i)), F.lit("")).alias(t) for i, t in enumerate(_T[:-1])],
+        F.array_join(F.slice("s", SINGLE + 1, F.greatest(F.size("s") - SINGLE, F.lit(0))), "/").alias(_T[-1]),
     )
     tree = templates(shaped)
-    hosts = tree.groupBy("host").agg(F.sum("b").alias("hb"), F.sum("m").alias("hm"))
-    purity = (F.col("tb") + PRIOR * (F.col("hb") + PRIOR * 0.5) / (F.col("hm") + PRIOR)) / (F.col("tm") + PRIOR)
-    judged = (
-        tree.groupBy("host", *_G, "tail")
-        .agg(F.sum("b").alias("tb"), F.sum("m").alias("tm"))
-        .join(hosts, "host")
-        .select("host", *_G, "tail", ((F.col("tm") >= LEAST) & (purity >= PURITY)).alias("reject"))
-    )
-    named = tree.join(judged, ["host", *_G, "tail"]).select("host", *_T, "tail", F.concat_ws("/", *_G, "tail").alias("template"), "reject")
-    return shaped.join(named, ["host", *_T, "tail"]).select(
-        "page_id", "host", "path", "rule", "template",
-        F.coalesce("label", F.when(F.col("reject"), "block").otherwise("allow")).alias("verdict"),
+    named = tree.join(purities(tree), ["host", *_G]).select("host", *_T, F.concat_ws("/", *_G).alias("template"), "purity")
+    return shaped.join(named, ["host", *_T]).select(
+        "page_id", "host", "path", "rule", "template", F.round("purity", 9).alias("purity"),
+        F.coalesce("label", F.when(F.col("purity") >= PURITY, "block").otherwise("allow")).alias("verdict"),
     )
 
 
@@ -137,49 +168,57 @@ def _sql() -> str:
     blocks = ", ".join(f"'{r}'" for v, r in RULES if v == "block")
     at, keys = "tree0", ", ".join(_T)
     steps = []
+    like = lambda a, of_a, b, of_b: (
+        f"power({a} / {of_a} - {b} / {of_b}, 2) <= {Z2}::DOUBLE * (({a} + {b}) / ({of_a} + {of_b})) * (1 - ({a} + {b}) / ({of_a} + {of_b})) * (1 / {of_a} + 1 / {of_b})"
+    )
     for level, g in enumerate(_G):
         parent = ", ".join(["host", *_G[:level]])
         rest = ", ".join(x for x in _G if x != g)
         steps.append(
             f"w{level} AS (SELECT {parent} FROM {at} WHERE {g} <> '' GROUP BY {parent} HAVING count(DISTINCT {g}) > {WIDE}),\n"
-            f"tree{level + 1} AS (SELECT host, {keys}, tail, n, b, m, {rest}, CASE WHEN {g} <> '' AND ({parent}) IN (SELECT ({parent}) FROM w{level}) THEN '*' ELSE {g} END AS {g} FROM {at})"
+            f"tree{level + 1} AS (SELECT host, {keys}, n, b, m, {rest}, CASE WHEN {g} <> '' AND ({parent}) IN (SELECT ({parent}) FROM w{level}) THEN '*' ELSE {g} END AS {g} FROM {at})"
         )
         at = f"tree{level + 1}"
-    for g in reversed(_G):
+    for level, g in enumerate(_G):
         rest = ", ".join(x for x in _G if x != g)
-        around = f"host, {rest}, tail"
+        parent, around = ", ".join(["host", *_G[:level]]), f"host, {rest}"
+        inner = "false" if level == SINGLE else f"{_G[level + 1]} <> ''"
+        rated = like("b", "greatest(m, 1)", "(ab - b)", "greatest(am - m, 1)")
         steps.append(
-            f"leaf_{g} AS (SELECT {around}, {g}, sum(b) AS cb, sum(m) AS cm FROM {at} WHERE {g} <> '' GROUP BY ALL HAVING sum(m) >= {LEAST}),\n"
-            f"fam_{g} AS (SELECT *, sum(cb) OVER (PARTITION BY {around}) AS fb, sum(cm) OVER (PARTITION BY {around}) AS fm FROM leaf_{g}),\n"
-            f"like_{g} AS (SELECT {around}, {g}, true AS alike FROM fam_{g} WHERE fm - cm >= {LEAST} AND"
-            f" power(cb / cm - (fb - cb) / greatest(fm - cm, 1), 2) <= {Z2} * (fb / fm) * (1 - fb / fm) * (1 / cm + 1 / greatest(fm - cm, 1))),\n"
-            f"m_{g} AS (SELECT host, {keys}, tail, n, b, m, {rest}, CASE WHEN alike THEN '*' ELSE {g} END AS {g} FROM {at} LEFT JOIN like_{g} USING ({around}, {g}))"
+            f"leaf_{g} AS (SELECT {around}, {g}, sum(n) AS n, sum(b) AS b, sum(m) AS m FROM {at} WHERE {g} <> '' GROUP BY ALL),\n"
+            f"fam_{g} AS (SELECT *, sum(n) OVER (PARTITION BY {parent}, {g}) AS bn, sum(n) OVER (PARTITION BY {parent}) AS fn, sum(n) OVER w AS an, sum(b) OVER w AS ab, sum(m) OVER w AS am"
+            f" FROM leaf_{g} WINDOW w AS (PARTITION BY {around})),\n"
+            f"like_{g} AS (SELECT {around}, {g}, true AS alike FROM fam_{g} WHERE bn >= {LEAST} AND fn - bn >= {LEAST} AND {like('n', 'bn', '(an - n)', 'greatest(fn - bn, 1)')}\n"
+            f"  AND CASE WHEN m >= {LEAST} AND am - m >= {LEAST} THEN {rated} ELSE {inner} END),\n"
+            f"m_{g} AS (SELECT host, {keys}, n, b, m, {rest}, CASE WHEN alike THEN '*' ELSE {g} END AS {g} FROM {at} LEFT JOIN like_{g} USING ({around}, {g}))"
         )
         at = f"m_{g}"
     gs = ", ".join(_G)
     return rf"""
 WITH p0 AS (
   SELECT page_id, CASE WHEN contains(coalesce(url, ''), '://') THEN substr(url, instr(url, '://') + 3) ELSE '' END AS r FROM pages),
-p1 AS (SELECT page_id, lower(regexp_extract(r, '^[^/?#]*', 0)) AS host, regexp_extract(r, '^[^/?#]*([^?#]*)', 1) AS path FROM p0),
+p1 AS (SELECT page_id, translate(regexp_extract(r, '^[^/?#]*', 0), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(r, '^[^/?#]*([^?#]*)', 1) AS path FROM p0),
 p2 AS (
   SELECT *, CASE
 {rules} END AS rule,
          list_filter(string_split(regexp_replace(path, '[0-9]+', '#', 'g'), '/'), lambda x: x <> '') AS s FROM p1),
 p AS (
   SELECT page_id, host, path, rule, CASE WHEN rule IN ({blocks}) THEN 'block' WHEN rule IS NOT NULL THEN 'allow' END AS label,
-         {", ".join(f"coalesce(s[{i + 1}], '') AS {t}" for i, t in enumerate(_T))}, array_to_string(s[{LEVELS + 1}:], '/') AS tail FROM p2),
+         {", ".join(f"coalesce(s[{i + 1}], '') AS {t}" for i, t in enumerate(_T[:-1]))}, array_to_string(s[{SINGLE + 1}:], '/') AS {_T[-1]} FROM p2),
 tree0 AS (
-  SELECT host, {keys}, tail, count(*) AS n, count(*) FILTER (label = 'block') AS b, count(label) AS m,
-         {", ".join(f"{t} AS {g}" for t, g in zip(_T, _G, strict=True))} FROM p GROUP BY host, {keys}, tail),
+  SELECT host, {keys}, count(*) AS n, count(*) FILTER (label = 'block') AS b, count(label) AS m,
+         {", ".join(f"{t} AS {g}" for t, g in zip(_T, _G, strict=True))} FROM p GROUP BY host, {keys}),
 {(", " + chr(10)).join(steps)},
-hosts AS (SELECT host, sum(b) AS hb, sum(m) AS hm FROM {at} GROUP BY host),
+found AS (SELECT host, {gs}, sum(b) AS b, sum(m) AS m FROM {at} GROUP BY ALL),
+root AS (SELECT least(0.5::DOUBLE, (coalesce(sum(b), 0) + {PRIOR} * 0.5::DOUBLE) / (coalesce(sum(m), 0) + {PRIOR})) AS root FROM found),
+summed AS (
+  SELECT *, sum(b) OVER (PARTITION BY host, g0) AS bb, sum(m) OVER (PARTITION BY host, g0) AS bm, sum(b) OVER (PARTITION BY host) AS hb, sum(m) OVER (PARTITION BY host) AS hm FROM found),
 judged AS (
-  SELECT host, {gs}, tail, tm >= {LEAST} AND (tb + {PRIOR} * (hb + {PRIOR} * 0.5::DOUBLE) / (hm + {PRIOR})) / (tm + {PRIOR}) >= {PURITY}::DOUBLE AS reject
-  FROM (SELECT host, {gs}, tail, sum(b) AS tb, sum(m) AS tm FROM {at} GROUP BY ALL) JOIN hosts USING (host)),
+  SELECT host, {gs}, (b + {PRIOR} * ((bb - b + {PRIOR} * ((hb - bb + {PRIOR} * root) / (hm - bm + {PRIOR}))) / (bm - m + {PRIOR}))) / (m + {PRIOR}) AS purity FROM summed, root),
 named AS (
-  SELECT host, {keys}, tail, concat_ws('/', {gs}, tail) AS template, reject FROM {at} JOIN judged USING (host, {gs}, tail))
-SELECT page_id, host, path, rule, template, coalesce(label, CASE WHEN reject THEN 'block' ELSE 'allow' END) AS verdict
-FROM p JOIN named USING (host, {keys}, tail)
+  SELECT host, {keys}, concat_ws('/', {gs}) AS template, purity FROM {at} JOIN judged USING (host, {gs}))
+SELECT page_id, host, path, rule, template, round(purity, 9) AS purity, coalesce(label, CASE WHEN purity >= {PURITY}::DOUBLE THEN 'block' ELSE 'allow' END) AS verdict
+FROM p JOIN named USING (host, {keys})
 """
 
 

@@ -42,14 +42,47 @@ def test_parts_and_rules(spark):
 
 
 def test_templates_learn_from_rules(spark):
-    urls = [f"http://spam.com/en/{i}" for i in range(40)] + [f"http://spam.com/eng/{i}" for i in range(5)] + [f"http://spam.com/fr/{i}" for i in range(9)]
+    """Unruled pages are blocked where like branches are, and allowed elsewhere."""
+    urls = [f"http://spam.com/en/{i}" for i in range(40)] + [f"http://spam.com/fr/{i}" for i in range(9)]
     urls += [f"http://wide.com/{'abcdefghij'[i % 10]}{'klmnopqrst'[i // 10]}x/y" for i in range(60)]
+    urls += [f"http://fine.net/de/{i}" for i in range(1, 30)] + [f"http://fine.net/fr/{i}" for i in range(9)]
+    urls += [f"http://two.com/en/{i}" for i in range(60)] + [f"http://two.com/shop/item/{i}/buy" for i in range(20)] + ["http://two.com/about"]
     _, got = run(spark, urls)
-    template = dict(zip(urls, got.template, strict=True))
-    assert template["http://spam.com/en/3"] == "en/#//"
-    assert template["http://wide.com/akx/y"] == "*/y//"
-    verdict = dict(zip(urls, got.verdict, strict=True))
-    assert verdict["http://spam.com/en/3"] == "block" and verdict["http://spam.com/fr/3"] == "allow"
+    template, verdict = dict(zip(urls, got.template, strict=True)), dict(zip(urls, got.verdict, strict=True))
+    assert template["http://spam.com/en/3"] == template["http://spam.com/fr/3"] == "*/#//"
+    assert template["http://wide.com/akx/y"] == "*/y//" and verdict["http://wide.com/akx/y"] == "allow"
+    assert verdict["http://spam.com/en/3"] == verdict["http://spam.com/fr/3"] == "block"
+    assert verdict["http://fine.net/fr/3"] == "allow" and template["http://fine.net/fr/3"] == "*/#//"
+    assert template["http://two.com/shop/item/3/buy"] == "shop/item/#/buy" and verdict["http://two.com/about"] == "block"  # inherited
+
+
+def test_deep_paths_are_generalised(spark):
+    urls = [f"http://deep.org/a/b/c/{x}{y}/{y}{x}/{x}" for x in "klmnopqr" for y in "stuvwx"]
+    _, got = run(spark, urls)
+    assert set(got.template) == {"a/b/c/*"} and set(got.verdict) == {"allow"}
+
+
+def test_branches_of_unlike_rates_stay_apart(spark):
+    rules = (("block", "h.com/bad/"), ("allow", "h.com/good/"))
+    from pyspark.sql import functions as F
+
+    urls = [f"http://h.com/{k}/{i}" for k in ("bad", "good", "new") for i in range(40)]
+    df = spark.createDataFrame([(i, u) for i, u in enumerate(urls)], "page_id long, url string")
+    got = {r.host + "/" + r.template: r.verdict for r in uf.judge(df, rules=rules).select("host", "template", "verdict").distinct().orderBy(F.desc("verdict")).collect()}
+    assert got["h.com/bad/#//"] == "block" and got["h.com/good/#//"] == "allow"
+
+
+def test_null_ids_and_repeated_rows(spark):
+    df = spark.createDataFrame([(None, "http://a.com/en/1"), (None, "http://a.com/en/1"), (1, None), (1, None)], "page_id long, url string")
+    got = rows(uf.judge(df))
+    assert len(got) == 4 and got.page_id.isna().sum() == 2 and set(got[got.page_id.isna()].verdict) == {"block"}
+
+
+def test_purity_decides_pages_without_a_rule(spark):
+    got = rows(uf.op10_url_filters(spark, "/root/testdata/sf0.1"))
+    free = got[got.rule.isna()]
+    assert set(free.verdict) == {"allow", "block"}
+    assert ((free.purity >= uf.PURITY) == (free.verdict == "block")).all()
 
 
 @pytest.mark.parametrize("level", ["0.001", "0.01"])
@@ -59,7 +92,7 @@ def test_sql_agrees(spark, level):
     con = duckdb.connect()
     con.execute(f"create view pages as select * from '{sf}/pages.parquet'")
     want = con.execute(uf.SQL).df().sort_values("page_id").reset_index(drop=True)
-    for c in ("page_id", "host", "path", "template", "verdict"):
+    for c in ("page_id", "host", "path", "template", "purity", "verdict"):
         assert got[c].tolist() == want[c].tolist()
 
 
