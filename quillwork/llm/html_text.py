@@ -40,92 +40,108 @@ FRINGE = frozenset("nav header footer aside form menu button select option label
 BODY = frozenset("article main".split())
 #: An open element of these names ends at the next of the same kind.
 ENDED_BY = {"p": BLOCK, "li": frozenset(("li",)), "td": frozenset(("td", "th", "tr")), "th": frozenset(("td", "th", "tr")), "tr": frozenset(("tr",)), "option": frozenset(("option",)), "dt": frozenset(("dt", "dd")), "dd": frozenset(("dt", "dd"))}
+#: The open elements that each block element ends, within the nearest of BOUNDS.
+ENDS = {name: tuple(x for x, by in ENDED_BY.items() if name in by) for name in BLOCK}
+BOUNDS = ("ul", "ol", "table", "dl", "div", "article", "section", "td", "select")
 
-_NAME = re.compile(r"/?([a-zA-Z][^\s/>]*)")
-_HINT = re.compile(r"""(?:class|id|role)\s*=\s*["']?([^"'>]*)""", re.I)
+#: A tag to its end. A > inside a quoted value does not end it; a quote that is never closed is a character.
+_TAG = re.compile(r"""</?([a-zA-Z][^\s/>]*)(?>[^>=]+|=\s*+(?:"[^"]*"|'[^']*')?)*+>""")
+_HINT = re.compile(r"""[\s"'/](?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]*))""", re.I)
 _OUT = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|side-?bar|menu|nav\w*|breadcrumbs?|footer|header|masthead|cookies?|consent|gdpr|notices?|alert|popup|modal|newsletter|subscri\w+|signup|login|search|share|sharing|social|related|recommend\w*|widget|toolbar|tags?|pagination|pager|legal|copyright|disclaimer|form|contentinfo|complementary|navigation)(?:$|[\s_-])", re.I)
 _TALK = re.compile(r"(?:^|[\s_-])(?:comments?|repl(?:y|ies)|discussion|disqus|responses?|respond)(?:$|[\s_-])", re.I)
 _IN = re.compile(r"(?:^|[\s_-])(?:article|content|post|entry|story|text|body|main|page|prose)(?:$|[\s_-])", re.I)
 _ENDING = re.compile(r"[.!?…。](?:\s|$)")
 _LEGAL = re.compile(r"©|\(c\)\s|\ball rights reserved\b|\bcookies?\b|\bprivacy policy\b|\bterms of (?:use|service)\b|\bsubscribe\b|\bsign (?:in|up)\b|\badvertis", re.I)
+#: Signs that stand between links, and white space.
+_BETWEEN = dict.fromkeys(map(ord, " \t\n\r\f\xa0|/>»›·•-–"))
 N_FEATURES = 18
 
 
 class Block:
-    """node: the block element that holds the text, as (parent node, depth); flags: what lies around it."""
+    """linked: share of the text in links, without spaces and separators; node: the block element that holds
+    the text, as (parent node, depth); flags: what lies around it."""
 
     __slots__ = ("text", "linked", "node", "tag", "flags")
 
-    def __init__(self, text: str, linked: int, node: tuple, tag: str, flags: tuple):
+    def __init__(self, text: str, linked: float, node: tuple, tag: str, flags: tuple):
         self.text, self.linked, self.node, self.tag, self.flags = text, linked, node, tag, flags
 
 
 def blocks(page: str) -> list[Block]:
     """The text blocks of a page in order. Broken markup is read as browsers do in the common cases:
     unclosed elements end with their parent, a stray end tag is ignored, an unclosed comment or
-    script runs to the end."""
+    script runs to the end, a tag that the page ends in is no text. Character references are decoded
+    within a run of text, never across markup. Time is proportional to the page: open elements are
+    found by their names' places, not by search."""
     found: list[Block] = []
     # Open elements: (name, node, fringe, out, talk, body, inn)
     stack: list[tuple] = [("", (None, 0), 0, 0, 0, 0, 0)]
+    places: dict[str, list[int]] = {}
+    holders = [0]
     pieces: list[str] = []
-    links = linked = 0
+    linked = 0
+
+    def place(name: str) -> int:
+        return places[name][-1] if places.get(name) else 0
 
     def flush() -> None:
         nonlocal linked
         if pieces:
-            text = " ".join(html.unescape("".join(pieces)).split())
+            text = " ".join("".join(pieces).split())
             if text:
-                inner = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] in BLOCK or i == 0), 0)
-                found.append(Block(text, min(linked, len(text)), stack[inner][1], stack[inner][0], stack[-1][2:]))
+                holder = stack[holders[-1]]
+                found.append(Block(text, linked / max(len(text.translate(_BETWEEN)), 1), holder[1], holder[0], stack[-1][2:]))
             pieces.clear()
         linked = 0
 
     def text_piece(piece: str) -> None:
         nonlocal linked
         if piece:
-            pieces.append(piece)
-            if links:
-                linked += len(piece.strip())
+            pieces.append(html.unescape(piece) if "&" in piece else piece)
+            if places.get("a"):
+                linked += len(pieces[-1].translate(_BETWEEN))
 
     def close(to: int) -> None:
-        nonlocal links
-        if any(x[0] in BLOCK for x in stack[to:]):
+        if holders[-1] >= to:
             flush()
-        links -= sum(x[0] == "a" for x in stack[to:])
+        for i in range(len(stack) - 1, to - 1, -1):
+            places[stack[i][0]].pop()
+            if holders[-1] == i:
+                holders.pop()
         del stack[to:]
 
     pos, last = 0, page.rfind(">")
     while True:
         lt = page.find("<", pos)
-        if lt < 0 or lt > last:
+        if lt < 0:
             text_piece(page[pos:])
             break
         following = page[lt + 1 : lt + 2]
-        if not (following.isalpha() or following in ("/", "!", "?")):
+        if not (following.isascii() and following.isalpha() or following in ("/", "!", "?")) or not following:
             text_piece(page[pos : lt + 1])
             pos = lt + 1
             continue
         text_piece(page[pos:lt])
+        if lt > last:
+            break
         if page.startswith("<!--", lt):
-            end = page.find("-->", lt + 4)
+            end = page.find("-->", lt + 2)
             pos = len(page) if end < 0 else end + 3
             continue
-        gt = page.find(">", lt)
-        inside = page[lt + 1 : gt]
-        pos = gt + 1
-        match = _NAME.match(inside)
+        match = _TAG.match(page, lt)
         if not match:
+            if following.isalpha() or page[lt + 2 : lt + 3].isalpha() and following == "/":
+                break
+            pos = page.find(">", lt) + 1
             continue
-        name = match.group(1).lower()
-        if inside[0] == "/":
-            if name == "p" and not any(x[0] == "p" for x in stack):
+        pos = match.end()
+        inside, name = page[lt + 1 : pos - 1], match.group(1).lower()
+        if following == "/":
+            if name == "p" and not places.get("p"):
                 flush()
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i][0] == name:
-                    close(i)
-                    break
-                if name not in BLOCK and stack[i][0] in BLOCK:
-                    break
+            at = place(name)
+            if at and (name in BLOCK or at > holders[-1]):
+                close(at)
             continue
         if name in RAW:
             if not inside.endswith("/"):
@@ -134,22 +150,21 @@ def blocks(page: str) -> list[Block]:
             continue
         if name in BLOCK:
             flush()
-            for i in range(len(stack) - 1, 0, -1):
-                if name in ENDED_BY.get(stack[i][0], ()):
-                    close(i)
-                    break
-                if stack[i][0] in ("ul", "ol", "table", "dl", "div", "article", "section", "td", "select"):
-                    break
+            at = max(place(x) for x in ENDS[name])
+            if at and at >= max(map(place, BOUNDS)):
+                close(at)
         if name in SPACED:
             pieces.append(" ")
         if name in VOID or inside.endswith("/"):
             continue
         _, above, fringe, out, talk, body, inn = stack[-1]
         if "=" in inside:
-            for hint in _HINT.findall(inside):
+            for hint in map("".join, _HINT.findall(inside)):
                 out, talk, inn = out or bool(_OUT.search(hint)), talk or bool(_TALK.search(hint)), inn or bool(_IN.search(hint))
+        places.setdefault(name, []).append(len(stack))
+        if name in BLOCK:
+            holders.append(len(stack))
         stack.append((name, (above, above[1] + 1), fringe or name in FRINGE, out, talk, body or name in BODY, inn))
-        links += name == "a"
     flush()
     return found
 
@@ -160,7 +175,7 @@ def block_features(page: list[Block]) -> np.ndarray:
         words = b.text.count(" ") + 1
         fringe, out, talk, body, inn = b.flags
         rows.append((
-            1.0, math.log(words), b.linked / len(b.text), fringe, out, talk, body, inn, fringe and not body, b.tag == "p", b.tag[:1] == "h" and b.tag[1:].isdigit(),
+            1.0, math.log(words), min(b.linked, 1.0), fringe, out, talk, body, inn, fringe and not body, b.tag == "p", b.tag[:1] == "h" and b.tag[1:].isdigit(),
             b.tag == "li", b.tag in ("blockquote", "pre", "td", "dd"), bool(_ENDING.search(b.text)), words < 4, words > 25, bool(_LEGAL.search(b.text)) and words < 40,
             (i + 1) / len(page),
         ))
@@ -296,11 +311,12 @@ def _generated(rng: random.Random) -> tuple[str, set[str]]:
         return " ".join(x.strip() for x in out) + rng.choice([".", ".", ".", ""] if keep else ["", "", "."])
 
     links = lambda n, tag: "".join(f'<{tag}><a href="/x">{words(1, 2)}</a></{tag}>' for _ in range(n))
+    bar = lambda: " | ".join(f'<a href="/b">{words(1, 2)}</a>' for _ in range(rng.randint(2, 7)))
     kind = lambda *x: rng.choice(x)
-    nav = kind(f"<nav><ul>{links(rng.randint(3, 8), 'li')}</ul></nav>", f'<div class="menu">{links(rng.randint(3, 8), "span")}</div>', f'<ul id="main-nav">{links(5, "li")}</ul>')
+    nav = kind(f"<nav><ul>{links(rng.randint(3, 8), 'li')}</ul></nav>", f'<div class="menu">{links(rng.randint(3, 8), "span")}</div>', f'<ul id="main-nav">{links(5, "li")}</ul>', f"<div>{bar()}</div>", f"<p>{bar()}</p>", f"<ul>{links(rng.randint(3, 8), 'li')}</ul>")
     ad = lambda: kind(f'<div class="ad">{words(4, 20)}.</div>', f'<aside class="sponsored">{words(5, 25)}</aside>', f'<div id="ad-banner"><p>{words(3, 15)}.</p></div>', f'<div class="cookie-notice">{words(6, 20)} <button>{words(1, 1)}</button></div>')
     head = kind("", f"<header><p>{words(1, 5)}</p></header>", f'<div class="header"><a href="/">{words(1, 3)}</a></div>')
-    foot = kind(f"<footer>&copy; {words(2, 14)}.</footer>", f'<div class="footer"><p>{words(3, 20)}</p>{links(3, "span")}</div>', f"<footer><p>{words(2, 12)}.</p></footer>")
+    foot = kind(f"<footer>&copy; {words(2, 14)}.</footer>", f'<div class="footer"><p>{words(3, 20)}</p>{links(3, "span")}</div>', f"<footer><p>{words(2, 12)}.</p></footer>", f"<div>{bar()}</div>")
     side = kind("", f'<aside><h3>{words(1, 3)}</h3><ul>{links(rng.randint(2, 6), "li")}</ul></aside>', f'<div class="sidebar"><p>{words(3, 20)}.</p></div>')
     form = kind("", f"<form><label>{words(1, 3)}</label><input><button>{words(1, 1)}</button></form>", f'<div class="newsletter"><p>{words(4, 14)}.</p></div>')
     talk = kind("", "", f'<div class="comments"><h3>{words(1, 2)}</h3>' + "".join(f"<p>{words(3, 50)}.</p>" for _ in range(rng.randint(1, 5))) + "</div>", f'<section id="comments"><div class="comment"><p>{words(5, 40)}.</p></div></section>')
@@ -315,6 +331,8 @@ def _generated(rng: random.Random) -> tuple[str, set[str]]:
     body = "".join(paragraph() + (ad() if rng.random() < 0.08 else "") for _ in range(rng.randint(1, 14)))
     title = f"<h1>{words(2, 12, True)}</h1>"
     article = kind(f"<article>{title}{body}</article>", f"<article>{title}{body}</article>", f"<main>{title}{body}</main>", f'<div class="content">{title}{body}</div>', f'<div id="post">{title}{body}</div>', f"<div>{title}{body}</div>")
+    if rng.random() < 0.1:
+        return f"<table><tr><td>{nav}</td></tr><tr><td>{title}{body}</td></tr></table>{foot}", content
     return f"<html><head><title>t</title></head><body>{head}{nav}{ad() if rng.random() < 0.7 else ''}{article}{form}{talk}{side}{foot}</body></html>", content
 
 

@@ -74,3 +74,61 @@ def test_awkward_tables(spark):
     got = rows(ht.extract(df))
     assert len(got) == 4 and sorted(got.n_chars.tolist()) == [0, 0, *[len(got.text.max())] * 2]
     assert rows(ht.extract(df.limit(0))).empty
+
+
+@pytest.mark.parametrize(
+    "page,texts",
+    [
+        ('<p title="a > b" class=\'x>y\'>Text', ["Text"]),
+        ('Kept <div class="x y', ["Kept"]),
+        ("Kept <p title='never closed", ["Kept"]),
+        ("AT&<b>amp;</b>T", ["AT&amp;T"]),
+        ("x &lt;b&gt; &amp;lt; &#x41;&copy", ["x <b> &lt; A©"]),
+        ("a < b, 3 <4 and <- x", ["a < b, 3 <4 and <- x"]),
+        ("<!-->a<!--->b<!-- <p> > -->c", ["abc"]),
+        ("x</ y>z<?php echo '<p>'; ?>w", ["xz'; ?>w"]),
+        ("<a href=u/\"v>link</a> text", ["link text"]),
+        ("<p>one<p>two<ul><li>a<li>b</ul>three", ["one", "two", "a", "b", "three"]),
+        ("<table><tr><td>a<td>b<tr><th>c</table>d", ["a", "b", "c", "d"]),
+        ("<script>if (a < b) { '</p>' }</script  >after<style>p{}</style>", ["after"]),
+    ],
+)
+def test_markup_is_read_as_browsers_do(page, texts):
+    assert [b.text for b in ht.blocks(page)] == texts
+
+
+def test_time_grows_with_the_page_alone():
+    import time
+
+    for shape in ("{b}{ei}", "<i><div>{b}{ei}", "{b}{h}", "{p}", "{d}"):
+        took = []
+        for n in (2000, 16000):
+            page = shape.format(b="<b>" * n, ei="</i>" * n, h="<h2>x" * n, p="<p x='>a" * n, d="<div>x" * n)
+            begin = time.perf_counter()
+            ht.blocks(page)
+            took.append(time.perf_counter() - begin)
+        assert took[1] < 8 * 6 * took[0] + 0.5, shape
+
+
+SENTENCE = "The river had risen overnight, and the lower meadow lay under a sheet of brown water until noon."
+OTHER = "Nobody in the village could remember a spring so wet; the older men spoke of it for years afterwards."
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        # A blog in plain divs.
+        f"""<!DOCTYPE html><html><body><div id="wrapper"><div class="top-nav"><a href="/">Start</a> <a href="/about">About</a> <a href="/c">Contact</a></div>
+        <div class="content"><h1>High water</h1><p>{SENTENCE}</p><p>{OTHER} {SENTENCE}</p><p>{OTHER}</p></div>
+        <div class="sidebar"><h3>Archive</h3><ul><li><a href="/1">May</a></li><li><a href="/2">June</a></li></ul></div>
+        <div class="footer">All rights reserved. <a href="/p">Privacy policy</a></div></div></body></html>""",
+        # Tables and no class names, with quoted > and broken tags.
+        f"""<html><body><table width=100%><tr><td><a href=/>Home</a> | <a href=/n>News</a> | <a href=/l>Links</a></td></tr>
+        <tr><td><h1>High water</h1><p title="a > b">{SENTENCE}<p>{OTHER} {SENTENCE}<p>{OTHER}</td></tr></table><script>document.write("<p>x</p>")</script><div class="x""",
+        # Sections, an advert in the middle, a form and comments behind.
+        f"""<body><header><h2><a href="/">The Paper</a></h2></header><main><section><h1>High water</h1><p>{SENTENCE}</p><div class="advert">Buy boots now!</div><p>{OTHER} {SENTENCE}</p><p>{OTHER}</p></section></main>
+        <form action="/s"><label>Your mail</label><input name=m><button>Subscribe</button></form><div id="comments"><p>Great piece, I was there and it was just so.</p></div></body>""",
+    ],
+)
+def test_hand_written_pages_without_an_article_element(weights, page):
+    assert ht.main_text(page, weights) == f"High water\n{SENTENCE}\n{OTHER} {SENTENCE}\n{OTHER}"
