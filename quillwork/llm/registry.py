@@ -26,6 +26,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op5_sharding": sharding.SQL,
         "op6_quality_rules": quality_rules.SQL,
         "op7_exact_dedup": exact_dedup.SQL,
         "op10_url_filters": url_filters.SQL,

@@ -7,7 +7,8 @@ differ by one at most).
 
 Both rankings are made in buckets of the ranked value: bucket counts (one small row each) are
 summed up to offsets, and rows are numbered within a bucket only. A source with a third of all
-rows is spread over all its buckets.
+rows is spread over all its buckets. Rows draw their place by their id; an id that more rows have
+than a bucket is meant to hold (or a null id) draws by row number too, so its rows are spread as well.
 """
 
 from __future__ import annotations
@@ -29,21 +30,26 @@ def interleave(
 ) -> DataFrame:
     """One row per row of docs: doc_id, size, text_crc32, shard, slot.
 
-    Null texts are empty (size 8); a null source is a stratum of its own. Rows that agree in id and
-    text may take each other's place. With fewer rows than shards, some shards are empty; an empty
+    Null texts are empty (size 8), and long ones are read whole; a null source is a stratum of its own. Rows
+    that agree in id and text may take each other's place. With fewer rows than shards, some shards are empty; an empty
     table gives an empty result. Other columns are never read."""
     text = text_of(text_col)
+    draw = lambda key: F.conv(F.substring(F.md5(F.encode(key, "UTF-8")), 1, _BITS // 4), 16, 10).cast("long")
     slim = cut(
         docs.select(
             F.col(id_col).alias("doc_id"),
             F.when(F.col(stratum_col).isNull(), "").otherwise(F.concat(F.lit("="), F.col(stratum_col).cast("string"))).alias("stratum"),
             (F.octet_length(text) + 8).cast("long").alias("size"),
             F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"),
-            F.conv(F.substring(F.md5(F.encode(F.concat_ws(":", F.lit(seed), F.col(id_col)), "UTF-8")), 1, _BITS // 4), 16, 10).cast("long").alias("u"),
+            draw(F.concat_ws(":", F.lit(seed), F.col(id_col))).alias("u"),
+            F.monotonically_increasing_id().alias("row_id"),
         ),
         "shard-rows",
     )
     total = slim.count()
+    # At most total / bucket_rows of them.
+    often = slim.groupBy("u").agg(F.count(F.lit(1)).alias("times")).where(F.col("times") > bucket_rows).select("u", F.lit(True).alias("often"))
+    slim = slim.join(often, "u", "left").withColumn("u", F.when(F.col("often"), draw(F.concat_ws(":", F.lit(seed), "u", "row_id"))).otherwise(F.col("u"))).drop("often", "row_id")
     buckets = max(64, -(-total // bucket_rows))
     width = (1 << _BITS) // buckets + 1
     dealt = slim.withColumn("b", F.expr(f"u div {width}"))
@@ -70,6 +76,31 @@ def interleave(
     )
 
 
+def _crc32(hexadecimal: str) -> str:
+    """DuckDB SQL for the CRC-32 of the bytes behind an upper-case hexadecimal text, four bits a step."""
+    steps = []
+    for low in range(16):
+        for _ in range(4):
+            low = low >> 1 ^ 0xEDB88320 * (low & 1)
+        steps.append(low)
+    nibbles = f"list_transform(string_split(regexp_replace({hexadecimal}, '(.)(.)', '\\2\\1', 'g'), ''), lambda x: instr('0123456789ABCDEF', x)::BIGINT - 1)"
+    return f"xor(4294967295::BIGINT, list_reduce(list_prepend(4294967295::BIGINT, CASE WHEN {hexadecimal} = '' THEN []::BIGINT[] ELSE {nibbles} END), lambda c, x: xor(c >> 4, list_extract({steps}, (xor(c, x) & 15) + 1)::BIGINT)))"
+
+
+#: Ids are taken to be unique; with fewer copies of an id than a bucket holds it is right for them too.
+SQL = f"""
+WITH d AS (
+  SELECT doc_id, CASE WHEN source IS NULL THEN '' ELSE '=' || source END AS stratum, strlen(coalesce(text, '')) + 8 AS size, hex(encode(coalesce(text, ''))) AS h,
+         ('0x' || substr(md5(concat_ws(':', '{SEED}', doc_id)), 1, {_BITS // 4}))::BIGINT AS u FROM documents),
+k AS (SELECT doc_id, stratum, size, u, {_crc32('h')} AS text_crc32 FROM d),
+r AS (
+  SELECT *, (row_number() OVER (PARTITION BY stratum ORDER BY u, doc_id NULLS FIRST, text_crc32, size) - 0.5::DOUBLE) / count(*) OVER (PARTITION BY stratum) AS f,
+         count(*) OVER () AS total FROM k),
+p AS (SELECT *, row_number() OVER (ORDER BY f, stratum, u, doc_id NULLS FIRST, text_crc32, size) - 1 AS pos FROM r)
+SELECT doc_id, size, text_crc32, 'rows' AS law, (pos * {SHARDS} // total)::INT AS shard, pos - (pos * {SHARDS} // total * total + {SHARDS - 1}) // {SHARDS} AS slot, NULL::INT AS grown_shard FROM p
+"""
+
+
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = interleave(table(spark, sf_dir, "documents"))
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))

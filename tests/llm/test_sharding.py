@@ -1,7 +1,9 @@
 import hashlib
 import zlib
 
+import duckdb
 import pandas as pd
+import pytest
 
 from quillwork.llm import sharding as sh
 from tests.llm.helpers import awkward, awkward_rows, empty, rows, table
@@ -39,9 +41,28 @@ def test_whole_table(spark, sf):
     assert counts.max() - counts.min() <= 1 and len(counts) == 24
 
 
+@pytest.mark.parametrize("level", ["0.001", "0.01"])
+def test_sql_agrees(spark, level):
+    sf = f"/root/testdata/sf{level}"
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{sf}/documents.parquet'")
+    assert plain(rows(sh.op5_sharding(spark, sf))) == plain(con.execute(sh.SQL).df())
+
+
+def test_repeated_and_null_ids_are_spread(spark):
+    """Rows of one id fill shards as any others do: every shard has its share of them."""
+    docs = spark.range(2000).selectExpr("case when id % 3 = 0 then null when id % 3 = 1 then 7 else id end as doc_id", "'x' as text", "'one' as source")
+    got = rows(sh.interleave(docs, bucket_rows=50))
+    assert len(got) == 2000
+    counts = got.groupby("shard").size()
+    assert counts.max() - counts.min() <= 1
+    per_shard = got.assign(null=got.doc_id.isna(), seven=got.doc_id == 7).groupby("shard")[["null", "seven"]].sum()
+    assert per_shard.to_numpy().min() > 10
+
+
 def test_small_buckets_change_nothing(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
-    assert plain(rows(sh.interleave(docs))) == plain(rows(sh.interleave(docs, bucket_rows=1)))
+    assert plain(rows(sh.interleave(docs))) == plain(rows(sh.interleave(docs, bucket_rows=2)))
 
 
 def test_every_shard_has_the_mixture(spark):
