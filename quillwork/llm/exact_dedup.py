@@ -64,7 +64,8 @@ def recipes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", has
     so that tests can provoke ambiguous hashes."""
     text = docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("raw"))
     cut_up = text.withColumn("norm", normalised(F.col("raw"))).withColumn("chunk", chunks(F.col("norm")))
-    slim = cut(
+    # Texts are cut once: the chunks are a column of the rows' table that only the store reads.
+    written = cut(
         row_ids(
             cut_up,
             F.col("doc_id"),
@@ -72,13 +73,15 @@ def recipes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", has
             F.char_length("raw").cast("long").alias("n_code_points"),
             F.sha2(F.col("norm"), 256).alias("text_sha256"),
             F.transform("chunk", lambda c: chunk_hash(c, hash_bits)).alias("recipe"),
+            F.col("chunk").alias("chunks"),
         ),
         "recipes",
     )
+    slim = written.drop("chunks")
     # The chunk store: one row per distinct chunk, combined before the shuffle. No hash is kept
     # beside its chunk; grouping by bytes verifies it.
     store = (
-        text.select(F.explode(chunks(normalised(F.col("raw")))).alias("chunk"))
+        written.select(F.explode("chunks").alias("chunk"))
         .groupBy("chunk")
         .agg(F.count(F.lit(1)).alias("uses"))
     )
@@ -94,9 +97,7 @@ def recipes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", has
     # Rare: spell the chunks behind ambiguous hashes out. Rows are matched by content, so
     # two rows with one text get the same list.
     parts = (
-        text.select(normalised(F.col("raw")).alias("norm"))
-        .select(F.sha2("norm", 256).alias("text_sha256"), chunks(F.col("norm")).alias("chunk"))
-        .select("text_sha256", F.posexplode("chunk").alias("pos", "chunk"))
+        written.select("text_sha256", F.posexplode("chunks").alias("pos", "chunk"))
         .distinct()
         .withColumn("hash", chunk_hash(F.col("chunk"), hash_bits))
         .join(ambiguous.withColumn("unsure", F.lit(True)), "hash", "left")
@@ -120,7 +121,7 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     Of rows with equal normalised texts, the one with the most code points, then the smallest
     doc_id stays (a null id comes last; of repeated rows exactly one stays). Null and empty texts,
-    and texts of white space alone, are one group. An empty table gives an empty result. Other
+    and texts of white space alone, are one group. Texts of any length are compared whole. An empty table gives an empty result. Other
     columns of docs are never read."""
     slim = recipes(docs, id_col, text_col, hash_bits)
     order = F.struct("n_code_points", (-F.col("doc_id")).alias("by_id"), (-F.col("row_id")).alias("by_row"))
