@@ -6,8 +6,9 @@ recurrent layers read a window of words in both directions, attention pools thei
 logistic unit scores the window. All overlapping windows of a text are scored; the text's score is
 the highest. Training is by multiple instances: a text's label is put on its highest windows.
 
-Training reads at most SAMPLE labelled texts of each label, none of the held-out fold, and no text
-longer than SAMPLE_CHARS; it happens on the driver. Scoring reads every text whole.
+Training reads a bounded sample of labelled texts, whole, none of the held-out fold: in an order drawn by a hash
+of the id, the first SAMPLE of each label, up to SAMPLE_CHARS characters in all; it happens on the driver. Scoring
+reads every text whole.
 """
 
 from __future__ import annotations
@@ -24,8 +25,8 @@ from quillwork.llm._shared import table, text_of
 
 WINDOW, STRIDE = 32, 16
 FOLDS = 5
-#: Bounds of the training sample: texts of each label, and characters of a text.
-SAMPLE, SAMPLE_CHARS = 1600, 12_000
+#: Bounds of the training sample: texts of each label, and characters of all texts of a label but for its last one.
+SAMPLE, SAMPLE_CHARS = 1600, 6_000_000
 WIDTH, HIDDEN, ATTENTION = 10, 8, 8
 #: Texts of the sample that must hold a word, or a gram, for an embedding of its own.
 LEAST_WORD, LEAST_GRAM = 6, 4
@@ -338,13 +339,23 @@ def fold(id_col: str = "doc_id") -> Column:
 
 
 def sample(docs: DataFrame, labels: DataFrame) -> pd.DataFrame:
-    """At most SAMPLE texts of each label from outside the held-out fold, drawn by a hash of the id."""
+    """At most SAMPLE texts of each label from outside the held-out fold, in the order of a hash of the id, the first
+    whatever its length, and further ones while those before them have fewer than SAMPLE_CHARS characters. Of rows that repeat an
+    id, one text is taken; it is chosen by hash before any text moves."""
     open_rows = labels.where(fold() != 0).where("toxic in (0, 1) and doc_id is not null").select("doc_id", F.col("toxic").alias("truth"))
-    drawn = [open_rows.where(F.col("truth") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE) for y in (0, 1)]
-    chosen = drawn[0].unionByName(drawn[1]).distinct()
-    texts = docs.select("doc_id", text_of().alias("t")).where(F.length("t") <= SAMPLE_CHARS)
-    found = texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "t", "truth").toPandas()
-    return found.sort_values(["doc_id", "t", "truth"], kind="stable", ignore_index=True)
+    drawn = [open_rows.where(F.col("truth") == y).distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE) for y in (0, 1)]
+    chosen = drawn[0].unionByName(drawn[1])
+    texts = docs.select("doc_id", text_of().alias("t")).select("doc_id", "t", F.xxhash64("t").alias("pick"), F.length("t").alias("size"))
+    # One short row an id: at most 2 SAMPLE of them.
+    one = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "truth").agg(F.min(F.struct("pick", "size")).alias("x"))
+    first = one.select("doc_id", "truth", "x.*", F.xxhash64("doc_id").alias("turn")).toPandas().sort_values(["truth", "turn", "doc_id"])
+    first = first[first.groupby("truth")["size"].cumsum() - first["size"] < SAMPLE_CHARS]
+    if first.empty:
+        return pd.DataFrame({"doc_id": [], "t": [], "truth": []})
+    wanted = docs.sparkSession.createDataFrame(first[["doc_id", "pick"]].drop_duplicates())
+    found = texts.join(F.broadcast(wanted), ["doc_id", "pick"]).groupBy("doc_id", "pick").agg(F.first("t").alias("t")).toPandas()
+    both = first.merge(found, on=["doc_id", "pick"])
+    return both[["doc_id", "t", "truth"]].sort_values(["doc_id", "t", "truth"], kind="stable", ignore_index=True)
 
 
 def score(docs: DataFrame, labels: DataFrame) -> DataFrame:

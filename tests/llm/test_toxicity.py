@@ -91,3 +91,21 @@ def test_awkward(spark, labelled):
     assert len(got) == len(awkward_rows()) + 400 and got.score.notna().all()
     assert (rows(tx.score(awkward(spark), labels.limit(0))).predicted == 0).all()
     assert rows(tx.score(empty(spark), labels)).empty
+
+
+def test_the_training_sample_is_bounded_and_whole(spark, monkeypatch):
+    """Long texts take part, repeated ids give one text, held-out rows give none."""
+    monkeypatch.setattr(tx, "SAMPLE", 30)
+    monkeypatch.setattr(tx, "SAMPLE_CHARS", 100_000)
+    from pyspark.sql import functions as F
+
+    docs = spark.range(400).selectExpr("id as doc_id", "case when id = 3 then repeat('long text ', 40000) else concat('text ', id) end as text")
+    docs = docs.union(spark.range(500).selectExpr("cast(5 as bigint)", "concat('copy ', id)")).select("*", F.lit("x").alias("t"), F.lit("y").alias("pick"), F.lit("z").alias("truth"), F.lit(1).alias("turn"))
+    labels = spark.range(400).selectExpr("id as doc_id", "cast(id % 2 as int) as toxic").withColumn("size", F.lit("w"))
+    got = tx.sample(docs, labels)
+    assert got.doc_id.is_unique and got.groupby("truth").size().max() <= 30
+    assert not {i for i in got.doc_id if zlib.crc32(str(int(i)).encode()) % 5 == 0}
+    few = tx.sample(docs.where("doc_id in (3, 5, 7, 4, 6)"), labels.where("doc_id in (3, 5, 7, 4, 6)"))
+    held_in = {i for i in (3, 5, 7, 4, 6) if zlib.crc32(str(i).encode()) % 5}
+    assert set(few.doc_id) == held_in and (3 not in held_in or few.t.str.len().max() == 400_000)
+    assert tx.sample(docs.limit(0), labels).empty and tx.sample(docs, labels.limit(0)).empty
