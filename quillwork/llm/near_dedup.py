@@ -348,6 +348,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     class_id is the smallest doc_id of the class. The row kept has the smallest doc_id (null ids
     last) and is the first of repeated rows. Texts without words (null, empty, punctuation alone)
     have no shingles and are classes of their own; a text of fewer than five words is one shingle.
+    Texts of any length are read whole.
     An empty table gives an empty result; other columns are never read."""
     texts = keyed(docs, id_col, text_col)
     rows = cut(sketch(texts).withColumn("row_id", F.monotonically_increasing_id()), "sketches")

@@ -3,7 +3,7 @@
 Lines are normalised (white space collapsed, lower case) and hashed; per host (the source of a
 document) the distinct documents holding a line are counted, copies of one text counting once.
 A line is boilerplate when at least MIN_DOCS documents and at least 1 in MIN_SHARE documents of
-its host hold it. Boilerplate lines are removed, and a document left with less than a third of
+its host hold it. Boilerplate lines are removed, and a document left with less than three tenths of
 its words is depleted and rejected.
 
 Only DataFrame functions run here. Per row, the scan keeps measures and line hashes only; all
@@ -114,7 +114,7 @@ def quality(
     """One row per row of docs: row_id, doc_id, the measures, base_failed, removed_words, kept;
     host and removed_lines (hashes of its lines above the limits, null if none) are for cleaned().
 
-    Null texts count as empty, so they fail the base rules; a null host is the host ''. Repeated
+    Null texts count as empty, so they fail the base rules; long ones are read whole; a null host is the host ''. Repeated
     rows get a row each. An empty table gives an empty result; other columns are never read."""
     rows = measures(docs, id_col, text_col, host_col)
     removed = (
@@ -140,21 +140,26 @@ def cleaned(docs: DataFrame, verdicts: DataFrame, id_col: str = "doc_id", text_c
     """docs with the lines above the limits taken out of their texts; verdicts: the result of quality().
 
     Other lines and their breaks stay as they are, as do texts without such lines; n_chars follows
-    the text if there is one. Names beginning with _quill_ are reserved."""
-    lines = verdicts.where("removed_lines is not null").select(
-        F.col("doc_id").alias("_quill_id"), F.col("sig").alias("_quill_sig"), F.col("host").alias("_quill_host"), F.col("removed_lines").alias("_quill_lines")
+    the text if there is one. The columns of docs stand in one struct meanwhile, so any names may clash."""
+    lines = verdicts.where("removed_lines is not null").select("doc_id", "sig", "host", "removed_lines").dropDuplicates(["doc_id", "sig", "host"])
+    keyed = docs.select(
+        F.struct("*").alias("row"), F.col(id_col).alias("own_id"), F.xxhash64(text_of(text_col)).alias("own_sig"), F.coalesce(F.col(host_col), F.lit("")).alias("own_host")
     )
-    same = F.col(id_col).eqNullSafe(F.col("_quill_id")) & (F.xxhash64(text_of(text_col)) == F.col("_quill_sig"))
-    both = docs.join(
-        lines.dropDuplicates(["_quill_id", "_quill_sig", "_quill_host"]), same & (F.coalesce(F.col(host_col), F.lit("")) == F.col("_quill_host")), "left"
-    )
-    rest = F.filter(F.split(text_col, "\n"), lambda x: ~F.array_contains("_quill_lines", F.xxhash64(_normal(x))))
-    touched = F.col("_quill_lines").isNotNull()
-    out = both.withColumn(text_col, F.when(touched, F.array_join(rest, "\n")).otherwise(F.col(text_col)))
-    if "n_chars" in docs.columns:
-        kind = docs.schema["n_chars"].dataType
-        out = out.withColumn("n_chars", F.when(touched, F.char_length(text_col).cast(kind)).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+    same = F.col("own_id").eqNullSafe(F.col("doc_id")) & (F.col("own_sig") == F.col("sig")) & (F.col("own_host") == F.col("host"))
+    text, touched = F.col("row")[text_col], F.col("removed_lines").isNotNull()
+    rest = F.array_join(F.filter(F.split(text, "\n"), lambda x: ~F.array_contains("removed_lines", F.xxhash64(_normal(x)))), "\n")
+    both = keyed.join(lines, same, "left").select("row", F.when(touched, rest).otherwise(text).alias("clean"))
+
+    def column(name: str) -> Column:
+        if name == text_col:
+            return F.col("clean").alias(name)
+        own = F.col("row")[name]
+        if name != "n_chars":
+            return own.alias(name)
+        changed = ~F.col("clean").eqNullSafe(text)
+        return F.when(changed, F.char_length("clean").cast(docs.schema[name].dataType)).otherwise(own).alias(name)
+
+    return both.select(*[column(c) for c in docs.columns])
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

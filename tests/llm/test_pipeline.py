@@ -69,6 +69,18 @@ def test_awkward_and_empty(spark, sf, name):
     assert rows(stage(spark, empty(spark), sf)).empty
 
 
+def test_columns_of_any_name_and_repeated_rows(spark, sf):
+    """Names that the stages use themselves stay as they are; one of many repeated rows is kept."""
+    names = ["row", "own_id", "own_text", "own_sig", "clean", "text_key", "kept", "n", "sig", "host", "removed_lines", "_quill_id", "_quill_text"]
+    one = spark.createDataFrame(awkward_rows()[:4] + [awkward_rows()[3]] * 40 + [awkward_rows()[8]] * 40, empty(spark).select("doc_id", "text", "lang", "source", "n_chars").schema)
+    docs = one.select("*", *[F.lit(f"v{n}").alias(n) for n in names])
+    for stage in (cp.quality, cp.exact, cp.near):
+        got = rows(stage(spark, docs, sf))
+        assert list(got.columns) == docs.columns and len(got) >= 1
+        assert all(set(got[n]) == {f"v{n}"} for n in names)
+    assert len(rows(cp.exact(spark, docs, sf))) == 2
+
+
 def test_each_stage_calls_its_operator(spark, monkeypatch, sf):
     seen = []
     for module, name in ((quality_rules, "quality"), (near_dedup, "near_duplicates")):
