@@ -5,8 +5,8 @@ columns of docs. Between stages the rows are written as Parquet and read again,
 never costs more than one stage.
 
 Rows are matched with their decisions by (doc_id, hash of the text), null ids included: ids may
-repeat. Every stage takes an empty table, null texts and extra columns; names beginning with
-_quill_ are reserved.
+repeat. Every stage takes an empty table, null and very long texts and extra columns of any name, which stand in
+one struct while rows are matched.
 """
 
 from __future__ import annotations
@@ -14,35 +14,29 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillwork.llm import exact_dedup, near_dedup, packing, pii, quality_rules
 from quillwork.llm._shared import cut, drop_scratch, scratch_mark, table, text_of
 
-_KEYS = ("_quill_id", "_quill_text")
-
-
-def _keyed(docs: DataFrame) -> DataFrame:
-    return docs.withColumns({"_quill_id": F.col("doc_id"), "_quill_text": F.xxhash64(text_of())})
-
-
 def _keep(docs: DataFrame, decisions: DataFrame, once: bool) -> DataFrame:
     """The rows of docs that decisions (doc_id, text_key, kept) keep; of repeated rows one, if once."""
     by_key = cut(decisions.groupBy("doc_id", "text_key").agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("n")), "decisions")
-    lost = by_key.where("not kept").select(F.col("doc_id").alias("_quill_lost_id"), F.col("text_key").alias("_quill_lost_text"))
-    rest = _keyed(docs).join(
-        lost, F.col("_quill_id").eqNullSafe(F.col("_quill_lost_id")) & (F.col("_quill_text") == F.col("_quill_lost_text")), "left_anti"
-    )
-    if once and not by_key.where("kept and n > 1").isEmpty():
-        again = Window.partitionBy(*_KEYS).orderBy("_quill_id")
-        rest = rest.withColumn("_quill_n", F.row_number().over(again)).where("_quill_n = 1").drop("_quill_n")
-    return rest.drop(*_KEYS)
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("own_id"), F.xxhash64(text_of()).alias("own_text"))
+    same = F.col("own_id").eqNullSafe(F.col("doc_id")) & (F.col("own_text") == F.col("text_key"))
+    rest = rows.join(by_key.where("not kept"), same, "left_anti")
+    again = by_key.where("kept and n > 1")
+    if once and not again.isEmpty():
+        # Combined before the shuffle, so a row that is repeated without end costs one row a task.
+        first = rest.join(again, same, "left_semi").groupBy("own_id", "own_text").agg(F.first("row").alias("row"))
+        rest = rest.join(again, same, "left_anti").select("row").unionByName(first.select("row"))
+    return rest.select("row.*")
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops the documents that the quality rules reject and takes the boilerplate lines out of the rest. A row's host is part of its verdict, so one
-    text under two hosts and one id stays if either host keeps it."""
+    """Drops the documents that the quality rules reject and takes the boilerplate lines out of the rest. A row's
+    host is part of its verdict, so one text under two hosts and one id stays if either host keeps it."""
     verdicts = cut(quality_rules.quality(docs), "verdicts")
     return quality_rules.cleaned(_keep(docs, verdicts.withColumnRenamed("sig", "text_key"), once=False), verdicts)
 
