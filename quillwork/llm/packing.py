@@ -40,7 +40,9 @@ END_ID = 0
 #: Load of a shard in tokens; a document counts as ROW_LOAD tokens more, so that short ones weigh something.
 SHARD_LOAD, ROW_LOAD = 1_500_000, 100
 #: A block ends with this many tokens or documents.
-BLOCK_TOKENS, BLOCK_DOCS = 1_200_000, 2_000
+BLOCK_TOKENS, BLOCK_DOCS = 800_000, 1_600
+#: Rows of the token table that a task hands over at once.
+ROWS_AT_ONCE = 1_000
 K1, B = 1.2, 0.75
 SCHEMA = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, `offset` bigint"
 
@@ -54,6 +56,8 @@ class Tokenizer:
         with open(vocabulary, encoding="utf-8") as f:
             added = {t["content"]: t["id"] for t in json.load(f).get("added_tokens", [])}
         self.added = added
+        # Two bytes an id where they suffice, for the table and the shuffle.
+        self.stored = "<u2" if max([*pieces.values(), *added.values()]) < 1 << 16 else "<u4"
         self.encoding = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=pieces, special_tokens=added)
 
     def ids(self, text: str) -> np.ndarray:
@@ -189,6 +193,9 @@ def tokenised(texts: DataFrame, vocabulary: str, ranks: str) -> DataFrame:
         for batch in batches:
             rows = []
             for doc_id, text in zip(batch["doc_id"].astype("Int64").to_numpy(dtype=object, na_value=None), batch["t"], strict=True):
+                if len(rows) >= ROWS_AT_ONCE:
+                    yield shaped(pd.DataFrame(rows, columns=["doc_id", "ids", "key", "second"]))
+                    rows = []
                 ids = own.ids(text)
                 distinct, counts = np.unique(ids[:-1], return_counts=True)
                 first, second = keys(distinct, counts)
@@ -197,7 +204,7 @@ def tokenised(texts: DataFrame, vocabulary: str, ranks: str) -> DataFrame:
                 docs[-2] += 1
                 load[first] += len(ids) + ROW_LOAD
                 load[-2] += len(ids)
-                rows.append((doc_id, ids.tobytes(), first, second))
+                rows.append((doc_id, ids.astype(own.stored).tobytes(), first, second))
             yield shaped(pd.DataFrame(rows, columns=["doc_id", "ids", "key", "second"]))
         some = np.flatnonzero((docs > 0) | (load > 0))
         names = np.where(some >= len(docs) - 2, some - len(docs), some)
@@ -240,12 +247,13 @@ def pack(
     )
 
     def fill(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        stored = tokenizer(vocabulary, ranks).stored
         held: list[tuple] = []
         size, place, shard = 0, 0, -1
         for batch in batches:
             ids = batch["doc_id"].astype("Int64").to_numpy(dtype=object, na_value=None)
             for shard, doc_id, packed_ids in zip(batch["shard"].tolist(), ids, batch["ids"], strict=True):
-                held.append((doc_id, np.frombuffer(packed_ids, "<u4")))
+                held.append((doc_id, np.frombuffer(packed_ids, stored)))
                 size += len(held[-1][1])
                 if size >= BLOCK_TOKENS or len(held) >= BLOCK_DOCS:
                     yield pieces(shard, held, place)
@@ -255,7 +263,7 @@ def pack(
 
     def pieces(shard: int, held: list, begin: int) -> pd.DataFrame:
         out = [
-            (held[d][0], start, length, zlib.crc32(held[d][1][start : start + length].tobytes()), len(held[d][1]), (shard << 32) + place // WINDOW, place % WINDOW)
+            (held[d][0], start, length, zlib.crc32(held[d][1][start : start + length].astype("<u4").tobytes()), len(held[d][1]), (shard << 32) + place // WINDOW, place % WINDOW)
             for d, start, length, place in packed([t for _, t in held], corpus.value, begin)
         ]
         frame = pd.DataFrame(out, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
