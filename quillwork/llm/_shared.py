@@ -39,7 +39,17 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     schema = df.schema
     df.write.parquet(path)
     _written.append((spark, path))
-    return spark.read.schema(schema).parquet(path)
+    back = spark.read.schema(schema).parquet(path)
+    back.scratch_path = path
+    return back
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that cut() has written and that no result still to be computed reads."""
+    for path in {t.scratch_path for t in tables}:
+        entry = next(x for x in _written if x[1] == path)
+        _written.remove(entry)
+        _delete(*entry)
 
 
 def scratch_mark() -> int:
@@ -52,13 +62,17 @@ def drop_scratch(since: int = 0, keep_last: int = 0) -> None:
     result that reads them is still needed. What is left goes when the driver ends."""
     end = len(_written) - keep_last
     gone, _written[since:end] = _written[since:end], []
-    for spark, path in gone:
-        try:
-            jvm = spark.sparkContext._jvm
-            where = jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-        except Exception:  # the session is gone: the folder's owner cleans up
-            return
+    for entry in gone:
+        _delete(*entry)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    try:
+        jvm = spark.sparkContext._jvm
+        where = jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    except Exception:  # the session is gone: the folder's owner cleans up
+        return
 
 
 atexit.register(drop_scratch)

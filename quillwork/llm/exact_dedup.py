@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillwork.llm._shared import SPACE, cut, row_ids, table, text_of
+from quillwork.llm._shared import SPACE, cut, discard, row_ids, table, text_of
 
 #: Least and most characters of a chunk, and the share 1 in SPARSE of Latin characters in each class of BOUNDARY.
 LEAST, MOST, SPARSE = 192, 8192, 5
@@ -93,6 +93,8 @@ def recipes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", has
         "ambiguous",
     )
     if ambiguous.isEmpty():
+        slim = cut(slim, "recipes")
+        discard(written)
         return slim
     # Rare: spell the chunks behind ambiguous hashes out. Rows are matched by content, so
     # two rows with one text get the same list.

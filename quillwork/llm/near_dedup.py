@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillwork.llm._shared import cut, table, text_of
+from quillwork.llm._shared import cut, discard, drop_scratch, scratch_mark, table, text_of
 
 WORDS = 5
 THRESHOLD = 0.8
@@ -209,19 +209,27 @@ def verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
 def components(links: DataFrame) -> DataFrame:
     """(node, label) of the nodes that have links a-b: the smallest node of their component.
 
-    Every step takes the smallest label of the neighbours, then the label of that label; each is
-    written to the shared folder, so the plan stays short and a lost executor costs one step."""
-    both = cut(links.select("a", "b").union(links.select("b", "a")).distinct(), "links")
-    labels = cut(both.groupBy("a").agg(F.min("b").alias("least")).select(F.col("a").alias("node"), F.least("a", "least").alias("label")), "labels")
-    while True:
-        near = labels.select(F.col("node").alias("b"), F.col("label").alias("seen"))
-        heard = both.join(near, "b").groupBy("a").agg(F.min("seen").alias("seen")).withColumnRenamed("a", "node")
-        via = labels.join(heard, "node").select("node", F.col("label").alias("old"), F.least("label", "seen").alias("via"))
-        jump = labels.select(F.col("node").alias("via"), F.col("label").alias("further"))
-        step = cut(via.join(jump, "via").select("node", "old", F.least("via", "further").alias("label")), "labels")
-        labels = step.select("node", "label")
-        if step.where("label <> old").isEmpty():
-            return labels
+    In every round a node takes its smallest neighbour (or itself), then that node's own choice, and
+    links are carried over to the nodes taken; those whose ends have met are done with, so that each round has few
+    of the last one's links. Tables are written to the shared folder, so the plan stays short and a lost
+    executor costs one round; superseded ones are deleted."""
+    links = cut(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct(), "links")
+    rounds = []
+    while not rounds or not links.isEmpty():
+        ends = links.select(F.explode(F.array(F.struct(F.col("a").alias("node"), F.col("b").alias("near")), F.struct(F.col("b").alias("node"), F.col("a").alias("near")))).alias("x")).select("x.*")
+        least = cut(ends.groupBy("node").agg(F.min("near").alias("near")).select("node", F.least("node", "near").alias("via")), "least")
+        further = least.select(F.col("node").alias("via"), F.col("via").alias("label"))
+        rounds.append(cut(least.join(further, "via").select("node", "label"), "labels"))
+        for end in ("a", "b"):
+            links = links.join(rounds[-1].withColumnRenamed("node", end), end).drop(end).withColumnRenamed("label", end)
+        links = cut(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct(), "links")
+        discard(least)
+    labels = rounds.pop()
+    while rounds:
+        onward = labels.select(F.col("node").alias("label"), F.col("label").alias("last"))
+        earlier = rounds.pop()
+        labels = cut(earlier.join(onward, "label", "left").select("node", F.coalesce("last", "label").alias("label")), "labels")
+    return labels
 
 
 def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -350,6 +358,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     have no shingles and are classes of their own; a text of fewer than five words is one shingle.
     Texts of any length are read whole.
     An empty table gives an empty result; other columns are never read."""
+    mark = scratch_mark()
     texts = keyed(docs, id_col, text_col)
     rows = cut(sketch(texts).withColumn("row_id", F.monotonically_increasing_id()), "sketches")
     least = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_id")
@@ -363,6 +372,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         .select("label", "class_size", F.col("x.doc_id").alias("class_id"), F.col("x.row_id").alias("keep_row")),
         "groups",
     )
+    drop_scratch(mark, keep_last=2)  # the result reads these two alone
     return labelled.join(groups, "label").select("row_id", "doc_id", "text_key", "class_id", "class_size", (F.col("row_id") == F.col("keep_row")).alias("kept"))
 
 

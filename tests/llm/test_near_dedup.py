@@ -1,6 +1,7 @@
 from collections import Counter, defaultdict
 
 import numpy as np
+import pytest
 
 from quillwork.llm import near_dedup as nd
 from tests.llm.helpers import awkward, awkward_rows, empty, rows, table
@@ -115,3 +116,22 @@ def test_blocks_of_a_group_all_meet(spark):
         assert (tasks.select("i", "j").distinct().count() > 20) == (block == 1500)
         links = rows(tasks.mapInPandas(lambda b: nd._across(b, 0.8), "a long, b long"))
         assert {(min(x), max(x)) for x in links.itertuples(index=False)} == {(30 + i, 89 - i) for i in range(20)}
+
+
+@pytest.mark.parametrize("shape", ["chain", "star", "random", "none", "two"])
+def test_components_by_union_find(spark, shape):
+    rng = np.random.default_rng(7)
+    edges = {
+        "chain": [(i, i + 1) for i in rng.permutation(60).tolist()],
+        "star": [(30, i) for i in range(60) if i != 30] + [(5, 5)],
+        "random": [tuple(x) for x in rng.integers(0, 120, (90, 2)).tolist()],
+        "none": [],
+        "two": [(9, 4), (4, 9)],
+    }[shape]
+    root = {n: n for e in edges for n in e if e[0] != e[1]}
+    for _ in range(len(root)):
+        for a, b in edges:
+            if a != b:
+                root[a] = root[b] = min(root[a], root[b])
+    got = nd.components(spark.createDataFrame(edges, "a long, b long"))
+    assert {r.node: r.label for r in got.collect()} == root
