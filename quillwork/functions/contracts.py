@@ -89,30 +89,6 @@ def canonical_digest(raw: pd.Series) -> pd.Series:
     return raw.map(one)
 
 
-def split_cpe(name: str | None) -> list[str] | None:
-    """The 11 fields after cpe:2.3:, escapes kept; None unless there are exactly 13 parts."""
-    if name is None:
-        return None
-    parts, now, escaped = [], [], False
-    for c in name:
-        if escaped or c not in "\\:":
-            now.append(c)
-            escaped = False
-        elif c == "\\":
-            now.append(c)
-            escaped = True
-        else:
-            parts.append("".join(now))
-            now = []
-    parts.append("".join(now))
-    return parts[2:] if not escaped and len(parts) == 13 and parts[:2] == ["cpe", "2.3"] else None
-
-
-@F.pandas_udf(_TEXTS)
-def cpe_fields(name: pd.Series) -> pd.Series:
-    return pd.Series([split_cpe(x) for x in name], dtype=object)
-
-
 def _tail(k: int, n: int, p: float) -> float:
     """P(X >= k) of a binomial, from logarithms."""
     if k <= 0:

@@ -5,10 +5,20 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Words that tie a statement to an environment.
-CUES = ("64 bit", "64-bit", "32-bit", "arm", "bindings", "configuration", "configured", "default", "disabled", "enabled", "linux", "macos", "plugin", "windows")
-#: Keyword families counted in instructions.
-KEYWORD_FAMILIES = {"compare": ("compare", "version", "numeric"), "range": ("range", "bound", "before"), "strict": ("only", "must", "exact"), "output": ("json", "output", "return")}
+#: Patterns of words that tie a statement to an environment.
+CUES = (
+    "windows", "linux", "macos", "mac os", "android", "ios", "aarch64", "arm(?:64)?", "x86", "x64", "amd64",
+    "(?:32|64)[ -]bit", "platforms?", "architectures?", "bindings?", "plugins?", "modules?",
+    "configuration", "configured", "enabled", "disabled", "optional", "settings?", "compiled",
+    "fips", "non[ -]default", "kernel", "drivers?", "requires?", "prerequisites?",
+)
+#: Patterns counted in instructions.
+KEYWORD_FAMILIES = {
+    "boundary_terms": r"inclusive|exclusive|endpoint|boundar|equal",
+    "alias_terms": r"alias|normali[sz]|prefix|suffix|package.?manager|distro",
+    "uncertainty_include": r"[^.]*\b(ambiguous|unsure|uncertain|in doubt)\b[^.]*\binclu[^.]*\.",
+    "uncertainty_exclude": r"[^.]*\b(ambiguous|unsure|uncertain|in doubt)\b[^.]*\b(exclude|omit)[^.]*\.",
+}
 
 
 def family(name: Column) -> Column:
@@ -45,21 +55,21 @@ def clause_conditions(clause: Column) -> Column:
 def rendered_clause(vendor: Column, product: Column, exact: Column, lower: Column, upper: Column, lower_inclusive: Column, upper_inclusive: Column) -> Column:
     ends = F.concat_ws(
         " and ",
-        F.concat(F.lit("= "), exact),
         F.concat(F.when(lower_inclusive, ">= ").otherwise("> "), lower),
         F.concat(F.when(upper_inclusive, "<= ").otherwise("< "), upper),
     )
-    return F.concat(vendor, F.lit("/"), product, F.lit(": version "), F.when(ends == "", "any").otherwise(ends))
+    said = F.when(exact.isNotNull(), F.concat(F.lit("version = "), exact)).when(ends == "", "all numeric versions").otherwise(F.concat(F.lit("version "), ends))
+    return F.concat(vendor, F.lit("/"), product, F.lit(": "), said)
 
 
 def scope_cues(text: Column, cues: tuple[str, ...] = CUES) -> Column:
     """Distinct cues in a text, lower-cased and sorted."""
-    found = F.regexp_extract_all(F.lower(text), F.lit(r"\b(" + "|".join(cues) + r")\b"), F.lit(1))
+    found = F.regexp_extract_all(F.lower(text), F.lit(r"\b(?:" + "|".join(cues) + r")\b"), F.lit(0))
     return F.array_sort(F.array_distinct(found))
 
 
-def keyword_counts(text: Column, families: dict[str, tuple[str, ...]] = KEYWORD_FAMILIES) -> list[Column]:
-    return [F.regexp_count(F.lower(text), F.lit("|".join(words))).cast("long").alias(f"kw_{name}") for name, words in families.items()]
+def keyword_counts(text: Column, families: dict[str, str] = KEYWORD_FAMILIES) -> list[Column]:
+    return [F.regexp_count(F.lower(text), F.lit(pattern)).cast("long").alias(name) for name, pattern in families.items()]
 
 
 def rule_lines(text: Column) -> Column:
@@ -67,13 +77,25 @@ def rule_lines(text: Column) -> Column:
 
 
 def split_key(key: Column) -> Column:
-    """A record key 'arm/executor/T<tier>/R<rep>/stage.../item' as a struct; the executor may hold slashes, so fields are found around T and R."""
-    anchor = r"^([^/]+)/(.+)/T([0-9]+)/R([0-9]+)/(.*)/([^/]+)$"
-    field = lambda i: F.when(key.rlike(anchor), F.regexp_extract(key, anchor, i))
-    return F.struct(
-        field(1).alias("arm"), field(2).alias("executor"), field(3).cast("int").alias("tier"), field(4).cast("int").alias("repetition"),
-        field(5).alias("stage"), field(6).alias("item"),
-    )
+    """(arm, executor, tier, repetition, stage, panel) of a record key, absent ones empty.
+
+    Executors may hold slashes, so fields are counted from the right, or from the first T<tier>/R<repetition>. Keys:
+    main, gepa and reference: arm/executor/T1/R1/stage.../item; sealed: arm/executor/panel/x/item; selection:
+    arm/executor/x/item (panel validation); ceiling: arm/executor/panel/item; calibration and scaffolding:
+    arm/executor/stage/item; real_record: arm/executor/prompt/item. Other arms have no further fields."""
+    parts, empty = F.split(key, "/"), F.lit("")
+    arm, n = F.get(parts, F.lit(0)), F.size(F.split(key, "/"))
+    joined = lambda first, length: F.array_join(F.slice(parts, first, F.greatest(length, F.lit(0))), "/")
+    right = lambda k: F.coalesce(F.get(parts, n - k), empty)
+    anchors = F.filter(F.sequence(F.lit(1), F.greatest(n - 2, F.lit(1))), lambda i: F.get(parts, i).rlike("^T[0-9]+$") & F.get(parts, i + 1).startswith("R"))
+    at = F.get(anchors, F.lit(0))
+    anchored, known = arm.isin("main", "gepa", "reference"), arm.isin("selection", "ceiling", "calibration", "scaffolding", "real_record")
+    executor = F.when(anchored, joined(F.lit(2), at - 1)).when(arm == "sealed", joined(F.lit(2), n - 4)).when(known, joined(F.lit(2), n - 3))
+    tail = lambda i: F.when(anchored, F.substring(F.get(parts, i), 2, 1_000))
+    stage = F.when(anchored, joined(at + 3, n - at - 3)).when(arm.isin("calibration", "scaffolding"), right(2))
+    panel = F.when(arm == "sealed", right(3)).when(arm == "selection", "validation").when(arm == "ceiling", right(2)).when(arm == "real_record", "real_record")
+    named = {"arm": arm, "executor": executor, "tier": tail(at), "repetition": tail(at + 1), "stage": stage, "panel": panel}
+    return F.struct(*[F.coalesce(v, empty).alias(k) for k, v in named.items()])
 
 
 def estimated_tokens(text: Column) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillwork.functions import score as sc
@@ -112,12 +112,14 @@ def branch_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @BOOK.add("version_order_grid", f"""
-WITH v AS (SELECT DISTINCT version FROM components WHERE profile < 6)
-SELECT a.version AS a, b.version AS b, CASE WHEN ka < kb THEN -1 WHEN ka > kb THEN 1 ELSE 0 END::INT AS sign
-FROM (SELECT version, {_V} AS ka FROM v) a JOIN (SELECT version, {_V} AS kb FROM v) b ON left(a.version, 1) = left(b.version, 1)""")
+WITH v AS (SELECT DISTINCT version, {_V} AS k, string_split(version, '.')[1] AS head FROM components)
+SELECT a.version, count(*) FILTER (b.k < a.k) AS below, count(*) FILTER (b.k = a.k) AS same FROM v a JOIN v b USING (head) GROUP BY a.version""")
 def version_order_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v = view(spark, sf_dir, "components").where("profile < 6").select("version").distinct().withColumn("head", F.substring("version", 1, 1))
-    return v.withColumnRenamed("version", "a").join(v.withColumnRenamed("version", "b"), "head").select("a", "b", vs.compare(F.col("a"), F.col("b")).alias("sign"))
+    """Each version's place among those of its major number, by their order keys; equal keys share a place."""
+    v = view(spark, sf_dir, "components").select("version", vs.version_key(F.col("version")).alias("k")).distinct().withColumn("head", F.split("version", r"\.")[0])
+    w = Window.partitionBy("head").orderBy("k")
+    same = F.count(F.lit(1)).over(Window.partitionBy("head", "k"))
+    return v.select("version", (F.rank().over(w) - 1).cast("long").alias("below"), same.alias("same"))
 
 
 @BOOK.add("bound_position", f"""
@@ -150,15 +152,6 @@ def clause_rendering(spark: SparkSession, sf_dir: str) -> DataFrame:
     return view(spark, sf_dir, "terms").select("cve", tx.rendered_clause(*[F.col(c) for c in ("vendor", "product", "exact", "lower", "upper", "lower_inclusive", "upper_inclusive")]).alias("clause"))
 
 
-#: Reasons in the order they are tried (fixed values).
-_REASON = """
-SELECT p_partkey AS id, CASE WHEN p_partkey % 17 = 0 THEN 'nonapplication_cpe' WHEN p_partkey % 13 = 0 THEN 'nonvulnerable_or_prerequisite'
-       WHEN p_name LIKE '%*%' THEN 'nonliteral_product' WHEN p_size % 10 = 0 AND p_partkey % 2 = 0 THEN 'unsupported_numeric_version'
-       WHEN p_partkey % 11 = 0 THEN 'conflicting_range_endpoints' WHEN p_size > 45 THEN 'empty_or_inverted_range' WHEN p_size = p_partkey % 50 THEN 'exact_plus_range' END AS reason
-FROM part"""
-BOOK.portable("criterion_reject_reason", f"SELECT coalesce(reason, 'accepted') AS reason, count(*) AS n FROM ({_REASON}) r GROUP BY coalesce(reason, 'accepted')")
-
-
 @BOOK.add("kleene_combine", """
 SELECT l_orderkey, CASE WHEN count(*) FILTER (v) > 0 THEN true WHEN count(*) FILTER (v IS NULL) > 0 THEN NULL ELSE false END AS verdict
 FROM (SELECT l_orderkey, CASE WHEN l_linenumber = 3 THEN NULL ELSE l_returnflag = 'A' END AS v FROM lineitem) GROUP BY l_orderkey""")
@@ -177,15 +170,9 @@ def identity_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
     return named.join(alias, "k", "left").select("s_suppkey", "vendor")
 
 
-_EDGES = "SELECT DISTINCT l_partkey AS a, l_orderkey AS b FROM lineitem WHERE l_orderkey % 20 = 0"
-
-
-@BOOK.add("product_components", f"""
-WITH RECURSIVE e AS ({_EDGES}), p AS (SELECT DISTINCT x.a AS a, y.a AS b FROM e x JOIN e y USING (b)),
-r AS (SELECT a AS node, a AS root FROM p UNION SELECT p.b, r.root FROM r JOIN p ON p.a = r.node)
-SELECT node, min(root) AS root FROM r GROUP BY node""")
+@BOOK.add("product_components")
 def product_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts that share an order are connected; each order links its parts to its smallest one."""
-    lines = view(spark, sf_dir, "lineitem").where("l_orderkey % 20 = 0").select("l_partkey", "l_orderkey").distinct()
+    lines = view(spark, sf_dir, "lineitem").select("l_partkey", "l_orderkey").distinct()
     heads = lines.groupBy("l_orderkey").agg(F.min("l_partkey").alias("head"))
     return graph.components(lines.join(heads, "l_orderkey").select("l_partkey", "head"), "l_partkey", "head")

@@ -33,12 +33,12 @@ def top2_per_cell(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @BOOK.add("round_robin_batches", """
-WITH b AS (SELECT profile, stratum, tp + fn > 0 AS positive FROM score_rows WHERE section IN ('src1', 'src2')),
+WITH b AS (SELECT profile, stratum, tp + fn > 0 AS positive FROM score_rows),
 t AS (SELECT *, row_number() OVER (PARTITION BY stratum, positive ORDER BY sha256('batch/' || profile) DESC, profile) AS turn FROM b),
 p AS (SELECT *, row_number() OVER (ORDER BY turn, stratum, positive) - 1 AS place FROM t)
 SELECT profile, place, place // 6 AS batch FROM p""")
 def round_robin_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = view(spark, sf_dir, "score_rows").where("section in ('src1', 'src2')").select("profile", "stratum", (F.col("tp") + F.col("fn") > 0).alias("positive"))
+    rows = view(spark, sf_dir, "score_rows").select("profile", "stratum", (F.col("tp") + F.col("fn") > 0).alias("positive"))
     order = [F.sha2(F.concat(F.lit("batch/"), F.col("profile").cast("string")), 256).desc(), F.col("profile")]
     return od.interleaved(rows, ["stratum", "positive"], order, 6).select("profile", F.col("place").cast("long"), "batch")
 
@@ -46,10 +46,11 @@ def round_robin_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
 BOOK.portable("strict_interleave", """
 SELECT profile, stratum, (place - 3 + 2 * n) % n AS place FROM (
   SELECT profile, stratum, CAST(row_number() OVER (ORDER BY turn, stratum) AS BIGINT) - 1 AS place, count(*) OVER () AS n
-  FROM (SELECT profile, stratum, row_number() OVER (PARTITION BY stratum ORDER BY profile) AS turn FROM score_rows) t WHERE turn <= 8) p""")
+  FROM (SELECT profile, stratum, row_number() OVER (PARTITION BY stratum ORDER BY profile) AS turn FROM score_rows) t
+  WHERE turn <= (SELECT min(c) FROM (SELECT count(*) AS c FROM score_rows GROUP BY stratum) m)) p""")
 BOOK.portable("latin_rotation", """
 SELECT profile, variant, (variant - profile % 5 + 5) % 5 AS place
-FROM (SELECT DISTINCT l_suppkey AS profile, l_linenumber % 5 AS variant FROM lineitem WHERE l_suppkey <= 50) v""")
+FROM (SELECT DISTINCT l_suppkey AS profile, l_linenumber % 5 AS variant FROM lineitem) v""")
 
 
 @BOOK.add("pareto_frontier", """
@@ -139,7 +140,7 @@ def weighted_draw(spark: SparkSession, sf_dir: str) -> DataFrame:
 BOOK.portable("quota_fill", """
 SELECT source, CAST(count(*) AS BIGINT) AS quota FROM (
   SELECT source, k, row_number() OVER (ORDER BY k, source) AS place FROM (
-    SELECT source, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS k FROM documents WHERE doc_id % 3 = 0) c) p WHERE place <= 75 GROUP BY source""")
+    SELECT source, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS k FROM documents) c) p WHERE place <= 75 GROUP BY source""")
 BOOK.portable("best_per_executor", """
 SELECT executor, tier, repetition, f1 FROM (
   SELECT *, row_number() OVER (PARTITION BY executor ORDER BY f1 DESC, tier, repetition) AS k FROM tiers) t WHERE k = 1""")

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from quillwork.plans import applicability, ordered, reports, scoring, streams, texts, workflow
+from quillwork.plans import applicability, ordered, records, reports, scoring, streams, texts, workflow
 from quillwork.plans.base import Query
 
-_BOOKS = (applicability.BOOK, scoring.BOOK, ordered.BOOK, reports.BOOK, texts.BOOK, streams.BOOK, workflow.BOOK)
+_BOOKS = (applicability.BOOK, scoring.BOOK, ordered.BOOK, reports.BOOK, records.BOOK, texts.BOOK, streams.BOOK, workflow.BOOK)
 
 
 def queries() -> dict[str, Query]:

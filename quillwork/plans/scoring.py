@@ -262,12 +262,6 @@ def prompt_contract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return view(spark, sf_dir, "conversations").select("conv_id", "turn", F.length(contracts.parse_prompt(raw)).alias("prompt_chars"))
 
 
-@BOOK.add("cpe_fields")
-def cpe_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
-    name = F.concat(F.lit("cpe:2.3:a:"), F.regexp_replace(F.lower("p_brand"), "#", r"\\\\:"), F.lit(":"), F.regexp_replace(F.lower("p_type"), " ", "_"), F.lit(":*:*:*:*:*:*:*:*"))
-    return view(spark, sf_dir, "part").select("p_partkey", contracts.cpe_fields(name).alias("f")).select("p_partkey", F.col("f")[1].alias("vendor"), F.col("f")[2].alias("product"))
-
-
 @BOOK.add("hash_partition", """
 WITH h AS (SELECT doc_id, ('0x' || substr(sha256(doc_id::VARCHAR), 63, 2))::INT AS low, sha256(doc_id::VARCHAR) AS d FROM documents),
 b AS (SELECT doc_id, list_reduce(list_transform(range(1, 65), lambda i: ('0x' || substr(d, i, 1))::INT), lambda a, x: (a * 16 + x) % 100) AS bucket FROM h)

@@ -32,17 +32,25 @@ def inventory_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@BOOK.add("key_split", r"""
-SELECT id, 'main' AS arm, regexp_extract(key, '^[^/]+/(.+)/T[0-9]+/R', 1) AS executor, regexp_extract(key, '/T([0-9]+)/R', 1)::INT AS tier, regexp_extract(key, '/R([0-9]+)/', 1)::INT AS repetition,
-       regexp_extract(key, '/R[0-9]+/(.*)/[^/]+$', 1) AS stage, 'item_' || id AS item FROM evaluations""")
+_ARMS = "['main', 'gepa', 'reference', 'sealed', 'selection', 'ceiling', 'calibration', 'scaffolding', 'real_record', 'other']"
+
+
+@BOOK.add("key_split", f"""
+WITH k AS (SELECT o_orderkey AS id, {_ARMS}[o_orderkey % 10 + 1] AS arm, o_orderkey % 10 AS a, 'model:' || o_custkey % 3 || CASE WHEN o_custkey % 2 = 0 THEN '/on' ELSE '' END AS executor FROM orders)
+SELECT id, arm, CASE WHEN a < 9 THEN executor ELSE '' END AS executor, CASE WHEN a < 3 THEN (id % 3 + 1)::VARCHAR ELSE '' END AS tier, CASE WHEN a < 3 THEN (id % 5)::VARCHAR ELSE '' END AS repetition,
+  CASE WHEN a < 3 THEN 'r' || id % 8 || '/T9' WHEN a IN (6, 7) THEN 'naive' ELSE '' END AS stage, CASE a WHEN 3 THEN 'test' WHEN 4 THEN 'validation' WHEN 5 THEN 'temporal' WHEN 8 THEN 'real_record' ELSE '' END AS panel FROM k""")
 def key_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return view(spark, sf_dir, "evaluations").select("id", tx.split_key(F.col("key")).alias("k")).select("id", "k.*")
+    """Keys of every shape, whose executors may hold a slash and whose stages may look like a tier."""
+    key = F.expr("""concat_ws('/', element_at(array('main', 'gepa', 'reference', 'sealed', 'selection', 'ceiling', 'calibration', 'scaffolding', 'real_record', 'other'), int(o_orderkey % 10 + 1)),
+        concat('model:', o_custkey % 3, if(o_custkey % 2 = 0, '/on', '')),
+        CASE o_orderkey % 10 WHEN 3 THEN 'test/x' WHEN 4 THEN 'x' WHEN 5 THEN 'temporal' WHEN 6 THEN 'naive' WHEN 7 THEN 'naive' WHEN 8 THEN 'abc' WHEN 9 THEN 'y' ELSE concat('T', o_orderkey % 3 + 1, '/R', o_orderkey % 5, '/r', o_orderkey % 8, '/T9') END,
+        concat('item_', o_orderkey))""")
+    return view(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), tx.split_key(key).alias("k")).select("id", "k.*")
 
 
-@BOOK.add("keyword_features", r"""
+@BOOK.add("keyword_features", rf"""
 SELECT conv_id, turn, length(text) AS chars, len(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(trim(x), '^(?:[-*]|[0-9]+[.)])\s'))) AS rule_lines,
-       len(regexp_extract_all(lower(text), 'compare|version|numeric')) AS kw_compare, len(regexp_extract_all(lower(text), 'range|bound|before')) AS kw_range,
-       len(regexp_extract_all(lower(text), 'only|must|exact')) AS kw_strict, len(regexp_extract_all(lower(text), 'json|output|return')) AS kw_output, ceil(length(text) / 4)::BIGINT AS tokens FROM conversations""")
+       {", ".join(f"len(regexp_extract_all(lower(text), '{p}')) AS {n}" for n, p in tx.KEYWORD_FAMILIES.items())}, ceil(length(text) / 4)::BIGINT AS tokens FROM conversations""")
 def keyword_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = F.col("text")
     return view(spark, sf_dir, "conversations").select(
@@ -51,7 +59,7 @@ def keyword_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @BOOK.add("scope_cues", rf"""
-SELECT doc_id, array_to_string(list_sort(list_distinct(regexp_extract_all(lower(text), '\b({"|".join(tx.CUES)})\b'))), ',') AS cues FROM documents""")
+SELECT doc_id, array_to_string(list_sort(list_distinct(regexp_extract_all(lower(text), '\b(?:{"|".join(tx.CUES)})\b'))), ',') AS cues FROM documents""")
 def scope_cues(spark: SparkSession, sf_dir: str) -> DataFrame:
     return view(spark, sf_dir, "documents").select("doc_id", F.array_join(tx.scope_cues(F.col("text")), ",").alias("cues"))
 
@@ -98,10 +106,6 @@ def interval_probes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spread.select("vendor", "x.kind", "x.probe")
 
 
-BOOK.portable("cna_status", """
-SELECT l_orderkey, l_partkey, CASE WHEN count(*) > 1 THEN 'ambiguous' WHEN max(CASE WHEN l_returnflag = 'A' THEN 1 ELSE 0 END) = 1 THEN 'affected' ELSE 'unaffected' END AS status FROM lineitem GROUP BY l_orderkey, l_partkey""")
-
-
 @BOOK.add("json_dialects", "SELECT event_id, event_type, round(value, 6) AS value, strlen(props) > 2 AS has_props FROM events")
 def json_dialects(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two record dialects read with their own schemas and brought to one."""

@@ -12,20 +12,10 @@ from quillwork.plans.base import Book, view
 
 BOOK = Book()
 
-_EDGE = "SELECT l_partkey AS a, min(l_partkey) OVER (PARTITION BY l_orderkey) AS b FROM lineitem WHERE l_orderkey % 20 = 0"
-
-
-@BOOK.add("pool_assignment", f"""
-WITH RECURSIVE e AS (SELECT DISTINCT a, b FROM ({_EDGE})), p AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
-r AS (SELECT a AS node, a AS root FROM p UNION SELECT p.b, r.root FROM r JOIN p ON p.a = r.node),
-g AS (SELECT node, min(root) AS root FROM r GROUP BY node),
-h AS (SELECT node, root, list_reduce(list_transform(range(1, 65), lambda i: ('0x' || substr(sha256('g' || root), i, 1))::INT), lambda a, x: (a * 16 + x) % 10) AS hr,
-             list_reduce(list_transform(range(1, 65), lambda i: ('0x' || substr(sha256('i' || node), i, 1))::INT), lambda a, x: (a * 16 + x) % 100) AS hi FROM g)
-SELECT node, CASE WHEN hr = 0 THEN 'product_heldout' WHEN node % 10 = 3 THEN 'temporal' WHEN hi < 10 THEN 'pilot_development' WHEN hi < 20 THEN 'pilot_validation'
-       WHEN hi < 60 THEN 'optimization' WHEN hi < 75 THEN 'validation' ELSE 'test' END AS pool FROM h""")
+@BOOK.add("pool_assignment")
 def pool_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Held-out product groups first, then late records, then the digest of the record's own id."""
-    lines = view(spark, sf_dir, "lineitem").where("l_orderkey % 20 = 0")
+    lines = view(spark, sf_dir, "lineitem")
     heads = lines.groupBy("l_orderkey").agg(F.min("l_partkey").alias("b"))
     groups = graph.components(lines.join(heads, "l_orderkey").select(F.col("l_partkey").alias("a"), "b").distinct(), "a", "b")
     number = lambda tag, c: hashing.bucket(F.concat(F.lit(tag), F.col(c).cast("string")), 10 if tag == "g" else 100)
@@ -133,18 +123,11 @@ def nan_cleaning(spark: SparkSession, sf_dir: str) -> DataFrame:
     return view(spark, sf_dir, "embeddings").select("vec_id", F.when(~F.isnan(x), x).alias("clean"))
 
 
-BOOK.portable("advisory_validation", """
-SELECT reason, count(*) AS n FROM (
-  SELECT CASE WHEN o_orderkey % 29 = 0 THEN 'bad_id' WHEN o_orderstatus = 'P' THEN 'bad_status' WHEN o_totalprice > 400000 THEN 'description_too_long'
-              WHEN coalesce(l.n, 0) = 0 THEN 'no_terms' WHEN l.n > 6 THEN 'too_many_terms' ELSE 'accepted' END AS reason
-  FROM orders o LEFT JOIN (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY l_orderkey) l ON o.o_orderkey = l.l_orderkey) v GROUP BY reason""")
 BOOK.portable("quarantine_filter", """
 SELECT CAST(year(o.o_orderdate) AS BIGINT) AS year, count(*) AS n FROM orders o LEFT JOIN (SELECT DISTINCT l_orderkey FROM lineitem WHERE l_quantity > 49) q ON o.o_orderkey = q.l_orderkey
 WHERE q.l_orderkey IS NULL AND CAST(year(o.o_orderdate) AS BIGINT) IN (1993, 1994, 1995) GROUP BY CAST(year(o.o_orderdate) AS BIGINT)""")
 BOOK.portable("context_fit", """
-SELECT o_orderpriority, count(*) AS n, max(o_custkey) + 512 <= 2048 AS fits_all, CASE WHEN count(CASE WHEN o_orderkey % 17 = 0 THEN 1 END) > 0 THEN false ELSE true END AS shown_to_fit FROM orders GROUP BY o_orderpriority""")
-BOOK.portable("label_corrections", """
-SELECT p_partkey, CASE WHEN p_name LIKE 'a%' THEN 'wrong_product' WHEN p_size > 40 AND p_retailprice > 1500 THEN 'denied' WHEN p_type LIKE '%5%' THEN 'prose_range' ELSE 'kept' END AS correction FROM part""")
+SELECT split_part(key, '/T', 1) AS condition, count(*) AS n, CAST(max(tokens) AS BIGINT) AS most, count(*) - count(tokens) AS missing, max(tokens) + 512 <= 1500 AND count(*) = count(tokens) AS shown_to_fit FROM evaluations GROUP BY split_part(key, '/T', 1)""")
 BOOK.portable("label_bound_lookup", """
 SELECT t.executor, t.tier, t.repetition, i.low FROM tiers t JOIN (SELECT executor, tier, min(f1) AS low FROM tiers GROUP BY executor, tier) i ON t.executor = i.executor AND t.tier = i.tier""")
 BOOK.portable("reconstruction_chain", """
