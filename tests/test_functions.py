@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from quillwork.functions import contracts
 from quillwork.functions import score as sc
 from quillwork.functions import text as tx
+from quillwork.functions import validation as va
 from quillwork.functions import version as vs
 from quillwork.operators import aggregates as ag
 from quillwork.operators import generate, graph, joins
@@ -60,29 +61,52 @@ def test_applicability_truth_table(spark):
 
 
 def test_position(spark):
-    up = "701.702.703.703"
-    cases = [("701.702.703.702", up, False, "below"), (up, up, False, "on_exclusive"), (up, up, True, "on_inclusive"), ("701.702.703.704", up, False, "above")]
-    df = spark.createDataFrame(cases, "v string, u string, inc boolean, want string")
-    none = F.lit(None).cast(spark.range(1).select(vs.version_key(F.lit("1"))).schema[0].dataType)
-    got = df.select("want", vs.position(vs.version_key(F.col("v")), none, vs.version_key(F.col("u")), F.lit(False), F.col("inc")).alias("got")).collect()
-    assert all(r.want == r.got for r in got)
+    """Every version of the grid against every pair of bounds, by comparing tuples."""
+    ends = [None, "1.2", "1.10"]
+    cases = [(v, a, b, i, j) for v in GRID for a in ends for b in ends for i in (True, False) for j in (True, False) if not (a and b) or number(a) <= number(b)]
+    df = spark.createDataFrame(cases, "v string, a string, b string, i boolean, j boolean")
+    got = df.select("*", vs.position(*[vs.version_key(F.col(c)) for c in "vab"], F.col("i"), F.col("j")).alias("got")).collect()
+
+    def place(v, a, b, i, j):
+        for bound, inclusive, side in ((a, i, "below"), (b, j, "above")):
+            if bound is not None and number(v) == number(bound):
+                return "on_inclusive" if inclusive else "on_exclusive"
+            if bound is not None and (number(v) < number(bound)) == (side == "below"):
+                return side
+        return "above" if a is not None else "below" if b is not None else None
+
+    assert all(r.got == place(r.v, r.a, r.b, r.i, r.j) for r in got)
 
 
 def test_inventory_and_clauses(spark):
-    text = "- nozominetworks cmc 22.6.1\nnozominetworks/cmc@22.6.1\n\nNozomi Networks CMC\tv"
+    names, versions = ["blue heron", "Kiln", "north/gate", "a-b.c"], ["4.10", "2", "0.0.7-beta"]
+    items = [(n, v, style) for n in names for v in versions for style in ("{}@{}", "- {}@{}", "- {} {}", "{}\t{}")]
+    text = "\n\n".join(style.format(n, v) for n, v, style in items) + "\nalone\n"
     got = [tuple(x) for x in spark.createDataFrame([(text,)], "t string").select(tx.inventory(F.col("t"))).first()[0]]
-    assert got[:2] == [("nozominetworks cmc", "22.6.1"), ("nozominetworks/cmc", "22.6.1")]
-    clauses = [(">= 6.2.0 and <= 6.2.12", 2), ("versions prior to 4.2 are affected", 1), ("all versions are vulnerable", None)]
+    assert got == [(n, v) for n, v, _ in items] + [("alone", None)]
+    clauses = [(">= 3.1 and < 3.40", 2), ("= 5", 1), ("versions before 8.0 of it", 1), ("some of them", None), (">= 1 or so", None)]
     df = spark.createDataFrame(clauses, "c string, n int").select("n", tx.clause_conditions(F.col("c")).alias("x"))
     for n, x in df.collect():
         assert (None if x is None else len(x)) == n
-    v = spark.createDataFrame([("7.0", "= 7.0.0", True), ("6.2.5", ">= 6.2.0 and <= 6.2.12", True), ("6.2.13", ">= 6.2.0 and <= 6.2.12", False), ("2023-rc1", "< 4", None)], "v string, c string, want boolean")
+    v = spark.createDataFrame([("3.9", ">= 3.1 and < 3.40", True), ("3.40.0", ">= 3.1 and < 3.40", False), ("3.40", "> 3.1 and <= 3.40", True), ("5.0", "= 5", True), ("3-x", "< 9", None)], "v string, c string, want boolean")
     assert all(r.want == r.got for r in v.select("want", joins.clause_verdict(F.col("v"), tx.clause_conditions(F.col("c"))).alias("got")).collect())
 
 
 def test_key_parsing(spark):
-    got = spark.createDataFrame([("main/qwen3.8:27b/off/T1/R1/r6/incumbent/optimization_0026",), ("odd",)], "k string").select(tx.split_key(F.col("k")).alias("k")).collect()
-    assert tuple(got[0].k) == ("main", "qwen3.8:27b/off", 1, 1, "r6/incumbent", "optimization_0026") and set(got[1].k) == {None}
+    """Keys made of fields by the rule of each arm, and read back."""
+    cases = []
+    for executor in ("m1", "host/m2:7b", "a/b/c"):
+        for arm in ("main", "gepa", "reference"):
+            for stage in ("s", "s/t", "T3/Rx", ""):
+                cases.append(("/".join(x for x in (arm, executor, "T2", "R11", stage, "item") if x), (arm, executor, "2", "11", stage, "")))
+        cases += [
+            (f"sealed/{executor}/held/x/item", ("sealed", executor, "", "", "", "held")), (f"selection/{executor}/x/item", ("selection", executor, "", "", "", "validation")),
+            (f"ceiling/{executor}/later/item", ("ceiling", executor, "", "", "", "later")), (f"real_record/{executor}/0f/item", ("real_record", executor, "", "", "", "real_record")),
+            *[(f"{arm}/{executor}/plain/item", (arm, executor, "", "", "plain", "")) for arm in ("calibration", "scaffolding")], (f"odd/{executor}", ("odd", "", "", "", "", "")),
+        ]
+    cases += [("odd", ("odd", "", "", "", "", "")), ("main/x/y/z", ("main", "", "", "", "", ""))]
+    got = spark.createDataFrame([(k,) for k, _ in cases], "k string").select("k", tx.split_key(F.col("k")).alias("x")).collect()
+    assert {r.k: tuple(r.x) for r in got} == dict(cases)
 
 
 def test_three_valued_any(spark):
@@ -98,19 +122,87 @@ def test_scores_of_failed_and_empty_answers(spark):
     assert pooled.micro_f1 == round(18 / 19, 6) and pooled.coverage == 1.0
 
 
-BAD = ["", "[]", "null", "true", "{}", '{"other":[]}', '{"a":null}', '{"a":{}}', '{"a":["zz"]}', '{"a":[1]}', '{"a":[],"b":1}', '{"a":[],"a":[]}', '{"a":["x","x"]}', "```json\n{}\n```", 'Answer: {"a":[]}', '{"a":[NaN]}', '{"a":["x"']
+KNOWN = ["north", "south", "west"]
+
+
+def answers():
+    """(raw, ids or None): every object of up to two pairs, written out by hand, with the verdict that its parts call for."""
+    values = ['"north"', '"south"', '"elsewhere"', "7", "null", "NaN", '["west"]', "{}"]
+    lists = [[], *[[a] for a in values], *[[a, b] for a in values[:4] for b in values[:4]]]
+    for items in lists:
+        good = all(i.strip('"') in KNOWN and i.startswith('"') for i in items) and len(set(items)) == len(items)
+        listed = "[" + ", ".join(items) + "]"
+        yield f'{{"picked": {listed}}}', sorted(i.strip('"') for i in items) if good else None
+        yield f' {{"picked":{listed}}} \n', sorted(i.strip('"') for i in items) if good else None
+        for other in (f'{{"picked": {listed}, "note": 1}}', f'{{"picked": {listed}, "picked": {listed}}}', f'{{"chosen": {listed}}}', listed, f'so: {{"picked": {listed}}}', f'{{"picked": {listed}', f"{{'picked': {listed}}}"):
+            yield other, None
+    for scalar in ("0", "false", '"north"', "", " ", "{", "nul"):
+        yield scalar, None
+        yield f'{{"picked": {scalar}}}', None
 
 
 def test_strict_answers():
-    assert all(contracts.answer(x, "stop", ["x", "y"], "a") is None for x in BAD)
-    assert contracts.answer('{"a":[]}', "stop", ["x"], "a") == [] and contracts.answer('{"a":["y","x"]}', "stop", ["x", "y"], "a") == ["x", "y"]
-    assert all(contracts.answer('{"a":[]}', f, ["x"], "a") is None for f in ("length", "refusal", "tool_calls", "", None))
+    for raw, ids in answers():
+        assert contracts.answer(raw, "stop", KNOWN, "picked") == ids, raw
+        assert all(contracts.answer(raw, finish, KNOWN, "picked") is None for finish in (None, "", "STOP", "cut", "error"))
+    assert contracts.answer(None, "stop", KNOWN, "picked") is None
 
 
-def test_canonical_and_cpe():
+def test_canonical():
     assert contracts.canonical({"b": 1e-05, "a": ["é", None]}) == '{"a":["é",null],"b":1e-05}'
-    assert contracts.split_cpe(r"cpe:2.3:a:vendor:prod\:uct:2.0:*:*:*:*:*:*:*")[1:3] == ["vendor", r"prod\:uct"]
-    assert contracts.split_cpe("cpe:2.3:a:b") is None and contracts.split_cpe(None) is None
+
+
+def cpe_by_hand(name):
+    """The fields of a name, or why it is none, character by character."""
+    parts, escape = [""], False
+    if name is None or len(name) > 2048:
+        return "invalid_cpe"
+    for c in name:
+        if escape:
+            if not c.isascii() or c.isalnum() or c.isspace() or c in "*?":
+                return "unsupported_cpe_escape"
+            parts[-1] += c
+            escape = False
+        elif c == "\\":
+            escape = True
+        elif c == ":":
+            parts.append("")
+        elif c.isascii() and c.isalnum() or c in "_.-*?":
+            parts[-1] += c
+        else:
+            return "invalid_cpe_character"
+    return parts[2:] if not escape and len(parts) == 13 and parts[:2] == ["cpe", "2.3"] else "invalid_cpe"
+
+
+def test_cpe_names(spark):
+    import random
+
+    rng, pieces = random.Random(5), ["a", "o", "Kiln", "b_c", "*", "?", "-", "", "x\\:y", "p\\+q", "\\\\", "\\", "\\*", "\\ ", "s p", "é", "\\é", "\n", "1.0"]
+    names = [None, "", "cpe", "cpe:2.3:" + "a" * 2100] + ["cpe:2.3:" + ":".join(rng.choice(pieces) if rng.random() < 0.35 else rng.choice("abc*") for _ in range(rng.choice((11, 11, 11, 10, 12)))) for _ in range(400)]
+    got = spark.createDataFrame([(n,) for n in names], "n string").select("n", va.cpe_reason(F.col("n")).alias("reason"), va.cpe_fields(F.col("n")).alias("fields")).collect()
+    for r in got:
+        want = cpe_by_hand(r.n)
+        assert (r.reason, r.fields) == ((want, None) if isinstance(want, str) else (None, want)), r.n
+    assert len({r.reason for r in got}) == 4
+
+
+def test_status_and_corroboration(spark):
+    """Truth tables of a producer's entries, and agreement with a range by trying many versions."""
+    entries = [("1.2", None, None), ("1.2", "1.10", None), ("1.2", None, "1.10"), ("1.2", "*", None), ("2", "3", None)]
+    held = lambda v, e: number(v) == number(e[0]) if not (e[1] or e[2]) else number(v) >= number(e[0]) and (e[1] == "*" or number(v) < number(e[1] or e[2]) or (e[2] is not None and number(v) == number(e[2])))
+    rows = [(v, [(*e, "affected") for e in pair]) for v in GRID for pair in itertools.combinations(entries, 2)] + [(v, []) for v in GRID]
+    kind = "array<struct<version:string,lessThan:string,lessThanOrEqual:string,status:string>>"
+    df = spark.createDataFrame(rows, f"v string, e {kind}").select("v", "e", va.status_for(F.col("e"), F.lit("unaffected"), F.col("v")).alias("s"))
+    for r in df.collect():
+        n = sum(held(r.v, e) for e in r.e)
+        assert tuple(r.s) == ((None, "cna_overlapping_version_entries") if n > 1 else ("affected" if n else "unaffected", None))
+    many = [f"{a}.{b}" for a in range(4) for b in range(13)] + ["1.2.0.1", "1.9.9", "1.10.0.1"]
+    terms = [(None, low, high, i, j) for low in (None, "1.2") for high in (None, "1.10") for i in (True, False) for j in (True, False)] + [("1.2", None, None, False, False)]
+    inside = lambda v, t: number(v) == number(t[0]) if t[0] else (t[1] is None or number(v) > number(t[1]) or (t[3] and number(v) == number(t[1]))) and (t[2] is None or number(v) < number(t[2]) or (t[4] and number(v) == number(t[2])))
+    cases = [(t, [(*e, "affected")]) for t in terms for e in entries]
+    df = spark.createDataFrame(cases, f"t struct<exact:string,lower:string,upper:string,lower_inclusive:boolean,upper_inclusive:boolean>, e {kind}")
+    for r in df.select("t", "e", va.corroborated(F.col("t"), F.col("e"), F.lit("unaffected")).alias("same")).collect():
+        assert r.same == all(inside(v, tuple(r.t)) == held(v, tuple(r.e[0])) for v in many), r
 
 
 @pytest.mark.parametrize("k,n", [(0, 10), (10, 10), (3, 10), (50, 80), (0, 0)])
