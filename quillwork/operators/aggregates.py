@@ -29,16 +29,14 @@ def distribution(rows: DataFrame, by: list[str], value: str) -> DataFrame:
     )
 
 
-def floor_rank(value: Column, share: float) -> Column:
-    """The element of rank max(1, floor(share n)) of the sorted values."""
-    s = F.array_sort(F.collect_list(value))
-    return F.element_at(s, F.greatest(F.floor(F.size(s) * share), F.lit(1)).cast("int"))
+def floor_rank(share: float) -> Column:
+    """0-based rank max(1, floor(share n)) - 1, for at_ranks."""
+    return F.greatest(F.floor(F.col("_n") * share), F.lit(1)) - 1
 
 
-def clamped_rank(value: Column, share: float) -> Column:
-    """The element of 0-based rank int(share n), the last at most."""
-    s = F.array_sort(F.collect_list(value))
-    return F.get(s, F.least(F.floor(F.size(s) * share), F.size(s) - 1).cast("int"))
+def clamped_rank(share: float) -> Column:
+    """0-based rank int(share n), the last at most, for at_ranks."""
+    return F.least(F.floor(F.col("_n") * share), F.col("_n") - 1)
 
 
 def macro_f1(cells: DataFrame, by: list[str], unit: str) -> DataFrame:

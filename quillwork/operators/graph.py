@@ -5,27 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillwork.operators.lineage import checkpointed
+
 
 def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     """(node, root): root is the smallest node that is connected with node.
 
     Each round takes the least label among neighbours and then that label's label, so long chains
     halve; checkpoint() cuts the lineage of every round."""
-    spark = edges.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.getCheckpointDir():
-        import tempfile
-
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        spark.sparkContext.setCheckpointDir(f"{tempfile.gettempdir()}/checkpoints")
-    both = edges.select(F.col(a).alias("x"), F.col(b).alias("y")).union(edges.select(b, a)).distinct().checkpoint()
-    labels = both.groupBy("x").agg(F.least(F.min("y"), F.first("x")).alias("root")).withColumnRenamed("x", "node").checkpoint()
+    both = checkpointed(edges.select(F.col(a).alias("x"), F.col(b).alias("y")).union(edges.select(b, a)).distinct())
+    labels = checkpointed(both.groupBy("x").agg(F.least(F.min("y"), F.first("x")).alias("root")).withColumnRenamed("x", "node"))
     while True:
         seen = labels.select(F.col("node").alias("y"), F.col("root").alias("seen"))
         heard = both.join(seen, "y").groupBy(F.col("x").alias("node")).agg(F.min("seen").alias("seen"))
         via = labels.join(heard, "node").select("node", F.col("root").alias("old"), F.least("root", "seen").alias("via"))
         further = labels.select(F.col("node").alias("via"), F.col("root").alias("further"))
-        step = via.join(further, "via").select("node", "old", F.least("via", "further").alias("root")).checkpoint()
+        step = checkpointed(via.join(further, "via").select("node", "old", F.least("via", "further").alias("root")))
         labels = step.select("node", "root")
         if step.where("root <> old").isEmpty():
             return labels

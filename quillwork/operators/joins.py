@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillwork.functions import text as tx
 from quillwork.functions import version as vs
+from quillwork.operators.ordered import ranged
 
 
 def applicability(components: DataFrame, terms: DataFrame) -> DataFrame:
@@ -76,11 +77,12 @@ def pareto(rows: DataFrame, up: str, down: str) -> DataFrame:
     """Rows that no other row beats on one measure without losing on the other.
 
     Only the best value of up per value of down can dominate, so a running maximum over the distinct
-    values of down decides, in place of comparing all pairs."""
-    from pyspark.sql import Window
-
-    best = rows.groupBy(down).agg(F.max(up).alias("_best"))
-    before = Window.orderBy(down).rowsBetween(Window.unboundedPreceding, -1)
-    walked = best.withColumn("_before", F.max("_best").over(before))
+    values of down decides, in place of comparing all pairs; it runs within ranges of down, with the highest
+    value of the ranges before carried in."""
+    best = ranged(rows.groupBy(down).agg(F.max(up).alias("_best")), [F.col(down)])
+    earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    carried = best.groupBy("_part").agg(F.max("_best").alias("_most")).select("_part", F.max("_most").over(earlier).alias("_carry"))
+    before = F.max("_best").over(Window.partitionBy("_part").orderBy(down).rowsBetween(Window.unboundedPreceding, -1))
+    walked = best.join(F.broadcast(carried), "_part").withColumn("_before", F.greatest(before, "_carry")).drop("_part", "_carry")
     kept = rows.join(walked, down).where((F.col(up) == F.col("_best")) & (F.col("_before").isNull() | (F.col(up) > F.col("_before"))))
     return kept.drop("_best", "_before")

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from quillwork.functions.hashing import draw
 from quillwork.functions.score import T_975, f1
+from quillwork.operators.lineage import checkpointed
+from quillwork.operators.ordered import placed
 
 
 def replicates(rows: DataFrame, n: int, seed: str) -> DataFrame:
@@ -35,7 +37,7 @@ def mean_interval(deltas: DataFrame, by: list[str], unit: str, value: str, n: in
 
 def weights(units: DataFrame, unit: str, n: int, seed: str, name: str) -> DataFrame:
     """(replicate, unit, weight): how often each unit is drawn in each replicate."""
-    numbered = units.select(unit).distinct().withColumn("i", F.row_number().over(Window.orderBy(unit)) - 1)
+    numbered = checkpointed(placed(units.select(unit).distinct(), [F.col(unit)], "i"))
     total = numbered.count()
     drawn = replicates(numbered.select("i"), n, seed).withColumn("pick", draw(total, F.col("seed"), F.col("replicate"), F.col("i")))
     counted = drawn.groupBy("replicate", "pick").agg(F.count(F.lit(1)).alias(name))

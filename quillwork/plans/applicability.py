@@ -64,7 +64,7 @@ _SECOND = """
 SELECT c.profile, t.cve, max(CASE WHEN
          (c.major > t.lmajor OR (c.major = t.lmajor AND (c.minor > 0 OR c.patch > 0 OR t.lower_inclusive)))
          AND (c.major < t.umajor OR (c.major = t.umajor AND (c.minor < 5 OR (c.minor = 5 AND c.patch = 0 AND t.upper_inclusive)))) THEN 1 ELSE 0 END) = 1 AS applies
-FROM (SELECT p_partkey % 40 AS profile, p_brand, p_type, p_size AS major, p_partkey % 10 AS minor, p_partkey % 3 AS patch FROM part) c
+FROM (SELECT CAST(floor(p_partkey / 50.0) AS BIGINT) AS profile, p_brand, p_type, p_size AS major, p_partkey % 10 AS minor, p_partkey % 3 AS patch FROM part) c
 JOIN (SELECT concat('CVE-2024-', CAST(min(p_partkey) AS STRING)) AS cve, p_brand, p_type, min(p_size) AS lmajor, CAST(floor((min(p_size) + max(p_size)) / 2) AS INT) AS umajor,
              min(p_partkey) % 2 = 0 AS lower_inclusive, min(p_partkey) % 3 = 0 AS upper_inclusive FROM part GROUP BY p_brand, p_type) t
   ON c.p_brand = t.p_brand AND c.p_type = t.p_type

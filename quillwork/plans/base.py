@@ -12,7 +12,7 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 #: Views in SQL that Spark and DuckDB both read.
 VIEWS = {
     "components": """
-        SELECT p_partkey % 40 AS profile, p_partkey AS component, 'a' AS part, p_brand AS vendor, p_type AS product,
+        SELECT CAST(floor(p_partkey / 50.0) AS BIGINT) AS profile, p_partkey AS component, 'a' AS part, p_brand AS vendor, p_type AS product,
                concat_ws('.', CAST(p_size AS STRING), CAST(p_partkey % 10 AS STRING), CAST(p_partkey % 3 AS STRING)) AS version
         FROM part""",
     "terms": """

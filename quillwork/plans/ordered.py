@@ -43,12 +43,12 @@ def round_robin_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return od.interleaved(rows, ["stratum", "positive"], order, 6).select("profile", F.col("place").cast("long"), "batch")
 
 
-BOOK.portable("strict_interleave", """
+BOOK.check("strict_interleave", """
 SELECT profile, stratum, (place - 3 + 2 * n) % n AS place FROM (
   SELECT profile, stratum, CAST(row_number() OVER (ORDER BY turn, stratum) AS BIGINT) - 1 AS place, count(*) OVER () AS n
   FROM (SELECT profile, stratum, row_number() OVER (PARTITION BY stratum ORDER BY profile) AS turn FROM score_rows) t
   WHERE turn <= (SELECT min(c) FROM (SELECT count(*) AS c FROM score_rows GROUP BY stratum) m)) p""")
-BOOK.portable("latin_rotation", """
+BOOK.check("latin_rotation", """
 SELECT profile, variant, (variant - profile % 5 + 5) % 5 AS place
 FROM (SELECT DISTINCT l_suppkey AS profile, l_linenumber % 5 AS variant FROM lineitem) v""")
 
@@ -62,12 +62,12 @@ def pareto_frontier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joins.pareto(rows, "f1", "p90").select("o_custkey", "f1", "p90")
 
 
-BOOK.portable("family_promotion", """
+BOOK.check("family_promotion", """
 SELECT family, id, p90 FROM (
   SELECT *, row_number() OVER (ORDER BY p90, id) AS place FROM (
     SELECT family, id, p90, row_number() OVER (PARTITION BY family ORDER BY p90, id) AS k
     FROM (SELECT c_mktsegment AS family, c_custkey AS id, c_acctbal AS p90 FROM customer WHERE c_acctbal > 0) c) f WHERE k = 1) g WHERE place <= 2""")
-BOOK.portable("ranked_order", """
+BOOK.check("ranked_order", """
 SELECT repetition, tier, CAST(rank() OVER (PARTITION BY repetition ORDER BY round(f1, 2) DESC, n DESC, tier, executor) AS BIGINT) AS place, executor FROM tiers""")
 
 
@@ -92,7 +92,7 @@ def chain_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return f.groupBy("gpu").agg(F.count(F.lit(1)).alias("frames")).join(broken, "gpu", "left").select("gpu", "frames", F.coalesce("broken", F.lit(0)).alias("broken"))
 
 
-BOOK.portable("first_seen_dedupe", """
+BOOK.check("first_seen_dedupe", """
 SELECT user_id, event_type, event_id FROM (
   SELECT user_id, event_type, event_id, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS k FROM events) e WHERE k = 1""")
 
@@ -102,20 +102,20 @@ def latest_checkpoint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return view(spark, sf_dir, "events").groupBy("user_id").agg(F.max("event_id").alias("event_id"), F.max_by("event_type", "event_id").alias("event_type"))
 
 
-BOOK.portable("latest_by_completion", """
+BOOK.check("latest_by_completion", """
 SELECT user_id, event_id, value FROM (
   SELECT user_id, event_id, value, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS k FROM events WHERE event_type <> 'zz') e WHERE k = 1""")
-BOOK.portable("latest_matching_record", """
+BOOK.check("latest_matching_record", """
 SELECT l_suppkey, l_orderkey FROM (
   SELECT l.l_suppkey, l.l_orderkey, row_number() OVER (PARTITION BY l.l_suppkey ORDER BY l.l_orderkey DESC, l.l_linenumber) AS k
   FROM lineitem l JOIN supplier s ON l.l_suppkey = s.s_suppkey AND l.l_orderkey <= s.s_suppkey * 100 + 5000) r WHERE k = 1""")
-BOOK.portable("capped_relations", """
+BOOK.check("capped_relations", """
 SELECT section, profile, k FROM (
   SELECT section, profile, CAST(row_number() OVER (PARTITION BY section ORDER BY profile) AS BIGINT) AS k FROM score_rows WHERE fp + fn > 0) r WHERE k <= 12""")
-BOOK.portable("round_series", """
+BOOK.check("round_series", """
 SELECT user_id, event_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS BIGINT) AS round,
        round(max(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 6) AS incumbent FROM events""")
-BOOK.portable("retry_ordinal", """
+BOOK.check("retry_ordinal", """
 SELECT user_id, event_type, event_id, CAST(row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS BIGINT) - 1 AS retry FROM events""")
 
 
@@ -137,14 +137,14 @@ def weighted_draw(spark: SparkSession, sf_dir: str) -> DataFrame:
     return view(spark, sf_dir, "orders").select("o_orderkey", u.alias("u")).select("o_orderkey", out.alias("style"))
 
 
-BOOK.portable("quota_fill", """
+BOOK.check("quota_fill", """
 SELECT source, CAST(count(*) AS BIGINT) AS quota FROM (
   SELECT source, k, row_number() OVER (ORDER BY k, source) AS place FROM (
     SELECT source, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS k FROM documents) c) p WHERE place <= 75 GROUP BY source""")
-BOOK.portable("best_per_executor", """
+BOOK.check("best_per_executor", """
 SELECT executor, tier, repetition, f1 FROM (
   SELECT *, row_number() OVER (PARTITION BY executor ORDER BY f1 DESC, tier, repetition) AS k FROM tiers) t WHERE k = 1""")
-BOOK.portable("size_descending", "SELECT doc_id, CAST(row_number() OVER (ORDER BY n_chars DESC, doc_id) AS BIGINT) AS place FROM documents")
+BOOK.check("size_descending", "SELECT doc_id, CAST(row_number() OVER (ORDER BY n_chars DESC, doc_id) AS BIGINT) AS place FROM documents")
 
 _SIDES = "SELECT l_orderkey, l_linenumber AS x, bool_or(l_returnflag = 'A') AS a, bool_or(l_linestatus = 'F') AS b FROM lineitem GROUP BY l_orderkey, l_linenumber"
 
@@ -165,9 +165,10 @@ SELECT a.s_suppkey, b.s_name, c.s_nationkey, a.s_name = b.s_name AND a.s_nationk
 def column_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each column permuted on its own: every column keeps its multiset, rows become novel."""
     s = view(spark, sf_dir, "supplier")
-    at = lambda seed: F.row_number().over(Window.orderBy(F.sha2(F.concat(F.lit(seed), F.col("s_suppkey").cast("string")), 256)))
-    base = s.select("s_suppkey", F.col("s_name").alias("n"), F.col("s_nationkey").alias("k"), F.row_number().over(Window.orderBy("s_suppkey")).alias("i"))
-    names, nations = s.select("s_name", at("n/").alias("i")), s.select("s_nationkey", at("k/").alias("i"))
+    at = lambda seed: F.sha2(F.concat(F.lit(seed), F.col("s_suppkey").cast("string")), 256)
+    base = od.placed(s.select("s_suppkey", F.col("s_name").alias("n"), F.col("s_nationkey").alias("k")), [F.col("s_suppkey")], "i")
+    names = od.placed(s.select("s_suppkey", "s_name"), [at("n/")], "i").drop("s_suppkey")
+    nations = od.placed(s.select("s_suppkey", "s_nationkey"), [at("k/")], "i").drop("s_suppkey")
     same = (F.col("n") == F.col("s_name")) & (F.col("k") == F.col("s_nationkey"))
     return base.join(names, "i").join(nations, "i").select("s_suppkey", "s_name", "s_nationkey", same.alias("unchanged"))
 
@@ -183,10 +184,41 @@ def novel_tuples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return side(1).join(side(0), keys, "left_anti").groupBy("request").agg(F.count(F.lit(1)).alias("novel"))
 
 
-BOOK.portable("section_union", """
+BOOK.check("section_union", """
 SELECT section, count(*) AS n, count(DISTINCT id) AS ids FROM (
   SELECT 'campaign' AS section, o_orderkey AS id FROM orders WHERE o_orderkey % 2 = 0
   UNION ALL SELECT 'extension', o_orderkey FROM orders WHERE o_orderkey % 3 = 0) u GROUP BY section""")
-BOOK.portable("component_sets_minus", """
+BOOK.check("component_sets_minus", """
 SELECT profile, count(DISTINCT vendor) AS vendors FROM (SELECT c.profile, c.vendor FROM components c LEFT JOIN (SELECT DISTINCT vendor FROM terms WHERE lower_inclusive) t
   ON c.vendor = t.vendor WHERE t.vendor IS NULL) x GROUP BY profile""")
+
+
+@BOOK.add("strict_interleave")
+def strict_interleave(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One of each stratum in turn as long as all have one, rotated by 3. As turns are complete, a place follows from turn and stratum."""
+    rows = od.placed_within(view(spark, sf_dir, "score_rows").select("profile", "stratum"), ["stratum"], [F.col("profile")])
+    sizes = view(spark, sf_dir, "score_rows").groupBy("stratum").agg(F.count(F.lit(1)).alias("size"))
+    strata = sizes.agg(F.min("size").alias("turns"), F.array_sort(F.collect_set("stratum")).alias("strata")).select("turns", F.size("strata").cast("long").alias("s"), F.posexplode("strata").alias("at", "stratum"))
+    whole, place = F.col("turns") * F.col("s"), F.col("turn") * F.col("s") + F.col("at")
+    return rows.join(F.broadcast(strata), "stratum").where("turn < turns").select("profile", "stratum", F.pmod(place - 3, whole).alias("place"))
+
+
+@BOOK.add("latin_rotation")
+def latin_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Variants in an order that each profile begins one further on."""
+    pairs = view(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("profile"), (F.col("l_linenumber") % 5).alias("variant")).distinct()
+    return pairs.withColumn("place", F.pmod(F.col("variant") - F.col("profile"), F.lit(5)))
+
+
+@BOOK.add("quota_fill")
+def quota_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """75 places go to the sources in turn, the smallest count first: at most 75 rows of a source can have one."""
+    first = od.top_k(view(spark, sf_dir, "documents").select("source", "doc_id"), ["source"], [F.col("doc_id")], 75)
+    turns = first.withColumn("k", F.row_number().over(Window.partitionBy("source").orderBy("doc_id"))).orderBy("k", "source").limit(75)
+    return turns.groupBy("source").agg(F.count(F.lit(1)).alias("quota"))
+
+
+@BOOK.add("size_descending")
+def size_descending(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = od.placed(view(spark, sf_dir, "documents").select("doc_id", "n_chars"), [F.desc("n_chars"), F.col("doc_id")])
+    return rows.select("doc_id", (F.col("place") + 1).alias("place"))

@@ -19,7 +19,7 @@ def panel_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wide.select("executor", "repetition", *[F.round(F.col(f"`{k}`"), 6).alias(v) for k, v in names.items()])
 
 
-BOOK.portable("partition_rollup", """
+BOOK.check("partition_rollup", """
 SELECT section, count(*) AS profiles, CAST(sum(tp + fn) AS BIGINT) AS positives, round(CAST(sum(tp + fn) AS DOUBLE) / greatest(count(*), 1), 6) AS prevalence,
        count(DISTINCT n_chars) AS distinct_sizes, round(CAST(count(*) AS DOUBLE) / greatest(count(DISTINCT n_chars), 1), 6) AS mean_appearances
 FROM score_rows GROUP BY section""")
@@ -34,22 +34,22 @@ def value_count_maps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return maps.select("section", F.array_join(F.transform(F.map_entries("m"), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))), ",").alias("strata"))
 
 
-BOOK.portable("overlap_sets", """
+BOOK.check("overlap_sets", """
 SELECT key, sides FROM (SELECT l_partkey AS key, count(DISTINCT l_returnflag) AS sides FROM lineitem GROUP BY l_partkey) k WHERE sides > 1""")
-BOOK.portable("exclusion_reasons", """
+BOOK.check("exclusion_reasons", """
 SELECT CAST(year(o_orderdate) AS BIGINT) AS year, CASE WHEN o_orderstatus = 'P' THEN 'pending' WHEN o_totalprice < 20000 THEN 'too_small' ELSE 'admitted' END AS reason, count(*) AS n
 FROM orders GROUP BY CAST(year(o_orderdate) AS BIGINT), CASE WHEN o_orderstatus = 'P' THEN 'pending' WHEN o_totalprice < 20000 THEN 'too_small' ELSE 'admitted' END""")
-BOOK.portable("cell_summary_population_sd", """
+BOOK.check("cell_summary_population_sd", """
 SELECT executor, tier, count(*) AS n, round(avg(f1), 6) AS mean, round(CASE WHEN count(*) > 1 THEN stddev_pop(f1) END, 6) AS sd FROM tiers GROUP BY executor, tier""")
-BOOK.portable("tier_means_sample_sd", """
+BOOK.check("tier_means_sample_sd", """
 SELECT executor, tier, n, mean, sd FROM (
   SELECT CAST(executor AS STRING) AS executor, tier, count(*) AS n, round(avg(f1), 6) AS mean, round(coalesce(CASE WHEN count(*) > 1 THEN stddev_samp(f1) END, 0), 6) AS sd FROM tiers GROUP BY executor, tier
   UNION ALL SELECT 'pooled', tier, count(*), round(avg(f1), 6), 0.0 FROM tiers GROUP BY tier) t""")
-BOOK.portable("trajectory_listing", "SELECT executor, tier, repetition, round(f1, 6) AS f1, n FROM tiers WHERE tier <> '5-LOW'")
-BOOK.portable("budget_range", """
+BOOK.check("trajectory_listing", "SELECT executor, tier, repetition, round(f1, 6) AS f1, n FROM tiers WHERE tier <> '5-LOW'")
+BOOK.check("budget_range", """
 SELECT l_returnflag, min(n) AS least_calls, max(n) AS most_calls, CAST(sum(n) AS BIGINT) AS calls FROM (
   SELECT l_returnflag, l_suppkey, count(*) AS n FROM lineitem GROUP BY l_returnflag, l_suppkey) s GROUP BY l_returnflag""")
-BOOK.portable("cost_by_lineage", """
+BOOK.check("cost_by_lineage", """
 SELECT p.o_custkey AS section, round(sum(p.o_totalprice), 2) AS seconds, count(c.l_orderkey) AS children FROM orders p
 LEFT JOIN (SELECT DISTINCT l_orderkey FROM lineitem WHERE l_returnflag = 'R') c ON p.o_orderkey = c.l_orderkey GROUP BY p.o_custkey""")
 
@@ -67,11 +67,11 @@ def disclosure_volume(spark: SparkSession, sf_dir: str) -> DataFrame:
     return view(spark, sf_dir, "conversations").groupBy("role").agg(F.count(F.lit(1)).alias("n"), F.median(b).alias("median_bytes"), F.min(b).alias("least"), F.max(b).alias("most"))
 
 
-BOOK.portable("real_record_summary", """
+BOOK.check("real_record_summary", """
 SELECT stratum, count(*) AS n, count(CASE WHEN valid THEN 1 END) AS decided, count(CASE WHEN NOT valid THEN 1 END) AS unsure,
        count(CASE WHEN valid AND pred = truth THEN 1 END) AS agreed, round(CAST(count(CASE WHEN valid THEN 1 END) AS DOUBLE) / count(*), 6) AS coverage
 FROM score_rows GROUP BY stratum""")
-BOOK.portable("margin_flags", """
+BOOK.check("margin_flags", """
 SELECT executor, round(a - b, 6) AS delta, a - b > -0.02 AS retained, abs(a - b) < 0.02 AS equivalent FROM (
   SELECT executor, avg(CASE WHEN tier = '2-HIGH' THEN f1 END) AS a, avg(CASE WHEN tier = '3-MEDIUM' THEN f1 END) AS b FROM tiers GROUP BY executor) t""")
 
@@ -89,33 +89,33 @@ def ledger_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ag.ledger(attempts).select("provider", "attempts", F.col("cost").cast("double"), F.col("reserved").cast("double"))
 
 
-BOOK.portable("scope_usage", """
+BOOK.check("scope_usage", """
 SELECT o_orderpriority AS scope, CAST(sum(last_n) AS BIGINT) AS used FROM (
   SELECT o_orderpriority, o_custkey, max(o_orderkey) AS last_n FROM orders GROUP BY o_orderpriority, o_custkey) s GROUP BY o_orderpriority""")
-BOOK.portable("resource_summary", """
+BOOK.check("resource_summary", """
 SELECT o_custkey % 7 AS run, count(*) AS attempts, round(sum(o_totalprice), 2) AS seconds, count(CASE WHEN o_orderkey % 13 = 0 THEN 1 END) AS missing_tokens,
        CASE WHEN count(CASE WHEN o_orderkey % 13 = 0 THEN 1 END) = 0 THEN CAST(sum(o_custkey) AS BIGINT) END AS tokens FROM orders GROUP BY o_custkey % 7""")
-BOOK.portable("measurements", """
+BOOK.check("measurements", """
 SELECT o_orderpriority, count(*) AS calls, round(sum(coalesce(CASE WHEN o_orderstatus <> 'P' THEN o_totalprice END, 60000) + 0.5), 2) AS seconds FROM orders GROUP BY o_orderpriority""")
-BOOK.portable("audit_totals", """
+BOOK.check("audit_totals", """
 SELECT event_type, count(*) AS n, round(sum(value), 4) AS total, count(CASE WHEN value > 100 THEN 1 END) AS failures, max(event_id) - min(event_id) AS span FROM events GROUP BY event_type""")
-BOOK.portable("calibration_gate", """
+BOOK.check("calibration_gate", """
 SELECT source, f1, coverage, concat_ws(';', CASE WHEN f1 < 0.3 OR f1 > 0.9 THEN 'f1_out_of_range' END, CASE WHEN coverage < 0.4 THEN 'low_coverage' END) AS reasons,
        f1 BETWEEN 0.3 AND 0.9 AND coverage >= 0.4 AS eligible
 FROM (SELECT section AS source, round(2.0 * sum(tp) / greatest(sum(2 * tp + fp + fn), 1), 4) AS f1, round(CAST(count(CASE WHEN valid THEN 1 END) AS DOUBLE) / count(*), 6) AS coverage FROM score_rows GROUP BY section) s""".replace("2.0 * sum(tp)", "CAST(2 * sum(tp) AS DOUBLE)"))
-BOOK.portable("panel_counts", """
+BOOK.check("panel_counts", """
 SELECT section, count(*) AS n, count(DISTINCT stratum) AS strata, min(n_chars) AS smallest, max(n_chars) AS largest FROM score_rows GROUP BY section""")
-BOOK.portable("forecast", """
+BOOK.check("forecast", """
 SELECT l.tier AS tier, d.depth, round(l.mean_seconds * d.depth * 24, 3) AS seconds, l.mean_seconds * d.depth * 24 <= 20000000 AS fits
 FROM (SELECT o_orderpriority AS tier, avg(o_totalprice) AS mean_seconds FROM orders GROUP BY o_orderpriority) l
 CROSS JOIN (SELECT DISTINCT l_linenumber AS depth FROM lineitem WHERE l_linenumber <= 7) d""")
-BOOK.portable("parse_coverage", """
+BOOK.check("parse_coverage", """
 SELECT profile % 4 AS panel, count(*) AS pairs, count(CASE WHEN version LIKE '%.0.%' THEN 1 END) AS version_unsupported, count(CASE WHEN version LIKE '1%' THEN 1 END) AS first_ones FROM components JOIN terms USING (vendor, product) GROUP BY profile % 4""")
-BOOK.portable("reconstruction_metrics", """
+BOOK.check("reconstruction_metrics", """
 SELECT tier, repetition, CAST(sum(tp) AS BIGINT) AS tp, CAST(sum(fp) AS BIGINT) AS fp, CAST(sum(fn) AS BIGINT) AS fn, round(CAST(2 * sum(tp) AS DOUBLE) / sum(2 * tp + fp + fn), 6) AS micro_f1 FROM cells GROUP BY tier, repetition""")
-BOOK.portable("schedule_grid", """
+BOOK.check("schedule_grid", """
 SELECT c.executor, t.tier, r.repetition FROM (SELECT DISTINCT executor FROM tiers) c CROSS JOIN (SELECT DISTINCT tier FROM tiers) t CROSS JOIN (SELECT DISTINCT repetition FROM tiers) r""")
-BOOK.portable("planned_vs_done", """
+BOOK.check("planned_vs_done", """
 SELECT p.o_orderkey FROM orders p LEFT JOIN (SELECT DISTINCT l_orderkey FROM lineitem) d ON p.o_orderkey = d.l_orderkey WHERE d.l_orderkey IS NULL""")
 
 
@@ -141,19 +141,19 @@ def fresh_vs_recorded(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.agg(F.count(F.lit(1)).alias("fresh"), F.count("seen").alias("compared"), F.count_if(F.col("seen").isNotNull() & F.col("s").eqNullSafe(F.col("r"))).alias("identical"))
 
 
-BOOK.portable("decision_cells", """
+BOOK.check("decision_cells", """
 SELECT c.l_orderkey, c.l_linenumber, CASE WHEN g.l_orderkey IS NOT NULL AND s.l_orderkey IS NOT NULL THEN 1 ELSE 0 END AS tp, CASE WHEN g.l_orderkey IS NULL AND s.l_orderkey IS NOT NULL THEN 1 ELSE 0 END AS fp,
        CASE WHEN g.l_orderkey IS NOT NULL AND s.l_orderkey IS NULL THEN 1 ELSE 0 END AS fn
 FROM (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem) c LEFT JOIN (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem WHERE l_returnflag = 'A') g ON c.l_orderkey = g.l_orderkey AND c.l_linenumber = g.l_linenumber
 LEFT JOIN (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem WHERE l_linestatus = 'F') s ON c.l_orderkey = s.l_orderkey AND c.l_linenumber = s.l_linenumber""")
-BOOK.portable("trajectory_evaluations", """
+BOOK.check("trajectory_evaluations", """
 SELECT t.executor, t.tier, t.repetition, count(*) AS rows, round(avg(e.latency), 4) AS latency FROM tiers t
 JOIN (SELECT o_custkey % 2 AS executor, CAST(year(o_orderdate) AS BIGINT) AS repetition, o_totalprice AS latency FROM orders) e ON t.executor = e.executor AND t.repetition = e.repetition
 GROUP BY t.executor, t.tier, t.repetition""")
-BOOK.portable("related_spelling", """
+BOOK.check("related_spelling", """
 SELECT p.p_partkey, count(q.p_partkey) AS related FROM (SELECT p_partkey, lower(p_brand) AS b, lower(p_type) AS t FROM part) p
 LEFT JOIN (SELECT p_partkey, lower(p_brand) AS b, lower(p_type) AS t FROM part) q ON p.b IS NOT DISTINCT FROM q.b AND p.t = q.t GROUP BY p.p_partkey""")
-BOOK.portable("sheet_join", "SELECT d.lang, l.quality, l.toxic, count(*) AS n FROM labels l JOIN documents d ON l.doc_id = d.doc_id GROUP BY d.lang, l.quality, l.toxic")
-BOOK.portable("decision_audit", """
+BOOK.check("sheet_join", "SELECT d.lang, l.quality, l.toxic, count(*) AS n FROM labels l JOIN documents d ON l.doc_id = d.doc_id GROUP BY d.lang, l.quality, l.toxic")
+BOOK.check("decision_audit", """
 SELECT profile, count(*) AS candidates, count(DISTINCT cve) AS cves, count(CASE WHEN part <> 'a' THEN 1 END) AS wrong_part FROM components JOIN terms USING (vendor, product) GROUP BY profile""")
-BOOK.portable("size_filter", "SELECT doc_id FROM documents WHERE length(text) + length(source) <= 3000")
+BOOK.check("size_filter", "SELECT doc_id FROM documents WHERE length(text) + length(source) <= 3000")

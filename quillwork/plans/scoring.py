@@ -9,6 +9,7 @@ from quillwork.functions import contracts, hashing
 from quillwork.functions import score as sc
 from quillwork.operators import aggregates as ag
 from quillwork.operators import joins
+from quillwork.operators import ordered as od
 from quillwork.operators import resampling as rs
 from quillwork.plans.base import Book, view
 
@@ -71,8 +72,8 @@ WITH b AS (SELECT section, (row_number() OVER (PARTITION BY section ORDER BY pro
 s AS (SELECT section, batch, sum(errors) AS errors FROM b GROUP BY ALL)
 SELECT section, count(*) AS batches, round((count(*) FILTER (errors > 0))::DOUBLE / count(*), 6) AS nonzero FROM s GROUP BY section""")
 def batch_nonzero_fraction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = Window.partitionBy("section").orderBy("profile")
-    batches = view(spark, sf_dir, "score_rows").withColumn("batch", F.floor((F.row_number().over(w) - 1) / 6)).groupBy("section", "batch").agg(F.sum(F.col("fp") + F.col("fn")).alias("e"))
+    rows = od.placed_within(view(spark, sf_dir, "score_rows").select("section", "profile", "fp", "fn"), ["section"], [F.col("profile")])
+    batches = rows.withColumn("batch", F.expr("turn div 6")).groupBy("section", "batch").agg(F.sum(F.col("fp") + F.col("fn")).alias("e"))
     return batches.groupBy("section").agg(F.count(F.lit(1)).alias("batches"), F.round(F.count_if(F.col("e") > 0) / F.count(F.lit(1)), 6).alias("nonzero"))
 
 
@@ -178,10 +179,13 @@ def distribution_p90(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT o_orderpriority, v[greatest(1, floor(0.9 * len(v))::INT)] AS floor_p90, v[least(floor(0.975 * len(v))::INT, len(v) - 1) + 1] AS clamped_975, round(p, 6) AS linear_975
 FROM (SELECT o_orderpriority, list_sort(list(o_totalprice)) AS v, quantile_cont(o_totalprice, 0.975) AS p FROM orders GROUP BY 1)""")
 def rank_conventions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    x = F.col("o_totalprice")
-    return view(spark, sf_dir, "orders").groupBy("o_orderpriority").agg(
-        ag.floor_rank(x, 0.9).alias("floor_p90"), ag.clamped_rank(x, 0.975).alias("clamped_975"), F.round(F.percentile(x, F.lit(0.975)), 6).alias("linear_975")
-    )
+    """Three conventions of a rank: rows are placed within their group, whatever its size."""
+    rows = view(spark, sf_dir, "orders").select("o_orderpriority", "o_totalprice")
+    low = F.floor((F.col("_n") - 1) * 0.975)
+    ranks = od.at_ranks(rows, ["o_orderpriority"], "o_totalprice", {"floor_p90": ag.floor_rank(0.9), "clamped_975": ag.clamped_rank(0.975), "a": low, "b": F.least(low + 1, F.col("_n") - 1)})
+    sizes = rows.groupBy("o_orderpriority").agg(((F.count(F.lit(1)) - 1) * 0.975).alias("at"))
+    linear = F.col("a") + (F.col("b") - F.col("a")) * (F.col("at") - F.floor("at"))
+    return ranks.join(sizes, "o_orderpriority").select("o_orderpriority", "floor_p90", "clamped_975", F.round(linear, 6).alias("linear_975"))
 
 
 @BOOK.add("macro_f1", """

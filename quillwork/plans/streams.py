@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillwork.operators.lineage import scratch
 from quillwork.plans.base import Book, view
 from quillwork.streaming import telemetry as tm
 
@@ -20,11 +19,16 @@ def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def drained(stream: DataFrame, mode: str) -> DataFrame:
-    """Run a stream over what is there now and return the sink's table."""
-    spark, name = stream.sparkSession, f"s{uuid.uuid4().hex}"
-    query = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
+    """Run a stream over what is there now into files of the shared folder and return them: of a complete stream the
+    last batch, else all. A batch that is run again replaces its own files."""
+    spark, folder = stream.sparkSession, scratch(stream.sparkSession, "stream")
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/rows/batch={0 if mode == 'complete' else number}")
+
+    query = stream.writeStream.foreachBatch(keep).outputMode(mode).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.table(name)
+    return spark.read.parquet(f"{folder}/rows").select(*stream.columns)
 
 
 @BOOK.add("stream_progress", "SELECT event_type, count(*) AS committed FROM events GROUP BY event_type")
@@ -44,9 +48,7 @@ SELECT gpu, round(coalesce(sum((power + before) / 2 * gap) FILTER (ok), 0), 2) A
 FROM (SELECT *, coalesce(power IS NOT NULL AND before IS NOT NULL AND gap > 0 AND gap <= 86400, false) AS ok FROM p) GROUP BY gpu""")
 def stream_energy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Frames are numbered by a batch query, written out in the shared scratch folder, and streamed back."""
-    import tempfile
-
-    folder = f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.gettempdir() + '/checkpoints'}/quillwork-frames-{uuid.uuid4().hex}"
+    folder = scratch(spark, "frames")
     view(spark, sf_dir, "frames").select("gpu", "sequence", "at_s", F.col("power")).write.parquet(folder)
     frames = spark.readStream.schema(tm.FRAME).parquet(folder)
     last = drained(tm.running_energy(frames, 86400.0), "update")

@@ -86,11 +86,13 @@ def condition_expansion(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT count(*) AS pairs, count(*) FILTER (a.o_orderstatus = b.o_orderstatus AND a.o_orderpriority = b.o_orderpriority) AS tariff_only
 FROM orders a JOIN orders b ON a.o_custkey = b.o_custkey AND a.o_orderkey < b.o_orderkey WHERE a.o_totalprice <> b.o_totalprice""")
 def equal_but_tariff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs of records that are equal once the price fields are dropped."""
-    record = lambda n: view(spark, sf_dir, "orders").select("o_custkey", F.col("o_orderkey").alias(f"k{n}"), F.struct("o_orderstatus", "o_orderpriority", "o_totalprice").alias(f"r{n}"))
-    pairs = record(1).join(record(2), "o_custkey").where((F.col("k1") < F.col("k2")) & (F.col("r1.o_totalprice") != F.col("r2.o_totalprice")))
-    bare = lambda n: F.col(n).dropFields("o_totalprice")
-    return pairs.agg(F.count(F.lit(1)).alias("pairs"), F.count_if(bare("r1") == bare("r2")).alias("tariff_only"))
+    """Pairs of a customer's records with other prices, and those of them that are equal but for the price: counted by
+    the sizes of the groups that share a signature, never listed."""
+    orders = view(spark, sf_dir, "orders")
+    pairs = lambda name, *keys: orders.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).agg(F.coalesce(F.sum(F.expr("n * (n - 1) div 2")), F.lit(0)).alias(name)).withColumn("one", F.lit(1))
+    bare = ["o_custkey", "o_orderstatus", "o_orderpriority"]
+    counts = pairs("a", "o_custkey").join(pairs("b", "o_custkey", "o_totalprice"), "one").join(pairs("c", *bare), "one").join(pairs("d", *bare, "o_totalprice"), "one")
+    return counts.select((F.col("a") - F.col("b")).alias("pairs"), (F.col("c") - F.col("d")).alias("tariff_only"))
 
 
 @BOOK.add("money_validation", """
@@ -123,19 +125,19 @@ def nan_cleaning(spark: SparkSession, sf_dir: str) -> DataFrame:
     return view(spark, sf_dir, "embeddings").select("vec_id", F.when(~F.isnan(x), x).alias("clean"))
 
 
-BOOK.portable("quarantine_filter", """
+BOOK.check("quarantine_filter", """
 SELECT CAST(year(o.o_orderdate) AS BIGINT) AS year, count(*) AS n FROM orders o LEFT JOIN (SELECT DISTINCT l_orderkey FROM lineitem WHERE l_quantity > 49) q ON o.o_orderkey = q.l_orderkey
 WHERE q.l_orderkey IS NULL AND CAST(year(o.o_orderdate) AS BIGINT) IN (1993, 1994, 1995) GROUP BY CAST(year(o.o_orderdate) AS BIGINT)""")
-BOOK.portable("context_fit", """
+BOOK.check("context_fit", """
 SELECT split_part(key, '/T', 1) AS condition, count(*) AS n, CAST(max(tokens) AS BIGINT) AS most, count(*) - count(tokens) AS missing, max(tokens) + 512 <= 1500 AND count(*) = count(tokens) AS shown_to_fit FROM evaluations GROUP BY split_part(key, '/T', 1)""")
-BOOK.portable("label_bound_lookup", """
+BOOK.check("label_bound_lookup", """
 SELECT t.executor, t.tier, t.repetition, i.low FROM tiers t JOIN (SELECT executor, tier, min(f1) AS low FROM tiers GROUP BY executor, tier) i ON t.executor = i.executor AND t.tier = i.tier""")
-BOOK.portable("reconstruction_chain", """
+BOOK.check("reconstruction_chain", """
 SELECT count(*) AS specs, count(r.l_orderkey) AS answered, count(CASE WHEN r.n = s.want THEN 1 END) AS equal FROM (SELECT o_orderkey, o_orderkey % 7 AS want FROM orders) s
 LEFT JOIN (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY l_orderkey) r ON s.o_orderkey = r.l_orderkey""")
-BOOK.portable("text_window_prefix", """
+BOOK.check("text_window_prefix", """
 SELECT section, profile FROM (SELECT section, profile, row_number() OVER (PARTITION BY section ORDER BY profile) AS n FROM score_rows) p WHERE n <= 5""")
-BOOK.portable("label_sheet_assembly", """
+BOOK.check("label_sheet_assembly", """
 SELECT 'decision' AS sample, CAST(count(*) AS BIGINT) AS n, count(DISTINCT profile) AS profiles FROM components JOIN terms USING (vendor, product)
 UNION ALL SELECT 'panel', count(*), count(DISTINCT profile) FROM cells WHERE tier = 1""")
 
