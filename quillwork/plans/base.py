@@ -100,8 +100,3 @@ class Book:
     def check(self, name: str, sql: str) -> None:
         """The SQL of a query that another module registers."""
         self.sql[name] = expand(sql)
-
-    def portable(self, name: str, sql: str) -> None:
-        """Register a query whose SQL both engines run as it is."""
-        self.queries[name] = lambda spark, sf_dir: spark.sql(expand(sql, sf_dir))
-        self.sql[name] = expand(sql)

@@ -241,7 +241,8 @@ def clopper_pearson(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("x", contracts.exact_limits()(F.col("k"), F.col("n"))).select("section", "k", "n", F.round("x.low", 6).alias("low"), F.round("x.high", 6).alias("high"))
 
 
-@BOOK.add("strict_answer_contract")
+@BOOK.add("strict_answer_contract", """
+SELECT k % 6 AS spelling, count(*) AS n, CASE WHEN k % 6 = 0 THEN count(*) ELSE 0 END AS valid, CASE WHEN k % 6 = 0 THEN count(*) ELSE 0 END AS same FROM (SELECT DISTINCT l_orderkey AS k FROM lineitem) GROUP BY k % 6""")
 def strict_answer_contract(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as answers in six spellings, of which only the plain one with known ids and a normal stop parses."""
     rows = _answers(spark, sf_dir)
@@ -260,7 +261,7 @@ def canonical_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return view(spark, sf_dir, "events").select("event_id", contracts.canonical_digest(F.col("props")).alias("digest"))
 
 
-@BOOK.add("prompt_contract")
+@BOOK.add("prompt_contract", r"SELECT conv_id, turn, CASE WHEN regexp_matches(text, '\S') AND length(text) <= 8000 THEN length(text) END AS prompt_chars FROM conversations")
 def prompt_contract(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = F.to_json(F.struct(F.col("text").alias("prompt")))
     return view(spark, sf_dir, "conversations").select("conv_id", "turn", F.length(contracts.parse_prompt(raw)).alias("prompt_chars"))

@@ -50,7 +50,7 @@ def stream_energy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Frames are numbered by a batch query, written out in the shared scratch folder, and streamed back."""
     folder = scratch(spark, "frames")
     view(spark, sf_dir, "frames").select("gpu", "sequence", "at_s", F.col("power")).write.parquet(folder)
-    frames = spark.readStream.schema(tm.FRAME).parquet(folder)
+    frames = spark.readStream.schema("gpu bigint, sequence bigint, at_s double, power double").parquet(folder)
     last = drained(tm.running_energy(frames, 86400.0), "update")
     return last.groupBy("gpu").agg(F.max_by(F.struct("joules", "pairs", "broken"), "pairs").alias("x")).select("gpu", F.round("x.joules", 2).alias("joules"), "x.pairs", "x.broken")
 

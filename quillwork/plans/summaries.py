@@ -11,7 +11,11 @@ from quillwork.plans.base import Book, view
 
 BOOK = Book()
 
-c, n = F.col, F.count(F.lit(1))
+c = F.col
+
+
+def size() -> Column:
+    return F.count(F.lit(1))
 
 
 def r(x: Column, name: str, digits: int = 6) -> Column:
@@ -30,7 +34,7 @@ def _sums() -> list[Column]:
 def partition_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     gold, sizes = F.sum(c("tp") + c("fn")).cast("long"), F.count_distinct("n_chars")
     return view(spark, sf_dir, "score_rows").groupBy("section").agg(
-        n.alias("profiles"), gold.alias("positives"), r(gold / F.greatest(n, F.lit(1)), "prevalence"), sizes.alias("distinct_sizes"), r(n / F.greatest(sizes, F.lit(1)), "mean_appearances")
+        size().alias("profiles"), gold.alias("positives"), r(gold / F.greatest(size(), F.lit(1)), "prevalence"), sizes.alias("distinct_sizes"), r(size() / F.greatest(sizes, F.lit(1)), "mean_appearances")
     )
 
 
@@ -43,20 +47,20 @@ def overlap_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
 @BOOK.add("exclusion_reasons")
 def exclusion_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
     reason = F.when(c("o_orderstatus") == "P", "pending").when(c("o_totalprice") < 20000, "too_small").otherwise("admitted")
-    return view(spark, sf_dir, "orders").groupBy(_year("o_orderdate").alias("year"), reason.alias("reason")).agg(n.alias("n"))
+    return view(spark, sf_dir, "orders").groupBy(_year("o_orderdate").alias("year"), reason.alias("reason")).agg(size().alias("n"))
 
 
 @BOOK.add("cell_summary_population_sd")
 def cell_summary_population_sd(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return view(spark, sf_dir, "tiers").groupBy("executor", "tier").agg(n.alias("n"), r(F.avg("f1"), "mean"), r(F.when(n > 1, F.stddev_pop("f1")), "sd"))
+    return view(spark, sf_dir, "tiers").groupBy("executor", "tier").agg(size().alias("n"), r(F.avg("f1"), "mean"), r(F.when(size() > 1, F.stddev_pop("f1")), "sd"))
 
 
 @BOOK.add("tier_means_sample_sd")
 def tier_means_sample_sd(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Means by executor and tier, and reference rows over all executors."""
     tiers = view(spark, sf_dir, "tiers")
-    own = tiers.groupBy(c("executor").cast("string").alias("executor"), "tier").agg(n.alias("n"), r(F.avg("f1"), "mean"), r(F.coalesce(F.when(n > 1, F.stddev_samp("f1")), F.lit(0.0)), "sd"))
-    return own.unionByName(tiers.groupBy("tier").agg(n.alias("n"), r(F.avg("f1"), "mean")).select(F.lit("pooled").alias("executor"), "*", F.lit(0.0).alias("sd")))
+    own = tiers.groupBy(c("executor").cast("string").alias("executor"), "tier").agg(size().alias("n"), r(F.avg("f1"), "mean"), r(F.coalesce(F.when(size() > 1, F.stddev_samp("f1")), F.lit(0.0)), "sd"))
+    return own.unionByName(tiers.groupBy("tier").agg(size().alias("n"), r(F.avg("f1"), "mean")).select(F.lit("pooled").alias("executor"), "*", F.lit(0.0).alias("sd")))
 
 
 @BOOK.add("trajectory_listing")
@@ -66,7 +70,7 @@ def trajectory_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @BOOK.add("budget_range")
 def budget_range(spark: SparkSession, sf_dir: str) -> DataFrame:
-    calls = view(spark, sf_dir, "lineitem").groupBy("l_returnflag", "l_suppkey").agg(n.alias("n"))
+    calls = view(spark, sf_dir, "lineitem").groupBy("l_returnflag", "l_suppkey").agg(size().alias("n"))
     return calls.groupBy("l_returnflag").agg(F.min("n").alias("least_calls"), F.max("n").alias("most_calls"), F.sum("n").alias("calls"))
 
 
@@ -80,7 +84,7 @@ def cost_by_lineage(spark: SparkSession, sf_dir: str) -> DataFrame:
 def real_record_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     decided = F.count_if("valid")
     return view(spark, sf_dir, "score_rows").groupBy("stratum").agg(
-        n.alias("n"), decided.alias("decided"), F.count_if(~c("valid")).alias("unsure"), F.count_if(c("valid") & (c("pred") == c("truth"))).alias("agreed"), r(decided / n, "coverage")
+        size().alias("n"), decided.alias("decided"), F.count_if(~c("valid")).alias("unsure"), F.count_if(c("valid") & (c("pred") == c("truth"))).alias("agreed"), r(decided / size(), "coverage")
     )
 
 
@@ -102,7 +106,7 @@ def scope_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
 def resource_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     missing = F.count_if(c("o_orderkey") % 13 == 0)
     return view(spark, sf_dir, "orders").groupBy((c("o_custkey") % 7).alias("run")).agg(
-        n.alias("attempts"), r(F.sum("o_totalprice"), "seconds", 2), missing.alias("missing_tokens"), F.when(missing == 0, F.sum("o_custkey")).alias("tokens")
+        size().alias("attempts"), r(F.sum("o_totalprice"), "seconds", 2), missing.alias("missing_tokens"), F.when(missing == 0, F.sum("o_custkey")).alias("tokens")
     )
 
 
@@ -110,13 +114,13 @@ def resource_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 def measurements(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A call without a response is charged with its time limit."""
     seconds = F.coalesce(F.when(c("o_orderstatus") != "P", c("o_totalprice")), F.lit(60000)) + 0.5
-    return view(spark, sf_dir, "orders").groupBy("o_orderpriority").agg(n.alias("calls"), r(F.sum(seconds), "seconds", 2))
+    return view(spark, sf_dir, "orders").groupBy("o_orderpriority").agg(size().alias("calls"), r(F.sum(seconds), "seconds", 2))
 
 
 @BOOK.add("audit_totals")
 def audit_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return view(spark, sf_dir, "events").groupBy("event_type").agg(
-        n.alias("n"), r(F.sum("value"), "total", 4), F.count_if(c("value") > 100).alias("failures"), (F.max("event_id") - F.min("event_id")).alias("span")
+        size().alias("n"), r(F.sum("value"), "total", 4), F.count_if(c("value") > 100).alias("failures"), (F.max("event_id") - F.min("event_id")).alias("span")
     )
 
 
@@ -125,7 +129,7 @@ def calibration_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every rule that fails is a reason; none is eligible."""
     s = lambda x: F.sum(x)
     rows = view(spark, sf_dir, "score_rows").groupBy(c("section").alias("source")).agg(
-        r(2 * s("tp") / F.greatest(2 * s("tp") + s("fp") + s("fn"), F.lit(1)), "f1", 4), r(F.count_if("valid") / n, "coverage")
+        r(2 * s("tp") / F.greatest(2 * s("tp") + s("fp") + s("fn"), F.lit(1)), "f1", 4), r(F.count_if("valid") / size(), "coverage")
     )
     reasons = F.array_compact(F.array(F.when(~c("f1").between(0.3, 0.9), "f1_out_of_range"), F.when(c("coverage") < 0.4, "low_coverage")))
     return rows.select("*", F.array_join(reasons, ";").alias("reasons"), (F.size(reasons) == 0).alias("eligible"))
@@ -133,7 +137,7 @@ def calibration_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @BOOK.add("panel_counts")
 def panel_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return view(spark, sf_dir, "score_rows").groupBy("section").agg(n.alias("n"), F.count_distinct("stratum").alias("strata"), F.min("n_chars").alias("smallest"), F.max("n_chars").alias("largest"))
+    return view(spark, sf_dir, "score_rows").groupBy("section").agg(size().alias("n"), F.count_distinct("stratum").alias("strata"), F.min("n_chars").alias("smallest"), F.max("n_chars").alias("largest"))
 
 
 @BOOK.add("forecast")
@@ -149,7 +153,7 @@ def forecast(spark: SparkSession, sf_dir: str) -> DataFrame:
 @BOOK.add("parse_coverage")
 def parse_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = view(spark, sf_dir, "components").join(view(spark, sf_dir, "terms"), ["vendor", "product"])
-    return pairs.groupBy((c("profile") % 4).alias("panel")).agg(n.alias("pairs"), F.count_if(c("version").contains(".0.")).alias("version_unsupported"), F.count_if(c("version").startswith("1")).alias("first_ones"))
+    return pairs.groupBy((c("profile") % 4).alias("panel")).agg(size().alias("pairs"), F.count_if(c("version").contains(".0.")).alias("version_unsupported"), F.count_if(c("version").startswith("1")).alias("first_ones"))
 
 
 @BOOK.add("reconstruction_metrics")
@@ -185,7 +189,7 @@ def decision_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
 @BOOK.add("trajectory_evaluations")
 def trajectory_evaluations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Evaluations are added up before they fan out to the trajectories that share them."""
-    sums = view(spark, sf_dir, "orders").groupBy((c("o_custkey") % 2).alias("executor"), _year("o_orderdate").alias("repetition")).agg(n.alias("rows"), r(F.avg("o_totalprice"), "latency", 4))
+    sums = view(spark, sf_dir, "orders").groupBy((c("o_custkey") % 2).alias("executor"), _year("o_orderdate").alias("repetition")).agg(size().alias("rows"), r(F.avg("o_totalprice"), "latency", 4))
     return view(spark, sf_dir, "tiers").join(sums, ["executor", "repetition"]).select("executor", "tier", "repetition", "rows", "latency")
 
 
@@ -193,19 +197,19 @@ def trajectory_evaluations(spark: SparkSession, sf_dir: str) -> DataFrame:
 def related_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows of the same folded spelling, null-safe: counted by spelling, not listed in pairs."""
     parts = view(spark, sf_dir, "part").select("p_partkey", F.lower("p_brand").alias("b"), F.lower("p_type").alias("t"))
-    sizes = parts.groupBy(c("b").alias("b2"), c("t").alias("t2")).agg(n.alias("related"))
+    sizes = parts.groupBy(c("b").alias("b2"), c("t").alias("t2")).agg(size().alias("related"))
     return parts.join(sizes, c("b").eqNullSafe(c("b2")) & (c("t") == c("t2")), "left").select("p_partkey", F.coalesce("related", F.lit(0)).alias("related"))
 
 
 @BOOK.add("sheet_join")
 def sheet_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return view(spark, sf_dir, "labels").join(view(spark, sf_dir, "documents"), "doc_id").groupBy("lang", "quality", "toxic").agg(n.alias("n"))
+    return view(spark, sf_dir, "labels").join(view(spark, sf_dir, "documents"), "doc_id").groupBy("lang", "quality", "toxic").agg(size().alias("n"))
 
 
 @BOOK.add("decision_audit")
 def decision_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = view(spark, sf_dir, "components").join(view(spark, sf_dir, "terms"), ["vendor", "product"])
-    return pairs.groupBy("profile").agg(n.alias("candidates"), F.count_distinct("cve").alias("cves"), F.count_if(c("part") != "a").alias("wrong_part"))
+    return pairs.groupBy("profile").agg(size().alias("candidates"), F.count_distinct("cve").alias("cves"), F.count_if(c("part") != "a").alias("wrong_part"))
 
 
 @BOOK.add("size_filter")
@@ -217,7 +221,7 @@ def size_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 def quarantine_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     held = view(spark, sf_dir, "lineitem").where("l_quantity > 49").select(c("l_orderkey").alias("o_orderkey"))
     free = view(spark, sf_dir, "orders").join(held, "o_orderkey", "left_anti")
-    return free.where(_year("o_orderdate").isin(1993, 1994, 1995)).groupBy(_year("o_orderdate").alias("year")).agg(n.alias("n"))
+    return free.where(_year("o_orderdate").isin(1993, 1994, 1995)).groupBy(_year("o_orderdate").alias("year")).agg(size().alias("n"))
 
 
 @BOOK.add("context_fit")
@@ -225,7 +229,7 @@ def context_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A condition whose longest input and answer fit the window; a missing count is not shown to fit."""
     missing = F.count_if(c("tokens").isNull())
     return view(spark, sf_dir, "evaluations").groupBy(F.split("key", "/T")[0].alias("condition")).agg(
-        n.alias("n"), F.max("tokens").cast("long").alias("most"), missing.alias("missing"), ((F.max("tokens") + 512 <= 1500) & (missing == 0)).alias("shown_to_fit")
+        size().alias("n"), F.max("tokens").cast("long").alias("most"), missing.alias("missing"), ((F.max("tokens") + 512 <= 1500) & (missing == 0)).alias("shown_to_fit")
     )
 
 
@@ -237,16 +241,16 @@ def label_bound_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @BOOK.add("reconstruction_chain")
 def reconstruction_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
-    answers = view(spark, sf_dir, "lineitem").groupBy(c("l_orderkey").alias("o_orderkey")).agg(n.alias("n"))
+    answers = view(spark, sf_dir, "lineitem").groupBy(c("l_orderkey").alias("o_orderkey")).agg(size().alias("n"))
     both = view(spark, sf_dir, "orders").select("o_orderkey", (c("o_orderkey") % 7).alias("want")).join(answers, "o_orderkey", "left")
-    return both.agg(n.alias("specs"), F.count("n").alias("answered"), F.count_if(c("n") == c("want")).alias("equal"))
+    return both.agg(size().alias("specs"), F.count("n").alias("answered"), F.count_if(c("n") == c("want")).alias("equal"))
 
 
 @BOOK.add("label_sheet_assembly")
 def label_sheet_assembly(spark: SparkSession, sf_dir: str) -> DataFrame:
     decisions = view(spark, sf_dir, "components").join(view(spark, sf_dir, "terms"), ["vendor", "product"]).select(F.lit("decision").alias("sample"), c("profile").cast("long"))
     panel = view(spark, sf_dir, "cells").where("tier = 1").select(F.lit("panel").alias("sample"), c("profile").cast("long"))
-    return decisions.unionByName(panel).groupBy("sample").agg(n.alias("n"), F.count_distinct("profile").alias("profiles"))
+    return decisions.unionByName(panel).groupBy("sample").agg(size().alias("n"), F.count_distinct("profile").alias("profiles"))
 
 
 @BOOK.add("alias_styles")
@@ -258,19 +262,19 @@ def alias_styles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @BOOK.add("predicate_shape")
 def predicate_shape(spark: SparkSession, sf_dir: str) -> DataFrame:
-    shape = F.when(n > 5, "multi_term_or").when(F.max("lower") == F.max("upper"), "exact").otherwise("single_range")
+    shape = F.when(size() > 5, "multi_term_or").when(F.max("lower") == F.max("upper"), "exact").otherwise("single_range")
     return view(spark, sf_dir, "terms").groupBy("vendor").agg(shape.alias("shape"))
 
 
 @BOOK.add("publication_year")
 def publication_year(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return view(spark, sf_dir, "orders").where(_year("o_orderdate").isin(1994, 1995, 1996)).groupBy(_year("o_orderdate").alias("year")).agg(n.alias("n"))
+    return view(spark, sf_dir, "orders").where(_year("o_orderdate").isin(1994, 1995, 1996)).groupBy(_year("o_orderdate").alias("year")).agg(size().alias("n"))
 
 
 @BOOK.add("section_union")
 def section_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = lambda name, k: view(spark, sf_dir, "orders").where(c("o_orderkey") % k == 0).select(F.lit(name).alias("section"), c("o_orderkey").alias("id"))
-    return part("campaign", 2).unionByName(part("extension", 3)).groupBy("section").agg(n.alias("n"), F.count_distinct("id").alias("ids"))
+    return part("campaign", 2).unionByName(part("extension", 3)).groupBy("section").agg(size().alias("n"), F.count_distinct("id").alias("ids"))
 
 
 @BOOK.add("component_sets_minus")

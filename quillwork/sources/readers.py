@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 from quillwork.functions.contracts import canonical, strict_json
 
 
-def jsonl(spark: SparkSession, path: str, schema: str | T.StructType) -> DataFrame:
+def jsonl(spark: SparkSession, path: str | list[str], schema: str | T.StructType) -> DataFrame:
     """JSON records split at \\n alone: other line separators inside strings are data. A bad line is an error."""
     return spark.read.schema(schema).option("lineSep", "\n").option("mode", "FAILFAST").json(path)
 
@@ -34,7 +34,7 @@ def envelope_payload(raw: pd.Series) -> pd.Series:
 
 def envelopes(spark: SparkSession, path: str) -> DataFrame:
     """(file, payload, intact) of a folder or glob of JSON envelopes, one record a file."""
-    whole = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("file"), "value")
+    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
     return whole.select("file", envelope_payload("value").alias("payload")).withColumn("intact", F.col("payload").isNotNull())
 
 
@@ -61,7 +61,7 @@ def metadata(raw: Column) -> Column:
     return F.str_to_map(F.regexp_replace(F.regexp_replace(raw, "\r", ""), "\n+$", ""), F.lit("\n"), F.lit(":"))
 
 
-def digests(spark: SparkSession, path: str) -> DataFrame:
+def digests(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """(file, length, sha256) of files as they lie."""
     return spark.read.format("binaryFile").load(path).select("path", "length", F.sha2("content", 256).alias("sha256"))
 

@@ -9,36 +9,49 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-FRAME = "gpu bigint, sequence bigint, at_s double, power double"
+FRAME = "gpu bigint, sequence bigint, at_s double, power double, sha256 string, previous_sha256 string"
 
 
 def frame_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Frames of an append-only folder of JSON lines; a torn last line does not parse and is left out."""
-    lines = spark.readStream.option("maxFilesPerTrigger", 1).text(path)
-    return lines.select(F.from_json("value", FRAME).alias("f")).where("f.sequence is not null").select("f.*")
+    """Frames of an append-only folder of JSON lines, with the file and line they come from. Only a last line without a line
+    break may be torn and is left out; any other line that is no frame stops the query. A file is read as a whole."""
+    whole = spark.readStream.option("maxFilesPerTrigger", 1).text(path, wholetext=True)
+    lines = whole.select(F.col("_metadata.file_modification_time").alias("file_time"), F.col("_metadata.file_path").alias("file"), F.split("value", "\n").alias("l"))
+    complete = lines.select("file_time", "file", F.posexplode(F.slice("l", 1, F.size("l") - 1)).alias("line", "value")).where(F.trim("value") != "")
+    frames = complete.select("file_time", "file", "line", "value", F.from_json("value", FRAME).alias("f"))
+    damaged = F.raise_error(F.concat(F.lit("a damaged line in "), F.col("file")))
+    return frames.withColumn("sequence", F.when(F.col("f.sequence").isNotNull(), F.col("f.sequence")).otherwise(damaged.cast("bigint"))).select("file_time", "file", "line", "f.gpu", "sequence", "f.at_s", "f.power", "f.sha256", "f.previous_sha256")
 
 
 ENERGY = "gpu bigint, joules double, covered_s double, pairs bigint, broken bigint"
-_STATE = "sequence bigint, at_s double, power double, joules double, covered_s double, pairs bigint, broken bigint"
+_STATE = "sequence bigint, at_s double, power double, joules double, covered_s double, pairs bigint, broken bigint, sha256 string"
+_WRITTEN = ["file_time", "file", "line"]
 
 
-def running_energy(frames: DataFrame, most_gap: float) -> DataFrame:
-    """Per sensor, after every batch: energy over adjacent frames, the time covered, and breaks of order.
+def running_energy(frames: DataFrame, most_gap: float, strict: bool = False) -> DataFrame:
+    """Per sensor, after every batch: energy over adjacent frames, the time covered, and breaks of the chain.
 
-    The state is one row a sensor. Frames that come out of order are counted as broken, not sorted in."""
+    The state is one row a sensor. Frames are taken in the order they were written in (file and line), if they say
+    where that was, else by sequence. A frame breaks the chain if its sequence does not follow, or if it names another digest than
+    the frame before it has; one that steps back adds nothing. strict: a break stops the query."""
+    written = all(x in frames.columns for x in _WRITTEN)
+    chained = "previous_sha256" in frames.columns
 
     def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        seq, at, power, joules, covered, pairs, broken = state.get if state.exists else (-1, 0.0, float("nan"), 0.0, 0.0, 0, 0)
-        for batch in batches:
-            for s, t, p in zip(*(batch.sort_values("sequence")[c].tolist() for c in ("sequence", "at_s", "power")), strict=True):
-                if s <= seq:
-                    broken += 1
-                    continue
-                if s == seq + 1 and power == power and p == p and 0 < t - at <= most_gap:
-                    joules, covered, pairs = joules + (p + power) / 2 * (t - at), covered + t - at, pairs + 1
-                broken += seq >= 0 and s != seq + 1
-                seq, at, power = s, t, p
-        state.update((seq, at, power, joules, covered, pairs, broken))
+        seq, at, power, joules, covered, pairs, broken, digest = state.get if state.exists else (-1, 0.0, float("nan"), 0.0, 0.0, 0, 0, None)
+        rows = pd.concat(list(batches)).sort_values(_WRITTEN if written else "sequence", kind="stable")
+        links = zip(rows["sha256"].tolist(), rows["previous_sha256"].tolist(), strict=True) if chained else [(None, None)] * len(rows)
+        for s, t, p, (own, previous) in zip(*(rows[c].tolist() for c in ("sequence", "at_s", "power")), links, strict=True):
+            torn = s <= seq or (seq >= 0 and s != seq + 1) or (previous is not None and seq >= 0 and previous != digest)
+            if torn and strict:
+                raise ValueError(f"sensor {key[0]}: frame {s} does not follow frame {seq}")
+            broken += torn
+            if s <= seq:
+                continue
+            if s == seq + 1 and power == power and p == p and 0 < t - at <= most_gap:
+                joules, covered, pairs = joules + (p + power) / 2 * (t - at), covered + t - at, pairs + 1
+            seq, at, power, digest = s, t, p, own
+        state.update((seq, at, power, joules, covered, pairs, broken, digest))
         yield pd.DataFrame([(key[0], joules, covered, pairs, broken)], columns=["gpu", "joules", "covered_s", "pairs", "broken"])
 
     return frames.groupBy("gpu").applyInPandasWithState(update, ENERGY, _STATE, "update", GroupStateTimeout.NoTimeout)

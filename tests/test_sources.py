@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillwork.functions.contracts import canonical
-from quillwork.sources import readers, sinks
+from quillwork.sources import readers, sinks, store
 
 
 def test_jsonl_splits_at_newline_alone(spark, tmp_path):
@@ -62,3 +62,50 @@ def test_write_once_and_sections(spark, tmp_path):
     with pytest.raises(ValueError):
         sinks.markdown(df, "T", most=2)
     assert sinks.content_path("/x", "a", "b") == f"/x/{hashlib.sha256(b'a/b').hexdigest()}"
+
+
+def test_records_whose_digest_differs_stop_the_query(spark, tmp_path):
+    for name, payload in (("a", {"k": 1}), ("b", {"k": 2})):
+        (tmp_path / f"{name}.json").write_text(json.dumps({"payload": payload, "sha256": hashlib.sha256(canonical(payload).encode()).hexdigest()}))
+    assert sorted(r.k for r in store.records(spark, f"{tmp_path}/*.json", "k int").collect()) == [1, 2]
+    (tmp_path / "c.json").write_text(json.dumps({"payload": {"k": 3}, "sha256": "0" * 64}))
+    with pytest.raises(Exception, match="digest differs"):
+        store.records(spark, f"{tmp_path}/*.json", "k int").collect()
+
+
+def test_put_is_once(spark, tmp_path):
+    df = spark.range(5)
+    assert store.put(df, f"{tmp_path}/p") and not store.put(df.orderBy(F.desc("id")), f"{tmp_path}/p")
+    with pytest.raises(ValueError):
+        store.put(spark.range(6), f"{tmp_path}/p")
+
+
+def test_manifests_are_checked_before_rows_are_given_out(spark, tmp_path):
+    rows = []
+    for name in ("x.jsonl", "y.jsonl", "beside.jsonl"):
+        text = "".join(json.dumps({"k": i, "s": name}) + "\n" for i in range(3))
+        (tmp_path / name).write_text(text)
+        rows.append((name, hashlib.sha256(text.encode()).hexdigest(), 3))
+    good = spark.createDataFrame(rows[:2], store.MANIFEST)
+    assert store.verified_lines(spark, str(tmp_path), good, "k int, s string").count() == 6
+    assert store.verified_lines(spark, str(tmp_path), good.limit(0), "k int, s string").isEmpty()
+    for wrong in ([(rows[0][0], "0" * 64, 3)], [(rows[0][0], rows[0][1], 4)]):
+        with pytest.raises(ValueError, match="x.jsonl"):
+            store.verified_lines(spark, str(tmp_path), spark.createDataFrame(wrong, store.MANIFEST), "k int, s string")
+
+
+def test_profiles_are_restored_by_reference(spark):
+    advisories = spark.createDataFrame([("A", 1), ("B", 2), ("C", 3)], "id string, v int")
+    profiles = spark.createDataFrame([(1, ["B", "A", "B"]), (2, []), (3, ["C"])], "profile_id int, advisories array<string>")
+    got = {r.profile_id: [(a.id, a.v) for a in r.advisories] for r in store.restored(profiles, advisories).collect()}
+    assert got == {1: [("B", 2), ("A", 1), ("B", 2)], 2: [], 3: [("C", 3)]}
+    with pytest.raises(Exception, match="no advisory Z"):
+        store.restored(spark.createDataFrame([(1, ["Z"])], "profile_id int, advisories array<string>"), advisories).collect()
+
+
+def test_a_panel_has_its_stated_size(spark):
+    cells = spark.createDataFrame([(1, "a"), (1, "b")], "p int, c string")
+    assert store.panel(cells, 2, ["p", "c"]).count() == 2
+    for n, unique in ((3, ["p", "c"]), (2, ["p"])):
+        with pytest.raises(ValueError):
+            store.panel(cells, n, unique)

@@ -1,5 +1,6 @@
 import os
 
+import pytest
 from pyspark.sql import functions as F
 
 from quillwork.plans.streams import drained
@@ -10,7 +11,7 @@ def test_torn_tail_and_running_energy(spark, tmp_path):
     frames = [(0, 10.0), (1, 20.0), (2, None), (9, 30.0), (10, 50.0)]
     lines = [f'{{"gpu":1,"sequence":{i},"at_s":{t},"power":{"null" if p is None else p}}}' for i, (t, p) in enumerate(frames)]
     (tmp_path / "a.jsonl").write_text("\n".join(lines[:3]) + "\n")
-    (tmp_path / "b.jsonl").write_text("\n".join(lines[3:]) + '\n{"gpu":1,"seq')
+    (tmp_path / "b.jsonl").write_text("\n".join(lines[3:]) + '\n{"gpu":1,"seq')  # torn: the last line has no line break
     os.utime(tmp_path / "a.jsonl", (1, 1))  # files are taken in the order of their times
     last = drained(tm.running_energy(tm.frame_lines(spark, str(tmp_path)), 2.5), "update").orderBy(F.desc("pairs")).first()
     assert (last.joules, last.covered_s, last.pairs, last.broken) == (55.0, 2.0, 2, 0)
@@ -30,3 +31,41 @@ def test_lost_attempts_are_unknown(spark):
 def test_admission_stops_at_the_cap(spark):
     df = spark.createDataFrame([("s", i, 4.0) for i in range(5)], "scope string, i int, cost double")
     assert tm.admitted(df, "scope", "i", "cost", 10.0).count() == 2
+
+
+def _written(folder, *files):
+    for i, lines in enumerate(files):
+        (folder / f"{i}.jsonl").write_text("".join(x + "\n" for x in lines))
+        os.utime(folder / f"{i}.jsonl", (i + 1, i + 1))
+
+
+def _frame(i, previous="null", **change):
+    import json
+
+    return json.dumps({"gpu": 1, "sequence": i, "at_s": float(i), "power": 10.0, "sha256": f"d{i}", "previous_sha256": None if previous == "null" else previous} | change)
+
+
+def test_a_damaged_line_in_the_middle_stops_the_stream(spark, tmp_path):
+    _written(tmp_path, [_frame(0), '{"gpu":1,"seq', _frame(1)])
+    with pytest.raises(Exception, match="damaged line"):
+        drained(tm.running_energy(tm.frame_lines(spark, str(tmp_path)), 2.5), "update")
+
+
+@pytest.mark.parametrize("bad", [[_frame(0), _frame(2)], [_frame(1), _frame(0)], [_frame(0), _frame(0)], [_frame(0), _frame(1, "d7")]])
+def test_disorder_and_broken_chains_are_seen(spark, tmp_path, bad):
+    """In the order of writing: within a file and between files."""
+    (tmp_path / "one").mkdir()
+    (tmp_path / "two").mkdir()
+    _written(tmp_path / "one", bad)
+    _written(tmp_path / "two", bad[:1], bad[1:])
+    for folder in ("one", "two"):
+        frames = lambda folder=folder: tm.frame_lines(spark, f"{tmp_path}/{folder}")
+        assert drained(tm.running_energy(frames(), 2.5), "update").selectExpr("max(broken)").first()[0] == 1
+        with pytest.raises(Exception, match="does not follow"):
+            drained(tm.running_energy(frames(), 2.5, strict=True), "update")
+
+
+def test_a_whole_chain_passes(spark, tmp_path):
+    _written(tmp_path, [_frame(0), _frame(1, "d0")], [_frame(2, "d1")])
+    last = drained(tm.running_energy(tm.frame_lines(spark, str(tmp_path)), 2.5, strict=True), "update").orderBy(F.desc("pairs")).first()
+    assert (last.joules, last.pairs, last.broken) == (20.0, 2, 0)
