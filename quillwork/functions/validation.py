@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -13,23 +15,36 @@ _PLAIN = r"[A-Za-z0-9_.\-*?:]"
 _FIELDS = r"(?s)((?:\\.|[^:\\])*+):"
 
 
+def let(x: Column, body: Callable[[Column], Column]) -> Column:
+    """body of x, with x computed once: inside lambdas Spark shares no common expressions."""
+    return F.get(F.transform(F.array(x), body), F.lit(0))
+
+
+def _cpe(name: Column) -> Column:
+    """(reason, fields) of a name: why it is no CPE 2.3 name of 13 parts, or its 11 fields without backslashes."""
+    read = F.struct(
+        F.regexp_replace(name, rf"(?s)^(?:{_ESCAPED}|{_PLAIN})*+", "").alias("rest"), F.regexp_extract_all(F.concat(name, F.lit(":")), F.lit(_FIELDS), F.lit(1)).alias("parts")
+    )
+
+    def judged(x: Column) -> Column:
+        shape = (F.size(x["parts"]) == 13) & (F.get(x["parts"], F.lit(0)) == "cpe") & (F.get(x["parts"], F.lit(1)) == "2.3")
+        reason = (
+            F.when(name.isNull() | (F.length(name) > 2048) | (x["rest"] == "\\"), "invalid_cpe").when(x["rest"].startswith("\\"), "unsupported_cpe_escape")
+            .when(x["rest"] != "", "invalid_cpe_character").when(~shape, "invalid_cpe")
+        )
+        return F.struct(reason.alias("reason"), F.transform(F.slice(x["parts"], 3, 11), lambda f: F.regexp_replace(f, r"(?s)\\(.)", "$1")).alias("fields"))
+
+    return let(read, judged)
+
+
 def cpe_reason(name: Column) -> Column:
     """Why a name is no CPE 2.3 name of 13 parts; null if it is one. The first fault in reading order decides."""
-    rest = F.regexp_replace(name, rf"(?s)^(?:{_ESCAPED}|{_PLAIN})*+", "")
-    parts = F.regexp_extract_all(F.concat(name, F.lit(":")), F.lit(_FIELDS), F.lit(1))
-    shape = (F.size(parts) == 13) & (F.get(parts, F.lit(0)) == "cpe") & (F.get(parts, F.lit(1)) == "2.3")
-    return (
-        F.when(name.isNull() | (F.length(name) > 2048) | (rest == "\\"), "invalid_cpe")
-        .when(rest.startswith("\\"), "unsupported_cpe_escape")
-        .when(rest != "", "invalid_cpe_character")
-        .when(~shape, "invalid_cpe")
-    )
+    return _cpe(name)["reason"]
 
 
 def cpe_fields(name: Column) -> Column:
     """The 11 fields behind cpe:2.3:, without their backslashes; null for what is no such name."""
-    parts = F.slice(F.regexp_extract_all(F.concat(name, F.lit(":")), F.lit(_FIELDS), F.lit(1)), 3, 11)
-    return F.when(cpe_reason(name).isNull(), F.transform(parts, lambda p: F.regexp_replace(p, r"(?s)\\(.)", "$1")))
+    return let(_cpe(name), lambda x: F.when(x["reason"].isNull(), x["fields"]))
 
 
 MATCH = "struct<vulnerable:boolean,criteria:string,versionStartIncluding:string,versionStartExcluding:string,versionEndIncluding:string,versionEndExcluding:string>"
@@ -39,40 +54,43 @@ def criterion_reason(match: Column) -> Column:
     """Why a match criterion has no label under the rules; null if it has one. The first rule that fails decides.
 
     An open end is null. Versions are compared by their order keys."""
-    fields = cpe_fields(match["criteria"])
-    part, vendor, product, exact = (F.get(fields, F.lit(i)) for i in range(4))
     lows, highs = [match["versionStartIncluding"], match["versionStartExcluding"]], [match["versionEndIncluding"], match["versionEndExcluding"]]
-    low, high = F.coalesce(*lows), F.coalesce(*highs)
     vague = lambda x: (x == "") | (x == "-") | x.contains("*") | x.contains("?")
-    odd = lambda x: x.isNotNull() & vs.version_key(x).isNull()
-    lower, upper = vs.version_key(low), vs.version_key(high)
     closed = lows[0].isNotNull() & highs[0].isNotNull()
-    return (
-        F.when(~F.coalesce(match["vulnerable"], F.lit(False)), "nonvulnerable_or_prerequisite")
-        .when(fields.isNull(), cpe_reason(match["criteria"]))
-        .when(part != "a", "nonapplication_cpe")
-        .when(vague(vendor) | vague(product), "nonliteral_product")
-        .when(F.exists(F.slice(fields, 5, 7), lambda x: x != "*"), "additional_cpe_constraints")
-        .when((lows[0].isNotNull() & lows[1].isNotNull()) | (highs[0].isNotNull() & highs[1].isNotNull()), "conflicting_range_endpoints")
-        .when(odd(low) | odd(high), "unsupported_numeric_version")
-        .when((exact != "*") & (low.isNotNull() | high.isNotNull()), "exact_plus_range")
-        .when((exact != "*") & odd(exact), "unsupported_numeric_version")
-        .when((lower > upper) | ((lower == upper) & ~closed), "empty_or_inverted_range")
-    )
+
+    def named(x: Column) -> Column:
+        part, vendor, product, exact = (F.get(x["fields"], F.lit(i)) for i in range(4))
+        own = (
+            F.when(x["reason"].isNotNull(), x["reason"]).when(part != "a", "nonapplication_cpe").when(vague(vendor) | vague(product), "nonliteral_product")
+            .when(F.exists(F.slice(x["fields"], 5, 7), lambda f: f != "*"), "additional_cpe_constraints")
+            .when((lows[0].isNotNull() & lows[1].isNotNull()) | (highs[0].isNotNull() & highs[1].isNotNull()), "conflicting_range_endpoints")
+        )
+        ends = F.struct(F.coalesce(*lows).alias("low"), F.coalesce(*highs).alias("high"), F.when(exact != "*", exact).alias("exact"))
+        return F.coalesce(own, let(ends, lambda e: let(F.struct(e.alias("v"), *[vs.version_key(e[k]).alias(k) for k in ("low", "high", "exact")]), bounded)))
+
+    def bounded(k: Column) -> Column:
+        v = k["v"]
+        odd = lambda c: v[c].isNotNull() & k[c].isNull()
+        return (
+            F.when(odd("low") | odd("high"), "unsupported_numeric_version").when(v["exact"].isNotNull() & (v["low"].isNotNull() | v["high"].isNotNull()), "exact_plus_range")
+            .when(odd("exact"), "unsupported_numeric_version").when((k["low"] > k["high"]) | ((k["low"] == k["high"]) & ~closed), "empty_or_inverted_range")
+        )
+
+    return F.coalesce(F.when(~F.coalesce(match["vulnerable"], F.lit(False)), "nonvulnerable_or_prerequisite"), let(_cpe(match["criteria"]), named))
 
 
 def criterion_term(match: Column) -> Column:
     """The normalised term of an accepted criterion; null for a rejected one."""
-    fields = cpe_fields(match["criteria"])
-    exact = F.get(fields, F.lit(3))
-    return F.when(
-        criterion_reason(match).isNull(),
-        F.struct(
+
+    def term(fields: Column) -> Column:
+        exact = F.get(fields, F.lit(3))
+        return F.struct(
             F.lower(F.get(fields, F.lit(1))).alias("vendor"), F.lower(F.get(fields, F.lit(2))).alias("product"), F.when(exact != "*", exact).alias("exact"),
             F.coalesce(match["versionStartIncluding"], match["versionStartExcluding"]).alias("lower"), F.coalesce(match["versionEndIncluding"], match["versionEndExcluding"]).alias("upper"),
             match["versionStartIncluding"].isNotNull().alias("lower_inclusive"), match["versionEndIncluding"].isNotNull().alias("upper_inclusive"),
-        ),
-    )
+        )
+
+    return F.when(criterion_reason(match).isNull(), let(cpe_fields(match["criteria"]), term))
 
 
 NODE = f"struct<operator:string,negate:boolean,nested:boolean,cpeMatch:array<{MATCH}>>"
@@ -113,16 +131,15 @@ def advisory_reason(a: Column) -> Column:
     inside = F.get(F.array_compact(F.flatten(F.transform(a["configurations"], configuration))), F.lit(0))
     terms = F.size(F.flatten(F.flatten(F.transform(a["configurations"], lambda c: F.transform(c["nodes"], lambda n: n["cpeMatch"])))))
     text = english(a["descriptions"])
-    return (
+    before = (
         F.when(~F.coalesce(a["id"].rlike("^CVE-[0-9]{4}-[0-9]{4,}$"), F.lit(False)), "invalid_cve_id")
         .when(a["vulnStatus"].isin("Rejected", "Deferred"), "rejected_or_deferred")
         .when(F.trim(text) == "", "missing_english_description")
         .when(F.length(text) > 4000, "description_over_4000_characters")
         .when(absent(a["configurations"]), "missing_configurations")
-        .when(inside.isNotNull(), inside)
-        .when(terms > 16, "more_than_16_or_terms")
-        .when((F.coalesce(a["published"], F.lit("")) == "") | (F.coalesce(a["lastModified"], F.lit("")) == ""), "missing_source_dates")
     )
+    undated = (F.coalesce(a["published"], F.lit("")) == "") | (F.coalesce(a["lastModified"], F.lit("")) == "")
+    return F.coalesce(before, inside, F.when(terms > 16, "more_than_16_or_terms").when(undated, "missing_source_dates"))
 
 
 def entry_matches(entry: Column, version: Column) -> Column:
