@@ -26,7 +26,7 @@ from quillwork.llm._shared import table, text_of
 WINDOW, STRIDE = 32, 16
 FOLDS = 5
 #: Bounds of the training sample: texts of each label, and characters of all texts of a label but for its last one.
-SAMPLE, SAMPLE_CHARS = 1600, 6_000_000
+SAMPLE, SAMPLE_CHARS = 1600, 3_500_000
 WIDTH, HIDDEN, ATTENTION = 10, 8, 8
 #: Texts of the sample that must hold a word, or a gram, for an embedding of its own.
 LEAST_WORD, LEAST_GRAM = 6, 4
