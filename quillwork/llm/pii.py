@@ -1,7 +1,7 @@
 """Personal data: fixed base patterns, and a semi-Markov conditional random field that adds spans.
 
 The base finds emails, IP addresses, card and phone numbers by pattern and check. The field reads
-the tokens around digits, @ and spelt-out "at" or "dot", scores every candidate segment of up to
+the tokens around digits, @ and spelt-out "at" or "dot" (signs or capitals in any case, plain words as a pair), scores every candidate segment of up to
 LONGEST tokens by features of the whole span (digit counts, checksums, shapes, borders, the word
 before), and chooses boundaries and types together by dynamic programming. Its spans are added
 where they touch no base span. A stretch without a trigger can only be outside, so it is skipped.
@@ -84,11 +84,17 @@ def base_spans(text: str) -> list[Span]:
 
 # --- the field -------------------------------------------------------------------------------
 
-_TRIGGER = re.compile(r"[0-9@]|[\[({<](?:at|dot)[\])}>]|(?<=\s)(?:AT|DOT)(?=\s)")
+# Plain words fire in upper case, or as a pair: "at", one word, "dot".
+_TRIGGER = re.compile(
+    r"[0-9@]|[\[({<](?i:at|dot)[\])}>]|(?<=\s)(?:AT|DOT)(?=\s)"
+    r"|(?<=\s)(?i:at)(?=\s+[A-Za-z0-9-]+(?:\s+(?i:dot)\s+|\s*[\[({<](?i:dot)[\])}>]\s*)[A-Za-z0-9])"
+)
 _TOKEN = re.compile(r"\S+")
 _STRIP_LEFT, _STRIP_RIGHT = "\"'<>[]{};:,!?|*", "\"'<>[]{};:,!?|*."
-_AT, _DOT = r"\s*(?:@|[\[({<]at[\])}>]|\sAT\s|\sat\s)\s*", r"\s*(?:\.|[\[({<]dot[\])}>]|\sDOT\s|\sdot\s)\s*"
+_AT, _DOT = r"\s*(?:@|[\[({<](?i:at)[\])}>]|\s(?i:at)\s)\s*", r"\s*(?:\.|[\[({<](?i:dot)[\])}>]|\s(?i:dot)\s)\s*"
 _SPELT_EMAIL = re.compile(rf"[A-Za-z0-9._%+-]+{_AT}[A-Za-z0-9-]+(?:{_DOT}[A-Za-z0-9-]+)*{_DOT}[A-Za-z]{{2,}}")
+_PLAIN = re.compile(r"[^@\[({<]*\s(?:at|At)\s[^@\[({<]*")
+_ENDINGS = frozenset("com org net edu gov int info biz io dev app eu co uk us ca au de at ch fr be nl es pt it pl se no dk fi ie in jp cn br mx".split())
 _SPELT_IP = re.compile(r"[0-9]{1,3}(?:\s*(?:\.|[\[({<]\.[\])}>]|[\[({<]dot[\])}>])\s*[0-9]{1,3}){3}")
 _CARD_SHAPE = re.compile(r"[0-9]{4}([ ./_-]?)[0-9]{4}\1[0-9]{4}\1[0-9]{2,7}|[0-9]{4}([ ./_-]?)[0-9]{6}\2[0-9]{4,5}")
 _PHONE_SHAPE = re.compile(r"(?:\+|00)?[0-9]{0,3}[ ./-]?\(?[0-9]{2,4}\)?[ ./-]?[0-9]{3}[ ./-]?[0-9]{2,4}(?:[ ./-]?[0-9]{1,3})?")
@@ -98,7 +104,7 @@ _CUES = {
     "credit": 2, "karte": 2, "carte": 2, "tarjeta": 2, "tel": 3, "phone": 3, "call": 3, "fax": 3, "telefon": 3,
     "téléphone": 3, "teléfono": 3, "mobile": 3,
 }
-N_FEATURES = 23
+N_FEATURES = 24
 #: A token that carries an address on.
 _GOES_ON = re.compile(r"[\[({<]?(?:dot|at)[\])}>]?", re.I)
 
@@ -123,6 +129,7 @@ def span_features(span: str, n_tokens: int, before: str, after: str) -> list[flo
     n, letters = len(digits), any(c.isalpha() for c in span)
     email, ip = _SPELT_EMAIL.fullmatch(span) is not None, _SPELT_IP.fullmatch(span) is not None
     card, phone = _CARD_SHAPE.fullmatch(span) is not None, _PHONE_SHAPE.fullmatch(span) is not None
+    plain = email and _PLAIN.fullmatch(span) is not None
     cue = _CUES.get(before.strip(_STRIP_LEFT + ":.=").lower(), -1)
     edge = (span[0].isalnum() or span[0] in "+(") and span[-1].isalnum()
     return [
@@ -130,6 +137,7 @@ def span_features(span: str, n_tokens: int, before: str, after: str) -> list[flo
         card, 14 <= n <= 19, 14 <= n <= 19 and luhn(digits), phone, _PHONE_GROUPED.fullmatch(span) is not None,
         phone and span[0] in "+0", 10 <= n <= 15, 7 <= n <= 9, n < 7, letters, not edge,
         cue == 0, cue == 1, cue == 2, cue == 3, letters and n > 0 and not email, _GOES_ON.fullmatch(after) is not None,
+        plain and re.split(r"[\s.]", span)[-1].lower() not in _ENDINGS,
     ]
 
 
@@ -164,13 +172,25 @@ def _back(text: str, at: int, tokens: int) -> int:
     return start
 
 
+def _fired(text: str, tokens: list[re.Match]) -> list[bool]:
+    """Which tokens of a stretch hold a trigger."""
+    fires, t = [False] * len(tokens), 0
+    for hit in _TRIGGER.finditer(text, tokens[0].start()):
+        while t < len(tokens) and tokens[t].end() <= hit.start():
+            t += 1
+        if t == len(tokens):
+            break
+        fires[t] = True
+    return fires
+
+
 class Lattice:
     """Candidate segments of one stretch: (first, last + 1, start, end) and their feature rows."""
 
     def __init__(self, text: str, tokens: list[re.Match]):
         self.n = len(tokens)
         bounds = [_bounds(t) for t in tokens]
-        fires = [_TRIGGER.search(t.group()) is not None or t.group() in ("AT", "DOT") for t in tokens]
+        fires = _fired(text, tokens)
         self.segments, rows = [], []
         for i in range(self.n):
             start = bounds[i][0]
@@ -262,7 +282,7 @@ def _generated(rng: random.Random) -> tuple[str, list[tuple[int, int, int]]]:
         if kind == 0:
             name = word().replace("é", "e") + rng.choice(["", "." + number(1, 99), "_" + number(1, 99)])
             host = [word().replace("é", "e") + rng.choice(["", number(1, 9)]), rng.choice(["example", "mail", "site"]), rng.choice(["com", "org", "net", "de"])]
-            a, d = rng.choice([("@", "."), ("@", "."), (" (at) ", " (dot) "), ("[at]", "[dot]"), (" [at] ", "."), (" AT ", " DOT "), ("(at)", ".")])
+            a, d = rng.choice([("@", "."), ("@", "."), (" (at) ", " (dot) "), ("[at]", "[dot]"), (" [at] ", "."), (" AT ", " DOT "), ("(at)", "."), (" at ", " dot "), (" [AT] ", " [DOT] ")])
             add(name + a + d.join(host), 0)
         elif kind == 1:
             sep = rng.choice([".", ".", "[.]", "(dot)"])
@@ -274,6 +294,8 @@ def _generated(rng: random.Random) -> tuple[str, list[tuple[int, int, int]]]:
         elif kind == 3:
             a, b, c = number(200, 999), number(200, 999), f"{rng.randint(0, 9999):04}"
             add(rng.choice([f"+1 ({a}) {b}-{c}", f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"{a}.{b}.{c}", f"+1 {a} {b} {c}", f"001 {a} {b} {c}", f"+1-{a}-{b}-{c}", f"+49 {a} {b}{c}", f"+1{a}{b}{c}"]), 3)
+        elif rng.random() < 0.1:
+            add(f"{word()} at {word()} dot {word()}".replace("é", "e"))
         else:
             hexed = "".join(rng.choice("0123456789abcdef") for _ in range(rng.choice([12, 20, 40])))
             key = "AKIA" + "".join(rng.choice("ABCDEFGHJKLMNPQRSTUVWXYZ0123456789") for _ in range(16))
