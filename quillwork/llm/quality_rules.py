@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 from quillwork.llm._shared import SPACE, cut, row_ids, table, text_of
 
 MIN_WORDS = 50
-MIN_DOCS = 20
-MIN_SHARE = 10
+MIN_DOCS = 5
+MIN_SHARE = 50
 KEEP_TENTHS = 3
 
 

@@ -77,3 +77,18 @@ def test_boilerplate_lines_leave_the_pipeline_texts(spark):
     own = {i: f"{prose(i, 60)}\n\n{prose(i + 50, 30)}" for i in range(25)}
     expected = [(i, own[i or 0], h, len(own[i or 0])) if h == "h" and i != 99 else (i, t, h, n) for i, t, h, n in docs]
     assert got == sorted(expected, key=repr)
+
+
+def test_limits_fire_alike_at_every_size(spark):
+    """A line in 3 of 100 texts goes and one in 1 of 100 stays, in small and large hosts."""
+    docs = []
+    for host, n in (("small", 200), ("large", 2000)):
+        for i in range(n):
+            lines = [f"own line {host} {i} {prose(i, 60)}"]
+            lines += ["Share this page with your friends"] if i % 100 < 3 else []
+            lines += ["Now a line that few pages hold"] if i % 100 == 9 else []
+            docs.append((len(docs), "\n".join(lines), host))
+    got = rows(qr.quality(spark.createDataFrame(docs, "doc_id long, text string, source string")))
+    assert plain(got) == brute(docs)
+    touched = got[got.removed_words > 0].groupby("host").size().to_dict()
+    assert touched == {"small": 6, "large": 60}
