@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillwork.llm import bpe, exact_dedup, html_text, near_dedup, packing, pii, quality_rules, sharding, toxicity, url_filters
+from quillwork.llm import alignment, bpe, exact_dedup, filter_audit, html_text, near_dedup, packing, pii, quality_rules, sharding, toxicity, url_filters
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,6 +21,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_toxicity": toxicity.op8_toxicity,
         "op9_pii": pii.op9_pii,
         "op10_url_filters": url_filters.op10_url_filters,
+        "op11_filter_audit": filter_audit.op11_filter_audit,
+        "op13_alignment": alignment.op13_alignment,
     }
 
 
@@ -30,4 +32,5 @@ def oracle_sql() -> dict[str, str]:
         "op6_quality_rules": quality_rules.SQL,
         "op7_exact_dedup": exact_dedup.SQL,
         "op10_url_filters": url_filters.SQL,
+        "op11_filter_audit": filter_audit.SQL,
     }
