@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillwork.llm import alignment, bpe, exact_dedup, filter_audit, html_text, near_dedup, packing, pii, quality_rules, sharding, toxicity, url_filters
+from quillwork.llm import alignment, bpe, exact_dedup, filter_audit, html_text, mixing, near_dedup, packing, pii, quality_rules, sharding, toxicity, url_filters
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -22,6 +22,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_pii": pii.op9_pii,
         "op10_url_filters": url_filters.op10_url_filters,
         "op11_filter_audit": filter_audit.op11_filter_audit,
+        "op12_mixing": mixing.op12_mixing,
         "op13_alignment": alignment.op13_alignment,
     }
 
@@ -33,4 +34,5 @@ def oracle_sql() -> dict[str, str]:
         "op7_exact_dedup": exact_dedup.SQL,
         "op10_url_filters": url_filters.SQL,
         "op11_filter_audit": filter_audit.SQL,
+        "op12_mixing": mixing.SQL,
     }
