@@ -7,8 +7,8 @@ pass over the sources in order of the level at which each would stop.
 Each source's documents, in a pseudorandom order, are one stream of words, cut into blocks of BLOCK words (the last
 one may be shorter). The mix is a row of slots for one block each, SHARD_SLOTS of them an output shard. Every slot draws its source
 with the odds of the targets, so a shard's counts by source are multinomial. A source's draws are numbered over
-all shards and mapped through a pseudorandom permutation of its own (swap-or-not, which permutes any number
-of places in a fixed number of rounds). Places below the source's quota of blocks are block indices, modulo
+all shards and mapped through a pseudorandom permutation of its own (a coprime step, then swap-or-not rounds, which
+permute any number of places). Places below the source's quota of blocks are block indices, modulo
 its number of blocks; the few draws over quota, which the permutation spreads over all shards, go to the sources that
 were drawn too seldom. So quotas hold exactly, no block is used more than 3 times, and shards keep their random counts.
 Slots and blocks meet in a join by (source, index).
@@ -34,10 +34,13 @@ MOST_TIMES = 3
 #: Words of a block, slots of an output shard.
 BLOCK, SHARD_SLOTS = 64, 4096
 SEED = "2025"
-#: Rounds of the permutation, and the prime that its bits are computed by.
-ROUNDS, PRIME = 24, 2147483647
+#: Rounds of the permutation, the prime that its bits are computed by, and steps of which one at least is coprime to any
+#: number of places below 10 ** 18.
+ROUNDS, PRIME, STEPS = 8, 2147483647, (1000003, 1000033, 1000037)
 #: Rows that a cell of an order is meant to hold, cells that a draw's range is looked up by, equal rows of one run.
 CELL_ROWS, CELLS, COPIES = 50_000, 4096, 1000
+#: Slots that a task is meant to place.
+TASK_SLOTS = 500_000
 _BITS = 60
 
 
@@ -105,16 +108,26 @@ def targets(sizes: DataFrame) -> DataFrame:
     return level.withColumn("target", target).withColumn("blocks", blocks).select("stratum", "place", "weight", "source_size", "target", "blocks", quota.alias("quota"))
 
 
-def _permuted(x: Column, of: Column, keys: Column) -> Column:
-    """The place of x in a permutation of 0 to of - 1: each round swaps x with its mirror about a key, or does not."""
+def _keys(place: Column, of: Column) -> dict[str, Column]:
+    """Columns of the permutation of a source's places 0 to of - 1: a step, a start, and three numbers a round."""
+    of = F.greatest(of, F.lit(1))
+    step = F.lit(1)
+    for s in reversed(STEPS):
+        step = F.when(of % s != 0, s).otherwise(step)
+    numbers = lambda r: F.struct(*[(_draw(F.lit(name), place.cast("string"), r.cast("string")) % below).alias(name) for name, below in (("about", of), ("a", F.lit(PRIME)), ("b", F.lit(PRIME)))])
+    return {"step": step.cast("long"), "first": _draw(F.lit("first"), place.cast("string")) % of, "rounds": F.transform(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), numbers)}
+
+
+def _permuted(x: Column, of: Column) -> Column:
+    """The place of x in the permutation of 0 to of - 1 that the columns of _keys() describe: a step modulo of, then rounds
+    that swap a place with its mirror about a key, or do not."""
 
     def swap(x: Column, key: Column) -> Column:
         mirror = (key["about"] - x + of) % of
-        high = F.greatest(x, mirror)
-        y = (high % PRIME + F.floor(high / F.lit(PRIME)) % PRIME + key["a"]) % PRIME
-        return F.when(F.shiftright((y * y % PRIME * key["b"] + y) % PRIME, 16) % 2 == 1, mirror).otherwise(x)
+        high = F.greatest(x, mirror) % PRIME
+        return F.when(F.shiftright((high + key["a"]) % PRIME * ((high + key["b"]) % PRIME) % PRIME, 11) % 2 == 1, mirror).otherwise(x)
 
-    return F.aggregate(keys, x, swap)
+    return F.aggregate("rounds", (F.col("first") + x * F.col("step")) % of, swap)
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> Mix:
@@ -128,13 +141,13 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     known = sources.select("stratum", "place", "source_size", "target")
     celled = rows.withColumn("cell", F.shiftright("u", _BITS - cells))
     documents = _running(celled, ["stratum"], "cell", ["u", "doc_id", "size"], "words", "start").join(known, "stratum").drop("cell", "words")
-    drawn = cut(_draws(spark, sources), "mix-draws")
-    return Mix(documents, sources, _slots(sources, drawn))
+    total = sources.agg(F.sum("quota")).first()[0] or 0
+    drawn = cut(_draws(spark, sources, total), "mix-draws")
+    return Mix(documents, sources, _slots(sources, drawn, total))
 
 
-def _draws(spark: SparkSession, sources: DataFrame) -> DataFrame:
+def _draws(spark: SparkSession, sources: DataFrame, total: int) -> DataFrame:
     """shard, place, drawn: the multinomial counts of the sources in each shard."""
-    total = sources.agg(F.sum("quota")).first()[0] or 0
     width = max(1, -(-total // CELLS))
     to = Window.orderBy("place").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     ranges = sources.withColumn("to", F.sum("quota").over(to)).withColumn("from", F.col("to") - F.col("quota")).where("quota > 0")
@@ -144,20 +157,20 @@ def _draws(spark: SparkSession, sources: DataFrame) -> DataFrame:
     return found.groupBy("shard", "place").agg(F.count(F.lit(1)).alias("drawn"))
 
 
-def _slots(sources: DataFrame, drawn: DataFrame) -> DataFrame:
+def _slots(sources: DataFrame, drawn: DataFrame, total: int) -> DataFrame:
     """place, block, shard of every slot, from the counts."""
     every = Window.orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
     before = lambda c: F.coalesce(F.sum(c).over(every), F.lit(0))
     totals = sources.join(drawn.groupBy("place").agg(F.sum("drawn").alias("total")), "place", "left").withColumn("total", F.coalesce("total", F.lit(0).cast("long")))
     settled = totals.withColumns({"over": F.greatest(F.col("total") - F.col("quota"), F.lit(0)), "short": F.greatest(F.col("quota") - F.col("total"), F.lit(0))})
-    keys = F.transform(
-        F.sequence(F.lit(0), F.lit(ROUNDS - 1)),
-        lambda r: F.struct(*[(_draw(F.lit(name), F.col("place").cast("string"), r.cast("string")) % of).alias(name) for name, of in (("about", F.greatest("total", F.lit(1))), ("a", F.lit(PRIME)), ("b", F.lit(PRIME)))]),
-    )
-    settled = cut(settled.withColumns({"over_before": before("over"), "short_before": before("short"), "keys": keys}).drop("stratum", "weight", "source_size", "target"), "mix-settled")
+    settled = settled.withColumns({"over_before": before("over"), "short_before": before("short")} | _keys(F.col("place"), F.col("total")))
+    settled = cut(settled.drop("stratum", "weight", "source_size", "target"), "mix-settled")
     numbered = _running(drawn.withColumn("cell", F.expr("shard div 1024")), ["place"], "cell", ["shard"], "drawn", "start").join(settled, "place")
-    spread = numbered.select("*", F.explode(F.sequence("start", F.col("start") + F.col("drawn") - 1)).alias("k"))
-    placed = spread.select("place", "shard", "blocks", "quota", "over_before", _permuted(F.col("k"), F.col("total"), F.col("keys")).alias("q"))
+    # A row here is up to SHARD_SLOTS slots, so rows are dealt by their number, not by their size.
+    spread = numbered.repartition(max(int(drawn.sparkSession.conf.get("spark.sql.shuffle.partitions")), total // TASK_SLOTS), "place", "shard")
+    spread = spread.select("*", F.explode(F.sequence("start", F.col("start") + F.col("drawn") - 1)).alias("k"))
+    # Written, so that the two branches below do not compute it again for themselves and for their filters.
+    placed = cut(spread.select("place", "shard", "blocks", "quota", "over_before", _permuted(F.col("k"), F.col("total")).alias("q")), "mix-slots")
     own = placed.where("q < quota").select("place", (F.col("q") % F.col("blocks")).alias("block"), "shard")
     # A few in all: as many as the draws of the sources miss the quotas by.
     spare = placed.where("q >= quota").select((F.col("over_before") + F.col("q") - F.col("quota")).alias("nth"), "shard")
@@ -198,14 +211,16 @@ def taken(mixed: Mix) -> DataFrame:
 
 
 def _sql_rounds() -> str:
-    """The rounds of the permutation as nested queries over place, total and x."""
-    own, keyed = "FROM k", lambda name, r, of: f"('0x' || substr(md5('{SEED}:{name}:' || place || ':{r}'), 1, {_BITS // 4}))::BIGINT % {of}"
+    """The permutation as nested queries over place, total and x."""
+    draw = lambda name, r, of: f"('0x' || substr(md5('{SEED}:{name}:' || place{r}), 1, {_BITS // 4}))::BIGINT % {of}"
+    step = "CASE " + " ".join(f"WHEN total % {s} <> 0 THEN {s}" for s in STEPS) + " ELSE 1 END"
+    kept = "place, shard, blocks, quota, over_before, total"
+    own = f"SELECT {kept}, ({draw('first', '', 'total')} + x * {step}) % total AS x FROM k"
     for r in range(ROUNDS):
-        mirror = f"SELECT *, ({keyed('about', r, 'total')} - x + total) % total AS mirror {own}"
-        y = f"SELECT *, (greatest(x, mirror) % {PRIME} + greatest(x, mirror) // {PRIME} % {PRIME} + {keyed('a', r, PRIME)}) % {PRIME} AS y FROM ({mirror})"
-        bit = f"SELECT *, (y * y % {PRIME} * ({keyed('b', r, PRIME)}) + y) % {PRIME} // 65536 % 2 AS bit FROM ({y})"
-        own = f"FROM (SELECT place, shard, blocks, quota, over_before, total, CASE WHEN bit = 1 THEN mirror ELSE x END AS x FROM ({bit}))"
-    return f"SELECT place, shard, blocks, quota, over_before, x AS q {own}"
+        mirror = f"SELECT *, ({draw('about', f" || ':{r}'", 'total')} - x + total) % total AS mirror FROM ({own})"
+        high = f"SELECT *, greatest(x, mirror) % {PRIME} AS high, {draw('a', f" || ':{r}'", PRIME)} AS a, {draw('b', f" || ':{r}'", PRIME)} AS b FROM ({mirror})"
+        own = f"SELECT {kept}, CASE WHEN (((high + a) % {PRIME}) * ((high + b) % {PRIME}) % {PRIME} >> 11) % 2 = 1 THEN mirror ELSE x END AS x FROM ({high})"
+    return f"SELECT place, shard, blocks, quota, over_before, x AS q FROM ({own})"
 
 
 #: Ids are taken to be unique. Targets by pouring the excess again and again.
