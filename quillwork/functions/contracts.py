@@ -89,35 +89,45 @@ def canonical_digest(raw: pd.Series) -> pd.Series:
     return raw.map(one)
 
 
-def _tail(k: int, n: int, p: float) -> float:
-    """P(X >= k) of a binomial, from logarithms."""
-    if k <= 0:
-        return 1.0
-    if p <= 0 or p >= 1:
-        return 1.0 if p >= 1 else 0.0
-    logs = [math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) + i * math.log(p) + (n - i) * math.log1p(-p) for i in range(k, n + 1)]
-    top = max(logs)
-    return min(1.0, math.exp(top) * sum(math.exp(x - top) for x in logs))
+def incomplete_beta(a: float, b: float, x: float) -> float:
+    """The regularised incomplete beta function I_x(a, b), by its continued fraction (modified Lentz), which takes a number
+    of terms that grows with the square root of a + b at most."""
+    if x <= 0 or x >= 1:
+        return 0.0 if x <= 0 else 1.0
+    if x > (a + 1) / (a + b + 2):  # the fraction converges fast on the other side
+        return 1.0 - incomplete_beta(b, a, 1 - x)
+    front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x)) / a
+    tiny = 1e-300
+    c, d = 1.0, 1.0 - (a + b) * x / (a + 1)
+    d = 1.0 / (d if abs(d) > tiny else tiny)
+    out = d
+    for m in range(1, 100 + 20 * math.isqrt(int(a + b) + 1)):
+        for term in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
+            d, c = 1.0 + term * d, 1.0 + term / c
+            d = 1.0 / (d if abs(d) > tiny else tiny)
+            c = c if abs(c) > tiny else tiny
+            out *= d * c
+        if abs(d * c - 1.0) < 1e-15:
+            break
+    return front * out
+
+
+def beta_point(p: float, a: float, b: float) -> float:
+    """The x at which I_x(a, b) is p, by bisection."""
+    low, high = 0.0, 1.0
+    for _ in range(64):
+        mid = (low + high) / 2
+        low, high = (mid, high) if incomplete_beta(a, b, mid) < p else (low, mid)
+    return (low + high) / 2
 
 
 def clopper_pearson(k: int, n: int, alpha: float = 0.05) -> tuple[float, float]:
-    """Exact limits of a share k of n by bisection on the binomial tails."""
-
-    def solve(target: float, at: int) -> float:
-        lo, hi = 0.0, 1.0
-        for _ in range(60):
-            mid = (lo + hi) / 2
-            lo, hi = (mid, hi) if _tail(at, n, mid) < target else (lo, mid)
-        return (lo + hi) / 2
-
+    """Exact limits of a share k of n: points of beta distributions."""
     if n == 0:
         return 0.0, 1.0
-    return (0.0 if k == 0 else solve(alpha / 2, k)), (1.0 if k == n else solve(1 - alpha / 2, k + 1))
-
+    return (beta_point(alpha / 2, k, n - k + 1) if k else 0.0), (beta_point(1 - alpha / 2, k + 1, n - k) if k < n else 1.0)
 
-def exact_limits(alpha: float = 0.05):
-    @F.pandas_udf(_LIMITS)
-    def limits(k: pd.Series, n: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([clopper_pearson(int(a), int(b), alpha) for a, b in zip(k, n, strict=True)], columns=["low", "high"])
 
-    return limits
+@F.pandas_udf(_LIMITS)
+def exact_limits(k: pd.Series, n: pd.Series, alpha: pd.Series) -> pd.DataFrame:
+    return pd.DataFrame([clopper_pearson(int(a), int(b), float(c)) for a, b, c in zip(k, n, alpha, strict=True)], columns=["low", "high"])

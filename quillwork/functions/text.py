@@ -42,6 +42,28 @@ def inventory(text: Column) -> Column:
     return F.transform(F.filter(F.transform(F.split(text, "\n"), line), lambda x: x != ""), parsed)
 
 
+#: Vendors whose written name does not follow from their key.
+TITLES = {"nozominetworks": "Nozomi Networks"}
+INVENTORY_STYLES = ("vendor_stripped", "package_manager", "repo", "title_case", "underscore_to_space")
+
+
+def inventory_name(style: Column, vendor: Column, product: Column, version: Column) -> Column:
+    """A component as an inventory of a style writes it; null for an unknown style."""
+    spaced = lambda x: F.replace(x, F.lit("_"), F.lit(" "))
+    dashed = lambda x: F.replace(x, F.lit("_"), F.lit("-"))
+    title = F.initcap(spaced(vendor))
+    for key, name in TITLES.items():
+        title = F.when(vendor == key, name).otherwise(title)
+    named = F.when(F.length(product) <= 4, F.upper(product)).otherwise(F.initcap(spaced(product)))
+    return (
+        F.when(style == "vendor_stripped", F.concat_ws(" ", product, version))
+        .when(style == "package_manager", F.concat(dashed(vendor), F.lit("-"), dashed(product), F.lit(" "), version))
+        .when(style == "repo", F.concat(vendor, F.lit("/"), product, F.lit("@"), version))
+        .when(style == "title_case", F.concat_ws(" ", title, named, version))
+        .when(style == "underscore_to_space", F.concat_ws(" ", spaced(vendor), spaced(product), version))
+    )
+
+
 def clause_conditions(clause: Column) -> Column:
     """Conditions of an OR-free clause as (op, version): '>= 1.2 and < 1.10', or 'versions prior to 4.2'; null if not understood."""
     prior = r"(?:versions? )?(?:prior to|before) ([0-9][0-9.]*[0-9]|[0-9])"

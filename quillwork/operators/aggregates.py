@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillwork.functions import contracts
 from quillwork.functions.score import CATEGORIES, metrics
 
 
@@ -81,3 +82,15 @@ def ledger(attempts: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("attempts"), F.coalesce(F.sum("cost"), F.lit(0)).alias("cost"),
         F.coalesce(F.sum(F.when(F.col("cost").isNull(), F.col("reserved"))), F.lit(0)).alias("reserved"),
     )
+
+
+def weighted_share(strata: DataFrame, by: list[str], alpha: float = 0.05) -> DataFrame:
+    """by, strata, estimate, low, high: the share of a population from shares of its strata, by weight.
+
+    strata: by, weight, k, n (one row each). The ends are the weighted ends of the strata's exact limits at
+    alpha over their number, so that all of them hold together."""
+    sized = strata.join(strata.groupBy(*by).agg(F.count(F.lit(1)).alias("strata"), F.sum("weight").alias("total")), by)
+    limits = sized.withColumn("x", contracts.exact_limits(F.col("k"), F.col("n"), F.lit(alpha) / F.col("strata")))
+    part = lambda value: F.sum(F.col("weight") / F.col("total") * value)
+    r = lambda c, name: F.round(c, 6).alias(name)
+    return limits.groupBy(*by).agg(F.max("strata").alias("strata"), r(part(F.col("k") / F.col("n")), "estimate"), r(part(F.col("x.low")), "low"), r(part(F.col("x.high")), "high"))

@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import random
-from collections.abc import Iterator
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -62,15 +60,3 @@ def feedback(tier: Column, micro_f1: Column, counts: Column, relations: Column,
         .when(tier == 2, F.to_json(F.struct(*base, relations.alias("relations"))))
         .otherwise(F.to_json(F.struct(*base, relations.alias("relations"), examples.alias("examples"))))
     )
-
-
-def two_stage_weights(blocks: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """For mapInPandas over (replicate, units): multinomial weights of a replicate block, seeded by the replicate."""
-    import numpy as np
-
-    for block in blocks:
-        out = []
-        for replicate, units in zip(block["replicate"], block["units"], strict=True):
-            rng = np.random.default_rng(int(replicate))
-            out += [(int(replicate), int(u), int(w)) for u, w in enumerate(np.bincount(rng.integers(0, units, units), minlength=units)) if w]
-        yield pd.DataFrame(out, columns=["replicate", "unit", "weight"])

@@ -69,3 +69,30 @@ def t_interval(deltas: DataFrame, by: list[str], value: str) -> DataFrame:
     half = F.when(n.between(2, 12), t * sd / F.sqrt(n.cast("double")))
     r = lambda c, name: F.round(c, 6).alias(name)
     return deltas.groupBy(*by).agg(n.alias("n"), r(mean, "mean"), r(sd, "sd"), r(mean - half, "low"), r(mean + half, "high"))
+
+
+def nested_weights(cells: DataFrame, system: str, sub: str, cell: str, n: int, seed: str) -> DataFrame:
+    """replicate, system, sub, cell, weight: systems are drawn, sub-profiles within every draw of a system, and cells within every
+    draw of a sub-profile. Two draws of one system take sub-profiles of their own, so the stages are draws of draws; what
+    is counted at the end is how often each cell came out."""
+    numbered = lambda rows, by, unit, i, of: rows.withColumn(i, F.row_number().over(Window.partitionBy(*by).orderBy(unit)) - 1).withColumn(of, F.count(F.lit(1)).over(Window.partitionBy(*by)))
+    systems = checkpointed(placed(cells.select(system).distinct(), [F.col(system)], "g"))
+    total = systems.count()
+    subs = numbered(cells.select(system, sub).distinct(), [system], sub, "s", "of_s")
+    held = numbered(cells.select(system, sub, cell).distinct(), [system, sub], cell, "c", "of_c")
+    first = replicates(systems.select(F.col("g").alias("i")), n, seed).withColumn("g", draw(total, F.col("seed"), F.col("replicate"), F.col("i")))
+    # (replicate, i) is one draw of a system; i and j one of a sub-profile.
+    drawn = first.join(systems, "g").select("replicate", "seed", "i", system)
+    second = drawn.join(subs.select(system, F.col("s").alias("j"), "of_s"), system).withColumn("s", draw(F.col("of_s"), F.col("seed"), F.col("replicate"), F.col("i"), F.col("j")))
+    chosen = second.join(subs.select(system, sub, "s"), [system, "s"]).select("replicate", "seed", "i", "j", system, sub)
+    third = chosen.join(held.select(system, sub, F.col("c").alias("k"), "of_c"), [system, sub]).withColumn("c", draw(F.col("of_c"), F.col("seed"), F.col("replicate"), F.col("i"), F.col("j"), F.col("k")))
+    counted = third.groupBy("replicate", system, sub, "c").agg(F.count(F.lit(1)).alias("weight"))
+    return counted.join(held.select(system, sub, cell, "c"), [system, sub, "c"]).select("replicate", system, sub, cell, "weight")
+
+
+def three_stage(cells: DataFrame, system: str, sub: str, cell: str, n: int, seed: str) -> DataFrame:
+    """low, high of the pooled F1 when systems, their sub-profiles and the cells of these are resampled."""
+    summed = cells.groupBy(system, sub, cell).agg(*[F.sum(c).alias(c) for c in ("tp", "fp", "fn")])
+    s = lambda c: F.sum(F.col("weight") * F.col(c))
+    weighted = nested_weights(summed, system, sub, cell, n, seed).join(summed, [system, sub, cell])
+    return ends(weighted.groupBy("replicate").agg(f1(s("tp"), s("fp"), s("fn")).alias("f1")), [], "f1")

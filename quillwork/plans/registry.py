@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from quillwork.plans import applicability, ordered, records, reports, scoring, streams, summaries, texts, workflow
+from quillwork.plans import applicability, audits, ordered, producers, records, replays, reports, scoring, streams, summaries, texts, workflow
 from quillwork.plans.base import Query
 
-_BOOKS = (applicability.BOOK, scoring.BOOK, ordered.BOOK, reports.BOOK, records.BOOK, summaries.BOOK, texts.BOOK, streams.BOOK, workflow.BOOK)
+_BOOKS = (applicability.BOOK, audits.BOOK, scoring.BOOK, ordered.BOOK, reports.BOOK, records.BOOK, producers.BOOK, replays.BOOK, summaries.BOOK, texts.BOOK, streams.BOOK, workflow.BOOK)
 
 
 def queries() -> dict[str, Query]:

@@ -166,6 +166,26 @@ def two_stage_bootstrap_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rs.ends(each, [], "f1")
 
 
+_R3 = 60
+
+
+@BOOK.add("three_stage_bootstrap_ci", f"""
+WITH x AS (SELECT profile, repetition, tier, sum(tp) AS tp, sum(fp) AS fp, sum(fn) AS fn FROM cells GROUP BY ALL),
+g AS (SELECT profile, row_number() OVER (ORDER BY profile) - 1 AS g, count(*) OVER () AS n FROM (SELECT DISTINCT profile FROM x)),
+s AS (SELECT profile, repetition, row_number() OVER (PARTITION BY profile ORDER BY repetition) - 1 AS s, count(*) OVER (PARTITION BY profile) AS n FROM (SELECT DISTINCT profile, repetition FROM x)),
+c AS (SELECT *, row_number() OVER (PARTITION BY profile, repetition ORDER BY tier) - 1 AS c, count(*) OVER (PARTITION BY profile, repetition) AS n FROM x),
+d1 AS (SELECT r, g.g AS i, {_DRAW.format(parts="'n3/' || r || '/' || g", n="n")} AS pick FROM g, range({_R3}) t(r)),
+d2 AS (SELECT r, i, g.profile, s.s AS j, {_DRAW.format(parts="'n3/' || r || '/' || i || '/' || s.s", n="s.n")} AS pick FROM d1 JOIN g ON g.g = d1.pick JOIN s ON s.profile = g.profile),
+d3 AS (SELECT r, s.profile, s.repetition, {_DRAW.format(parts="'n3/' || r || '/' || i || '/' || j || '/' || c.c", n="c.n")} AS pick
+       FROM d2 JOIN s ON s.profile = d2.profile AND s.s = d2.pick JOIN c ON c.profile = s.profile AND c.repetition = s.repetition),
+f AS (SELECT r, 2.0::DOUBLE * sum(tp) / sum(2 * tp + fp + fn) AS f1 FROM d3 JOIN c ON c.profile = d3.profile AND c.repetition = d3.repetition AND c.c = d3.pick GROUP BY r),
+l AS (SELECT list_sort(list(f1)) AS v FROM f)
+SELECT round(v[{int(_R3 * 0.025) + 1}], 6) AS low, round(v[{int(_R3 * 0.975)}], 6) AS high FROM l""")
+def three_stage_bootstrap_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Profiles are drawn, repetitions within each drawn profile, tiers within each drawn repetition."""
+    return rs.three_stage(view(spark, sf_dir, "cells"), "profile", "repetition", "tier", _R3, "n3")
+
+
 @BOOK.add("distribution_p90", """
 SELECT o_orderpriority, count(x) AS known, count(*) FILTER (x IS NULL) AS missing, round(CASE WHEN count(*) FILTER (x IS NULL) = 0 THEN sum(x) END, 6) AS total,
        round(sum(x), 6) AS known_total, round(avg(x), 6) AS mean_known, quantile_disc(x, 0.9) AS p90
@@ -234,11 +254,35 @@ def crosstab(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wide.select("quality", *[F.coalesce(F.col(str(v)), F.lit(0)).cast("long").alias(f"toxic_{v}") for v in (0, 1)])
 
 
-@BOOK.add("clopper_pearson")
+#: Exact limits in DuckDB without beta functions: bisection on the sums of the binomial's terms.
+def _limits(strata: str) -> str:
+    term = "exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln((a + b) / 2) + (n - i) * ln(1 - (a + b) / 2))"
+    upper = f"list_sum(list_transform(range({{0}}, n + 1), lambda i: {term}))"
+    step = lambda at, target: f"CASE WHEN {upper.format(at)} < {target} THEN (a + b) / 2 ELSE a END, CASE WHEN {upper.format(at)} < {target} THEN b ELSE (a + b) / 2 END"
+    solved = lambda name, at, target: f"""{name} AS (  -- the share at which {at} or more of n come out with the chance asked for
+  SELECT *, 0::DOUBLE AS a, 1::DOUBLE AS b, 0 AS turn FROM strata UNION ALL SELECT * REPLACE ({step(at, target).replace(', CASE', ' AS a, CASE', 1)} AS b, turn + 1 AS turn) FROM {name} WHERE turn < 50)"""
+    return f"""WITH RECURSIVE strata AS ({strata}), {solved("lower_end", "k", "alpha / 2")}, {solved("upper_end", "k + 1", "1 - alpha / 2")},
+limits AS (SELECT l.* EXCLUDE (a, b, turn), CASE WHEN l.k = 0 THEN 0 ELSE (l.a + l.b) / 2 END AS low, CASE WHEN l.k = l.n THEN 1 ELSE (u.a + u.b) / 2 END AS high
+  FROM lower_end l JOIN upper_end u ON u.id = l.id WHERE l.turn = 50 AND u.turn = 50)"""
+
+
+@BOOK.add("clopper_pearson", _limits("SELECT section AS id, sum(truth)::BIGINT AS k, count(*) AS n, 0.05::DOUBLE AS alpha FROM score_rows WHERE valid GROUP BY 1")
+          + " SELECT id AS section, k, n, round(low, 6) AS low, round(high, 6) AS high FROM limits")
 def clopper_pearson(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exact limits of each source's share of good documents."""
     rows = view(spark, sf_dir, "score_rows").where("valid").groupBy("section").agg(F.sum("truth").alias("k"), F.count(F.lit(1)).alias("n"))
-    return rows.withColumn("x", contracts.exact_limits()(F.col("k"), F.col("n"))).select("section", "k", "n", F.round("x.low", 6).alias("low"), F.round("x.high", 6).alias("high"))
+    return rows.withColumn("x", contracts.exact_limits(F.col("k"), F.col("n"), F.lit(0.05))).select("section", "k", "n", F.round("x.low", 6).alias("low"), F.round("x.high", 6).alias("high"))
+
+
+@BOOK.add("weighted_share", _limits("""
+SELECT *, 0.05::DOUBLE / count(*) OVER (PARTITION BY stratum) AS alpha, sum(weight) OVER (PARTITION BY stratum) AS total, count(*) OVER (PARTITION BY stratum) AS strata
+FROM (SELECT stratum || '/' || section AS id, stratum, sum(truth) FILTER (valid)::BIGINT AS k, count(*) FILTER (valid) AS n, sum(n_chars) AS weight FROM score_rows GROUP BY 1, 2) WHERE n > 0""")
+          + """ SELECT stratum, max(strata) AS strata, round(sum(weight / total * (k / n)), 6) AS estimate, round(sum(weight / total * low), 6) AS low, round(sum(weight / total * high), 6) AS high FROM limits GROUP BY stratum""")
+def weighted_share(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each language's share of good documents, from the labelled ones of its sources and the characters of all."""
+    valid = F.col("valid")
+    strata = view(spark, sf_dir, "score_rows").groupBy("stratum", "section").agg(F.sum(F.when(valid, F.col("truth"))).alias("k"), F.count_if(valid).alias("n"), F.sum("n_chars").alias("weight"))
+    return ag.weighted_share(strata.where("n > 0"), ["stratum"])
 
 
 @BOOK.add("strict_answer_contract", """
