@@ -6,9 +6,8 @@ regular expression scans the labels for spans up to each "both"; a span is a gro
 count the group's tokens. A text whose bytes a tokenizer does not give back has no tokens.
 
 Neither tokenizer has a token across a single space between two other characters that are not white
-space, except one that starts with it. So a text is cut before such spaces, its pieces are encoded alone,
-and the ids of short pieces are kept: they repeat far more often than texts do. A model with
-pieces across spaces is never cut.
+space, except one that starts with it. So a very long text is cut before some of these spaces, and its parts are
+aligned alone, one after the other. A model with pieces across spaces is never cut.
 
 The corpus-wide counts take two passes over one table of (id pairs, links) per document. First the tasks
 add up their documents' pairs before the shuffle. Then the counts are cut into slices of bounded size by
@@ -20,16 +19,17 @@ sent grows with the corpus, not with its square.
 from __future__ import annotations
 
 import hashlib
+import json
 import os
 import re
-from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import sentencepiece
+import tiktoken
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -41,8 +41,11 @@ VOCABULARY, MODEL = "byte_bpe_50k.json", "piece_bpe_32k.model"
 A_END, B_END, BOTH = 1, 2, 3
 _SPAN = re.compile(rb"[^\x03]*\x03")
 _CUT = re.compile(r"(?<=\S) (?=\S)")
-#: Pieces whose ids and groups whose pairs a worker keeps, and the longest of these pieces.
-MOST_PIECES, MOST_GROUPS, LONGEST_PIECE = 600_000, 200_000, 48
+#: Groups whose text and pairs a worker keeps.
+MOST_GROUPS = 200_000
+#: White space of this length is left to the slower library.
+LONG_SPACE = 50_000
+_LONG_SPACE = re.compile(rf"\s{{{LONG_SPACE}}}")
 #: Characters after which a text is cut at the next place, so that no list of all its pieces is made.
 CHUNK = 1_000_000
 #: Pairs that a task adds up before it hands them over, pairs of a slice, and links of the batches of a task.
@@ -63,6 +66,20 @@ def _byte_characters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(0x100 + i): b for i, b in enumerate(rest)}
 
 
+def _fast(vocabulary: str) -> Callable[[str], list[int]] | None:
+    """The encoder of a vocabulary by the faster library, which merges by id; None if that is not the order of its merges."""
+    with open(vocabulary, encoding="utf-8") as f:
+        read = json.load(f)
+    model, split, byte_of = read["model"], read.get("pre_tokenizer") or {}, _byte_characters()
+    merged = ["".join(m.split(" ") if isinstance(m, str) else m) for m in model.get("merges", ())]
+    plain = read.get("normalizer") is None and split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split.get("add_prefix_space")
+    rest = [model["vocab"][m] for m in merged if m in model["vocab"]]
+    if not plain or len(rest) != len(merged) or rest != sorted(set(rest)) or len(rest) + 256 != len(model["vocab"]) or model.get("continuing_subword_prefix") or model.get("end_of_word_suffix"):
+        return None
+    ranks = {bytes(byte_of[c] for c in token): i for token, i in model["vocab"].items()}
+    return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+
+
 class _Spans(dict):
     """Maps a span of labels to the tokens of A and of B that end in it, in one number."""
 
@@ -96,12 +113,13 @@ class _Groups(dict):
 
 
 class Aligner:
-    """document(text) -> the row of a document. The ids of short pieces and what is known of groups are kept, up to a bound."""
+    """document(text) -> the row of a document. What is known of groups is kept, up to a bound: few make up nearly all texts."""
 
     def __init__(self, vocabulary: str, model: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.a = Tokenizer.from_file(vocabulary)
         self.a.encode_special_tokens = True
+        self.fast = _fast(vocabulary)
         self.b = sentencepiece.SentencePieceProcessor(model_file=model)
         byte_of, known = _byte_characters(), self.a.get_vocab()
         self.a_bytes = [b""] * (max(known.values()) + 1)
@@ -114,14 +132,8 @@ class Aligner:
         self.cuts = not any("▁" in p.lstrip("▁") for p in pieces)
         # Four bytes a pair where they suffice, for the table and the shuffle.
         self.stored = "<u4" if len(self.a_bytes) * self.b_size <= 1 << 32 else "<u8"
-        self.kept: dict[str, tuple[bytes, bytes]] = {}
         self.spans, self.groups = _Spans(), _Groups(self.b_size)
 
-    def encoded(self, pieces: list[str]) -> list[tuple[bytes, bytes]]:
-        """Packed ids of A and B for each of these distinct pieces."""
-        of_a = self.a.encode_batch_fast([" " + p for p in pieces], add_special_tokens=False)
-        return [(array("I", x.ids).tobytes(), array("I", y).tobytes()) for x, y in zip(of_a, self.b.encode(pieces, num_threads=1), strict=True)]
-
     def chunks(self, text: str) -> Iterator[str]:
         """The text in order, cut at spaces into parts of bounded length."""
         begin = 0
@@ -130,29 +142,18 @@ class Aligner:
             begin = place.end()
         yield text[begin:]
 
-    def split(self, text: str) -> list[str]:
-        if not self.cuts:
-            return [text]
-        pieces = text.split(" ")
-        return _CUT.split(text) if any(_odd(p) for p in set(pieces) if p not in self.kept) else pieces
-
     def ids(self, text: str) -> tuple[np.ndarray, np.ndarray] | None:
         """The ids of A and B for a chunk; None where bytes differ."""
-        pieces = self.split(text)
-        distinct = set(pieces)
-        new = [p for p in distinct if p not in self.kept]
-        if len(self.kept) + len(new) > MOST_PIECES:
-            self.kept.clear()
-            new = list(distinct)
-        self.kept.update(zip(new, self.encoded(new), strict=True))
-        own = [self.kept[p] for p in pieces]
-        for p in new:
-            if len(p) > LONGEST_PIECE or _odd(p):
-                del self.kept[p]
-        a_ids, b_ids = (np.frombuffer(b"".join([x[i] for x in own]), "=u4").astype(np.int64) for i in (0, 1))
+        # The fast library backtracks over white space until its stack is full.
+        if self.fast is None or len(text) >= LONG_SPACE and _LONG_SPACE.search(text):
+            a_ids = self.a.encode(" " + text, add_special_tokens=False).ids
+        else:
+            a_ids = self.fast(" " + text)
+        b_ids = self.b.encode(text)
         raw = b" " + text.encode()
-        same = all(b"".join([known[i] for i in ids.tolist()]) == raw for known, ids in ((self.a_bytes, a_ids), (self.b_bytes, b_ids)))
-        return (a_ids, b_ids) if same else None
+        if b"".join([self.a_bytes[i] for i in a_ids]) != raw or b"".join([self.b_bytes[i] for i in b_ids]) != raw:
+            return None
+        return np.array(a_ids, np.int64), np.array(b_ids, np.int64)
 
     def scanned(self, a_ids: np.ndarray, b_ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Labels of the bytes, scanned: the tokens of A and of B in each group, and the group's number."""
@@ -191,11 +192,6 @@ class Aligner:
         return *totals.tolist(), digest.hexdigest(), *summed(keys, np.concatenate([times[single], *[x * n for (_, x), n in more]]))
 
 
-def _odd(piece: str) -> bool:
-    """Whether a piece between two spaces shows that one of them is no place to cut at."""
-    return not piece or piece[0].isspace() or piece[-1].isspace()
-
-
 def summed(keys: np.ndarray, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The distinct keys in order, and the sum of the numbers of each."""
     order = np.argsort(keys, kind="stable")

@@ -106,7 +106,6 @@ def test_chunks_and_full_caches_change_nothing(models, monkeypatch):
     text = " ".join(ODD).replace("▁", "_") * 3 + " end of it"
     whole = al.Aligner(*paths).document(text)
     monkeypatch.setattr(al, "CHUNK", 20)
-    monkeypatch.setattr(al, "MOST_PIECES", 3)
     monkeypatch.setattr(al, "MOST_GROUPS", 2)
     own = al.Aligner(*paths)
     for _ in range(2):
@@ -122,6 +121,16 @@ def test_models_with_pieces_across_spaces_are_not_cut(models):
     assert own.document("one two  three")[:5] == expected and list(own.chunks("one two")) == ["one two"]
 
 
+def test_both_libraries_give_the_same_ids(models):
+    own = al.aligner(public_tokenizers.path(al.VOCABULARY), public_tokenizers.path(al.MODEL))
+    for text in [*ODD, *map(" ".join, (ODD, ODD[::-1])), "".join(map(chr, range(1, 0x3000)))]:
+        assert own.fast(" " + text) == models[0].encode(" " + text, add_special_tokens=False).ids
+
+
+def test_other_vocabularies_use_the_library_they_are_for():
+    assert al._fast(public_tokenizers.path("word_bpe_49k.json")) is None
+
+
 def test_long_runs_in_time():
     own = al.aligner(public_tokenizers.path(al.VOCABULARY), public_tokenizers.path(al.MODEL))
     began = time.time()
