@@ -19,15 +19,17 @@ from __future__ import annotations
 
 import base64
 import json
+import re
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
 import public_tokenizers
 import tiktoken
+import tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,6 +46,9 @@ BLOCK_TOKENS, BLOCK_DOCS = 800_000, 1_600
 #: Rows of the token table that a task hands over at once.
 ROWS_AT_ONCE = 1_000
 K1, B = 1.2, 0.75
+#: White space of this length is split by the tokenizers library: the faster one backtracks over it until its stack is full.
+LONG_SPACE = 50_000
+_LONG_SPACE = re.compile(rf"\s{{{LONG_SPACE}}}")
 SCHEMA = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, `offset` bigint"
 
 
@@ -58,10 +63,18 @@ class Tokenizer:
         self.added = added
         # Two bytes an id where they suffice, for the table and the shuffle.
         self.stored = "<u2" if max([*pieces.values(), *added.values()]) < 1 << 16 else "<u4"
+        self.vocabulary = vocabulary
         self.encoding = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=pieces, special_tokens=added)
 
+    @cached_property
+    def whole(self) -> tokenizers.Tokenizer:
+        """The library that the ids are defined by."""
+        return tokenizers.Tokenizer.from_file(self.vocabulary)
+
     def ids(self, text: str) -> np.ndarray:
         """The ids of a text and END_ID; a very long text never becomes a list of Python integers."""
+        if len(text) >= LONG_SPACE and _LONG_SPACE.search(text):
+            return np.array([*self.whole.encode(text, add_special_tokens=False).ids, END_ID], dtype="<u4")
         special = "all" if any(t in text for t in self.added) else set()
         if len(text) > 2_000_000:
             return np.append(self.encoding.encode_to_numpy(text, allowed_special=special, disallowed_special=()), np.uint32(END_ID)).astype("<u4")

@@ -146,3 +146,14 @@ def test_related_documents_meet():
         total += 1
         kin += len(group) <= 2
     assert kin >= 0.8 * total
+
+
+@pytest.mark.parametrize("space", [" ", "\n", "\t ", "　"])
+def test_long_white_space(library, space):
+    """A run of white space on which the fast library overflows its stack, with an added token behind it."""
+    own = packing.tokenizer(public_tokenizers.path(packing.VOCABULARY), public_tokenizers.path(packing.RANKS))
+    text = "word" + space * (2_000_000 // len(space)) + "word <|endoftext|> é"
+    got = own.ids(text)
+    assert got[-1] == packing.END_ID and got[:-1].tolist() == library.encode(text, add_special_tokens=False).ids
+    short = "word" + space * 40_000 + "word"
+    assert own.ids(short)[:-1].tolist() == library.encode(short, add_special_tokens=False).ids
