@@ -2,7 +2,7 @@
 
 The base finds emails, IP addresses, card and phone numbers by pattern and check. The field reads
 the tokens around digits, @ and spelt-out "at" or "dot" (signs or capitals in any case, plain words as a pair), scores every candidate segment of up to
-LONGEST tokens by features of the whole span (digit counts, checksums, shapes, borders, the word
+LONGEST tokens and MOST_CHARS characters by features of the whole span (digit counts, checksums, shapes, borders, the word
 before), and chooses boundaries and types together by dynamic programming. Its spans are added
 where they touch no base span. A stretch without a trigger can only be outside, so it is skipped.
 
@@ -26,7 +26,8 @@ from pyspark.sql import functions as F
 from quillwork.llm._shared import table, text_of
 
 KINDS = ("email", "ip", "card", "phone")
-LONGEST = 8
+#: Tokens and characters of the longest segment.
+LONGEST, MOST_CHARS = 8, 320
 #: Tokens on each side of a trigger that belong to its stretch.
 AROUND = 3
 
@@ -141,22 +142,34 @@ def span_features(span: str, n_tokens: int, before: str, after: str) -> list[flo
     ]
 
 
-def stretches(text: str) -> Iterator[list[re.Match]]:
-    """Runs of tokens from AROUND before to AROUND behind triggers: the rest of the text can only be outside."""
-    hits = [m.start() for m in _TRIGGER.finditer(text)]
-    h = end = 0
-    while h < len(hits):
-        run, quiet, seen = [], 0, False
-        for token in _TOKEN.finditer(text, max(end, _back(text, hits[h], AROUND))):
+def near_triggers(text: str) -> Iterator[tuple[re.Match, bool] | None]:
+    """Tokens from AROUND before to AROUND behind triggers, and whether each holds one; None behind every run of them. The
+    rest of the text can only be outside."""
+    hits = (m.start() for m in _TRIGGER.finditer(text))
+    hit, end = next(hits, -1), 0
+    while hit >= 0:
+        quiet, seen = 0, False
+        for token in _TOKEN.finditer(text, max(end, _back(text, hit, AROUND))):
             fired = False
-            while h < len(hits) and hits[h] < token.end():
-                fired, h = True, h + 1
-            run.append(token)
+            while 0 <= hit < token.end():
+                fired, hit = True, next(hits, -1)
+            yield token, fired
+            end = token.end()
             seen, quiet = seen or fired, 0 if fired else quiet + 1
             if seen and quiet == AROUND:
                 break
-        end = run[-1].end()
-        yield run
+        yield None
+
+
+def stretches(text: str) -> Iterator[list[re.Match]]:
+    """The runs of tokens near triggers, as lists."""
+    run: list[re.Match] = []
+    for found in near_triggers(text):
+        if found:
+            run.append(found[0])
+        else:
+            yield run
+            run = []
 
 
 def _back(text: str, at: int, tokens: int) -> int:
@@ -200,7 +213,7 @@ class Lattice:
                 any_fires = any_fires or fires[j]
                 if j > i and "\n" in text[tokens[j - 1].end() : tokens[j].start()]:
                     break
-                if any_fires and bounds[j][1] - start <= 320:
+                if any_fires and bounds[j][1] - start <= MOST_CHARS:
                     self.segments.append((i, j + 1, start, bounds[j][1]))
                     after = tokens[j + 1].group() if j + 1 < self.n else ""
                     rows.append(span_features(text[start : bounds[j][1]], j + 1 - i, before, after))
@@ -215,6 +228,7 @@ class Lattice:
         return at
 
     def best(self, weights: np.ndarray) -> list[Span]:
+        """The best spans of a stretch that is held as a whole; decoded() gives the same without holding it."""
         at = self.ending(self.features @ weights)
         value, back = [0.0] * (self.n + 1), [-1] * (self.n + 1)
         for j in range(1, self.n + 1):
@@ -252,6 +266,113 @@ class Lattice:
         return p
 
 
+# --- decoding --------------------------------------------------------------------------------
+
+#: Tokens at which segments begin that are scored at once.
+STARTS_AT_ONCE = 256
+_AT_SIGN = re.compile(r"@|(?i:at)")
+_DOT_SIGN = re.compile(r"\.|(?i:dot)")
+
+
+def _plain_features(span: str, n_tokens: int, before: str, after: str) -> list[float] | None:
+    """span_features of a span that no shape can fit, without trying them; None for others. An address needs an at sign, an IP address
+    4 to 12 digits and 3 dots, a card or phone number 7 to 19 digits and no letters."""
+    digits = _NOT_DIGIT.sub("", span)
+    n, letters = len(digits), any(c.isalpha() for c in span)
+    if _AT_SIGN.search(span) or (4 <= n <= 12 and len(_DOT_SIGN.findall(span)) >= 3) or (7 <= n <= 19 and not letters):
+        return None
+    cue = _CUES.get(before.strip(_STRIP_LEFT + ":.=").lower(), -1)
+    edge = (span[0].isalnum() or span[0] in "+(") and span[-1].isalnum()
+    return [
+        1.0, float(n_tokens), 0.0, 0.0, 0.0, 0.0, 0.0, 14 <= n <= 19, 14 <= n <= 19 and luhn(digits), 0.0, 0.0, 0.0, 10 <= n <= 15, 7 <= n <= 9, n < 7, letters, not edge,
+        cue == 0, cue == 1, cue == 2, cue == 3, letters and n > 0, _GOES_ON.fullmatch(after) is not None, 0.0,
+    ]
+
+
+#: A segment that scores above 0: first token, last token + 1, start, end, scores by kind.
+Segment = tuple[int, int, int, int, list[float]]
+
+
+def _worthy(text: str, weights: np.ndarray) -> Iterator[Segment | int]:
+    """The segments that score above 0 for some kind, by first token, and between them the first token at which a later one can begin.
+
+    No other segment is ever better than outside, as an outside token costs nothing. Tokens are held for a few hundred at once."""
+    held: list[tuple[re.Match, int, int, bool]] = []
+    first = begun = 0  # number of held[0]; tokens of this stretch before the first that is not done
+    for found in near_triggers(text):
+        if found:
+            held.append((found[0], *_bounds(found[0]), found[1]))
+            if len(held) - begun < STARTS_AT_ONCE + LONGEST:
+                continue
+        upto = len(held) - LONGEST if found else len(held)
+        segments, rows = [], []
+        for i in range(begun, upto):
+            start, fired = held[i][1], False
+            before = held[i - 1][0].group() if i else ""
+            for j in range(i, min(i + LONGEST, len(held))):
+                fired = fired or held[j][3]
+                if j > i and "\n" in text[held[j - 1][0].end() : held[j][0].start()]:
+                    break
+                end = held[j][2]
+                if fired and end - start <= MOST_CHARS:
+                    span, after = text[start:end], held[j + 1][0].group() if j + 1 < len(held) else ""
+                    rows.append(_plain_features(span, j + 1 - i, before, after) or span_features(span, j + 1 - i, before, after))
+                    segments.append((first + i, first + j + 1, start, end))
+        if rows:
+            scores = np.asarray(rows, dtype=np.float64) @ weights
+            for s in np.flatnonzero(scores.max(axis=1) > 0).tolist():
+                yield *segments[s], scores[s].tolist()
+        if found:
+            # The token before the next start is its context.
+            first, held, begun = first + upto - 1, held[upto - 1 :], 1
+            yield first + begun
+        else:
+            first, held, begun = first + len(held) + LONGEST, [], 0
+            yield first
+
+
+def _settled(cluster: list[Segment]) -> Iterator[Span]:
+    """The best spans of segments that overlap one another, by dynamic programming over their tokens."""
+    begin, end = cluster[0][0], max(j for _, j, *_ in cluster)
+    at: dict[int, list[Segment]] = {}
+    for segment in cluster:
+        at.setdefault(segment[1], []).append(segment)
+    value: list[float] = [0.0] * (end - begin + 1)
+    back: list[tuple[Segment, int] | None] = [None] * (end - begin + 1)
+    for j in range(begin + 1, end + 1):
+        value[j - begin] = value[j - begin - 1]
+        for segment in at.get(j, ()):
+            for kind, score in enumerate(segment[4]):
+                if value[segment[0] - begin] + score > value[j - begin]:
+                    value[j - begin], back[j - begin] = value[segment[0] - begin] + score, (segment, kind)
+    found, j = [], end
+    while j > begin:
+        step = back[j - begin]
+        if step is None:
+            j -= 1
+            continue
+        found.append((step[0][2], step[1], step[0][3]))
+        j = step[0][0]
+    yield from found[::-1]
+
+
+def decoded(text: str, weights: np.ndarray) -> Iterator[Span]:
+    """The best spans of a text, boundaries and kinds together. Where no worthy segment crosses a token's start, what is before it is
+    settled, so a table of numbers of any length is held for a few hundred tokens only."""
+    cluster: list[Segment] = []
+    reach = 0
+    for found in _worthy(text, weights):
+        begin = found if isinstance(found, int) else found[0]
+        if cluster and begin >= reach:
+            yield from _settled(cluster)
+            cluster = []
+        if not isinstance(found, int):
+            cluster.append(found)
+            reach = max(reach, found[1]) if len(cluster) > 1 else found[1]
+    if cluster:
+        yield from _settled(cluster)
+
+
 # --- training --------------------------------------------------------------------------------
 
 
@@ -341,12 +462,11 @@ def all_spans(text: str, weights: np.ndarray) -> tuple[list[Span], list[Span]]:
     """Base spans, and the spans that the field adds; both in order."""
     base = base_spans(text)
     added, b, reach = [], 0, 0
-    for tokens in stretches(text):
-        for start, kind, end in Lattice(text, tokens).best(weights):
-            while b < len(base) and base[b][0] < end:
-                reach, b = max(reach, base[b][2]), b + 1
-            if reach <= start:
-                added.append((start, kind, end))
+    for start, kind, end in decoded(text, weights):
+        while b < len(base) and base[b][0] < end:
+            reach, b = max(reach, base[b][2]), b + 1
+        if reach <= start:
+            added.append((start, kind, end))
     return base, added
 
 

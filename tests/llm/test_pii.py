@@ -1,5 +1,7 @@
 import hashlib
 import random
+import time
+import tracemalloc
 import re
 
 import numpy as np
@@ -138,3 +140,40 @@ def test_awkward(spark, weights):
     expected = sorted(hashlib.sha256(pii.joined(brute_base(r[1] or "")).encode()).hexdigest() for r in awkward_rows())
     assert sorted(got.base_sha256) == expected and rows(pii.find(empty(spark))).empty
     assert pii.redacted("x a.b@c.org y", weights) == "x [EMAIL] y"
+
+
+def test_decoding_is_the_best_of_whole_stretches(weights, monkeypatch):
+    """However few tokens are held at once."""
+    rng = random.Random(21)
+    texts = [" ".join(pii._generated(rng)[0] for _ in range(12)) for _ in range(12)]
+    texts += [" ".join(rng.choice(["1", "23.4", "555-0199", "+1", "a@b.com", "at", "dot", "x", "4111 1111 1111 1111", "10.0.0.1", "\n"]) for _ in range(400)) for _ in range(6)]
+    for at_once in (pii.STARTS_AT_ONCE, 1, 3):
+        monkeypatch.setattr(pii, "STARTS_AT_ONCE", at_once)
+        for text in texts:
+            assert list(pii.decoded(text, weights)) == [x for tokens in pii.stretches(text) for x in pii.Lattice(text, tokens).best(weights)]
+
+
+def test_plain_features_are_the_features(weights):
+    rng = random.Random(3)
+    for _ in range(20_000):
+        span = "".join(rng.choice("aT.x 12@(d)ot-+é") if rng.random() < 0.3 else rng.choice("0123456789 .") for _ in range(rng.randint(1, 26))).strip() or "1"
+        plain = pii._plain_features(span, 2, "call:", "dot")
+        assert plain is None or plain == [float(x) for x in pii.span_features(span, 2, "call:", "dot")]
+
+
+def test_tables_of_numbers_in_bounded_memory(weights):
+    """Without a line break, so one stretch: what is held does not grow with it, and the time does in proportion."""
+    rng = random.Random(5)
+    text = " ".join(str(rng.randint(0, 99999)) for _ in range(24_000))
+    peaks, seconds = [], []
+    for part in (text[: len(text) // 4], text):
+        began = time.time()
+        assert sum(1 for _ in pii.decoded(part, weights)) < len(part) // 50
+        seconds.append(time.time() - began)
+        tracemalloc.start()
+        for _ in pii.decoded(part[: len(part) // 3], weights):
+            pass
+        peaks.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+    assert peaks[1] < 1.5 * peaks[0] + 500_000 and peaks[1] < 8_000_000
+    assert seconds[1] < 8 * seconds[0] + 2
