@@ -135,3 +135,45 @@ def signed_digits(value: Column, digits: int = 4) -> Column:
 def run_time(name: Column) -> Column:
     """The timestamp in a run name like tag-20240131T235959Z; null if there is none."""
     return F.try_to_timestamp(F.regexp_extract(name, r"([0-9]{8}T[0-9]{6})Z", 1), F.lit("yyyyMMdd'T'HHmmss"))
+
+
+#: The fields of an entry that are rendered in words; all others are rendered as they are, by name.
+_TOLD = ("vendor", "product", "defaultStatus", "versions")
+_CHANGE = "struct<at:string,status:string>"
+_ENTRY = f"struct<vendor:string,product:string,defaultStatus:string,versions:array<struct<status:string,version:string,lessThan:string,lessThanOrEqual:string,versionType:string,changes:array<{_CHANGE}>>>>"
+_RECORD = "struct<containers:struct<cna:struct<affected:array<string>>,adp:array<struct<affected:array<string>>>>>"
+
+
+def rendered_entry(raw: Column, origin: Column) -> Column:
+    """One affected entry (JSON) as a line: status and versions in words, then every other field by name, whatever it is called."""
+    entry, every = F.from_json(raw, _ENTRY), F.from_json(raw, "map<string,string>")
+    some = lambda x: F.coalesce(x, F.lit("None"))
+    full = lambda x: F.nullif(F.coalesce(x, F.lit("")), F.lit(""))
+
+    def version(v: Column) -> Column:
+        changes = F.transform(v["changes"], lambda c: F.concat(some(c["status"]), F.lit(" at "), some(c["at"])))
+        return F.concat(
+            some(v["status"]), F.lit(": "), some(v["version"]),
+            F.coalesce(F.concat(F.lit(" up to, not including, "), v["lessThan"]), F.lit("")), F.coalesce(F.concat(F.lit(" up to and including "), v["lessThanOrEqual"]), F.lit("")),
+            F.coalesce(F.concat(F.lit(" ("), full(v["versionType"]), F.lit(")")), F.lit("")),
+            F.when(F.size(v["changes"]) > 0, F.concat(F.lit("; changes: "), F.array_join(changes, ", "))).otherwise(""),
+        )
+
+    others = F.filter(F.array_sort(F.map_keys(every)), lambda k: ~k.isin(*_TOLD) & F.coalesce(~F.element_at(every, k).isin("", "[]", "null"), F.lit(False)))
+    value = lambda k: F.coalesce(F.array_join(F.from_json(F.when(F.element_at(every, k).startswith("["), F.element_at(every, k)), "array<string>"), ", "), F.element_at(every, k))
+    empty = F.array().cast("array<string>")
+    parts = F.concat(
+        F.array_compact(F.array(F.concat(F.lit("default status: "), full(entry["defaultStatus"])))),
+        F.coalesce(F.transform(entry["versions"], version), empty), F.coalesce(F.transform(others, lambda k: F.concat(k, F.lit(": "), value(k))), empty),
+    )
+    named = lambda c: F.coalesce(full(entry[c]), F.lit("n/a"))
+    return F.concat(origin, named("vendor"), F.lit(" / "), named("product"), F.lit(": "), F.coalesce(full(F.array_join(parts, "; ")), F.lit("no version data")))
+
+
+def rendered_entries(raw: Column) -> Column:
+    """The affected entries of a record (JSON), one line each: the producer's own first, then those that others added."""
+    read = F.from_json(raw, _RECORD)["containers"]
+    empty = F.array().cast("array<string>")
+    own = F.transform(F.coalesce(read["cna"]["affected"], empty), lambda e: rendered_entry(e, F.lit("")))
+    added = F.flatten(F.transform(F.coalesce(read["adp"], F.array().cast("array<struct<affected:array<string>>>")), lambda a: F.coalesce(a["affected"], empty)))
+    return F.array_join(F.concat(own, F.transform(added, lambda e: rendered_entry(e, F.lit("(ADP enrichment) ")))), "\n")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quillwork.functions import contracts
 from quillwork.functions.score import CATEGORIES, metrics
+from quillwork.operators import ordered as od
 
 
 def by_stratum(rows: DataFrame, panel: str, stratum: str) -> DataFrame:
@@ -21,13 +22,20 @@ def category_counts(rows: DataFrame, by: list[str], categories: str = "categorie
 
 
 def distribution(rows: DataFrame, by: list[str], value: str) -> DataFrame:
-    """known, missing, total (null if any is missing), known_total, mean_known, p90 (nearest rank)."""
+    """known, missing, total (null if any is missing), known_total, mean_known, p90 (nearest rank). Groups may be of any size: the rank
+    is looked up among placed rows, so no task holds a group's values."""
     x = F.col(value)
-    return rows.groupBy(*by).agg(
+    sums = rows.groupBy(*by).agg(
         F.count(x).alias("known"), F.count_if(x.isNull()).alias("missing"),
-        F.round(F.when(F.count_if(x.isNull()) == 0, F.sum(x)), 6).alias("total"), F.round(F.sum(x), 6).alias("known_total"),
-        F.round(F.avg(x), 6).alias("mean_known"), F.expr(f"percentile_disc(0.9) within group (order by {value})").alias("p90"),
+        F.round(F.when(F.count_if(x.isNull()) == 0, F.sum(x)), 6).alias("total"), F.round(F.sum(x), 6).alias("known_total"), F.round(F.avg(x), 6).alias("mean_known"),
     )
+    return sums.join(od.at_ranks(rows.where(x.isNotNull()), by, value, {"p90": F.ceil(F.col("_n") * 0.9) - 1}), by, "left")
+
+
+def medians(rows: DataFrame, by: list[str], value: str, name: str) -> DataFrame:
+    """by and the median of a value, of groups of any size."""
+    ends = od.at_ranks(rows.where(F.col(value).isNotNull()), by, value, {"_low": F.expr("(_n - 1) div 2"), "_high": F.expr("_n div 2")})
+    return ends.select(*by, ((F.col("_low") + F.col("_high")) / 2).alias(name))
 
 
 def floor_rank(share: float) -> Column:

@@ -50,7 +50,9 @@ def interleaved(rows: DataFrame, bucket: list[str], order: list[Column], batch:
 def at_ranks(rows: DataFrame, by: list[str], value: str, ranks: dict[str, Column]) -> DataFrame:
     """by and, for each name, the value at a 0-based rank that is given as an expression of the group's size _n."""
     sizes = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
-    numbered = placed_within(rows.select(*by, value), by, [F.col(value)]).join(sizes, by)
+    # A frequent value is spread over ranges by row number; which of equal values has which place does not matter.
+    spread = rows.select(*by, value, F.xxhash64(F.monotonically_increasing_id()).alias("_tie"))
+    numbered = placed_within(spread, by, [F.col(value), F.col("_tie")]).join(sizes, by)
     return numbered.groupBy(*by).agg(*[F.max(F.when(F.col("turn") == rank, F.col(value))).alias(name) for name, rank in ranks.items()])
 
 

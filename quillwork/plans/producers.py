@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillwork.functions import text as tx
 from quillwork.operators import corroboration as co
 from quillwork.plans.base import Book, view
 
@@ -128,3 +129,28 @@ def unsplit_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = rows.withColumn("entries", F.expr(entry)).withColumn("status", F.lit("unaffected")).withColumn("vendor", F.when(F.col("cve") % 3 == 0, "Other House").otherwise("Tools, Inc."))
     parts = view(spark, sf_dir, "part").selectExpr("p_partkey div 50 AS profile", "'Acme tools' AS vendor", "concat(p_partkey, ' ', p_name, ' Firmware') AS product", "concat(p_partkey % 9, '.0') AS version")
     return co.unsplit_lists(parts, rows)
+
+
+@BOOK.add("entry_rendering", """
+WITH e AS (
+  SELECT l_orderkey AS o, l_linestatus = 'O' AS added, row_number() OVER (PARTITION BY l_orderkey, l_linestatus = 'O' ORDER BY l_linenumber, l_partkey, l_suppkey) AS r,
+    CASE WHEN l_linestatus = 'O' THEN '(ADP enrichment) ' ELSE '' END || CASE WHEN l_partkey % 7 = 0 THEN 'n/a' ELSE 'V' || l_suppkey END || ' / P' || l_partkey || ': ' AS head,
+    concat_ws('; ', CASE WHEN l_partkey % 3 = 0 THEN 'default status: unaffected' END,
+      CASE WHEN l_partkey % 5 <> 0 THEN 'affected: ' || l_linenumber || '.0' || CASE l_partkey % 4 WHEN 0 THEN ' up to, not including, 9.1 (semver)' WHEN 1 THEN ' up to and including 9.2; changes: unaffected at 9.0, None at 9.3' ELSE '' END END,
+      CASE WHEN l_partkey % 6 = 1 THEN 'Zeta: 1' END, CASE WHEN l_partkey % 6 < 3 THEN 'modules: m' || l_linenumber || ', x "y"' END, CASE WHEN l_partkey % 6 = 2 THEN 'zed_' || (l_partkey % 10) || ': true' END) AS body FROM lineitem)
+SELECT o, string_agg(head || CASE WHEN body = '' THEN 'no version data' ELSE body END, chr(10) ORDER BY added, r) AS text FROM e GROUP BY o""")
+def entry_rendering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines as entries with fields of any name, told as JSON; those with status O were added by others."""
+    field = lambda name, when, value: f"if({when}, concat(',\"', {name}, '\":', {value}), '')"
+    versions = """concat('{"status":"affected","version":"', l_linenumber, '.0"', CASE l_partkey % 4 WHEN 0 THEN ',"lessThan":"9.1","versionType":"semver"'
+        WHEN 1 THEN ',"lessThanOrEqual":"9.2","changes":[{"at":"9.0","status":"unaffected"},{"at":"9.3"}]' ELSE '' END, '}')"""
+    extra = [
+        field("'modules'", "l_partkey % 6 < 3", "concat('[\"m', l_linenumber, '\",\"x \\\\\"y\\\\\"\"]')"), field("concat('zed_', l_partkey % 10)", "l_partkey % 6 = 2", "'true'"), field("'Zeta'", "l_partkey % 6 = 1", "'1'"),
+        field("'cpes'", "l_partkey % 6 = 3", "'[]'"), field("'packageName'", "l_partkey % 6 = 4", "'null'"), field("'repo'", "l_partkey % 6 = 5", "'\"\"'"),
+    ]
+    entry = f"""concat('{{"product":"P', l_partkey, '"', if(l_partkey % 7 = 0, '', concat(',"vendor":"V', l_suppkey, '"')), if(l_partkey % 3 = 0, ',"defaultStatus":"unaffected"', ''),
+        if(l_partkey % 5 = 0, '', concat(',"versions":[', {versions}, ']')), {", ".join(extra)}, '}}')"""
+    lines = view(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o"), "l_linestatus", F.struct("l_linenumber", "l_partkey", "l_suppkey", F.expr(entry).alias("e")).alias("x"))
+    listed = lambda status: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("l_linestatus") == status, F.col("x")))), lambda x: x["e"]), ",")
+    told = lines.groupBy("o").agg(F.concat(F.lit('{"containers":{"cna":{"affected":['), listed("F"), F.lit(']},"adp":[{"title":"t"},{"affected":['), listed("O"), F.lit("]}]}}")).alias("raw"))
+    return told.select("o", tx.rendered_entries(F.col("raw")).alias("text"))

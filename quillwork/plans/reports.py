@@ -1,4 +1,4 @@
-"""Report queries: roll-ups, pivots, ledgers, gates, audits as constraint checks. Most are plain SQL that both engines read."""
+"""Report queries: roll-ups, pivots, ledgers, gates, audits as constraint checks."""
 
 from __future__ import annotations
 
@@ -63,8 +63,8 @@ def portability_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
 @BOOK.add("disclosure_volume", """
 SELECT role, count(*) AS n, median(strlen(text))::DOUBLE AS median_bytes, min(strlen(text)) AS least, max(strlen(text)) AS most FROM conversations GROUP BY role""")
 def disclosure_volume(spark: SparkSession, sf_dir: str) -> DataFrame:
-    b = F.octet_length("text").cast("long")
-    return view(spark, sf_dir, "conversations").groupBy("role").agg(F.count(F.lit(1)).alias("n"), F.median(b).alias("median_bytes"), F.min(b).alias("least"), F.max(b).alias("most"))
+    rows = view(spark, sf_dir, "conversations").select("role", F.octet_length("text").cast("long").alias("b"))
+    return rows.groupBy("role").agg(F.count(F.lit(1)).alias("n"), F.min("b").alias("least"), F.max("b").alias("most")).join(ag.medians(rows, ["role"], "b", "median_bytes"), "role")
 
 
 BOOK.check("real_record_summary", """

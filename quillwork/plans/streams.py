@@ -26,6 +26,8 @@ def drained(stream: DataFrame, mode: str) -> DataFrame:
     def keep(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{folder}/rows/batch={0 if mode == 'complete' else number}")
 
+    # A stream without any row leaves this empty batch.
+    spark.createDataFrame([], stream.schema).write.parquet(f"{folder}/rows/batch=-1")
     query = stream.writeStream.foreachBatch(keep).outputMode(mode).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
     query.awaitTermination()
     return spark.read.parquet(f"{folder}/rows").select(*stream.columns)
@@ -69,3 +71,28 @@ WHERE spent <= 500000 GROUP BY o_custkey""")
 def budget_admission(spark: SparkSession, sf_dir: str) -> DataFrame:
     requests = view(spark, sf_dir, "orders").withColumn("cost", F.round("o_totalprice").cast("long"))
     return tm.admitted(requests, "o_custkey", "o_orderkey", "cost", 500000).groupBy("o_custkey").agg(F.count(F.lit(1)).alias("admitted"))
+
+
+@BOOK.add("stream_chain_strict", """
+WITH p AS (SELECT gpu, power, at_s - lag(at_s) OVER w AS gap, lag(power) OVER w AS before FROM frames WINDOW w AS (PARTITION BY gpu ORDER BY sequence))
+SELECT gpu, count(*) FILTER (power IS NOT NULL AND before IS NOT NULL AND gap > 0 AND gap <= 86400) AS pairs, round(coalesce(sum(gap) FILTER (power IS NOT NULL AND before IS NOT NULL AND gap > 0 AND gap <= 86400), 0), 2) AS covered_s
+FROM p GROUP BY gpu""")
+def stream_chain_strict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frames that name the digest of the frame before them, streamed strictly: a break would stop the query."""
+    folder, digest = scratch(spark, "frames"), F.sha2(F.concat_ws("/", "gpu", "sequence"), 256)
+    before = F.when(F.col("sequence") > 0, F.sha2(F.concat_ws("/", F.col("gpu"), F.col("sequence") - 1), 256))
+    view(spark, sf_dir, "frames").select("gpu", "sequence", "at_s", "power", digest.alias("sha256"), before.alias("previous_sha256")).write.parquet(folder)
+    last = drained(tm.running_energy(spark.readStream.schema(tm.FRAME).parquet(folder), 86400.0, strict=True), "update")
+    return last.groupBy("gpu").agg(F.max_by(F.struct("pairs", "covered_s"), "pairs").alias("x")).select("gpu", "x.pairs", F.round("x.covered_s", 2).alias("covered_s"))
+
+
+@BOOK.add("stream_soak", """
+WITH r AS (SELECT user_id, event_id, sum(value) OVER w AS spent, row_number() OVER w AS n FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)),
+d AS (SELECT user_id, min(n) FILTER (spent >= 900) AS n FROM r GROUP BY user_id)
+SELECT d.user_id, 'completed' AS status, r.n AS rounds, round(r.spent, 6) AS seconds FROM d JOIN r ON r.user_id = d.user_id AND r.n = d.n WHERE d.n <= 40
+UNION ALL SELECT d.user_id, 'ceiling', r.n, round(r.spent, 6) FROM d JOIN r ON r.user_id = d.user_id AND r.n = 40 WHERE d.n IS NULL OR d.n > 40""")
+def stream_soak(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as rounds of work: a user's rounds go on until they took long enough, or are too many."""
+    rounds = _events(spark, sf_dir).select("user_id", "event_id", F.col("ts").cast("timestamp").alias("at"), F.col("value").alias("seconds"))
+    with tm.state_in_rocksdb(spark):
+        return drained(tm.soak(rounds, "user_id", "at", "event_id", "seconds", 900.0, 40), "append").withColumn("seconds", F.round("seconds", 6))

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 FRAME = "gpu bigint, sequence bigint, at_s double, power double, sha256 string, previous_sha256 string"
@@ -84,3 +86,48 @@ def admitted(requests: DataFrame, scope: str, order: str, cost: str, cap: float)
 
     spent = F.sum(cost).over(Window.partitionBy(scope).orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
     return requests.withColumn("spent", spent).where(F.col("spent") <= cap)
+
+
+class Soak(StatefulProcessor):
+    """Adds up the rounds of a key until they took long enough (completed) or are too many (ceiling); says so once."""
+
+    def __init__(self, columns: list[str], target: float, most: int):
+        self.columns, self.target, self.most = columns, target, most
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.spent = handle.getValueState("spent", "rounds bigint, seconds double, done boolean")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:
+        rounds, seconds, done = self.spent.get() if self.spent.exists() else (0, 0.0, False)
+        name, *order, took = self.columns
+        said = []
+        for more in [] if done else pd.concat(list(rows)).sort_values(order, kind="stable")[took].tolist():
+            rounds, seconds = rounds + 1, seconds + more
+            if seconds >= self.target or rounds >= self.most:
+                said, done = [(key[0], "completed" if seconds >= self.target else "ceiling", rounds, seconds)], True
+                break
+        self.spent.update((rounds, seconds, done))
+        yield pd.DataFrame(said, columns=[name, "status", "rounds", "seconds"])
+
+    def close(self) -> None:
+        pass
+
+
+def soak(rounds: DataFrame, key: str, at: str, order: str, seconds: str, target: float, most: int) -> DataFrame:
+    """key, status, rounds, seconds: one row a key as soon as its rounds took target seconds, or are most in number. The state is
+    one row a key; the rounds of a batch are taken in order."""
+    kind = dict(rounds.dtypes)[key]
+    processor = Soak([key, at, order, seconds], target, most)
+    return rounds.groupBy(key).transformWithStateInPandas(processor, f"{key} {kind}, status string, rounds bigint, seconds double", "Append", "None")
+
+
+@contextmanager
+def state_in_rocksdb(spark: SparkSession) -> Iterator[None]:
+    """The state store that processors with named state need, for the streams started within."""
+    name, kind = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+    before = spark.conf.get(name)
+    spark.conf.set(name, kind)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)

@@ -69,3 +69,30 @@ def test_a_whole_chain_passes(spark, tmp_path):
     _written(tmp_path, [_frame(0), _frame(1, "d0")], [_frame(2, "d1")])
     last = drained(tm.running_energy(tm.frame_lines(spark, str(tmp_path)), 2.5, strict=True), "update").orderBy(F.desc("pairs")).first()
     assert (last.joules, last.pairs, last.broken) == (20.0, 2, 0)
+
+
+def test_an_empty_stream_leaves_no_rows(spark, tmp_path):
+    frames = spark.readStream.schema("gpu bigint, sequence bigint, at_s double, power double").parquet(str(tmp_path))
+    assert drained(tm.running_energy(frames, 2.5), "update").count() == 0
+
+
+def test_soak_goes_on_over_batches(spark, tmp_path):
+    """State is kept between files; a key speaks once, and a rate source feeds the same processor."""
+    rows = [(1, i, 1.0) for i in range(4)] + [(2, i, 5.0) for i in range(4)] + [(3, i, 0.1) for i in range(6)]
+    for n, part in enumerate((rows[0::2], rows[1::2])):
+        spark.createDataFrame(part, "k long, i long, s double").selectExpr("k", "timestamp_seconds(i) AS at", "i", "s").coalesce(1).write.parquet(f"{tmp_path}/in/{n}.parquet")
+    stream = spark.readStream.schema("k long, at timestamp, i long, s double").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in/*.parquet")
+    with tm.state_in_rocksdb(spark):
+        got = {r.k: (r.status, r.rounds) for r in drained(tm.soak(stream, "k", "at", "i", "s", 4.0, 5), "append").collect()}
+    assert got == {1: ("completed", 4), 2: ("completed", 1), 3: ("ceiling", 5)}
+    rate = spark.readStream.format("rate").option("rowsPerSecond", 50).load().selectExpr("value % 2 AS k", "timestamp AS at", "value AS i", "1.0D AS s")
+    with tm.state_in_rocksdb(spark):
+        query = tm.soak(rate, "k", "at", "i", "s", 3.0, 100).writeStream.format("memory").queryName("soaked").option("checkpointLocation", f"{tmp_path}/state").start()
+        try:
+            for _ in range(60):
+                query.processAllAvailable()
+                if spark.table("soaked").count() == 2:
+                    break
+        finally:
+            query.stop()
+    assert {(r.status, r.rounds) for r in spark.table("soaked").collect()} == {("completed", 3)}
