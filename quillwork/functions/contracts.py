@@ -30,28 +30,40 @@ def strict_json(raw: str):
     return json.loads(raw, object_pairs_hook=pairs, parse_constant=constant)
 
 
-def answer(raw: str | None, finish: str | None, known: list | None, key: str) -> list | None:
-    """The sorted ids of a strict answer {key: [ids]}; None unless it stopped normally, has exactly that
-    key, and lists distinct known strings."""
+def answer(raw: str | None, finish: str | None, known: list | None, key: str, decisions: str | None = None) -> list | None:
+    """The sorted ids of a strict answer {key: [ids]}; None unless it stopped normally, has exactly that key, and lists distinct
+    known strings.
+
+    decisions: a second key that must then be there too, with {id, applicable} once for every known id, and with the listed ids alone
+    applicable."""
     if raw is None or finish != "stop":
         return None
     try:
         value = strict_json(raw)
     except (ValueError, RecursionError):
         return None
-    if not isinstance(value, dict) or list(value) != [key]:
+    if not isinstance(value, dict) or set(value) != {key, decisions} - {None}:
         return None
     ids = value[key]
     known = set() if known is None else set(known)
     if not isinstance(ids, list) or not all(isinstance(x, str) and x in known for x in ids) or len(set(ids)) != len(ids):
         return None
+    if decisions is not None and not _consistent(value[decisions], set(ids), known):
+        return None
     return sorted(ids)
 
 
-def parse_answer(key: str = "applicable"):
+def _consistent(listed: object, ids: set[str], known: set[str]) -> bool:
+    shaped = isinstance(listed, list) and all(isinstance(d, dict) and set(d) == {"id", "applicable"} and isinstance(d["id"], str) and isinstance(d["applicable"], bool) for d in listed)
+    if not shaped or len({d["id"] for d in listed}) != len(listed):
+        return False
+    return {d["id"] for d in listed} == known and {d["id"] for d in listed if d["applicable"]} == ids
+
+
+def parse_answer(key: str = "applicable", decisions: str | None = None):
     @F.pandas_udf(_TEXTS)
     def parse(raw: pd.Series, finish: pd.Series, known: pd.Series) -> pd.Series:
-        return pd.Series([answer(r, f, k, key) for r, f, k in zip(raw, finish, known, strict=True)], dtype=object)
+        return pd.Series([answer(r, f, k, key, decisions) for r, f, k in zip(raw, finish, known, strict=True)], dtype=object)
 
     return parse
 

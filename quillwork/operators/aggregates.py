@@ -102,3 +102,23 @@ def weighted_share(strata: DataFrame, by: list[str], alpha: float = 0.05) -> Dat
     part = lambda value: F.sum(F.col("weight") / F.col("total") * value)
     r = lambda c, name: F.round(c, 6).alias(name)
     return limits.groupBy(*by).agg(F.max("strata").alias("strata"), r(part(F.col("k") / F.col("n")), "estimate"), r(part(F.col("x.low")), "low"), r(part(F.col("x.high")), "high"))
+
+
+def worker_timing(items: DataFrame) -> DataFrame:
+    """scope, name, optimizer_s, executor_s, model_load_s, optimizer_calls: worker seconds by phase (the first part of a key), and of the main phase by
+    trajectory (the next four) and role (a last part that begins with proposal is the optimizer's).
+
+    items: key, worker_seconds, model_load_seconds. Both scopes come from one pass; sums are of decimals, so no order of rows changes them."""
+    parts = F.split("key", "/")
+    proposal = F.element_at(parts, -1).startswith("proposal")
+    rows = items.select(
+        F.get(parts, F.lit(0)).alias("phase"), F.when(F.get(parts, F.lit(0)) == "main", F.array_join(F.slice(parts, 2, 4), "/")).alias("trajectory"), proposal.alias("proposal"),
+        F.col("worker_seconds").cast("decimal(18,6)").alias("s"), F.col("model_load_seconds").cast("decimal(18,6)").alias("load"),
+    )
+    both = rows.groupingSets([[F.col("phase")], [F.col("trajectory")]], F.col("phase"), F.col("trajectory")).agg(
+        F.grouping("phase").alias("by_trajectory"), F.sum(F.when(F.col("proposal"), F.col("s")).otherwise(0)).alias("optimizer_s"),
+        F.sum(F.when(F.col("proposal"), 0).otherwise(F.col("s"))).alias("executor_s"), F.sum("load").alias("model_load_s"), F.count_if("proposal").alias("optimizer_calls"),
+    )
+    named = both.where("by_trajectory = 0 or trajectory is not null")
+    r = lambda c: F.round(c, 3).cast("double").alias(c)
+    return named.select(F.when(F.col("by_trajectory") == 0, "phase").otherwise("trajectory").alias("scope"), F.coalesce("trajectory", "phase").alias("name"), r("optimizer_s"), r("executor_s"), r("model_load_s"), "optimizer_calls")

@@ -257,3 +257,16 @@ def review_violations(selected: DataFrame, reviews: DataFrame, quarantine: DataF
 def approved(cohort: DataFrame, quarantine: DataFrame) -> DataFrame:
     """The records that pass the gate."""
     return cohort.join(quarantine.select("cve").distinct(), "cve", "left_anti")
+
+
+def prompt_violations(selected: DataFrame, recorded: DataFrame) -> DataFrame:
+    """Selections whose prompt is absent from the record, or is not the text that was recorded.
+
+    selected: name, prompt, sha256. recorded: prompt, text."""
+    both = selected.join(recorded.select("prompt", F.sha2("text", 256).alias("own"), F.lit(True).alias("there")), "prompt", "left")
+    return violations(both, {"prompt_missing": F.col("there").isNull(), "prompt_changed": F.col("there").isNotNull() & ~F.coalesce(F.col("own") == F.col("sha256"), F.lit(False))}, F.col("name"), F.col("prompt"))
+
+
+def by_prompt(selected: DataFrame) -> DataFrame:
+    """sha256, names: who selected the same text."""
+    return selected.groupBy("sha256").agg(F.array_sort(F.collect_set("name")).alias("names"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from quillwork.functions import text as tx
 from quillwork.functions import validation as va
+from quillwork.operators import aggregates as ag
 from quillwork.operators import audit, joins
 from quillwork.plans.base import Book, view
 
@@ -245,3 +246,36 @@ def review_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
 def approved_cohort(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = view(spark, sf_dir, "documents").select(F.col("doc_id").alias("cve"))
     return audit.approved(docs, docs.where("cve % 3 = 0")).select(F.col("cve").alias("doc_id"))
+
+
+def _selected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents of one source and language select one text; some recorded another one."""
+    docs = view(spark, sf_dir, "documents")
+    text = F.coalesce("text", F.lit(""))
+    return docs.select(F.col("doc_id").alias("name"), F.when(F.col("doc_id") % 17 == 0, -1).otherwise(F.col("doc_id")).alias("prompt"), F.sha2(F.when(F.col("doc_id") % 11 == 0, F.concat(text, F.lit(" "))).otherwise(text), 256).alias("sha256"))
+
+
+@BOOK.add("prompt_records", """
+SELECT 'prompt_missing' AS rule, true AS raised, doc_id::VARCHAR AS subject, '-1' AS item FROM documents WHERE doc_id % 17 = 0
+UNION ALL SELECT 'prompt_changed', true, doc_id::VARCHAR, doc_id::VARCHAR FROM documents WHERE doc_id % 17 <> 0 AND doc_id % 11 = 0""")
+def prompt_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    recorded = view(spark, sf_dir, "documents").select(F.col("doc_id").alias("prompt"), F.coalesce("text", F.lit("")).alias("text"))
+    return audit.prompt_violations(_selected(spark, sf_dir), recorded)
+
+
+@BOOK.add("prompts_shared", """
+SELECT sha256(coalesce(text, '') || CASE WHEN doc_id % 11 = 0 THEN ' ' ELSE '' END) AS sha256, string_agg(doc_id::VARCHAR, ',' ORDER BY doc_id) AS names FROM documents GROUP BY 1""")
+def prompts_shared(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.by_prompt(_selected(spark, sf_dir)).select("sha256", F.array_join(F.transform("names", lambda n: n.cast("string")), ",").alias("names"))
+
+
+@BOOK.add("worker_timing", """
+WITH i AS (SELECT CASE WHEN o_custkey % 3 = 0 THEN 'sealed' ELSE 'main' END AS phase, 'm' || (o_custkey % 4) || '/T' || (o_custkey % 3) || '/R' || (o_custkey % 5) || '/r' || (o_orderkey % 7) AS trajectory,
+    o_orderkey % 6 = 0 AS proposal, o_totalprice::DECIMAL(18, 2) AS s, (o_orderkey % 9)::DECIMAL(18, 6) AS load FROM orders),
+b AS (SELECT 'phase' AS scope, phase AS name, * FROM i UNION ALL SELECT 'trajectory', trajectory, * FROM i WHERE phase = 'main')
+SELECT scope, name, round(sum(CASE WHEN proposal THEN s ELSE 0 END), 3)::DOUBLE AS optimizer_s, round(sum(CASE WHEN proposal THEN 0 ELSE s END), 3)::DOUBLE AS executor_s, round(sum(load), 3)::DOUBLE AS model_load_s, count(*) FILTER (proposal) AS optimizer_calls
+FROM b GROUP BY scope, name""")
+def worker_timing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = "concat(if(o_custkey % 3 = 0, 'sealed', 'main'), '/m', o_custkey % 4, '/T', o_custkey % 3, '/R', o_custkey % 5, '/r', o_orderkey % 7, '/', if(o_orderkey % 6 = 0, 'proposal_1', concat('p_', o_orderkey)))"
+    items = view(spark, sf_dir, "orders").selectExpr(f"{key} AS key", "cast(o_totalprice AS decimal(18, 2)) AS worker_seconds", "double(o_orderkey % 9) AS model_load_seconds")
+    return ag.worker_timing(items)

@@ -108,7 +108,7 @@ SELECT user_id, event_id, value FROM (
 BOOK.check("latest_matching_record", """
 SELECT l_suppkey, l_orderkey FROM (
   SELECT l.l_suppkey, l.l_orderkey, row_number() OVER (PARTITION BY l.l_suppkey ORDER BY l.l_orderkey DESC, l.l_linenumber) AS k
-  FROM lineitem l JOIN supplier s ON l.l_suppkey = s.s_suppkey AND l.l_orderkey <= s.s_suppkey * 100 + 5000) r WHERE k = 1""")
+  FROM lineitem l JOIN supplier s ON l.l_suppkey = s.s_suppkey WHERE l.l_returnflag = 'A') r WHERE k = 1""")
 BOOK.check("capped_relations", """
 SELECT section, profile, k FROM (
   SELECT section, profile, CAST(row_number() OVER (PARTITION BY section ORDER BY profile) AS BIGINT) AS k FROM score_rows WHERE fp + fn > 0) r WHERE k <= 12""")
@@ -186,8 +186,8 @@ def novel_tuples(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 BOOK.check("section_union", """
 SELECT section, count(*) AS n, count(DISTINCT id) AS ids FROM (
-  SELECT 'campaign' AS section, o_orderkey AS id FROM orders WHERE o_orderkey % 2 = 0
-  UNION ALL SELECT 'extension', o_orderkey FROM orders WHERE o_orderkey % 3 = 0) u GROUP BY section""")
+  SELECT 'campaign' AS section, o_orderkey AS id FROM orders
+  UNION ALL SELECT 'extension', l_orderkey FROM lineitem) u GROUP BY section""")
 BOOK.check("component_sets_minus", """
 SELECT profile, count(DISTINCT vendor) AS vendors FROM (SELECT c.profile, c.vendor FROM components c LEFT JOIN (SELECT DISTINCT vendor FROM terms WHERE lower_inclusive) t
   ON c.vendor = t.vendor WHERE t.vendor IS NULL) x GROUP BY profile""")
@@ -200,7 +200,7 @@ def strict_interleave(spark: SparkSession, sf_dir: str) -> DataFrame:
     sizes = view(spark, sf_dir, "score_rows").groupBy("stratum").agg(F.count(F.lit(1)).alias("size"))
     strata = sizes.agg(F.min("size").alias("turns"), F.array_sort(F.collect_set("stratum")).alias("strata")).select("turns", F.size("strata").cast("long").alias("s"), F.posexplode("strata").alias("at", "stratum"))
     whole, place = F.col("turns") * F.col("s"), F.col("turn") * F.col("s") + F.col("at")
-    return rows.join(F.broadcast(strata), "stratum").where("turn < turns").select("profile", "stratum", F.pmod(place - 3, whole).alias("place"))
+    return rows.join(strata, "stratum").where("turn < turns").select("profile", "stratum", F.pmod(place - 3, whole).alias("place"))
 
 
 @BOOK.add("latin_rotation")

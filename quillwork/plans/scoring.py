@@ -300,6 +300,24 @@ def strict_answer_contract(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@BOOK.add("scaffold_contract", """
+SELECT k % 7 AS spelling, count(*) AS n, CASE WHEN k % 7 IN (0, 6) THEN count(*) ELSE 0 END AS valid FROM (SELECT DISTINCT l_orderkey AS k FROM lineitem) GROUP BY k % 7""")
+def scaffold_contract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as answers with a decision for each candidate: all there and consistent, or one missing, twice, turned, of another shape, or beside a third key."""
+    k = F.col("l_orderkey") % 7
+    one = lambda x, yes: F.concat(F.lit('{"id": "'), x, F.lit('", "applicable": '), yes.cast("string"), F.lit("}"))
+    told = F.transform("candidates", lambda x: one(x, F.array_contains("said", x)))
+    first = F.get("candidates", F.lit(0))
+    turned = F.transform("candidates", lambda x: one(x, F.array_contains("said", x) != (x == first)))
+    shape = F.transform("candidates", lambda x: F.concat(F.lit('{"id": "'), x, F.lit('", "applicable": 1}')))
+    listed = F.when(k == 1, F.slice(told, 2, 99)).when(k == 2, F.concat(told, F.slice(told, 1, 1))).when(k == 3, turned).when(k == 4, shape).otherwise(told)
+    ids = F.array_join(F.transform("said", lambda x: F.concat(F.lit('"'), x, F.lit('"'))), ", ")
+    extra = F.when(k == 5, F.lit(', "why": ""')).otherwise("")
+    raw = F.concat(F.lit('{"decisions": ['), F.array_join(listed, ", "), F.lit('], "applicable": ['), ids, F.lit("]"), extra, F.lit("}"))
+    parsed = _answers(spark, sf_dir).select("l_orderkey", contracts.parse_answer("applicable", "decisions")(raw, F.lit("stop"), F.col("candidates")).alias("parsed"))
+    return parsed.groupBy((F.col("l_orderkey") % 7).alias("spelling")).agg(F.count(F.lit(1)).alias("n"), F.count("parsed").alias("valid"))
+
+
 @BOOK.add("canonical_digest")
 def canonical_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return view(spark, sf_dir, "events").select("event_id", contracts.canonical_digest(F.col("props")).alias("digest"))

@@ -80,7 +80,7 @@ SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN concat(lower(p_type), ' ', CAST
   WHEN 2 THEN concat(lower(p_brand), '/', lower(p_type), '@', CAST(p_size AS STRING)) ELSE concat(p_brand, ' ', p_type, ' ', CAST(p_size AS STRING)) END AS line FROM part""")
 BOOK.check("predicate_shape", """
 SELECT vendor, CASE WHEN count(*) > 5 THEN 'multi_term_or' WHEN max(lower) = max(upper) THEN 'exact' ELSE 'single_range' END AS shape FROM terms GROUP BY vendor""")
-BOOK.check("publication_year", "SELECT CAST(year(o_orderdate) AS BIGINT) AS year, count(*) AS n FROM orders WHERE CAST(year(o_orderdate) AS BIGINT) IN (1994, 1995, 1996) GROUP BY CAST(year(o_orderdate) AS BIGINT)")
+BOOK.check("publication_year", "SELECT CAST(year(o_orderdate) AS BIGINT) AS year, count(*) AS n FROM orders GROUP BY CAST(year(o_orderdate) AS BIGINT)")
 
 
 @BOOK.add("predicate_signature", "SELECT vendor, sha256(string_agg(lower || '..' || upper, ';' ORDER BY cve)) AS signature FROM terms GROUP BY vendor")

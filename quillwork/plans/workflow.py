@@ -127,7 +127,7 @@ def nan_cleaning(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 BOOK.check("quarantine_filter", """
 SELECT CAST(year(o.o_orderdate) AS BIGINT) AS year, count(*) AS n FROM orders o LEFT JOIN (SELECT DISTINCT l_orderkey FROM lineitem WHERE l_quantity > 49) q ON o.o_orderkey = q.l_orderkey
-WHERE q.l_orderkey IS NULL AND CAST(year(o.o_orderdate) AS BIGINT) IN (1993, 1994, 1995) GROUP BY CAST(year(o.o_orderdate) AS BIGINT)""")
+WHERE q.l_orderkey IS NULL GROUP BY CAST(year(o.o_orderdate) AS BIGINT)""")
 BOOK.check("context_fit", """
 SELECT split_part(key, '/T', 1) AS condition, count(*) AS n, CAST(max(tokens) AS BIGINT) AS most, count(*) - count(tokens) AS missing, max(tokens) + 512 <= 1500 AND count(*) = count(tokens) AS shown_to_fit FROM evaluations GROUP BY split_part(key, '/T', 1)""")
 BOOK.check("label_bound_lookup", """

@@ -167,3 +167,18 @@ def test_reconstruction_takes_nothing_from_stored_verdicts(spark):
         assert scored.select("status", "value", "tp", "fp", "fn").first()[:] == ("valid", ["1"], 1, 0, 0)
         stored = spark.createDataFrame([("main/p", 1, 0, 0)], "key string, tp long, fp long, fn long")
         assert [r.rule for r in reconstruction.reconstruction_violations(specs, attempts, read, scored, stored).collect()] == ["interpretation_differs"]
+
+
+@pytest.mark.parametrize(
+    ("raw", "good"),
+    [
+        ('{"applicable": ["a"], "decisions": [{"id": "a", "applicable": true}, {"id": "b", "applicable": false}]}', True),
+        ('{"decisions": [{"id": "b", "applicable": false}, {"applicable": true, "id": "a"}], "applicable": ["a"]}', True),
+        ('{"applicable": ["a"]}', False), ('{"applicable": [], "decisions": [{"id": "a", "applicable": true}, {"id": "b", "applicable": false}]}', False),
+        ('{"applicable": ["a"], "decisions": [{"id": "a", "applicable": 1}, {"id": "b", "applicable": 0}]}', False), ('{"applicable": ["a"], "decisions": {"a": true}}', False),
+        ('{"applicable": ["a"], "decisions": [{"id": "a", "applicable": true}, {"id": "a", "applicable": true}, {"id": "b", "applicable": false}]}', False),
+        ('{"applicable": ["a"], "decisions": [{"id": "a", "applicable": true}, {"id": "b", "applicable": false}, {"id": "c", "applicable": false}]}', False),
+    ],
+)
+def test_scaffold_must_agree_with_the_answer(raw, good):
+    assert contracts.answer(raw, "stop", ["a", "b"], "applicable", "decisions") == (["a"] if good else None)
