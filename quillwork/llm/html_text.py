@@ -34,6 +34,7 @@ BLOCK = frozenset(
     "h1 h2 h3 h4 h5 h6 head header hgroup hr html label legend li main menu nav ol option p pre search section select summary table tbody td tfoot "
     "th thead tr ul".split()
 )
+FOREIGN = frozenset(("svg", "math"))
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 SPACED = frozenset("br wbr img input hr".split())
 FRINGE = frozenset("nav header footer aside form menu button select option label fieldset dialog search head".split())
@@ -48,6 +49,8 @@ BOUNDS = ("ul", "ol", "table", "dl", "div", "article", "section", "td", "select"
 _TAG = re.compile(r"""</?([a-zA-Z][^\s/>]*)(?>[^>=]+|=\s*+(?:"[^"]*"|'[^']*')?)*+>""")
 _HINT = re.compile(r"""[\s"'/](?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]*))""", re.I)
 _OUT = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|side-?bar|menu|nav\w*|breadcrumbs?|footer|header|masthead|cookies?|consent|gdpr|notices?|alert|popup|modal|newsletter|subscri\w+|signup|login|search|share|sharing|social|related|recommend\w*|widget|toolbar|tags?|pagination|pager|legal|copyright|disclaimer|form|contentinfo|complementary|navigation)(?:$|[\s_-])", re.I)
+#: An element that a browser does not show.
+_HIDDEN = re.compile(r"""\shidden(?=[\s=/]|$)|\sstyle\s*=\s*(?:"[^"]*|'[^']*|[^\s>]*)display\s*:\s*none""", re.I)
 _TALK = re.compile(r"(?:^|[\s_-])(?:comments?|repl(?:y|ies)|discussion|disqus|responses?|respond)(?:$|[\s_-])", re.I)
 _IN = re.compile(r"(?:^|[\s_-])(?:article|content|post|entry|story|text|body|main|page|prose)(?:$|[\s_-])", re.I)
 _ENDING = re.compile(r"[.!?…。](?:\s|$)")
@@ -144,7 +147,8 @@ def blocks(page: str) -> list[Block]:
                 close(at)
             continue
         if name in RAW:
-            if not inside.endswith("/"):
+            # Elements of HTML are open in spite of a slash at the end; those of other languages are not.
+            if name not in FOREIGN or not inside.endswith("/"):
                 end = re.compile(rf"</{re.escape(name)}\b[^>]*>?", re.I).search(page, pos)
                 pos = end.end() if end else len(page)
             continue
@@ -155,9 +159,10 @@ def blocks(page: str) -> list[Block]:
                 close(at)
         if name in SPACED:
             pieces.append(" ")
-        if name in VOID or inside.endswith("/"):
+        if name in VOID:
             continue
         _, above, fringe, out, talk, body, inn = stack[-1]
+        out = out or bool(_HIDDEN.search(inside))
         if "=" in inside:
             for hint in map("".join, _HINT.findall(inside)):
                 out, talk, inn = out or bool(_OUT.search(hint)), talk or bool(_TALK.search(hint)), inn or bool(_IN.search(hint))

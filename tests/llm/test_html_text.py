@@ -132,3 +132,23 @@ OTHER = "Nobody in the village could remember a spring so wet; the older men spo
 )
 def test_hand_written_pages_without_an_article_element(weights, page):
     assert ht.main_text(page, weights) == f"High water\n{SENTENCE}\n{OTHER} {SENTENCE}\n{OTHER}"
+
+
+def test_a_slash_closes_no_element_of_html(weights):
+    p = "Long enough running text of the article, with several words and an end."
+    body = f"<article><h1>Title</h1><p>{p}</p>{{}}<p>{p}</p></article>"
+    for leak in ('<script src="a.js"/>var leak=1;</script>', "<style/>p{color:red} leak</style>", '<textarea name="a"/>leak</textarea>'):
+        assert ht.main_text(body.format(leak), weights) == f"Title\n{p}\n{p}"
+    assert ht.main_text(body.format("<svg viewBox='0 0 1 1'/>"), weights) == f"Title\n{p}\n{p}"
+    linked = ht.blocks("<div><a href=/x/>Menu of links</a></div>")
+    assert [b.linked for b in linked] == [1.0]
+    assert [b.text for b in ht.blocks("<div/>one</div><p/>two")] == ["one", "two"]
+
+
+def test_hidden_elements_go(weights):
+    p = "Long enough running text of the article, with several words and an end."
+    for hidden in ("hidden", "hidden=''", 'style="color:red;display: none"', "style=display:none"):
+        page = f"<body><article><h1>Title</h1><p>{p}</p><p>{p}</p></article><div {hidden}><p>Do not show this to anyone.</p></div></body>"
+        assert "anyone" not in ht.main_text(page, weights), hidden
+    kept = f"<body><article><h1>Title</h1><p data-x='hiddenness'>{p}</p></article></body>"
+    assert p in ht.main_text(kept, weights)
