@@ -24,6 +24,7 @@ import os
 import re
 from collections.abc import Callable, Iterator
 from functools import lru_cache
+from operator import itemgetter
 
 import numpy as np
 import public_tokenizers
@@ -66,7 +67,7 @@ def _byte_characters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(0x100 + i): b for i, b in enumerate(rest)}
 
 
-def _fast(vocabulary: str) -> Callable[[str], list[int]] | None:
+def _fast(vocabulary: str) -> Callable[[str], np.ndarray] | None:
     """The encoder of a vocabulary by the faster library, which merges by id; None if that is not the order of its merges."""
     with open(vocabulary, encoding="utf-8") as f:
         read = json.load(f)
@@ -77,17 +78,8 @@ def _fast(vocabulary: str) -> Callable[[str], list[int]] | None:
     if not plain or len(rest) != len(merged) or rest != sorted(set(rest)) or len(rest) + 256 != len(model["vocab"]) or model.get("continuing_subword_prefix") or model.get("end_of_word_suffix"):
         return None
     ranks = {bytes(byte_of[c] for c in token): i for token, i in model["vocab"].items()}
-    return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-
-
-class _Spans(dict):
-    """Maps a span of labels to the tokens of A and of B that end in it, in one number."""
-
-    def __missing__(self, span: bytes) -> int:
-        both = (span.count(A_END) + 1) << 32 | span.count(B_END) + 1
-        if len(span) <= 64:
-            self[span] = both
-        return both
+    own = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return lambda text: own.encode_to_numpy(text, disallowed_special=()).astype(np.int64)
 
 
 class _Groups(dict):
@@ -95,25 +87,33 @@ class _Groups(dict):
 
     def __init__(self, b_size: int):
         super().__init__()
-        self.b_size, self.numbers, self.links = b_size, {}, []
+        self.b_size, self.numbers, self.links, self.shapes = b_size, {}, [], {}
 
     def __missing__(self, pair: int) -> str:
         self[pair] = text = f"{pair // self.b_size}|{pair % self.b_size}"
         return text
 
-    def number(self, a_ids: np.ndarray, b_ids: np.ndarray) -> int:
+    def number(self, a_ids: list[int], b_ids: list[int]) -> int:
         """The number of a group, with its text and each of its pairs with their links kept."""
-        found = self.numbers.get(key := (a_ids.tobytes(), b_ids.tobytes()))
+        found = self.numbers.get(key := (tuple(a_ids), tuple(b_ids)))
         if found is None:
             self.numbers[key] = found = -1 - len(self.links)
             (some_a, of_a), (some_b, of_b) = np.unique(a_ids, return_counts=True), np.unique(b_ids, return_counts=True)
             self.links.append(((some_a[:, None] * self.b_size + some_b).ravel(), (of_a[:, None] * of_b).ravel()))
-            self[found] = f"{','.join(map(str, a_ids.tolist()))}|{','.join(map(str, b_ids.tolist()))}"
+            self[found] = f"{','.join(map(str, a_ids))}|{','.join(map(str, b_ids))}"
         return found
 
+    def of_shape(self, n: int, m: int, keys: list[int], bits: int) -> list[int]:
+        """The numbers of groups of n and m tokens, each given as one number of all its ids."""
+        known = self.shapes.setdefault((n, m), {})
+        for key in set(keys) - known.keys():
+            ids = [key >> bits * i & (1 << bits) - 1 for i in reversed(range(n + m))]
+            known[key] = self.number(ids[:n], ids[n:])
+        return [known[k] for k in keys]
+
 
 class Aligner:
-    """document(text) -> the row of a document. What is known of groups is kept, up to a bound: few make up nearly all texts."""
+    """documents(texts) -> their rows. What is known of groups is kept, up to a bound: few make up nearly all texts."""
 
     def __init__(self, vocabulary: str, model: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -132,7 +132,9 @@ class Aligner:
         self.cuts = not any("▁" in p.lstrip("▁") for p in pieces)
         # Four bytes a pair where they suffice, for the table and the shuffle.
         self.stored = "<u4" if len(self.a_bytes) * self.b_size <= 1 << 32 else "<u8"
-        self.spans, self.groups = _Spans(), _Groups(self.b_size)
+        self.groups = _Groups(self.b_size)
+        # Groups of up to 4 tokens are looked up by one number where their ids fit into it.
+        self.bits = max(len(self.a_bytes), self.b_size).bit_length()
 
     def chunks(self, text: str) -> Iterator[str]:
         """The text in order, cut at spaces into parts of bounded length."""
@@ -144,16 +146,15 @@ class Aligner:
 
     def ids(self, text: str) -> tuple[np.ndarray, np.ndarray] | None:
         """The ids of A and B for a chunk; None where bytes differ."""
-        # The fast library backtracks over white space until its stack is full.
-        if self.fast is None or len(text) >= LONG_SPACE and _LONG_SPACE.search(text):
-            a_ids = self.a.encode(" " + text, add_special_tokens=False).ids
-        else:
-            a_ids = self.fast(" " + text)
         b_ids = self.b.encode(text)
         raw = b" " + text.encode()
-        if b"".join([self.a_bytes[i] for i in a_ids]) != raw or b"".join([self.b_bytes[i] for i in b_ids]) != raw:
+        if not b_ids or b"".join(itemgetter(*b_ids, 0)(self.b_bytes)[:-1]) != raw:
             return None
-        return np.array(a_ids, np.int64), np.array(b_ids, np.int64)
+        # The fast library backtracks over white space until its stack is full. What it gives back are the bytes it was given.
+        if self.fast and (len(text) < LONG_SPACE or not _LONG_SPACE.search(text)):
+            return self.fast(" " + text), np.array(b_ids, np.int64)
+        a_ids = self.a.encode(" " + text, add_special_tokens=False).ids
+        return (np.array(a_ids, np.int64), np.array(b_ids, np.int64)) if b"".join(itemgetter(*a_ids, 0)(self.a_bytes)[:-1]) == raw else None
 
     def scanned(self, a_ids: np.ndarray, b_ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Labels of the bytes, scanned: the tokens of A and of B in each group, and the group's number."""
@@ -161,35 +162,117 @@ class Aligner:
         labels = np.zeros(a_ends[-1], np.uint8)
         labels[a_ends - 1] = A_END
         labels[b_ends - 1] |= B_END
-        counts = np.array(list(map(self.spans.__getitem__, _SPAN.findall(labels.tobytes()))), np.int64)
-        of_a, of_b = counts >> 32, counts & 0xFFFFFFFF
-        at_a, at_b = of_a.cumsum() - of_a, of_b.cumsum() - of_b
+        spans = _SPAN.findall(labels.tobytes())
+        ends = np.fromiter(map(len, spans), np.int64, len(spans)).cumsum() - 1
+        # Labels of each kind up to the end of a span; the differences are the span's own.
+        to_a, to_b = (np.cumsum(labels & kind != 0, dtype=np.int32)[ends].astype(np.int64) for kind in (A_END, B_END))
+        of_a, of_b = np.diff(to_a, prepend=0), np.diff(to_b, prepend=0)
+        at_a, at_b = to_a - of_a, to_b - of_b
         numbers = a_ids[at_a] * self.b_size + b_ids[at_b]
-        for i in np.flatnonzero(of_a + of_b > 2).tolist():
-            numbers[i] = self.groups.number(a_ids[at_a[i] : at_a[i] + of_a[i]], b_ids[at_b[i] : at_b[i] + of_b[i]])
+        rest = of_a + of_b > 2
+        if 4 * self.bits <= 64:
+            for n, m in ((1, 2), (2, 1), (1, 3), (3, 1), (2, 2)):
+                at = np.flatnonzero((of_a == n) & (of_b == m))
+                if len(at):
+                    key = np.zeros(len(at), np.uint64)
+                    for ids, begin, size in ((a_ids, at_a[at], n), (b_ids, at_b[at], m)):
+                        for i in range(size):
+                            key = key << np.uint64(self.bits) | ids[begin + i].astype(np.uint64)
+                    numbers[at] = self.groups.of_shape(n, m, key.tolist(), self.bits)
+                    rest[at] = False
+        for i in np.flatnonzero(rest).tolist():
+            numbers[i] = self.groups.number(a_ids[at_a[i] : to_a[i]].tolist(), b_ids[at_b[i] : to_b[i]].tolist())
         return of_a, of_b, numbers
 
-    def document(self, text: str | None) -> tuple[int, int, int, int, str, np.ndarray, np.ndarray]:
-        """n_a, n_b, n_groups, n_links, groups_sha256, and the document's pairs with their links."""
-        none = 0, 0, 0, 0, "", np.zeros(0, np.int64), np.zeros(0, np.int64)
-        if not text:
-            return none
+    def documents(self, texts: list[str | None]) -> Iterator[Document]:
+        """The rows of documents. The labels of many short ones are scanned at once: a text ends with "both", so no group crosses its end."""
+        waiting: list[tuple[int, tuple[np.ndarray, np.ndarray]]] = []
+        done: list[Document | None] = [None] * len(texts)
+        size = 0
+
+        def settle() -> None:
+            for (i, _), parts in zip(waiting, self.parts([ids for _, ids in waiting]), strict=True):
+                done[i] = merged([parts])
+
+        for i, text in enumerate(texts):
+            chunks = self.chunks(text) if text else iter(())
+            first = next(chunks, None)
+            ids = None if first is None else self.ids(first)
+            if ids is None:
+                done[i] = NO_TOKENS
+            elif len(text) <= CHUNK:
+                waiting.append((i, ids))
+                size += len(text)
+                if size >= CHUNK:
+                    settle()
+                    waiting, size = [], 0
+            else:
+                done[i] = self.long(ids, chunks)
+        settle()
+        yield from done
+
+    def document(self, text: str | None) -> Document:
+        return next(self.documents([text]))
+
+    def long(self, ids: tuple[np.ndarray, np.ndarray] | None, chunks: Iterator[str]) -> Document:
+        """The row of a document of several chunks, the ids of the first of which are known."""
+        parts = []
+        while ids is not None:
+            parts += self.parts([ids])
+            following = next(chunks, None)
+            if following is None:
+                return merged(parts)
+            ids = self.ids(following)
+        return NO_TOKENS
+
+    def parts(self, several: list[tuple[np.ndarray, np.ndarray]]) -> list[Part]:
+        """What is found in each of several pairs of ids."""
+        if not several:
+            return []
         if len(self.groups) > MOST_GROUPS:
             self.groups = _Groups(self.b_size)
-        digest, totals, parts = hashlib.sha256(), np.zeros(4, np.int64), []
-        for chunk in self.chunks(text):
-            ids = self.ids(chunk)
-            if ids is None:
-                return none
-            of_a, of_b, numbers = self.scanned(*ids)
-            digest.update(((";" if parts else "") + ";".join(map(self.groups.__getitem__, numbers.tolist()))).encode())
-            totals += len(ids[0]), len(ids[1]), len(numbers), int((of_a * of_b).sum())
-            parts.append(np.unique(numbers, return_counts=True))
-        numbers, times = (np.concatenate(x) for x in zip(*parts, strict=True))
+        n_a, n_b = (np.array([len(x[k]) for x in several]) for k in (0, 1))
+        of_a, of_b, numbers = self.scanned(*(np.concatenate([x[k] for x in several]) for k in (0, 1)))
+        # A part ends with the group in which its last token of A does.
+        ends = np.searchsorted(of_a.cumsum(), n_a.cumsum()) + 1
+        begins = np.append(0, ends[:-1])
+        links = np.add.reduceat(of_a * of_b, begins)
+        names = list(map(self.groups.__getitem__, numbers.tolist()))
+        part = np.repeat(np.arange(len(several)), ends - begins)
         single = numbers >= 0
-        more = [(self.groups.links[-1 - i], n) for i, n in zip(numbers[~single].tolist(), times[~single].tolist(), strict=True)]
-        keys = np.concatenate([numbers[single], *[k for (k, _), _ in more]])
-        return *totals.tolist(), digest.hexdigest(), *summed(keys, np.concatenate([times[single], *[x * n for (_, x), n in more]]))
+        # The links of each group of more than two tokens, gathered from those of the groups that occur here.
+        some, which = np.unique(numbers[~single], return_inverse=True)
+        known = [self.groups.links[-1 - i] for i in some.tolist()]
+        sizes = np.array([len(k) for k, _ in known], np.int64)
+        each = sizes[which]
+        place = np.arange(each.sum()) + np.repeat((sizes.cumsum() - sizes)[which] - (each.cumsum() - each), each)
+        flat = [np.concatenate([np.zeros(0, np.int64), *[x[k] for x in known]])[place] for k in (0, 1)]
+        owner, key = np.append(part[single], np.repeat(part[~single], each)), np.append(numbers[single], flat[0])
+        time = np.append(np.ones(int(single.sum()), np.int64), flat[1])
+        order = np.lexsort((key, owner))
+        owner, key, time = owner[order], key[order], time[order]
+        new = np.flatnonzero(np.append(True, (owner[1:] != owner[:-1]) | (key[1:] != key[:-1])))
+        owner, key, time = owner[new], key[new], np.add.reduceat(time, new)
+        at = np.searchsorted(owner, np.arange(len(several) + 1)).tolist()
+        rows = zip(n_a.tolist(), n_b.tolist(), begins.tolist(), ends.tolist(), links.tolist(), at, at[1:], strict=False)
+        return [((a, b, end - begin, n), ";".join(names[begin:end]), key[i:j], time[i:j]) for a, b, begin, end, n, i, j in rows]
+
+
+#: n_a, n_b, n_groups, n_links, groups_sha256, the pairs and their links.
+Document = tuple[int, int, int, int, str, np.ndarray, np.ndarray]
+#: The four numbers, the groups as text, the pairs and their links.
+Part = tuple[tuple[int, int, int, int], str, np.ndarray, np.ndarray]
+NO_TOKENS: Document = 0, 0, 0, 0, "", np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+
+def merged(parts: list[Part]) -> Document:
+    digest = hashlib.sha256()
+    for i, (_, text, _, _) in enumerate(parts):
+        digest.update((";" * (i > 0) + text).encode())
+    totals = [sum(x) for x in zip(*[numbers for numbers, *_ in parts], strict=True)]
+    if len(parts) == 1:
+        return *totals, digest.hexdigest(), *parts[0][2:]
+    return *totals, digest.hexdigest(), *summed(*(np.concatenate([x[k] for x in parts]) for k in (2, 3)))
 
 
 def summed(keys: np.ndarray, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -219,8 +302,7 @@ def aligned(texts: DataFrame, vocabulary: str, model: str) -> DataFrame:
         for batch in batches:
             for begin in range(0, len(batch), 500):
                 part, rows = batch.slice(begin, 500), []
-                for text in part.column("t"):
-                    *numbers, digest, keys, links = own.document(text.as_py())
+                for *numbers, digest, keys, links in own.documents(part.column("t").to_pylist()):
                     held.append(keys.astype(own.stored))
                     size += len(keys)
                     rows.append((*numbers, digest, held[-1].tobytes(), links.astype("<i8").tobytes()))
