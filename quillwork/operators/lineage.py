@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
 import uuid
 
@@ -18,8 +20,26 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{tempfile.gettempdir()}/checkpoints"
 
 
+#: Folders of this driver, deleted when it ends.
+_own: list[tuple[SparkSession, str]] = []
+
+
 def scratch(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/quillwork-{name}-{uuid.uuid4().hex}"
+    """A new folder below the shared one, for what a query writes on its way; it goes when the driver ends."""
+    _own.append((spark, f"{shared_dir(spark)}/quillwork-{name}-{uuid.uuid4().hex}"))
+    return _own[-1][1]
+
+
+def drop_scratch() -> None:
+    """Delete the folders that scratch() and checkpointed() have made; no result that reads them may still be needed."""
+    while _own:
+        spark, path = _own.pop()
+        with contextlib.suppress(Exception):  # the session is gone: the folder's owner cleans up
+            where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+atexit.register(drop_scratch)
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
@@ -27,4 +47,5 @@ def checkpointed(df: DataFrame) -> DataFrame:
     context = df.sparkSession.sparkContext
     if not context.getCheckpointDir():
         context.setCheckpointDir(shared_dir(df.sparkSession))
+        _own.append((df.sparkSession, context.getCheckpointDir()))
     return df.checkpoint()

@@ -1,6 +1,7 @@
 import gzip
 import hashlib
 import json
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -109,3 +110,20 @@ def test_a_panel_has_its_stated_size(spark):
     for n, unique in ((3, ["p", "c"]), (2, ["p"])):
         with pytest.raises(ValueError):
             store.panel(cells, n, unique)
+
+
+def test_scratch_goes(spark, tmp_path):
+    """Folders of the engine are deleted together, others are left alone."""
+    from quillwork.operators import lineage
+
+    before = list(lineage._own)
+    lineage._own.clear()
+    try:
+        path = lineage.scratch(spark, "test")
+        spark.range(3).write.parquet(path)
+        spark.range(3).write.parquet(f"{tmp_path}/kept")
+        assert spark.read.parquet(path).count() == 3
+        lineage.drop_scratch()
+        assert not os.path.exists(path) and os.path.exists(f"{tmp_path}/kept") and not lineage._own
+    finally:
+        lineage._own.extend(before)
