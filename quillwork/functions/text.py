@@ -5,13 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Patterns of words that tie a statement to an environment.
+#: Fixed value: the pattern of words that tie a statement to an environment.
 CUES = (
-    "windows", "linux", "macos", "mac os", "android", "ios", "aarch64", "arm(?:64)?", "x86", "x64", "amd64",
-    "(?:32|64)[ -]bit", "platforms?", "architectures?", "bindings?", "plugins?", "modules?",
-    "configuration", "configured", "enabled", "disabled", "optional", "settings?", "compiled",
-    "fips", "non[ -]default", "kernel", "drivers?", "requires?", "prerequisites?",
-)
+    r"\b(?:windows|linux|macos|mac os|android|ios|aarch64|arm(?:64)?|x86|x64|amd64|(?:32|64)[ -]bit|platforms?|architectures?|bindings?|plugins?|modules?|"
+    r"configuration|configured|enabled|disabled|optional|settings?|compiled|fips|non[ -]default|kernel|drivers?|requires?|prerequisites?)\b"
+)
 #: Patterns counted in instructions.
 KEYWORD_FAMILIES = {
     "boundary_terms": r"inclusive|exclusive|endpoint|boundar|equal",
@@ -84,9 +82,9 @@ def rendered_clause(vendor: Column, product: Column, exact: Column, lower: Colum
     return F.concat(vendor, F.lit("/"), product, F.lit(": "), said)
 
 
-def scope_cues(text: Column, cues: tuple[str, ...] = CUES) -> Column:
+def scope_cues(text: Column, cues: str = CUES) -> Column:
     """Distinct cues in a text, lower-cased and sorted."""
-    found = F.regexp_extract_all(F.lower(text), F.lit(r"\b(?:" + "|".join(cues) + r")\b"), F.lit(0))
+    found = F.regexp_extract_all(F.lower(text), F.lit(cues), F.lit(0))
     return F.array_sort(F.array_distinct(found))
 
 

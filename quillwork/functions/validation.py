@@ -1,4 +1,6 @@
-"""Validation of source records: product names, match criteria, advisories, producer entries. All are native expressions."""
+"""Validation of source records: product names, match criteria, advisories, producer entries. All are native expressions.
+
+The names of the reasons are fixed values of the contract."""
 
 from __future__ import annotations
 
@@ -181,13 +183,18 @@ def corroborated(term: Column, entries: Column, default: Column) -> Column:
     return F.forall(points, lambda p: F.coalesce(agree(p), F.lit(False)))
 
 
+#: What stands for no version, and words that make a version text a range.
+NO_VERSION = ("", "n/a", "unspecified", "0", "*")
+RANGE_WORDS = r"through|thru|before|prior|\bto\b|[<>≤]"
+
+
 def denies(verdict: Column, status: Column, entries: Column) -> Column:
     """Whether a producer's row excludes a version: decided so, or undecided beside a default of unaffected and exact affected
     versions alone. A range in words is no exact version."""
     written = lambda e: F.coalesce(e["version"], F.lit(""))
     exact = lambda e: (
         (e["status"] == "affected") & e["lessThan"].isNull() & e["lessThanOrEqual"].isNull()
-        & ~F.lower(F.trim(written(e))).isin("", "n/a", "unspecified", "0", "*") & ~written(e).rlike(r"through|thru|before|prior|\bto\b|[<>≤]")
+        & ~F.lower(F.trim(written(e))).isin(*NO_VERSION) & ~written(e).rlike(RANGE_WORDS)
     )
     listed = F.coalesce(F.size(entries) > 0, F.lit(False)) & F.coalesce(F.forall(entries, lambda e: F.coalesce(exact(e), F.lit(False))), F.lit(False))
     return F.coalesce(~verdict, (status == "unaffected") & listed, F.lit(False))

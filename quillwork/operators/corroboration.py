@@ -3,7 +3,7 @@
 A record's entries are judged by ordered rules; entries resolve to products by the CPE names they list or else by
 folded names through alias tables; each product's bounds become probes that meet every stretch between them, and
 both sides must give each probe the same answer. Records are nested rows; products and probes are exploded and joined, so
-a record with many products is many rows."""
+a record with many products is many rows. The names of the reasons are fixed values of the contract."""
 
 from __future__ import annotations
 

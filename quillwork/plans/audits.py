@@ -216,9 +216,9 @@ def sheet_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.sheet_violations(sheet, committed, names)
 
 
-@BOOK.add("review_gate", r"""
+@BOOK.add("review_gate", rf"""
 WITH d AS (SELECT doc_id, coalesce(text, '') || CASE WHEN doc_id % 13 = 0 THEN ' It requires x64 Drivers.' ELSE '' END AS text FROM documents),
-f AS (SELECT doc_id, array_to_string(list_sort(list_distinct(regexp_extract_all(lower(text), '\b(?:windows|linux|macos|mac os|android|ios|aarch64|arm(?:64)?|x86|x64|amd64|(?:32|64)[ -]bit|platforms?|architectures?|bindings?|plugins?|modules?|configuration|configured|enabled|disabled|optional|settings?|compiled|fips|non[ -]default|kernel|drivers?|requires?|prerequisites?)\b'))), ',') AS cues FROM d),
+f AS (SELECT doc_id, array_to_string(list_sort(list_distinct(regexp_extract_all(lower(text), '{tx.CUES}'))), ',') AS cues FROM d),
 s AS (SELECT doc_id, doc_id % 7 = 0 AS reviewed FROM documents WHERE doc_id % 5 = 0),
 q AS (SELECT doc_id FROM documents WHERE doc_id % 3 = 0)
 SELECT 'artifact_changed' AS rule, true AS raised, 'artifact ' || conv_id AS subject, '' AS item FROM (SELECT DISTINCT conv_id FROM conversations) WHERE conv_id % 17 = 0

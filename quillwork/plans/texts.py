@@ -59,7 +59,7 @@ def keyword_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @BOOK.add("scope_cues", rf"""
-SELECT doc_id, array_to_string(list_sort(list_distinct(regexp_extract_all(lower(text), '\b(?:{"|".join(tx.CUES)})\b'))), ',') AS cues FROM documents""")
+SELECT doc_id, array_to_string(list_sort(list_distinct(regexp_extract_all(lower(text), '{tx.CUES}'))), ',') AS cues FROM documents""")
 def scope_cues(spark: SparkSession, sf_dir: str) -> DataFrame:
     return view(spark, sf_dir, "documents").select("doc_id", F.array_join(tx.scope_cues(F.col("text")), ",").alias("cues"))
 
