@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quillwork.functions import text as tx
 from quillwork.functions.contracts import canonical, strict_json
 
 
@@ -32,12 +33,32 @@ def envelope_payload(raw: pd.Series) -> pd.Series:
     return raw.map(one)
 
 
-def envelopes(spark: SparkSession, path: str) -> DataFrame:
+def envelopes(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """(file, payload, intact) of a folder or glob of JSON envelopes, one record a file."""
     whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
     return whole.select("file", envelope_payload("value").alias("payload")).withColumn("intact", F.col("payload").isNotNull())
 
 
+SCORE = "struct<profile_id:string,prediction:array<string>,valid:boolean>"
+
+
+def evaluations(spark: SparkSession, root: str, sections: list[str], arm: str = "sealed", panel: str = "test") -> DataFrame:
+    """section, place (of the section in the list), executor, prompt, item, row (SCORE): the evaluations of an arm and panel below
+    {root}/{section}/evaluations, one envelope a file. A damaged envelope ends the read."""
+    read = envelopes(spark, [f"{root}/{s}/evaluations" for s in sections])
+    whole = read.where(F.when(F.col("intact"), True).otherwise(F.raise_error(F.concat(F.lit("a damaged envelope: "), F.col("file"))).cast("boolean")))
+    told = whole.select("file", F.from_json("payload", f"struct<key:string,prompt_sha256:string,row:{SCORE}>").alias("p")).withColumn("k", tx.split_key(F.col("p.key")))
+    section = F.regexp_extract("file", r"/([^/]+)/evaluations/[^/]*$", 1)
+    kept = told.where((F.col("k.arm") == arm) & (F.col("k.panel") == panel))
+    return kept.select(section.alias("section"), (F.array_position(F.array(*map(F.lit, sections)), section) - 1).alias("place"), "k.executor", F.col("p.prompt_sha256").alias("prompt"), F.element_at(F.split("p.key", "/"), -1).alias("item"), "p.row")
+
+
+def once_scored(rows: DataFrame) -> DataFrame:
+    """executor, prompt, item, row, same: the first section's row of each evaluation; same is false if another section scored it otherwise."""
+    verdict = F.to_json(F.struct(F.col("row.prediction").alias("p"), F.col("row.valid").alias("v")))
+    return rows.groupBy("executor", "prompt", "item").agg(F.min_by("row", "place").alias("row"), (F.min(verdict) == F.max(verdict)).alias("same"))
+
+
 def unwrapped(raw: Column) -> Column:
     """The payload of an envelope, or the record itself if it is bare."""
     return F.coalesce(F.get_json_object(raw, "$.payload"), raw)

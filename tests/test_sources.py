@@ -127,3 +127,27 @@ def test_scratch_goes(spark, tmp_path):
         assert not os.path.exists(path) and os.path.exists(f"{tmp_path}/kept") and not lineage._own
     finally:
         lineage._own.extend(before)
+
+
+def test_evaluation_folders(spark, tmp_path):
+    """Two sections of one run: an item that both scored counts once, and a difference is seen."""
+    from quillwork.functions.contracts import canonical
+
+    def put(section, name, key, prediction, damaged=False):
+        payload = {"key": key, "prompt_sha256": "p1", "row": {"profile_id": key.rsplit("/", 1)[1], "prediction": prediction, "valid": True}}
+        (tmp_path / section / "evaluations").mkdir(parents=True, exist_ok=True)
+        digest = "0" if damaged else hashlib.sha256(canonical(payload).encode()).hexdigest()
+        (tmp_path / section / "evaluations" / name).write_text(json.dumps({"payload": payload, "sha256": digest}))
+
+    put("campaign", "a.json", "sealed/org/model:1/test/x/item_1", ["b", "a"])
+    put("campaign", "b.json", "sealed/org/model:1/validation/x/item_1", [])
+    put("campaign", "c.json", "main/org/model:1/T1/R1/r0/incumbent/item_1", [])
+    put("campaign", "d.json", "sealed/org/model:1/test/x/item_2", ["c"])
+    put("extension", "a.json", "sealed/org/model:1/test/x/item_1", ["b", "a"])
+    put("extension", "b.json", "sealed/org/model:1/test/x/item_2", ["d"])
+    rows = readers.evaluations(spark, str(tmp_path), ["campaign", "extension"])
+    assert sorted((r.section, r.executor, r.prompt, r.item) for r in rows.collect()) == [(s, "org/model:1", "p1", i) for s in ("campaign", "extension") for i in ("item_1", "item_2")]
+    assert {r.item: (r.row.prediction, r.same) for r in readers.once_scored(rows).collect()} == {"item_1": (["b", "a"], True), "item_2": (["c"], False)}
+    put("campaign", "e.json", "sealed/org/model:1/test/x/item_3", [], damaged=True)
+    with pytest.raises(Exception, match="a damaged envelope"):
+        readers.evaluations(spark, str(tmp_path), ["campaign", "extension"]).collect()
