@@ -11,21 +11,26 @@ PROFILE = "pool string, profile bigint, stratum string, positive boolean, candid
 STRATA = ("easy", "medium", "hard")
 
 
-def profiles(advisories: DataFrame, per_pool: int, seed: int, least: int = 15, most: int = 25, tries: int = 200) -> DataFrame:
+def profiles(advisories: DataFrame, per_pool: int, seed: int, least: int = 15, most: int = 25, tries: int = 200, per_shard: int = 500) -> DataFrame:
     """Profiles per pool by rejection sampling: strata in turn, every second one positive, 15 to 25
     candidates of which at least 30 % are of other products than the anchor, no candidate set twice.
 
-    advisories: pool, cve, product. Each pool draws from its own seeded stream; a pool's advisories
-    are small by construction (they were admitted one by one)."""
+    advisories: pool, cve, product. A pool's profiles are made in shards of per_shard, each a task with a seeded stream of its own
+    that sees the pool's advisories (small by construction: they were admitted one by one). Should two shards draw one set,
+    the later profile goes."""
+    shards = -(-per_pool // per_shard)
 
     def make(pdf: pd.DataFrame) -> pd.DataFrame:
-        pool = pdf["pool"].iloc[0]
-        rng, seen, out = random.Random(f"{seed}/{pool}"), set(), []
+        pool, shard = pdf["pool"].iloc[0], int(pdf["shard"].iloc[0])
+        rng, seen, out = random.Random(f"{seed}/{pool}/{shard}"), set(), []
         rows = sorted(zip(pdf["cve"], pdf["product"], strict=True))
-        for i in range(per_pool):
+        by: dict[str, list[str]] = {}
+        for c, p in rows:
+            by.setdefault(p, []).append(c)
+        for i in range(shard * per_shard, min(per_pool, (shard + 1) * per_shard)):
             for _ in range(tries):
                 cve, product = rng.choice(rows)
-                own = [c for c, p in rows if p == product and c != cve]
+                own = [c for c in by[product] if c != cve]
                 other = [c for c, p in rows if p != product]
                 n = rng.randint(least, most) - 1
                 far = max(-(-3 * (n + 1) // 10), n - len(own))
@@ -38,7 +43,10 @@ def profiles(advisories: DataFrame, per_pool: int, seed: int, least: int = 15, m
                     break
         return pd.DataFrame(out, columns=["pool", "profile", "stratum", "positive", "candidates", "required"])
 
-    return advisories.groupBy("pool").applyInPandas(make, PROFILE)
+    dealt = advisories.select("pool", "cve", "product", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"))
+    made = dealt.groupBy("pool", "shard").applyInPandas(make, PROFILE)
+    first = F.min(F.struct("profile", "stratum", "positive", "required"))
+    return made.groupBy("pool", "candidates").agg(first.alias("x")).select("pool", "x.profile", "x.stratum", "x.positive", "candidates", "x.required")
 
 
 def provider_answer(prompt: Column, candidates: Column, truth: Column) -> Column:

@@ -25,9 +25,11 @@ def pool_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @BOOK.add("profile_generation")
 def profile_generation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Generated profiles; tests hold them against their constraints."""
-    pools = view(spark, sf_dir, "terms").select(F.when(F.xxhash64("cve") % 2 == 0, "optimization").otherwise("test").alias("pool"), "cve", "product")
-    return generate.profiles(pools, 12, 42)
+    """Profiles of pools of parts, so that there are as many as the parts need; tests hold them against their constraints."""
+    pool = F.concat(F.lit("pool_"), F.expr("p_partkey div 200").cast("string"))
+    cve = F.concat(F.lit("CVE-2024-"), (F.col("p_partkey") + 10000).cast("string"))
+    pools = view(spark, sf_dir, "part").select(pool.alias("pool"), cve.alias("cve"), F.concat_ws("/", "p_brand", "p_type").alias("product"))
+    return generate.profiles(pools, 24, 42)
 
 
 @BOOK.add("error_relations", """

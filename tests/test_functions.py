@@ -258,6 +258,16 @@ def test_generated_profiles_meet_their_constraints(spark):
         assert max(sum(product[c] != p for c in r.candidates) for p in range(12)) >= 0.3 * len(r.candidates)
 
 
+def test_shards_of_a_pool_are_numbered_through(spark):
+    adv = spark.createDataFrame([(p, f"{p}{i}", f"prod{i % 12}") for p in "ab" for i in range(96)], "pool string, cve string, product string")
+    got = generate.profiles(adv, 25, 7, per_shard=4).collect()
+    assert sorted((r.pool, r.profile) for r in got) == [(p, i) for p in "ab" for i in range(25)]
+    assert len({tuple(r.candidates) for r in got}) == 50 and all(c.startswith(r.pool) for r in got for c in r.candidates)
+    assert all(r.positive == (r.profile % 2 == 0) and r.stratum == generate.STRATA[r.profile % 3] for r in got)
+    again = generate.profiles(adv.repartition(7), 25, 7, per_shard=4).collect()
+    assert sorted(map(str, again)) == sorted(map(str, got))
+
+
 def test_strict_json():
     assert contracts.strict_json(json.dumps({"a": 1})) == {"a": 1}
     for bad in ('{"a":1,"a":2}', "[NaN]", "[Infinity]"):
