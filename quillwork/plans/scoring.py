@@ -162,7 +162,7 @@ def two_stage_bootstrap_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
     drawn = rs.replicates(inner.select("profile", "i", "of"), _RP, "t2").select("replicate", "profile", pick.alias("i"))
     w = rs.weights(cells, "profile", _RP, "t1", "w")
     s = lambda c: F.sum(F.col("w") * F.col(c))
-    each = drawn.join(inner, ["profile", "i"]).join(w, ["replicate", "profile"]).groupBy("replicate").agg(sc.f1(s("tp"), s("fp"), s("fn")).alias("f1"))
+    each = drawn.join(inner.hint("merge"), ["profile", "i"]).join(w.hint("merge"), ["replicate", "profile"]).groupBy("replicate").agg(sc.f1(s("tp"), s("fp"), s("fn")).alias("f1"))
     return rs.ends(each, [], "f1")
 
 
