@@ -27,6 +27,19 @@ def applicability(components: DataFrame, terms: DataFrame) -> DataFrame:
     return have.join(want, ["v", "p"]).groupBy("profile", "cve").agg(F.coalesce(F.bool_or(hit), F.lit(False)).alias("applies"))
 
 
+def applicability_of(asked: DataFrame, components: DataFrame, terms: DataFrame) -> DataFrame:
+    """(profile, cve, applies) for the asked pairs (profile, cve) whose names meet: as applicability(), but only the components of a pair's own
+    profile meet the terms of its own cve, so the work grows with the pairs and not with all records of a name."""
+    have = components.where("part = 'a'").select("profile", F.lower("vendor").alias("v"), F.lower("product").alias("p"), vs.version_key(F.col("version")).alias("key"))
+    want = terms.select(
+        "cve", F.lower("vendor").alias("v"), F.lower("product").alias("p"), "lower_inclusive", "upper_inclusive",
+        *[vs.version_key(F.col(c)).alias(c) for c in ("exact", "lower", "upper")],
+    )
+    hit = vs.in_range(*[F.col(c) for c in ("key", "exact", "lower", "upper", "lower_inclusive", "upper_inclusive")])
+    met = asked.select("profile", "cve").distinct().join(want, "cve").join(have, ["profile", "v", "p"])
+    return met.groupBy("profile", "cve").agg(F.coalesce(F.bool_or(hit), F.lit(False)).alias("applies"))
+
+
 def named_either_way(items: DataFrame, clauses: DataFrame) -> DataFrame:
     """Items (profile, name, version) with clauses (cve, vendor, product, conditions) whose product, or
     vendor and product, has the item's normalised name.

@@ -49,3 +49,15 @@ def checkpointed(df: DataFrame) -> DataFrame:
         context.setCheckpointDir(shared_dir(df.sparkSession))
         _own.append((df.sparkSession, context.getCheckpointDir()))
     return df.checkpoint()
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df as a table below the shared folder: as checkpointed(), but packed in columns, of which each reader takes its own."""
+    folder = scratch(df.sparkSession, name)
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
+def dealt(df: DataFrame) -> DataFrame:
+    """df over all partitions: rows that a small file holds are few tasks else, however dear each row is."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))

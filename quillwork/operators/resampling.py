@@ -7,15 +7,14 @@ from pyspark.sql import functions as F
 
 from quillwork.functions.hashing import draw
 from quillwork.functions.score import T_975, f1
-from quillwork.operators.lineage import checkpointed
+from quillwork.operators.lineage import checkpointed, dealt
 from quillwork.operators.ordered import placed
 
 
 def replicates(rows: DataFrame, n: int, seed: str) -> DataFrame:
     """rows times replicate 0..n-1. n is a parameter, not data. Rows are dealt over all partitions first, as adaptive execution
     would leave the short rows in one task, which then makes n times as many."""
-    dealt = rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    return dealt.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).withColumn("seed", F.lit(seed))
+    return dealt(rows).withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).withColumn("seed", F.lit(seed))
 
 
 def ends(values: DataFrame, by: list[str], value: str) -> DataFrame:

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-import datetime
 import os
 
+import duckdb
 from pyspark.sql import functions as F
 
+from quillwork.operators import joins
 from quillwork.plans import registry
 
 QUERIES, SQL = registry.queries(), registry.oracle_sql()
@@ -31,3 +32,29 @@ def linked(tmp_path, sf: str, **replaced) -> str:
 def test_resampling_sends_no_side_to_the_driver(spark, sf):
     for name in ("two_stage_bootstrap_ci", "three_stage_bootstrap_ci", "pigeonhole_ci", "joint_bootstrap_ci"):
         assert "BroadcastHashJoin" not in ran(QUERIES[name](spark, sf)), name
+
+
+def by_sql(tables: str, name: str) -> list[tuple]:
+    with duckdb.connect() as db:
+        for file in sorted(os.listdir(tables)):
+            path = f"{tables}/{file}"
+            db.execute(f"CREATE VIEW {file[:-8]} AS SELECT * FROM '{path}/*.parquet'" if os.path.isdir(path) else f"CREATE VIEW {file[:-8]} AS SELECT * FROM '{path}'")
+        return sorted(db.sql(SQL[name]).fetchall())
+
+
+def test_the_audit_meets_only_asked_pairs(spark, sf, monkeypatch):
+    components = spark.createDataFrame([(1, "a", "V", "p", "1.5"), (1, "a", "v", "p", "9.0"), (2, "a", "v", "p", "1.5"), (2, "b", "v", "p", "1.5")], "profile int, part string, vendor string, product string, version string")
+    terms = spark.createDataFrame([("x", "v", "P", None, "1.0", "2.0", True, False), ("y", "v", "p", "7.0", None, None, False, False)], "cve string, vendor string, product string, exact string, lower string, upper string, lower_inclusive boolean, upper_inclusive boolean")
+    every = {tuple(r) for r in joins.applicability(components, terms).collect()}
+    asked = spark.createDataFrame([(1, "x"), (1, "x"), (2, "y"), (3, "x")], "profile int, cve string")
+    assert {tuple(r) for r in joins.applicability_of(asked, components, terms).collect()} == {r for r in every if r[:2] in {(1, "x"), (2, "y")}}
+
+    def all_records(*_):
+        raise AssertionError("components meet all records of their name")
+
+    monkeypatch.setattr(joins, "applicability", all_records)
+    QUERIES["profile_audit"](spark, sf)
+
+
+def test_audit_counts_read_the_audit_once(spark, sf):
+    assert "ubquery" not in ran(QUERIES["profile_audit_counts"](spark, sf))
