@@ -107,11 +107,11 @@ def english(descriptions: Column) -> Column:
     return F.coalesce(F.get(F.filter(descriptions, lambda d: d["lang"] == "en"), F.lit(0))["value"], F.lit(""))
 
 
-def advisory_reason(a: Column) -> Column:
+def advisory_reason(a: Column, most: Column | int = 16) -> Column:
     """Why an advisory is not taken; null if it is. Rules are tried in order; within the configurations the first
     fault in reading order decides.
 
-    flat: a configuration that holds matches or children itself; nested: a node that holds children or nodes."""
+    most: how many terms are held to be too many beyond (null: any number is taken). flat: a configuration that holds matches or children itself; nested: a node that holds children or nodes."""
     absent = lambda x: x.isNull() | (F.size(x) == 0)
     no = lambda x: F.coalesce(x, F.lit(False))
 
@@ -141,7 +141,7 @@ def advisory_reason(a: Column) -> Column:
         .when(absent(a["configurations"]), "missing_configurations")
     )
     undated = (F.coalesce(a["published"], F.lit("")) == "") | (F.coalesce(a["lastModified"], F.lit("")) == "")
-    return F.coalesce(before, inside, F.when(terms > 16, "more_than_16_or_terms").when(undated, "missing_source_dates"))
+    return F.coalesce(before, inside, F.when(terms > most, "more_than_16_or_terms").when(undated, "missing_source_dates"))
 
 
 def entry_matches(entry: Column, version: Column) -> Column:

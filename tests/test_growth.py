@@ -58,3 +58,10 @@ def test_the_audit_meets_only_asked_pairs(spark, sf, monkeypatch):
 
 def test_audit_counts_read_the_audit_once(spark, sf):
     assert "ubquery" not in ran(QUERIES["profile_audit_counts"](spark, sf))
+
+
+def test_many_lines_are_no_fault_of_an_advisory(spark, sf, tmp_path):
+    lines = spark.read.parquet(f"{sf}/lineitem.parquet").withColumn("l_orderkey", F.col("l_orderkey") % 150).withColumn("l_quantity", F.least("l_quantity", F.lit(9.0)))
+    last = lines.limit(1).withColumn("l_orderkey", F.lit(10).cast("long")).withColumn("l_quantity", F.lit(50.0))
+    tables = linked(tmp_path, sf, lineitem=lines.unionByName(lines.where("l_orderkey = 10")).unionByName(lines.where("l_orderkey = 10")).unionByName(last))
+    assert sorted(tuple(r) for r in QUERIES["advisory_validation"](spark, tables).collect()) == by_sql(tables, "advisory_validation")
