@@ -14,8 +14,8 @@ BOOK = Book()
 
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
-    # One file is enough: a file source takes a folder, and a glob names one file of it.
-    return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    # The table may be one file or a folder of files: a file source takes either if a glob names it.
+    return spark.readStream.schema(schema).parquet(f"{sf_dir}/[e]vents.parquet")
 
 
 def drained(stream: DataFrame, mode: str) -> DataFrame:

@@ -65,3 +65,12 @@ def test_many_lines_are_no_fault_of_an_advisory(spark, sf, tmp_path):
     last = lines.limit(1).withColumn("l_orderkey", F.lit(10).cast("long")).withColumn("l_quantity", F.lit(50.0))
     tables = linked(tmp_path, sf, lineitem=lines.unionByName(lines.where("l_orderkey = 10")).unionByName(lines.where("l_orderkey = 10")).unionByName(last))
     assert sorted(tuple(r) for r in QUERIES["advisory_validation"](spark, tables).collect()) == by_sql(tables, "advisory_validation")
+
+
+def test_streams_read_a_table_of_many_files(spark, sf, tmp_path):
+    events = spark.read.parquet(f"{sf}/events.parquet").repartition(3)
+    tables = linked(tmp_path, sf, events=events)
+    for name in ("stream_soak", "stream_progress", "stream_journal_once"):
+        for place in (sf, tables):
+            got = sorted(tuple(r) for r in QUERIES[name](spark, place).collect())
+            assert got and got == by_sql(place, name), (name, place)
