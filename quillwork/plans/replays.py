@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillwork.operators import reconstruction as rc
+from quillwork.operators.lineage import written
 from quillwork.plans.base import Book, view
 
 BOOK = Book()
@@ -14,10 +15,11 @@ BOOK = Book()
 def _run(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     """Orders with lines as work of a run. By o: o % 9 = 0 answers no JSON, 1 is cut off, 2 is rejected, 3 never came (3 attempts), else plain."""
     line = F.col("l_linenumber").cast("string")
-    sets = view(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("o")).agg(
+    # What all tables below are made of: written once, so that the lines are sent once.
+    sets = written(view(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("o")).agg(
         F.array_sort(F.collect_set(line)).alias("candidates"), F.array_sort(F.collect_set(F.when(F.col("l_returnflag") == "A", line))).alias("expected"),
         F.array_sort(F.collect_set(F.when(F.col("l_linestatus") == "F", line))).alias("said"),
-    )
+    ), "sets")
     o = F.col("o")
     key = F.concat(F.when(o % 2 == 0, "main").otherwise("sealed"), F.lit("/p_"), o.cast("string"))
     none = F.array().cast("array<string>")
@@ -70,7 +72,8 @@ UNION ALL SELECT 'allowed_ids_differ_from_profile', true, key, '' FROM a WHERE o
 UNION ALL SELECT 'score_differs', true, key, '' FROM a WHERE o % 8 <> 7 AND o % 5 <> 0 AND o % 101 = 0""")
 def reconstruction_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     run = _run(spark, sf_dir)
-    read = rc.reread(run["specs"], run["attempts"], run["responses"], run["results"])
+    # Read by three branches.
+    read = written(rc.reread(run["specs"], run["attempts"], run["responses"], run["results"]), "read")
     return rc.reconstruction_violations(run["specs"], run["attempts"], read, rc.scored(read, run["truth"]), run["evaluations"])
 
 

@@ -74,3 +74,7 @@ def test_streams_read_a_table_of_many_files(spark, sf, tmp_path):
         for place in (sf, tables):
             got = sorted(tuple(r) for r in QUERIES[name](spark, place).collect())
             assert got and got == by_sql(place, name), (name, place)
+
+
+def test_reconstruction_reads_the_lines_once(spark, sf):
+    assert not any("lineitem" in file for file in QUERIES["reconstruction_violations"](spark, sf).inputFiles())
