@@ -167,11 +167,14 @@ def probes(bounds: Column) -> Column:
     keyed = lambda v: F.struct(vs.version_key(v).alias("key"), F.regexp_replace(v, r"(\.0)+$", "").alias("v"))
     ordered = F.array_sort(F.array_distinct(F.transform(F.concat(F.array(F.lit("0")), F.array_compact(bounds)), keyed)))
 
-    def behind(x: Column, i: Column) -> Column:
-        gap = F.size(F.get(ordered, i + 1)["key"]) - F.size(x["key"])
-        return F.concat(x["v"], F.repeat(F.lit(".0"), F.greatest(F.coalesce(gap, F.lit(0)), F.lit(0))), F.lit(".1"))
+    def listed(ordered: Column) -> Column:
+        def behind(x: Column, i: Column) -> Column:
+            gap = F.size(F.get(ordered, i + 1)["key"]) - F.size(x["key"])
+            return F.concat(x["v"], F.repeat(F.lit(".0"), F.greatest(F.coalesce(gap, F.lit(0)), F.lit(0))), F.lit(".1"))
 
-    return F.concat(F.transform(ordered, lambda x: x["v"]), F.transform(ordered, behind))
+        return F.concat(F.transform(ordered, lambda x: x["v"]), F.transform(ordered, behind))
+
+    return let(ordered, listed)
 
 
 def corroborated(term: Column, entries: Column, default: Column) -> Column:

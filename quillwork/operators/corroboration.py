@@ -2,8 +2,8 @@
 
 A record's entries are judged by ordered rules; entries resolve to products by the CPE names they list or else by
 folded names through alias tables; each product's bounds become probes that meet every stretch between them, and
-both sides must give each probe the same answer. Records are nested rows; products and probes are exploded and joined, so
-a record with many products is many rows. The names of the reasons are fixed values of the contract."""
+both sides must give each probe the same answer. Records and advisories are nested rows, as they are published, and meet in one
+join on their id; the rules are expressions over the two. The names of the reasons are fixed values of the contract."""
 
 from __future__ import annotations
 
@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 from quillwork.functions import text as tx
 from quillwork.functions import validation as va
 from quillwork.functions import version as vs
-from quillwork.operators.lineage import checkpointed
 
 #: Folded producer names and products that stand for others.
 VENDOR_ALIASES = {"apachesoftwarefoundation": "apache", "oraclecorporation": "oracle", "sickag": "sick"}
@@ -33,15 +32,19 @@ def entry_reason(e: Column) -> Column:
     """Why a version entry (ENTRY; changes: it has some) is not taken; null if it is."""
     ends = [e["lessThan"], e["lessThanOrEqual"]]
     upper = F.coalesce(*ends)
-    start, end = vs.version_key(e["version"]), vs.version_key(upper)
-    return (
-        F.when(~F.coalesce(e["status"] == "affected", F.lit(False)) | F.coalesce(e["changes"], F.lit(False)), "cna_explicit_status_override_or_unknown")
-        .when(start.isNull(), "unsupported_numeric_version")
-        .when(ends[0].isNotNull() & ends[1].isNotNull(), "cna_conflicting_upper_bounds")
-        .when(upper.isNotNull() & ~F.coalesce(e["versionType"].isin(*VERSION_TYPES), F.lit(False)), "cna_unsupported_version_type")
-        .when(upper.isNotNull() & (upper != "*") & end.isNull(), "unsupported_numeric_version")
-        .when((start > end) | ((start == end) & ends[0].isNotNull()), "cna_empty_or_inverted_range")
-    )
+
+    def keyed(k: Column) -> Column:
+        start, end = k["start"], k["end"]
+        return (
+            F.when(~F.coalesce(e["status"] == "affected", F.lit(False)) | F.coalesce(e["changes"], F.lit(False)), "cna_explicit_status_override_or_unknown")
+            .when(start.isNull(), "unsupported_numeric_version")
+            .when(ends[0].isNotNull() & ends[1].isNotNull(), "cna_conflicting_upper_bounds")
+            .when(upper.isNotNull() & ~F.coalesce(e["versionType"].isin(*VERSION_TYPES), F.lit(False)), "cna_unsupported_version_type")
+            .when(upper.isNotNull() & (upper != "*") & end.isNull(), "unsupported_numeric_version")
+            .when((start > end) | ((start == end) & ends[0].isNotNull()), "cna_empty_or_inverted_range")
+        )
+
+    return va.let(F.struct(vs.version_key(e["version"]).alias("start"), vs.version_key(upper).alias("end")), keyed)
 
 
 def affected_reason(p: Column) -> Column:
@@ -57,102 +60,140 @@ def affected_reason(p: Column) -> Column:
 
 def cpe_identity(cpes: Column) -> Column:
     """(reason, pairs) of the CPE names of a product: distinct (vendor, product), lower-cased, if all names are plain."""
-    fields = F.transform(cpes, va.cpe_fields)
 
     def plain(f: Column) -> Column:
         part = lambda i: F.get(f, F.lit(i))
         literal = lambda x: ~x.contains("*") & ~x.contains("?")
         return (part(0) == "a") & literal(part(1)) & literal(part(2)) & F.forall(F.slice(f, 4, 8), lambda x: x == "*")
 
-    faults = F.transform(cpes, lambda c: F.coalesce(va.cpe_reason(c), F.when(~F.coalesce(plain(va.cpe_fields(c)), F.lit(False)), "cna_cpe_constraints")))
-    reason = F.get(F.array_compact(faults), F.lit(0))
-    pairs = F.array_distinct(F.transform(fields, lambda f: F.struct(F.lower(F.get(f, F.lit(1))).alias("vendor"), F.lower(F.get(f, F.lit(2))).alias("product"))))
-    return F.struct(reason.alias("reason"), F.when(reason.isNull(), pairs).alias("pairs"))
+    def judged(names: Column) -> Column:
+        faults = F.transform(names, lambda x: F.coalesce(x["reason"], F.when(~F.coalesce(plain(x["fields"]), F.lit(False)), "cna_cpe_constraints")))
+        pairs = F.array_distinct(F.transform(names, lambda x: F.struct(F.lower(F.get(x["fields"], F.lit(1))).alias("vendor"), F.lower(F.get(x["fields"], F.lit(2))).alias("product"))))
+        return va.let(F.get(F.array_compact(faults), F.lit(0)), lambda reason: F.struct(reason.alias("reason"), F.when(reason.isNull(), pairs).alias("pairs")))
 
+    return va.let(F.transform(cpes, lambda c: F.struct(va.cpe_reason(c).alias("reason"), va.cpe_fields(c).alias("fields"))), judged)
+
+
+def folded(products: Column) -> Column:
+    """products (array of vendor, product) with their folded names, for identity(): an array of (pair, vendor, product)."""
+    return F.transform(products, lambda x: F.struct(F.struct(x["vendor"].alias("vendor"), x["product"].alias("product")).alias("pair"), tx.family(x["vendor"]).alias("vendor"), tx.family(x["product"]).alias("product")))
 
-def resolved(named: DataFrame, products: DataFrame, vendors: dict[str, str] = VENDOR_ALIASES, names: dict[tuple[str, str], str] = PRODUCT_ALIASES) -> DataFrame:
-    """named with the products that they are: pairs (array of vendor, product) and identity_reason (null if resolved).
 
-    named: cve, row (its number in the record), vendor, product, cpes. products: cve, vendor, product (those of the advisory, lower-cased).
+def identity(named: Column, own: Column, vendors: dict[str, str] = VENDOR_ALIASES, names: dict[tuple[str, str], str] = PRODUCT_ALIASES) -> Column:
+    """(reason, pairs): the products that a name (vendor, product, cpes) is, a sorted array of (vendor, product), null if there are none;
+    reason is null if it is resolved. own: folded() products of the advisory, null if there is none.
+
     CPE names decide if there are any: all must be the advisory's. Else one product of the advisory, no more,
     must have the folded names."""
-    read = named.withColumn("_cpe", F.when(F.size("cpes") > 0, cpe_identity(F.col("cpes"))))
-    v, p = tx.family(F.col("vendor")), tx.family(F.col("product"))
-    vendor = F.coalesce(F.create_map(*[F.lit(x) for pair in vendors.items() for x in pair])[v], v) if vendors else v
-    spelt = F.create_map(*[x for (a, b), c in names.items() for x in (F.lit(f"{a}/{b}"), F.lit(c))])[F.concat_ws("/", vendor, p)] if names else F.lit(None)
-    keyed = read.withColumn("_vendor", vendor).withColumn("_product", F.coalesce(spelt, p))
-    own = products.select("cve", F.col("vendor").alias("v"), F.col("product").alias("p"), tx.family(F.col("vendor")).alias("_vendor"), tx.family(F.col("product")).alias("_product")).distinct()
-    pair = F.struct(F.col("v").alias("vendor"), F.col("p").alias("product"))
-    by_name = keyed.where("_cpe is null and vendor is not null and product is not null").select("cve", "row", "_vendor", "_product").join(own, ["cve", "_vendor", "_product"])
-    by_cpe = keyed.where("_cpe.pairs is not null").select("cve", "row", F.explode("_cpe.pairs").alias("x")).join(own, (F.col("x.vendor") == F.col("v")) & (F.col("x.product") == F.col("p")) & (keyed["cve"] == own["cve"]))
-    found = by_name.select("cve", "row", pair.alias("pair")).unionByName(by_cpe.select(keyed["cve"], "row", pair.alias("pair")))
-    sets = found.groupBy("cve", "row").agg(F.array_sort(F.collect_set("pair")).alias("pairs"))
-    n = F.coalesce(F.size("pairs"), F.lit(0))
-    reason = (
-        F.when(F.col("_cpe.reason").isNotNull(), F.col("_cpe.reason"))
-        .when(F.col("_cpe").isNotNull() & (n < F.size("_cpe.pairs")), "cna_cpe_product_mismatch")
-        .when(F.col("_cpe").isNull() & (F.col("vendor").isNull() | F.col("product").isNull()), "cna_missing_product_identity")
-        .when(F.col("_cpe").isNull() & (n != 1), "cna_product_identity_not_confirmed")
-    )
-    return keyed.join(sets, ["cve", "row"], "left").withColumn("identity_reason", reason).drop("_cpe", "_vendor", "_product")
+    some = lambda pairs: F.when(F.size(pairs) > 0, F.array_sort(pairs))
+
+    def by_cpe(cpe: Column) -> Column:
+        met = some(F.filter(cpe["pairs"], lambda x: F.exists(own, lambda o: F.coalesce(o["pair"] == x, F.lit(False)))))
+        reason = lambda pairs: F.coalesce(cpe["reason"], F.when(F.coalesce(F.size(pairs), F.lit(0)) < F.size(cpe["pairs"]), "cna_cpe_product_mismatch"))
+        return va.let(met, lambda pairs: F.struct(reason(pairs).alias("reason"), pairs.alias("pairs")))
+
+    def by_name(key: Column) -> Column:
+        met = some(F.transform(F.filter(own, lambda o: F.coalesce((o["vendor"] == key["vendor"]) & (o["product"] == key["product"]), F.lit(False))), lambda o: o["pair"]))
+        absent = key["vendor"].isNull() | key["product"].isNull()
+        reason = lambda pairs: F.when(absent, "cna_missing_product_identity").when(F.coalesce(F.size(pairs), F.lit(0)) != 1, "cna_product_identity_not_confirmed")
+        return va.let(met, lambda pairs: F.struct(reason(pairs).alias("reason"), pairs.alias("pairs")))
+
+    def aliased(x: Column) -> Column:
+        vendor = F.coalesce(F.create_map(*[F.lit(x) for pair in vendors.items() for x in pair])[x["vendor"]], x["vendor"]) if vendors else x["vendor"]
+        return F.struct(vendor.alias("vendor"), x["product"].alias("product"))
+
+    def respelt(x: Column) -> Column:
+        spelt = F.create_map(*[x for (a, b), c in names.items() for x in (F.lit(f"{a}/{b}"), F.lit(c))])[F.concat_ws("/", x["vendor"], x["product"])] if names else F.lit(None)
+        return F.struct(x["vendor"].alias("vendor"), F.coalesce(spelt, x["product"]).alias("product"))
+
+    key = F.struct(tx.family(named["vendor"]).alias("vendor"), tx.family(named["product"]).alias("product"))
+    told = va.let(va.let(va.let(key, aliased), respelt), by_name)
+    return F.when(F.size(named["cpes"]) > 0, va.let(cpe_identity(named["cpes"]), by_cpe)).otherwise(told)
+
+
+def resolved(named: DataFrame, products: DataFrame, vendors: dict[str, str] = VENDOR_ALIASES, names: dict[tuple[str, str], str] = PRODUCT_ALIASES) -> DataFrame:
+    """named with the products that they are: pairs (array of vendor, product) and identity_reason (null if resolved).
+
+    named: cve, row (its number in the record), vendor, product, cpes. products: cve, vendor, product (those of the advisory, lower-cased)."""
+    own = products.groupBy("cve").agg(F.collect_set(F.struct("vendor", "product")).alias("_own")).withColumn("_own", folded(F.col("_own")))
+    found = named.join(own, "cve", "left").withColumn("_found", identity(F.struct("vendor", "product", "cpes"), F.col("_own"), vendors, names))
+    return found.withColumns({"pairs": F.col("_found.pairs"), "identity_reason": F.col("_found.reason")}).drop("_own", "_found")
+
+
+BOUNDS = ("exact", "lower", "upper", "lower_inclusive", "upper_inclusive")
 
 
 def corroborate(records: DataFrame, terms: DataFrame) -> DataFrame:
     """cve, reason (null if corroborated), probes (how many were answered alike): one row per record.
 
     records: cve, kind, state, told (the id that the record gives itself), affected (array of AFFECTED). terms: cve, vendor, product, exact, lower, upper,
-    lower_inclusive, upper_inclusive. The first rule that fails decides, products in the record's order."""
+    lower_inclusive, upper_inclusive. The first rule that fails decides, products in the record's order; answers are compared where no other rule has failed."""
     head = (
         F.when(~(F.col("kind").eqNullSafe(F.lit("CVE_RECORD")) & F.col("told").eqNullSafe(F.col("cve")) & F.col("state").eqNullSafe(F.lit("PUBLISHED"))), "cna_identity_or_publication_state")
         .when(F.col("affected").isNull() | (F.size("affected") == 0), "cna_missing_affected")
     )
-    heads = records.select("cve", head.alias("reason"))
-    listed = records.where(head.isNull()).select("cve", F.posexplode("affected").alias("row", "a"))
     lower = terms.withColumns({c: F.lower(c) for c in ("vendor", "product")})
-    products = lower.select("cve", "vendor", "product").distinct()
-    judged = resolved(listed.select("cve", "row", "a", affected_reason(F.col("a")).alias("own"), F.col("a.vendor").alias("vendor"), F.col("a.product").alias("product"), F.col("a.cpes").alias("cpes")), products)
-    # Read by four branches below.
-    judged = checkpointed(judged.select("cve", "row", F.coalesce("own", "identity_reason").alias("reason"), "pairs", F.col("a.versions").alias("entries")))
-    scopes = judged.where("reason is null").select("cve", "row", "entries", F.explode("pairs").alias("x")).select("cve", "row", "entries", "x.*")
-    # A product that an earlier row of the record has already: the later row is at fault.
-    twice = scopes.groupBy("cve", "vendor", "product").agg(F.sort_array(F.collect_list("row")).alias("rows")).where("size(rows) > 1").select("cve", F.get("rows", F.lit(1)).alias("row"))
-    row_faults = judged.where("reason is not null").select("cve", "row", "reason").unionByName(twice.select("cve", "row", F.lit("cna_duplicate_product_scopes").alias("reason")))
-    first = row_faults.groupBy("cve").agg(F.min(F.struct("row", "reason")).alias("x")).select("cve", F.col("x.reason").alias("row_reason"))
-    covered = products.join(scopes.select("cve", "vendor", "product").distinct(), ["cve", "vendor", "product"], "left_anti").select("cve").distinct().withColumn("uncovered", F.lit(True))
-    answers = probed(scopes.select("cve", "vendor", "product", "entries"), lower)
-    reason = F.coalesce(
-        "reason", "row_reason", F.when(F.col("uncovered"), "cna_incomplete_product_coverage"),
-        F.when(F.col("agree") < F.col("n"), "nvd_cna_numeric_predicate_disagreement"),
+    advisories = lower.groupBy("cve").agg(F.collect_set(F.struct("vendor", "product", *BOUNDS)).alias("terms"))
+    products = F.array_distinct(F.transform("terms", lambda t: F.struct(t["vendor"].alias("vendor"), t["product"].alias("product"))))
+    met = records.select("cve", head.alias("head"), F.when(head.isNull(), F.col("affected")).alias("affected")).join(advisories.withColumn("own", folded(products)), "cve", "left")
+
+    def judged(a: Column) -> Column:
+        # Identity is asked of a product that is sound in itself.
+        known = va.let(identity(a, F.col("own")), lambda x: F.struct(x["reason"].alias("reason"), F.when(x["reason"].isNull(), x["pairs"]).alias("pairs"), a["versions"].alias("entries")))
+        fault = lambda own: F.struct(own.alias("reason"), F.lit(None).cast("array<struct<vendor:string,product:string>>").alias("pairs"), F.lit(None).cast(f"array<{ENTRY}>").alias("entries"))
+        return va.let(affected_reason(a), lambda own: F.when(own.isNotNull(), fault(own)).otherwise(known))
+
+    rows = met.select("cve", "head", "terms", F.size("own").alias("products"), F.transform("affected", judged).alias("rows"))
+    # Products with their rows, sorted: one that an earlier row of the record has already puts the later row at fault.
+    scopes = F.array_sort(F.flatten(F.transform("rows", lambda r, i: F.coalesce(F.transform(r["pairs"], lambda x: F.struct(x.alias("pair"), i.alias("row"))), F.array().cast("array<struct<pair:struct<vendor:string,product:string>,row:int>>")))))
+    again = va.let(scopes, lambda s: F.array_min(F.transform(s, lambda x, i: F.when(F.get(s, i - 1)["pair"] == x["pair"], x["row"]))))
+    fault = F.array_min(F.transform("rows", lambda r, i: F.when(r["reason"].isNotNull(), i)))
+    found = rows.withColumns({"again": again, "fault": fault, "covered": F.aggregate("rows", F.lit(0), lambda n, r: n + F.coalesce(F.size(r["pairs"]), F.lit(0)))})
+    ruled = F.coalesce(
+        "head", F.when(F.col("again") < F.coalesce("fault", F.size("rows")), "cna_duplicate_product_scopes"), F.get("rows", F.col("fault"))["reason"],
+        F.when(F.col("covered") < F.col("products"), "cna_incomplete_product_coverage"),
     )
-    whole = heads.join(first, "cve", "left").join(covered, "cve", "left").join(answers, "cve", "left")
-    return whole.select("cve", reason.alias("reason"), F.when(reason.isNull(), F.coalesce("n", F.lit(0).cast("long"))).otherwise(0).alias("probes"))
+    same = lambda t, x: F.coalesce((t["vendor"] == x["vendor"]) & (t["product"] == x["product"]), F.lit(False))
+    answered = F.flatten(F.transform("rows", lambda r: F.transform(r["pairs"], lambda x: answers(r["entries"], F.filter("terms", lambda t: same(t, x))))))
+    none = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("agree"))
+    total = F.aggregate(answered, none, lambda a, x: F.struct((a["n"] + x["n"]).alias("n"), (a["agree"] + x["agree"]).alias("agree")))
+    asked = found.withColumn("ruled", ruled).select("cve", "ruled", F.when(F.col("ruled").isNull(), total).alias("x"))
+    reason = F.coalesce("ruled", F.when(F.col("x.agree") < F.col("x.n"), "nvd_cna_numeric_predicate_disagreement"))
+    return asked.select("cve", reason.alias("reason"), F.when(reason.isNull(), F.col("x.n")).otherwise(0).alias("probes"))
 
 
-def probed(scopes: DataFrame, terms: DataFrame) -> DataFrame:
-    """cve, n, agree: probes of all products, and those on which the producer's status and the terms agree.
+def answers(entries: Column, terms: Column) -> Column:
+    """(n, agree) of a product: its probes, and those on which the producer's status and the terms agree.
 
-    scopes: cve, vendor, product, entries (array of ENTRY). A probe that two entries hold, or that is neither affected nor unaffected, does not agree."""
+    entries: array of ENTRY. terms: array with BOUNDS. A probe that two entries hold, or that is neither affected nor unaffected, does not agree."""
     star = lambda x: F.nullif(x, F.lit("*"))
-    held = terms.groupBy("cve", "vendor", "product").agg(F.collect_list(F.struct("exact", "lower", "upper", "lower_inclusive", "upper_inclusive")).alias("terms"))
-    ends = F.flatten(F.transform("terms", lambda t: F.array(t["exact"], t["lower"], t["upper"])))
-    told = F.flatten(F.transform("entries", lambda e: F.array(e["version"], star(e["lessThan"]), star(e["lessThanOrEqual"]))))
     key = vs.version_key
-    # Keys once an entry and term, before the probes.
-    kept_terms = F.transform("terms", lambda t: F.struct(*[key(t[c]).alias(c) for c in ("exact", "lower", "upper")], t["lower_inclusive"].alias("lower_inclusive"), t["upper_inclusive"].alias("upper_inclusive")))
     upper = lambda e: F.coalesce(e["lessThan"], e["lessThanOrEqual"])
-    kept_entries = F.transform("entries", lambda e: F.struct(
-        key(e["version"]).alias("start"), key(upper(e)).alias("end"), upper(e).isNull().alias("alone"), (upper(e) == "*").alias("open"), e["lessThanOrEqual"].isNotNull().alias("closed"), e["status"].alias("status"),
-    ))
-    points = scopes.join(held, ["cve", "vendor", "product"]).select("cve", kept_terms.alias("t"), kept_entries.alias("e"), va.probes(F.concat(ends, told)).alias("probes"))
-    keyed = points.select("cve", "t", "e", F.explode(F.transform("probes", key)).alias("at"))
-    at = F.col("at")
+
+    def keyed(terms: Column) -> Column:
+        # Keys once an entry, term and probe.
+        ends = F.flatten(F.transform(terms, lambda t: F.array(t["exact"], t["lower"], t["upper"])))
+        told = F.flatten(F.transform(entries, lambda e: F.array(e["version"], star(e["lessThan"]), star(e["lessThanOrEqual"]))))
+        kept_terms = F.transform(terms, lambda t: F.struct(*[key(t[c]).alias(c) for c in ("exact", "lower", "upper")], t["lower_inclusive"].alias("lower_inclusive"), t["upper_inclusive"].alias("upper_inclusive")))
+        kept_entries = F.transform(entries, lambda e: F.struct(
+            key(e["version"]).alias("start"), key(upper(e)).alias("end"), upper(e).isNull().alias("alone"), (upper(e) == "*").alias("open"), e["lessThanOrEqual"].isNotNull().alias("closed"), e["status"].alias("status"),
+        ))
+        return F.struct(kept_terms.alias("t"), kept_entries.alias("e"), F.transform(va.probes(F.concat(ends, told)), key).alias("at"))
+
+    def compared(x: Column) -> Column:
+        return F.struct(F.size(x["at"]).cast("long").alias("n"), F.size(F.filter(x["at"], lambda at: agrees(at, x["t"], x["e"]))).cast("long").alias("agree"))
+
+    return va.let(va.let(terms, keyed), compared)
+
+
+def agrees(at: Column, terms: Column, entries: Column) -> Column:
+    """Whether keyed terms and entries answer the probe with key at alike."""
     below = lambda e: e["open"] | F.coalesce(at < e["end"], F.lit(False)) | F.coalesce(e["closed"] & (at == e["end"]), F.lit(False))
     within = lambda e: F.coalesce(F.when(e["alone"], at == e["start"]).otherwise((at >= e["start"]) & below(e)), F.lit(False))
-    keyed = keyed.withColumn("hits", F.filter("e", within))
-    status = F.when(F.size("hits") == 1, F.get("hits", F.lit(0))["status"]).when(F.size("hits") == 0, "unaffected")
-    applies = F.exists("t", lambda t: F.coalesce(vs.in_range(at, t["exact"], t["lower"], t["upper"], t["lower_inclusive"], t["upper_inclusive"]), F.lit(False)))
-    agree = status.isin("affected", "unaffected") & (applies == (status == "affected"))
-    return keyed.groupBy("cve").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.coalesce(agree, F.lit(False))).alias("agree"))
+    status = lambda hits: F.when(F.size(hits) == 1, F.get(hits, F.lit(0))["status"]).when(F.size(hits) == 0, "unaffected")
+    applies = F.exists(terms, lambda t: F.coalesce(vs.in_range(at, t["exact"], t["lower"], t["upper"], t["lower_inclusive"], t["upper_inclusive"]), F.lit(False)))
+    told = va.let(F.filter(entries, within), status)
+    return va.let(told, lambda x: F.coalesce(x.isin("affected", "unaffected") & (applies == (x == "affected")), F.lit(False)))
 
 
 def statuses(components: DataFrame, scopes: DataFrame, candidates: DataFrame) -> DataFrame:

@@ -8,11 +8,13 @@ from pyspark.sql import functions as F
 
 from quillwork.functions import text as tx
 from quillwork.operators import corroboration as co
+from quillwork.operators.lineage import written
 from quillwork.plans.base import Book, view
 
 BOOK = Book()
 
 #: Lines of orders as affected products; m chooses the fault of a line.
+_CVE = "concat('CVE-2024-', o) AS cve"
 _LINE = "l_orderkey AS o, l_linenumber AS q, l_partkey AS k, l_partkey % 40 AS m"
 _VENDOR = "CASE WHEN l_partkey % 40 = 18 THEN 'apache' ELSE concat('brand_', substr(p_brand, 7)) END"
 _PRODUCT = "CASE WHEN l_partkey % 40 = 18 THEN 'superset' ELSE concat(lower(p_type), '_kit') END"
@@ -24,8 +26,8 @@ def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined.selectExpr("l_orderkey AS o", "l_linenumber AS q", "l_partkey AS k", "l_partkey % 40 AS m", f"{_VENDOR} AS vendor", f"{_PRODUCT} AS product")
 
 
-def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One record per order: its lines are affected products."""
+def _records(lines: DataFrame) -> DataFrame:
+    """One record per order: its lines (_lines) are affected products."""
     entry = "named_struct('version', {0}, 'lessThan', {1}, 'lessThanOrEqual', {2}, 'versionType', if(m = 6, 'git', 'semver'), 'status', if(m = 4, 'unaffected', 'affected'), 'changes', false)"
     at = lambda n: f"concat(q + {n}, '.0')"
     start = "if(m = 8, 'x', concat(q, '.0'))"
@@ -37,18 +39,20 @@ def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
     affected = f"""cast(named_struct('vendor', CASE m WHEN 12 THEN null WHEN 18 THEN 'Apache Software Foundation' ELSE replace(vendor, '_', ' ') END,
         'product', CASE m WHEN 13 THEN 'other' WHEN 18 THEN 'Apache Superset' ELSE product END, 'cpes', if(m in (9, 10, 11), array({cpe}), null),
         'defaultStatus', if(m = 1, 'affected', 'unaffected'), 'constraints', m = 2, 'versions', {entries}) as {co.AFFECTED})"""
-    held = _lines(spark, sf_dir).select("o", F.struct("q", "k", F.expr(affected).alias("a")).alias("x")).groupBy("o").agg(F.transform(F.array_sort(F.collect_list("x"), lambda x, y: F.when(x["q"] < y["q"], -1).when(x["q"] > y["q"], 1).when(x["k"] < y["k"], -1).when(x["k"] > y["k"], 1).otherwise(0)), lambda x: x["a"]).alias("affected"))
+    # By the id that records are joined on, so that they stay where they are.
+    placed = lines.select(F.expr(_CVE), "o", F.struct("q", "k", F.expr(affected).alias("a")).alias("x"))
+    held = placed.groupBy("cve").agg(F.min("o").alias("o"), F.transform(F.sort_array(F.collect_list("x")), lambda x: x["a"]).alias("affected"))
     return held.selectExpr(
-        "concat('CVE-2024-', o) AS cve", "if(o % 31 = 0, 'OTHER', 'CVE_RECORD') AS kind", "if(o % 37 = 0, 'REJECTED', 'PUBLISHED') AS state", "if(o % 29 = 0, null, concat('CVE-2024-', o)) AS told",
+        "cve", "if(o % 31 = 0, 'OTHER', 'CVE_RECORD') AS kind", "if(o % 37 = 0, 'REJECTED', 'PUBLISHED') AS state", "if(o % 29 = 0, null, cve) AS told",
         f"if(o % 41 = 0, cast(array() as array<{co.AFFECTED}>), affected) AS affected",
     )
 
 
-def _terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _terms(spark: SparkSession, sf_dir: str, lines: DataFrame) -> DataFrame:
     """The advisory of an order: a range for each line, and for some orders a product that no line names."""
-    own = _lines(spark, sf_dir).selectExpr("concat('CVE-2024-', o) AS cve", "vendor", "product", "concat(q, '.0') AS lower", "concat(q + 5, '.0') AS upper")
+    own = lines.select(F.expr(_CVE), "vendor", "product", F.expr("concat(q, '.0') AS lower"), F.expr("concat(q + 5, '.0') AS upper"))
     ghost = view(spark, sf_dir, "lineitem").where("l_orderkey % 43 = 0").selectExpr("concat('CVE-2024-', l_orderkey) AS cve", "'brand_0' AS vendor", "'ghost' AS product", "'1.0' AS lower", "'2.0' AS upper")
-    return own.unionByName(ghost).distinct().withColumns({"exact": F.lit(None).cast("string"), "lower_inclusive": F.lit(True), "upper_inclusive": F.lit(False)})
+    return own.unionByName(ghost).withColumns({"exact": F.lit(None).cast("string"), "lower_inclusive": F.lit(True), "upper_inclusive": F.lit(False)})
 
 
 @BOOK.add("corroboration_rules", f"""
@@ -64,7 +68,8 @@ t AS (SELECT o, n, CASE WHEN o % 31 = 0 OR o % 37 = 0 OR o % 29 = 0 THEN 'cna_id
     WHEN o % 43 = 0 THEN 'cna_incomplete_product_coverage' WHEN differs THEN 'nvd_cna_numeric_predicate_disagreement' END AS reason FROM s)
 SELECT 'CVE-2024-' || o AS cve, reason, CASE WHEN reason IS NULL THEN n ELSE 0 END AS probes FROM t""")
 def corroboration_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return co.corroborate(_records(spark, sf_dir), _terms(spark, sf_dir))
+    lines = written(_lines(spark, sf_dir), "lines")  # of the records and of the advisories
+    return co.corroborate(_records(lines), _terms(spark, sf_dir, lines))
 
 
 @BOOK.add("product_identity", """

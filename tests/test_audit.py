@@ -120,6 +120,13 @@ def test_corroboration_of_awkward_records(spark):
     assert verdict([product(entry={"lessThan": "2.00"})]).reason == "unsupported_numeric_version"
 
 
+def test_the_first_fault_in_the_order_of_the_record(spark):
+    terms = spark.createDataFrame([("CVE-1", "v", "p", None, "1.0", "2.0", True, False)], "cve string, vendor string, product string, exact string, lower string, upper string, lower_inclusive boolean, upper_inclusive boolean")
+    reason = lambda *rows: co.corroborate(record(spark, list(rows)), terms).first().reason
+    assert reason(product(), product(), product(constraints=True)) == "cna_duplicate_product_scopes"
+    assert reason(product(), product(constraints=True), product()) == "cna_additional_platform_or_component_constraints"
+
+
 def test_denial_window(spark):
     """Within 24 characters before the phrase, not beyond; offsets count characters, the phrase may repeat."""
     terms = spark.createDataFrame([(c, None, None, "2.1", True, False) for c in "abcd"], "cve string, exact string, lower string, upper string, lower_inclusive boolean, upper_inclusive boolean")

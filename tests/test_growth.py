@@ -82,3 +82,9 @@ def test_reconstruction_reads_the_lines_once(spark, sf):
 
 def test_fixture_builds_its_profiles_once(spark, sf):
     assert not any("lineitem" in file for file in QUERIES["fixture_load"](spark, sf).inputFiles())
+
+
+def test_records_meet_their_advisories_in_one_join(spark, sf):
+    text = ran(QUERIES["corroboration_rules"](spark, sf)).split("Initial Plan")[0]
+    assert text.count("SortMergeJoin") + text.count("BroadcastHashJoin") + text.count("ShuffledHashJoin") == 1
+    assert "Generate explode" not in text and "Generate posexplode" not in text
