@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from quillwork.functions.validation import let
+
 #: Fixed value: the pattern of words that tie a statement to an environment.
 CUES = (
     r"\b(?:windows|linux|macos|mac os|android|ios|aarch64|arm(?:64)?|x86|x64|amd64|(?:32|64)[ -]bit|platforms?|architectures?|bindings?|plugins?|modules?|"
@@ -144,7 +146,6 @@ _RECORD = "struct<containers:struct<cna:struct<affected:array<string>>,adp:array
 
 def rendered_entry(raw: Column, origin: Column) -> Column:
     """One affected entry (JSON) as a line: status and versions in words, then every other field by name, whatever it is called."""
-    entry, every = F.from_json(raw, _ENTRY), F.from_json(raw, "map<string,string>")
     some = lambda x: F.coalesce(x, F.lit("None"))
     full = lambda x: F.nullif(F.coalesce(x, F.lit("")), F.lit(""))
 
@@ -157,21 +158,29 @@ def rendered_entry(raw: Column, origin: Column) -> Column:
             F.when(F.size(v["changes"]) > 0, F.concat(F.lit("; changes: "), F.array_join(changes, ", "))).otherwise(""),
         )
 
-    others = F.filter(F.array_sort(F.map_keys(every)), lambda k: ~k.isin(*_TOLD) & F.coalesce(~F.element_at(every, k).isin("", "[]", "null"), F.lit(False)))
-    value = lambda k: F.coalesce(F.array_join(F.from_json(F.when(F.element_at(every, k).startswith("["), F.element_at(every, k)), "array<string>"), ", "), F.element_at(every, k))
-    empty = F.array().cast("array<string>")
-    parts = F.concat(
-        F.array_compact(F.array(F.concat(F.lit("default status: "), full(entry["defaultStatus"])))),
-        F.coalesce(F.transform(entry["versions"], version), empty), F.coalesce(F.transform(others, lambda k: F.concat(k, F.lit(": "), value(k))), empty),
-    )
-    named = lambda c: F.coalesce(full(entry[c]), F.lit("n/a"))
-    return F.concat(origin, named("vendor"), F.lit(" / "), named("product"), F.lit(": "), F.coalesce(full(F.array_join(parts, "; ")), F.lit("no version data")))
+    def line(read: Column) -> Column:
+        entry, every, empty = read["entry"], read["every"], F.array().cast("array<string>")
+        others = F.filter(F.sort_array(F.map_keys(every)), lambda k: ~k.isin(*_TOLD) & F.coalesce(~F.element_at(every, k).isin("", "[]", "null"), F.lit(False)))
+        value = lambda x: F.coalesce(F.array_join(F.from_json(F.when(x.startswith("["), x), "array<string>"), ", "), x)
+        parts = F.concat(
+            F.array_compact(F.array(F.concat(F.lit("default status: "), full(entry["defaultStatus"])))),
+            F.coalesce(F.transform(entry["versions"], version), empty), F.coalesce(F.transform(others, lambda k: F.concat(k, F.lit(": "), let(F.element_at(every, k), value))), empty),
+        )
+        named = lambda c: F.coalesce(full(entry[c]), F.lit("n/a"))
+        told = let(F.array_join(parts, "; "), lambda x: F.coalesce(full(x), F.lit("no version data")))
+        return F.concat(origin, named("vendor"), F.lit(" / "), named("product"), F.lit(": "), told)
+
+    # Read once as its known fields and once as fields of any name, not once a use.
+    return let(F.struct(F.from_json(raw, _ENTRY).alias("entry"), F.from_json(raw, "map<string,string>").alias("every")), line)
 
 
 def rendered_entries(raw: Column) -> Column:
     """The affected entries of a record (JSON), one line each: the producer's own first, then those that others added."""
-    read = F.from_json(raw, _RECORD)["containers"]
     empty = F.array().cast("array<string>")
-    own = F.transform(F.coalesce(read["cna"]["affected"], empty), lambda e: rendered_entry(e, F.lit("")))
-    added = F.flatten(F.transform(F.coalesce(read["adp"], F.array().cast("array<struct<affected:array<string>>>")), lambda a: F.coalesce(a["affected"], empty)))
-    return F.array_join(F.concat(own, F.transform(added, lambda e: rendered_entry(e, F.lit("(ADP enrichment) ")))), "\n")
+
+    def lines(read: Column) -> Column:
+        own = F.transform(F.coalesce(read["cna"]["affected"], empty), lambda e: rendered_entry(e, F.lit("")))
+        added = F.flatten(F.transform(F.coalesce(read["adp"], F.array().cast("array<struct<affected:array<string>>>")), lambda a: F.coalesce(a["affected"], empty)))
+        return F.array_join(F.concat(own, F.transform(added, lambda e: rendered_entry(e, F.lit("(ADP enrichment) ")))), "\n")
+
+    return let(F.from_json(raw, _RECORD)["containers"], lines)

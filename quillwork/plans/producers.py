@@ -156,6 +156,6 @@ def entry_rendering(spark: SparkSession, sf_dir: str) -> DataFrame:
     entry = f"""concat('{{"product":"P', l_partkey, '"', if(l_partkey % 7 = 0, '', concat(',"vendor":"V', l_suppkey, '"')), if(l_partkey % 3 = 0, ',"defaultStatus":"unaffected"', ''),
         if(l_partkey % 5 = 0, '', concat(',"versions":[', {versions}, ']')), {", ".join(extra)}, '}}')"""
     lines = view(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o"), "l_linestatus", F.struct("l_linenumber", "l_partkey", "l_suppkey", F.expr(entry).alias("e")).alias("x"))
-    listed = lambda status: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("l_linestatus") == status, F.col("x")))), lambda x: x["e"]), ",")
+    listed = lambda status: F.array_join(F.transform(F.sort_array(F.collect_list(F.when(F.col("l_linestatus") == status, F.col("x")))), lambda x: x["e"]), ",")
     told = lines.groupBy("o").agg(F.concat(F.lit('{"containers":{"cna":{"affected":['), listed("F"), F.lit(']},"adp":[{"title":"t"},{"affected":['), listed("O"), F.lit("]}]}}")).alias("raw"))
     return told.select("o", tx.rendered_entries(F.col("raw")).alias("text"))

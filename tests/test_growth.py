@@ -7,6 +7,7 @@ import os
 import duckdb
 from pyspark.sql import functions as F
 
+from quillwork.functions import text as tx
 from quillwork.operators import joins
 from quillwork.plans import registry
 
@@ -88,3 +89,15 @@ def test_records_meet_their_advisories_in_one_join(spark, sf):
     text = ran(QUERIES["corroboration_rules"](spark, sf)).split("Initial Plan")[0]
     assert text.count("SortMergeJoin") + text.count("BroadcastHashJoin") + text.count("ShuffledHashJoin") == 1
     assert "Generate explode" not in text and "Generate posexplode" not in text
+
+
+def test_entries_are_parsed_once(spark):
+    raws = [
+        '{"containers":{"cna":{"affected":[{"product":"p","zeta":"","a":["x","y"],"b":[],"c":{"d":1},"e":"[1"},{},7]},"adp":[{},{"affected":[{"vendor":"","versions":[{"version":"1","changes":[{}]}]}]}]}}',
+        '{"containers":{}}', "no json", None,
+    ]
+    got = spark.createDataFrame([(r,) for r in raws], "raw string").coalesce(1).select(tx.rendered_entries(F.col("raw")).alias("text"))
+    first = 'n/a / p: a: x, y; c: {"d":1}; e: [1\nn/a / n/a: no version data\nn/a / n/a: no version data\n(ADP enrichment) n/a / n/a: None: 1; changes: None at None'
+    assert [r.text for r in got.collect()] == [first, "", "", ""]
+    # A record, then for each kind of entry its known fields, all its fields, and a list among these.
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("from_json(") == 7
