@@ -58,6 +58,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
+#: Rows of a few numbers that a task sorts or hashes at a time.
+ROWS_A_TASK = 1_000_000
+
+
+def parted(df: DataFrame, rows: int, *keys: str) -> DataFrame:
+    """df by its keys, in parts whose number grows with its rows, so that what one task holds does not."""
+    return df.repartition(max(df.sparkSession.sparkContext.defaultParallelism, -(-rows // ROWS_A_TASK)), *keys)
+
+
 def dealt(df: DataFrame) -> DataFrame:
     """df over all partitions: rows that a small file holds are few tasks else, however dear each row is."""
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))

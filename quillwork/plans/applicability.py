@@ -173,6 +173,5 @@ def identity_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
 @BOOK.add("product_components")
 def product_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts that share an order are connected; each order links its parts to its smallest one."""
-    lines = view(spark, sf_dir, "lineitem").select("l_partkey", "l_orderkey").distinct()
-    heads = lines.groupBy("l_orderkey").agg(F.min("l_partkey").alias("head"))
-    return graph.components(lines.join(heads, "l_orderkey").select("l_partkey", "head"), "l_partkey", "head")
+    lines = view(spark, sf_dir, "lineitem")
+    return graph.components(graph.stars(lines, "l_orderkey", "l_partkey"), "a", "b", lines.count())

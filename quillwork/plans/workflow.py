@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quillwork.functions import hashing
 from quillwork.functions import version as vs
 from quillwork.operators import generate, graph, joins
+from quillwork.operators.lineage import dealt
 from quillwork.plans.base import Book, view
 
 BOOK = Book()
@@ -16,11 +17,10 @@ BOOK = Book()
 def pool_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Held-out product groups first, then late records, then the digest of the record's own id."""
     lines = view(spark, sf_dir, "lineitem")
-    heads = lines.groupBy("l_orderkey").agg(F.min("l_partkey").alias("b"))
-    groups = graph.components(lines.join(heads, "l_orderkey").select(F.col("l_partkey").alias("a"), "b").distinct(), "a", "b")
+    groups = graph.components(graph.stars(lines, "l_orderkey", "l_partkey"), "a", "b", lines.count())
     number = lambda tag, c: hashing.bucket(F.concat(F.lit(tag), F.col(c).cast("string")), 10 if tag == "g" else 100)
     pool = F.when(number("g", "root") == 0, "product_heldout").when(F.col("node") % 10 == 3, "temporal").otherwise(hashing.partition_of(number("i", "node")))
-    return groups.select("node", pool.alias("pool"))
+    return dealt(groups).select("node", pool.alias("pool"))
 
 
 @BOOK.add("profile_generation")

@@ -8,7 +8,7 @@ import duckdb
 from pyspark.sql import functions as F
 
 from quillwork.functions import text as tx
-from quillwork.operators import joins
+from quillwork.operators import graph, joins, lineage
 from quillwork.plans import registry
 
 QUERIES, SQL = registry.queries(), registry.oracle_sql()
@@ -101,3 +101,20 @@ def test_entries_are_parsed_once(spark):
     assert [r.text for r in got.collect()] == [first, "", "", ""]
     # A record, then for each kind of entry its known fields, all its fields, and a list among these.
     assert got._jdf.queryExecution().optimizedPlan().toString().count("from_json(") == 7
+
+
+def test_parts_of_a_graph_grow_with_its_edges(spark, sf, monkeypatch):
+    edges, cut = [], graph.checkpointed
+
+    def counted(df):
+        if df.columns == ["x", "y"]:
+            edges.append(df.rdd.mapPartitions(lambda rows: [sum(1 for _ in rows)]).collect())
+        return cut(df)
+
+    monkeypatch.setattr(graph, "checkpointed", counted)
+    monkeypatch.setattr(lineage, "ROWS_A_TASK", 500, raising=False)
+    for name in ("pool_assignment", "product_components"):
+        edges.clear()
+        text = ran(QUERIES[name](spark, sf))
+        assert "CartesianProduct" not in text and len(edges) == 1
+        assert len(edges[0]) >= 20 and max(edges[0]) <= 1500, edges
