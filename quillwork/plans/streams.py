@@ -93,6 +93,6 @@ SELECT d.user_id, 'completed' AS status, r.n AS rounds, round(r.spent, 6) AS sec
 UNION ALL SELECT d.user_id, 'ceiling', r.n, round(r.spent, 6) FROM d JOIN r ON r.user_id = d.user_id AND r.n = 40 WHERE d.n IS NULL OR d.n > 40""")
 def stream_soak(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as rounds of work: a user's rounds go on until they took long enough, or are too many."""
-    rounds = _events(spark, sf_dir).select("user_id", "event_id", F.col("ts").cast("timestamp").alias("at"), F.col("value").alias("seconds"))
+    rounds = _events(spark, sf_dir).where("user_id IS NOT NULL").select("user_id", "event_id", F.col("ts").alias("at"), F.col("value").alias("seconds"))
     with tm.state_in_rocksdb(spark):
         return drained(tm.soak(rounds, "user_id", "at", "event_id", "seconds", 900.0, 40), "append").withColumn("seconds", F.round("seconds", 6))

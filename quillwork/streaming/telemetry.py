@@ -89,24 +89,28 @@ def admitted(requests: DataFrame, scope: str, order: str, cost: str, cap: float)
 
 
 class Soak(StatefulProcessor):
-    """Adds up the rounds of a key until they took long enough (completed) or are too many (ceiling); says so once."""
+    """Adds up the rounds of a key, in their order, until they took long enough (completed) or are too many (ceiling); says so once.
+    A round whose time is unknown counts and adds nothing; seconds are null if no round has a time."""
 
     def __init__(self, columns: list[str], target: float, most: int):
         self.columns, self.target, self.most = columns, target, most
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.spent = handle.getValueState("spent", "rounds bigint, seconds double, done boolean")
+        self.spent = handle.getValueState("spent", "rounds bigint, timed bigint, seconds double, done boolean")
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:
-        rounds, seconds, done = self.spent.get() if self.spent.exists() else (0, 0.0, False)
+        rounds, timed, seconds, done = self.spent.get() if self.spent.exists() else (0, 0, 0.0, False)
         name, *order, took = self.columns
         said = []
         for more in [] if done else pd.concat(list(rows)).sort_values(order, kind="stable")[took].tolist():
-            rounds, seconds = rounds + 1, seconds + more
-            if seconds >= self.target or rounds >= self.most:
-                said, done = [(key[0], "completed" if seconds >= self.target else "ceiling", rounds, seconds)], True
+            rounds = rounds + 1
+            if more is not None and more == more:
+                timed, seconds = timed + 1, seconds + more
+            enough = timed > 0 and seconds >= self.target
+            if enough or rounds >= self.most:
+                said, done = [(key[0], "completed" if enough else "ceiling", rounds, seconds if timed else float("nan"))], True
                 break
-        self.spent.update((rounds, seconds, done))
+        self.spent.update((rounds, timed, seconds, done))
         yield pd.DataFrame(said, columns=[name, "status", "rounds", "seconds"])
 
     def close(self) -> None:

@@ -77,6 +77,14 @@ def test_streams_read_a_table_of_many_files(spark, sf, tmp_path):
             assert got and got == by_sql(place, name), (name, place)
 
 
+def test_rounds_without_a_time_or_a_user(spark, sf, tmp_path):
+    rows = [(i, 1, 100.0 if i % 3 else None) for i in range(20)] + [(100 + i, 2, None) for i in range(45)] + [(200 + i, None, 500.0) for i in range(5)] + [(300 + i, 3, 50.0) for i in range(3)]
+    events = spark.createDataFrame(rows, "event_id long, user_id long, value double").selectExpr("event_id", "timestamp_ntz '2024-01-01' + make_dt_interval(0, 0, 0, event_id) AS ts", "user_id", "'view' AS event_type", "value", "'{}' AS props")
+    tables = linked(tmp_path, sf, events=events)
+    got = {tuple(r) for r in QUERIES["stream_soak"](spark, tables).collect()}
+    assert got == {(1, "completed", 14, 900.0), (2, "ceiling", 40, None)} == set(by_sql(tables, "stream_soak"))
+
+
 def test_reconstruction_reads_the_lines_once(spark, sf):
     assert not any("lineitem" in file for file in QUERIES["reconstruction_violations"](spark, sf).inputFiles())
 
