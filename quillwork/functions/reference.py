@@ -19,16 +19,24 @@ def padded(version: Column) -> Column:
 
 def named(criteria: Column) -> Column:
     """(vendor, product, version) of a CPE 2.3 name, lower-cased, without backslashes; version null if any."""
-    parts = F.transform(F.split(criteria, r"(?<!\\):"), lambda p: F.lower(F.regexp_replace(p, r"\\(.)", "$1")))
-    part = lambda i: F.get(parts, F.lit(i))
-    return F.struct(part(3).alias("vendor"), part(4).alias("product"), F.nullif(part(5), F.lit("*")).alias("version"))
+    parts = F.transform(F.slice(F.split(criteria, r"(?<!\\):"), 4, 3), lambda p: F.lower(F.regexp_replace(p, r"\\(.)", "$1")))
+    fields = lambda x: F.struct(F.get(x, F.lit(0)).alias("vendor"), F.get(x, F.lit(1)).alias("product"), F.nullif(F.get(x, F.lit(2)), F.lit("*")).alias("version"))
+    # The parts are cut once for all three.
+    return F.get(F.transform(F.array(parts), fields), F.lit(0))
 
 
 def read(match: Column) -> Column:
     """A criterion as it is compared: names, exact version and bounds as padded texts."""
     own = named(match["criteria"])
     bounds = ("versionStartIncluding", "versionStartExcluding", "versionEndIncluding", "versionEndExcluding")
-    return F.struct(own["vendor"].alias("vendor"), own["product"].alias("product"), padded(own["version"]).alias("exact"), *[padded(match[b]).alias(b) for b in bounds])
+    whole = lambda own: F.struct(own["vendor"].alias("vendor"), own["product"].alias("product"), padded(own["version"]).alias("exact"), *[padded(match[b]).alias(b) for b in bounds])
+    return F.get(F.transform(F.array(named(match["criteria"])), whole), F.lit(0))
+
+
+def near(matches: Column, components: Column) -> Column:
+    """The criteria whose names some component (vendor and product in lower case) has: the others hold none, so their bounds need not be read."""
+    held = lambda own: F.exists(components, lambda c: (own["vendor"] == c["vendor"]) & (own["product"] == c["product"]))
+    return F.filter(matches, lambda m: F.exists(F.array(named(m["criteria"])), held))
 
 
 def applies(criteria: Column, components: Column) -> Column:

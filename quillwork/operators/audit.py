@@ -81,25 +81,101 @@ def _branches(terms: Column, product: Column) -> Column:
     return F.array_sort(F.array_distinct(F.transform(keys, lambda k: F.concat_ws(".", F.get(k, F.lit(0))["d"], F.coalesce(F.get(k, F.lit(1))["d"], F.lit("0"))))))
 
 
-def _decided(profiles: DataFrame, components: DataFrame, candidates: DataFrame, advisories: DataFrame, assigned: DataFrame) -> DataFrame:
-    """Every candidate beside its profile, the profile's components, its source record and assignment, with both decisions.
-
-    What is compared is prepared once a component and once a record, before the joins, and what the rules need is written once."""
-    each = F.struct("position", F.lower("vendor").alias("vendor"), F.lower("product").alias("product"), vs.version_key(F.col("version")).alias("key"), reference.padded(F.col("version")).alias("at"))
-    held = components.groupBy("profile").agg(F.collect_list(each).alias("held"))
-    heads = profiles.select("profile", "partition", "pair").dropDuplicates(["profile"])
-    read = advisories.select("cve", F.sha2("body", 256).alias("body_sha256"), F.transform("matches", va.criterion_term).alias("again"), F.transform("matches", reference.read).alias("read"))
-    told = candidates.select("profile", "cve", "sha256", "terms", F.transform("terms", _keyed).alias("keyed"), "published")
-    wide = told.join(heads, "profile").join(held, "profile", "left").join(read, "cve", "left").join(assigned, "cve", "left")
-    related = F.exists("keyed", lambda t: F.exists("held", lambda c: _named(t, c)))
-    hit = F.exists("keyed", lambda t: F.exists("held", lambda c: _named(t, c) & _within(t, c)))
-    pair = F.when(F.array_contains("pair", F.col("cve")), F.col("keyed"))
-    return written(wide.select(
-        "profile", "partition", "cve", F.transform("keyed", lambda t: F.struct(t["vendor"].alias("vendor"), t["product"].alias("product"))).alias("products"), pair.alias("paired"),
-        F.substring("published", 1, 4).cast("int").alias("year"), F.coalesce(F.col("assigned") == F.col("partition"), F.lit(False)).alias("own"),
-        F.coalesce(F.col("body_sha256") == F.col("sha256"), F.lit(False)).alias("unchanged"), F.coalesce(F.col("again") == F.col("terms"), F.lit(False)).alias("reproduced"),
-        F.coalesce(related, F.lit(False)).alias("related"), F.coalesce(hit, F.lit(False)).alias("production"), reference.applies(F.col("read"), F.col("held")).alias("reference"),
-    ), "decided")
+#: What a nested profile holds of its rows, its components and its candidates beside their source records.
+_HEAD = ("partition", "stratum", "text", "expected", "distractors", "pair")
+_COMPONENT = ("position", "vendor", "product", "version", "style")
+_CANDIDATE = ("cve", "terms", "matches", "year", "assigned", "unchanged", "reproduced")
+
+
+def sourced(statements: DataFrame) -> DataFrame:
+    """Statements (sha256, terms, published) beside their source records (body, matches) with what does not depend on a profile: year, unchanged,
+    reproduced; sha256, published and body are done with."""
+    again = F.transform("matches", va.criterion_term)
+    facts = {
+        "year": F.substring("published", 1, 4).cast("int"), "unchanged": F.coalesce(F.sha2("body", 256) == F.col("sha256"), F.lit(False)),
+        "reproduced": F.coalesce(again == F.col("terms"), F.lit(False)),
+    }
+    return statements.withColumns(facts).drop("sha256", "published", "body")
+
+
+def nested(profiles: DataFrame, components: DataFrame, candidates: DataFrame, advisories: DataFrame, assigned: DataFrame) -> DataFrame:
+    """One row a profile: profile, profiles (its rows), components, candidates (arrays, null if there are none)."""
+    told = sourced(candidates.join(advisories, "cve", "left").join(assigned, "cve", "left"))
+    lists = lambda df, name, columns: df.groupBy("profile").agg(F.collect_list(F.struct(*columns)).alias(name))
+    return lists(profiles, "profiles", _HEAD).join(lists(components, "components", _COMPONENT), "profile", "left").join(lists(told, "candidates", _CANDIDATE), "profile", "left")
+
+
+def _broken(rules: dict[str, Column], item: Column, raised: bool = True) -> Column:
+    """Array of (rule, raised, item) of the rules that are broken; a rule whose condition is unknown is."""
+    one = lambda name, bad: F.when(F.coalesce(bad, F.lit(True)), F.struct(F.lit(name).alias("rule"), F.lit(raised).alias("raised"), F.coalesce(item, F.lit("")).alias("item")))
+    return F.array_compact(F.array(*[one(name, bad) for name, bad in rules.items()]))
+
+
+def judged(whole: DataFrame, limits: Limits = Limits(), heading: str = "Public synthetic system inventory:") -> DataFrame:
+    """Nested profiles (nested()) by all rules that one profile decides, without any shuffle: profile, found (array of rule, raised,
+    item), and what rules across profiles need: partition, cves, products; n_candidates, n_profiles, n_positive. Written once."""
+    none = lambda kind: F.array().cast(f"array<{kind}>")
+    names = lambda x: F.struct(F.lower(x["vendor"]).alias("vendor"), F.lower(x["product"]).alias("product"))
+    each = lambda c: F.struct(F.lower(c["vendor"]).alias("vendor"), F.lower(c["product"]).alias("product"), vs.version_key(c["version"]).alias("key"), reference.padded(c["version"]).alias("at"))
+    line = lambda c: F.concat(F.lit("- "), tx.inventory_name(c["style"], c["vendor"], c["product"], c["version"]))
+    ready = whole.select(
+        "profile", "profiles", "candidates", F.get("profiles", F.lit(0)).alias("head"), F.transform("components", each).alias("held"),
+        F.array_join(F.transform(F.array_sort("components"), line), "\n").alias("lines"),
+    )
+
+    def decided(c: Column) -> Column:
+        # Bounds are only looked at where a name is held.
+        near = F.filter(c["terms"], lambda t: F.exists("held", lambda x: _named(names(t), x)))
+        hit = lambda keyed: F.exists(keyed, lambda t: F.exists("held", lambda x: _named(t, x) & _within(t, x)))
+        return va.let(near, lambda t: F.struct(
+            *[c[x].alias(x) for x in ("cve", "year")], F.coalesce(c["assigned"] == F.col("head.partition"), F.lit(False)).alias("own"), c["unchanged"].alias("unchanged"), c["reproduced"].alias("reproduced"),
+            F.transform(c["terms"], names).alias("products"), F.coalesce(F.size(t) > 0, F.lit(False)).alias("related"),
+            F.coalesce(va.let(F.transform(t, _keyed), hit), F.lit(False)).alias("production"), reference.applies(F.transform(reference.near(c["matches"], F.col("held")), reference.read), F.col("held")).alias("reference"),
+            F.when(F.array_contains("head.pair", c["cve"]), F.transform(c["terms"], _keyed)).alias("paired"),
+        ))
+
+    known = ready.withColumn("candidates", F.transform("candidates", decided))
+    listed = lambda bad: F.array_sort(F.array_compact(F.transform(F.filter("candidates", bad), lambda c: c["cve"])))
+    sums = known.withColumns({
+        "n": F.nullif(F.array_size("candidates"), F.lit(0)), "n_held": F.nullif(F.array_size("held"), F.lit(0)), "n_distinct": F.array_size(F.array_distinct(F.array_compact(F.transform("candidates", lambda c: c["cve"])))),
+        "far": listed(lambda c: ~c["related"]), "checked": listed(lambda c: c["reference"]),
+        "paired": F.array_compact(F.transform("candidates", lambda c: c["paired"])), "installed": F.array_distinct(F.transform("held", names)),
+    })
+    paired = lambda i: F.get("paired", F.lit(i))
+    both = lambda p: F.exists(paired(0), lambda t: _named(t, p)) & F.exists(paired(1), lambda t: _named(t, p))
+    apart = (F.array_size("paired") == 2) & F.exists("installed", lambda p: both(p) & (_branches(paired(0), p) != _branches(paired(1), p)))
+    kept = F.col("n_held").between(*limits.components) & F.col("n").between(*limits.candidates) & (F.array_size("far") / F.col("n") >= limits.distractors)
+    told = sums.withColumns({"apart": apart, "kept": kept})
+    panel = F.col("head.partition")
+
+    def of_candidate(c: Column) -> Column:
+        year = c["year"]
+        raised = _broken({
+            "candidate_of_another_partition": ~c["own"], "source_differs_from_its_digest": ~c["unchanged"], "terms_do_not_follow_from_the_source": ~c["reproduced"],
+            "temporal_before_2025": (panel == "temporal") & (year != 2025), "year_outside_development": ~panel.isin("temporal", "product_heldout") & ~year.isin(2023, 2024),
+        }, c["cve"])
+        return F.concat(raised, _broken({"decisions_disagree": c["production"] != c["reference"]}, c["cve"], raised=False))
+
+    def of_profile(p: Column) -> Column:
+        raised = _broken({
+            "candidate_twice": F.col("n") != F.col("n_distinct"),
+            "text_differs_from_components": p["text"] != F.concat_ws("\n", F.lit(heading), "lines"),
+            "difficulty_contract": ~(F.col("kept") & (F.col("far") == F.array_sort(p["distractors"]))),
+            "hard_without_branches": (p["stratum"] == "hard") & ~F.col("apart"),
+        }, F.lit(""))
+        return F.concat(raised, _broken({"stored_labels_disagree": F.array_sort(p["expected"]) != F.col("checked")}, F.array_join("checked", ","), raised=False))
+
+    kind = "struct<rule:string,raised:boolean,item:string>"
+    all_of = lambda column, rules: F.coalesce(F.flatten(F.transform(column, rules)), none(kind))
+    used = lambda products, partition: F.transform(products, lambda p: F.struct(partition.alias("partition"), p["vendor"].alias("vendor"), p["product"].alias("product")))
+    candidates = used(F.array_distinct(F.flatten(F.filter(F.transform("candidates", lambda c: c["products"]), lambda p: p.isNotNull()))), panel)
+    installed = F.flatten(F.transform("profiles", lambda p: used(F.col("installed"), p["partition"])))
+    use = "struct<partition:string,vendor:string,product:string>"
+    return written(told.select(
+        "profile", F.concat(all_of("candidates", of_candidate), all_of("profiles", of_profile), _broken({"profile_twice": F.size("profiles") > 1}, F.lit(""))).alias("found"),
+        panel.alias("partition"), F.transform("candidates", lambda c: c["cve"]).alias("cves"), F.array_distinct(F.concat(F.coalesce(candidates, none(use)), F.coalesce(installed, none(use)))).alias("products"),
+        F.coalesce("n", F.lit(0)).alias("n_candidates"), F.size("profiles").alias("n_profiles"), F.size(F.filter("profiles", lambda p: F.size(p["expected"]) > 0)).alias("n_positive"),
+    ), "judged")
 
 
 def profile_violations(
@@ -110,58 +186,32 @@ def profile_violations(
     profiles: profile, partition, stratum, text, expected, distractors, pair (arrays of ids). components: profile, position, vendor,
     product, version, style. candidates: profile, cve, sha256, terms (array of TERM), published. advisories: cve,
     body, matches (array of MATCH). assigned: cve, assigned. groups: vendor, product, product_group."""
-    wide = _decided(profiles, components, candidates, advisories, assigned)
-    year, panel = F.col("year"), F.col("partition")
-    own = violations(wide, {
-        "candidate_of_another_partition": ~F.col("own"),
-        "source_differs_from_its_digest": ~F.col("unchanged"),
-        "terms_do_not_follow_from_the_source": ~F.col("reproduced"),
-        "temporal_before_2025": (panel == "temporal") & (year != 2025),
-        "year_outside_development": ~panel.isin("temporal", "product_heldout") & ~year.isin(2023, 2024),
-    }, F.col("profile"), F.col("cve"))
-    disagreements = violations(wide, {"decisions_disagree": F.col("production") != F.col("reference")}, F.col("profile"), F.col("cve"), raised=False)
-
-    listed = lambda c: F.array_sort(F.collect_list(F.when(c, F.col("cve"))))
-    sums = wide.groupBy("profile").agg(
-        F.count(F.lit(1)).alias("n"), F.count_distinct("cve").alias("n_distinct"), listed(~F.col("related")).alias("far"), listed(F.col("reference")).alias("checked"), F.collect_list("paired").alias("paired")
-    )
-    one = F.struct("position", "vendor", "product", "version", "style")
-    line = F.transform(F.array_sort(F.collect_list(one)), lambda c: F.concat(F.lit("- "), tx.inventory_name(c["style"], c["vendor"], c["product"], c["version"])))
-    own_products = F.collect_set(F.struct(F.lower("vendor").alias("vendor"), F.lower("product").alias("product")))
-    built = components.groupBy("profile").agg(F.count(F.lit(1)).alias("n_held"), F.array_join(line, "\n").alias("lines"), own_products.alias("installed"))
-    each = profiles.join(sums, "profile", "left").join(built, "profile", "left")
-    paired = lambda i: F.get("paired", F.lit(i))
-    both = lambda p: F.exists(paired(0), lambda t: _named(t, p)) & F.exists(paired(1), lambda t: _named(t, p))
-    apart = (F.size("paired") == 2) & F.exists("installed", lambda p: both(p) & (_branches(paired(0), p) != _branches(paired(1), p)))
-    kept = F.col("n_held").between(*limits.components) & F.col("n").between(*limits.candidates) & (F.size("far") / F.col("n") >= limits.distractors)
-    of_profiles = violations(each, {
-        "candidate_twice": F.col("n") != F.col("n_distinct"),
-        "text_differs_from_components": F.col("text") != F.concat_ws("\n", F.lit(heading), "lines"),
-        "difficulty_contract": ~(kept & (F.col("far") == F.array_sort("distractors"))),
-        "hard_without_branches": (F.col("stratum") == "hard") & ~apart,
-    }, F.col("profile"))
-    labels = violations(each, {"stored_labels_disagree": F.array_sort("expected") != F.col("checked")}, F.col("profile"), F.array_join("checked", ","), raised=False)
+    return violations_of(judged(nested(profiles, components, candidates, advisories, assigned), limits, heading), groups)
+
 
-    pools = wide.groupBy("cve").agg(F.array_sort(F.collect_set("partition")).alias("in"))
+def violations_of(known: DataFrame, groups: DataFrame) -> DataFrame:
+    """Violation rows of judged() profiles, with the rules that go across profiles."""
+    own = known.select("profile", F.explode("found").alias("f")).select("f.rule", "f.raised", F.col("profile").cast("string").alias("subject"), "f.item")
+    # Dealt by advisory before they are grouped: few repeat within a task, and rows are smaller than sets.
+    pools = known.select("partition", F.explode("cves").alias("cve")).repartition("cve").groupBy("cve").agg(F.array_sort(F.collect_set("partition")).alias("in"))
     overlap = violations(pools, {"advisory_in_partitions": F.size("in") > 1}, F.col("cve"), F.array_join("in", ","), raised=False)
-    held_out = product_pools(wide, profiles, components, groups)
-    leaked = violations(held_out, {"held_out_group_in_partitions": F.array_contains("in", "product_heldout") & (F.size("in") > 1)}, F.col("product_group"), F.array_join("in", ","), raised=False)
-    return union([repeated(profiles, ["profile"], "profile_twice", "profile"), own, of_profiles, disagreements, labels, overlap, leaked])
+    leaked = violations(product_pools(known, groups), {"held_out_group_in_partitions": F.array_contains("in", "product_heldout") & (F.size("in") > 1)}, F.col("product_group"), F.array_join("in", ","), raised=False)
+    return union([own, overlap, leaked])
 
 
-def product_pools(candidates: DataFrame, profiles: DataFrame, components: DataFrame, groups: DataFrame) -> DataFrame:
-    """product_group, in: the partitions whose profiles hold a product of the group, installed or in a candidate (partition, products)."""
-    told = candidates.select("partition", F.explode("products").alias("t")).select("partition", "t.vendor", "t.product")
-    used = components.join(profiles.select("profile", "partition"), "profile").select("partition", F.lower("vendor").alias("vendor"), F.lower("product").alias("product"))
-    return told.unionByName(used).distinct().join(groups, ["vendor", "product"]).groupBy("product_group").agg(F.array_sort(F.collect_set("partition")).alias("in"))
+def product_pools(known: DataFrame, groups: DataFrame) -> DataFrame:
+    """product_group, in: the partitions whose judged() profiles hold a product of the group, installed or in a candidate."""
+    used = known.select(F.explode("products").alias("p")).select("p.*").distinct()
+    return used.join(groups, ["vendor", "product"]).groupBy("product_group").agg(F.array_sort(F.collect_set("partition")).alias("in"))
 
 
-def profile_counts(profiles: DataFrame, candidates: DataFrame, found: DataFrame) -> DataFrame:
-    """One row: checked_decisions, profiles, positive_profiles, raised, listed, passed."""
+def profile_counts(known: DataFrame, found: DataFrame) -> DataFrame:
+    """One row: checked_decisions, profiles, positive_profiles (of judged() profiles), raised, listed, passed."""
     # One row each; found is read once, as it is the whole audit.
-    held = profiles.agg(F.count(F.lit(1)).alias("profiles"), F.count_if(F.size("expected") > 0).alias("positive_profiles"))
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0).cast("long"))
+    held = known.agg(total("n_candidates").alias("checked_decisions"), total("n_profiles").alias("profiles"), total("n_positive").alias("positive_profiles"))
     broken = found.agg(F.count_if("raised").alias("raised"), F.count_if(~F.col("raised")).alias("listed"), (F.count(F.lit(1)) == 0).alias("passed"))
-    return candidates.agg(F.count(F.lit(1)).alias("checked_decisions")).crossJoin(held).crossJoin(broken)
+    return held.crossJoin(broken)
 
 
 # --- fixtures ---

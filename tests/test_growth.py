@@ -8,8 +8,9 @@ import duckdb
 from pyspark.sql import functions as F
 
 from quillwork.functions import text as tx
-from quillwork.operators import graph, joins, lineage
-from quillwork.plans import registry
+from quillwork.functions import validation as va
+from quillwork.operators import audit, graph, joins, lineage
+from quillwork.plans import audits, registry
 
 QUERIES, SQL = registry.queries(), registry.oracle_sql()
 
@@ -57,6 +58,41 @@ def test_the_audit_meets_only_asked_pairs(spark, sf, monkeypatch):
     QUERIES["profile_audit"](spark, sf)
 
 
+def test_the_audit_sends_each_line_once(spark, sf, monkeypatch):
+    plans, write = [], audit.written
+
+    def kept(df, name):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return write(df, name)
+
+    monkeypatch.setattr(audit, "written", kept)
+    for name in ("profile_audit", "profile_audit_counts"):
+        plans.clear()
+        QUERIES[name](spark, sf)
+        # The lines by part, the parts, and the lines by profile.
+        assert len(plans) == 1 and plans[0].count("FileScan parquet [l_orderkey") == 1 and plans[0].count("Exchange") <= 4, plans
+
+
+def test_flat_profiles_are_audited_as_nested_ones(spark, sf):
+    whole, groups = audits._benchmark(spark, sf)
+    flat = lambda name: whole.selectExpr("profile", f"inline({name})")
+    told = flat("candidates").withColumn("body", F.col("cve")).withColumn("sha256", F.sha2(F.when(F.col("unchanged"), F.col("body")).otherwise("x"), 256)).withColumn("published", F.concat("year", F.lit("-03-01")))
+    source = {name: told.select("cve", *columns).dropDuplicates(["cve"]) for name, columns in {"advisories": ["body", "matches"], "assigned": ["assigned"]}.items()}
+    found = audit.profile_violations(flat("profiles"), flat("components"), told.select("profile", "cve", "sha256", "terms", "published"), **source, groups=groups, limits=audits._LIMITS)
+    assert sorted(tuple(r) for r in found.collect()) == sorted(tuple(r) for r in QUERIES["profile_audit"](spark, sf).collect())
+
+
+def test_a_profile_without_parts_breaks_the_rules(spark):
+    lists = "profile long, partition string, stratum string, text string, expected array<string>, distractors array<string>, pair array<string>"
+    profiles = spark.createDataFrame([(1, "validation", "hard", "h", [], [], [])], lists)
+    components = spark.createDataFrame([], "profile long, position int, vendor string, product string, version string, style string")
+    candidates = spark.createDataFrame([], f"profile long, cve string, sha256 string, terms array<{audit.TERM}>, published string")
+    advisories = spark.createDataFrame([], f"cve string, body string, matches array<{va.MATCH}>")
+    groups = spark.createDataFrame([], "vendor string, product string, product_group string")
+    found = audit.profile_violations(profiles, components, candidates, advisories, spark.createDataFrame([], "cve string, assigned string"), groups)
+    assert sorted(r.rule for r in found.collect()) == ["candidate_twice", "difficulty_contract", "hard_without_branches", "stored_labels_disagree", "text_differs_from_components"]
+
+
 def test_audit_counts_read_the_audit_once(spark, sf):
     assert "ubquery" not in ran(QUERIES["profile_audit_counts"](spark, sf))
 
