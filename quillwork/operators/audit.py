@@ -15,7 +15,6 @@ from quillwork.functions import reference
 from quillwork.functions import text as tx
 from quillwork.functions import validation as va
 from quillwork.functions import version as vs
-from quillwork.operators import joins
 from quillwork.operators.lineage import written
 
 
@@ -217,11 +216,25 @@ def profile_counts(known: DataFrame, found: DataFrame) -> DataFrame:
 # --- fixtures ---
 
 
+def holding(components: Column, advisories: Column) -> Column:
+    """Ids of the advisories (id and TERM fields) that hold any of the components (vendor, product, version), within one row; null if there are none of them."""
+    have = F.transform(components, lambda c: F.struct(F.lower(c["vendor"]).alias("vendor"), F.lower(c["product"]).alias("product"), c["version"].alias("version")))
+    key = lambda x: va.let(vs.version_key(x), lambda k: F.struct(k.alias("key")))
+
+    def holds(a: Column, held: Column) -> Column:
+        name = F.struct(F.lower(a["vendor"]).alias("vendor"), F.lower(a["product"]).alias("product"))
+        near = F.filter(held, lambda c: F.exists(F.array(name), lambda n: _named(n, c)))
+        # Versions and bounds are only looked at where the names are one.
+        return va.let(near, lambda m: (F.size(m) > 0) & F.exists(F.array(_keyed(a)), lambda t: F.exists(F.transform(m, lambda c: key(c["version"])), lambda c: _within(t, c))))
+
+    return va.let(have, lambda held: F.transform(F.filter(advisories, lambda a: F.coalesce(holds(a, held), F.lit(False))), lambda a: a["id"]))
+
+
 def fixture_violations(profiles: DataFrame) -> DataFrame:
     """Fourteen rules of a nested fixture: profile, partition, semantics, components (vendor, product, version),
     advisories (id, product terms as TERM fields), expected (array of ids), as violation rows.
 
-    Labels are computed again by the range join, and an advisory may serve one partition only."""
+    Labels are computed again within each profile, and an advisory may serve one partition only."""
     known = ("optimization", "validation", "test")
     lists = {c: F.coalesce(c, F.array().cast(dict(profiles.dtypes)[c])) for c in ("components", "advisories", "expected")}
     filled = profiles.withColumns(lists)
@@ -247,13 +260,10 @@ def fixture_violations(profiles: DataFrame) -> DataFrame:
         "inclusivity": F.col("lower_inclusive").isNull() | F.col("upper_inclusive").isNull(),
         "inverted_range": F.coalesce(key("lower") > key("upper"), F.lit(False)),
     }, F.col("profile"), F.col("id"))
-    split = spread.groupBy("id").agg(F.array_sort(F.collect_set("partition")).alias("in"))
+    # Dealt by id before they are grouped: rows are smaller than sets.
+    split = spread.select("id", "partition").repartition("id").groupBy("id").agg(F.array_sort(F.collect_set("partition")).alias("in"))
     leaks = violations(split, {"advisory_in_partitions": F.size("in") > 1}, F.col("id"), F.array_join("in", ","))
-    terms = spread.select(F.concat_ws("\n", "profile", "id").alias("cve"), "vendor", "product", "exact", "lower", "upper", "lower_inclusive", "upper_inclusive")
-    # An id of the pair keeps each profile's own statement of an advisory apart.
-    hits = joins.applicability(parts.select("profile", F.lit("a").alias("part"), "vendor", "product", "version"), terms).where("applies and split(cve, '\n')[0] = profile")
-    computed = hits.groupBy("profile").agg(F.array_sort(F.collect_set(F.element_at(F.split("cve", "\n"), 2))).alias("computed"))
-    again = filled.join(computed, "profile", "left").withColumn("computed", F.coalesce("computed", F.array().cast("array<string>")))
+    again = filled.select("profile", "expected", F.array_sort(F.array_distinct(F.array_compact(holding(F.col("components"), F.col("advisories"))))).alias("computed"))
     labels = violations(again, {"labels_disagree": F.array_sort(F.array_distinct("expected")) != F.col("computed")}, F.col("profile"), F.array_join("computed", ","))
     present = filled.where(F.col("partition").isin(*known)).agg(F.count_distinct("partition").alias("n"), F.count(F.lit(1)).alias("rows"))
     all_three = violations(present, {"partition_missing": F.col("n") < len(known)}, F.lit("fixture"))

@@ -129,6 +129,19 @@ def test_fixture_builds_its_profiles_once(spark, sf):
     assert not any("lineitem" in file for file in QUERIES["fixture_load"](spark, sf).inputFiles())
 
 
+def test_fixture_sends_each_line_once(spark, sf, monkeypatch):
+    plans, write = [], audits.written
+
+    def kept(df, name):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return write(df, name)
+
+    monkeypatch.setattr(audits, "written", kept)
+    text = QUERIES["fixture_load"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    # The lines by part, the parts, and the lines with their orders; a profile is then checked where it lies.
+    assert plans[0].count("FileScan parquet [l_orderkey") == 1 and plans[0].count("Exchange") <= 3 and "Join" not in text
+
+
 def test_records_meet_their_advisories_in_one_join(spark, sf):
     text = ran(QUERIES["corroboration_rules"](spark, sf)).split("Initial Plan")[0]
     assert text.count("SortMergeJoin") + text.count("BroadcastHashJoin") + text.count("ShuffledHashJoin") == 1
